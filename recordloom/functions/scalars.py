@@ -21,7 +21,10 @@ DATE_PATTERNS = [
 ]
 # --- End of fixed values. ---
 
-_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+_NUMBER = (
+    r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+    r"|(?i)^([+-]?(inf|infinity)|nan)$"
+)
 
 
 def parse_currency(c: Column) -> Column:
