@@ -165,12 +165,11 @@ def keep_valid(df: DataFrame, strict: bool = False, present: str | None = None)
 def validate_until_first_error(df: DataFrame, order: str = "rec_idx", strict: bool = False) -> DataFrame:
     """Rows up to and with the first invalid one; rows after it are dropped.
 
-    The cut is one value, so the join below broadcasts one row.
+    The cut is one value, taken as a scalar subquery.
     """
     checked = validate(df, strict)
-    cut = checked.filter("not is_valid").agg(F.min(order).alias("_cut"))
-    out = checked.join(F.broadcast(cut), F.col("_cut").isNull() | (F.col(order) <= F.col("_cut")))
-    return out.drop("_cut")
+    cut = checked.filter("not is_valid").agg(F.min(order)).scalar()
+    return checked.filter(F.coalesce(F.col(order) <= cut, F.lit(True)))
 
 
 def error_summary(invalid: DataFrame, order: str = "rec_idx", top: int | None = 5) -> DataFrame:
