@@ -61,12 +61,12 @@ def similarity(a: Column, b: Column) -> Column:
     )
 
 
-def max_distance(total: Column, threshold: int) -> Column:
+def max_distance(total: Column, threshold: Column) -> Column:
     """Most insertions and deletions that two texts of this total length may
     differ by and still reach the threshold (parity makes it exact).
 
     The score is rounded, so ``threshold - 0.5`` is the real bound; it is taken
     a hair wider so that no rounding of doubles can lose a pair.
     """
-    bound = F.floor(total * F.lit((100.5 - threshold) / 100.0 + 1e-9)).cast("int")
+    bound = F.floor(total * ((F.lit(100.5) - threshold) / 100.0 + F.lit(1e-9))).cast("int")
     return bound - F.pmod(bound + total, F.lit(2))
