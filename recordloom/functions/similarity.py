@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions.text import strip
 
@@ -29,22 +30,28 @@ def normal_form(c: Column, matcher: str = "token_sort_ratio") -> Column:
     raise ValueError(f"unsupported matcher {matcher!r}: use 'token_sort_ratio' or 'ratio'")
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    at: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        at[ch] = at.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & at.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts.
 
+    Bit-parallel over whole Python integers, in Arrow batches. The helper is
+    nested so that it travels with the task.
+    """
 
-@F.pandas_udf("int")
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+    def length(x: str, y: str) -> int:
+        at: dict[str, int] = {}
+        for i, ch in enumerate(x):
+            at[ch] = at.get(ch, 0) | (1 << i)
+        full = (1 << len(x)) - 1
+        row = full
+        for ch in y:
+            hit = row & at.get(ch, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(x) - row.bit_count()
+
+    def lengths(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([length(x, y) for x, y in zip(xs, ys)], dtype="int32")
+
+    return F.pandas_udf(lengths, T.IntegerType())(a, b)
 
 
 def ratio(a: Column, b: Column, lcs: Column) -> Column:

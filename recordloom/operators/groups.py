@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,11 @@ def absorbed_vertices(edges: DataFrame) -> DataFrame:
     neighbour at once; what remains is written down, so plans stay short and a
     lost executor costs no earlier round. Rounds end when no edge is open.
     """
-    done = None
-    while True:
-        gone = cut(_absorbed_now(edges), "absorbed")
-        if gone.isEmpty():
-            return gone if done is None else done
-        done = gone if done is None else done.union(gone)
-        edges = cut(_without(edges, gone).select("lo", "hi"), "open_edges")
+    rounds = []
+    while not edges.isEmpty():
+        rounds.append(cut(_absorbed_now(edges), "absorbed"))
+        edges = cut(_without(edges, rounds[-1]).select("lo", "hi"), "open_edges")
+    return reduce(DataFrame.union, rounds, edges.select(F.col("hi").alias("v")))
 
 
 def greedy_groups(edges: DataFrame) -> DataFrame:

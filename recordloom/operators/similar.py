@@ -116,13 +116,13 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     near = met.filter(
         (F.col("_k") >= F.abs(F.length("a") - F.length("b")))
         & (F.least(_even(F.col("_k")), F.lit(_WIDEST + 2)) == F.col("family"))
-    ).filter(F.expr("levenshtein(a, b) <= _k"))
+    ).filter(F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1"))
     return near.select("kind", "threshold", "a", "b").distinct()
 
 
 def similar_pairs(texts: DataFrame) -> DataFrame:
     """(kind, a, b, score) for all pairs ``a < b`` of one kind that reach their
     threshold. Pairs of an empty and another text score 0 and never occur."""
-    pairs = candidate_pairs(texts).withColumn("lcs", lcs_length("a", "b"))
+    pairs = candidate_pairs(texts).withColumn("lcs", lcs_length(F.col("a"), F.col("b")))
     scored = pairs.withColumn("score", ratio(F.col("a"), F.col("b"), F.col("lcs")))
     return scored.filter(F.col("score") >= F.col("threshold")).select("kind", "a", "b", "score")
