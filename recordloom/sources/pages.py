@@ -38,7 +38,7 @@ def _finder():
     class Page(HTMLParser):
         def __init__(self, html: str):
             super().__init__(convert_charrefs=True)
-            self.nodes, self.open = [], []
+            self.nodes, self.open, self.roots = [], [], []
             self.feed(html or "")
             self.close()
 
@@ -57,7 +57,10 @@ def _finder():
             if tag in ends_p:
                 self.shut({"p"}, {"table", "td", "th", "button"})
             parent = self.open[-1] if self.open else None
-            self.nodes.append({"tag": tag, "attrs": dict(attrs), "parent": parent, "text": [], "own": []})
+            (self.roots if parent is None else self.nodes[parent]["kids"]).append(len(self.nodes))
+            self.nodes.append(
+                {"tag": tag, "attrs": dict(attrs), "parent": parent, "kids": [], "text": [], "own": []}
+            )
             if tag not in void:
                 self.open.append(len(self.nodes) - 1)
 
@@ -82,13 +85,13 @@ def _finder():
                 and all(c in words for c in test.get("classes", ()))
                 and ("attr" not in test or test["attr"] in attrs)
                 and test.get("class_part", "") in (attrs.get("class") or "")
-                and ("contains" not in test or test["contains"].lower() in self.text(n).lower())
+                and ("contains" not in test or test["contains"] in self.text(n))
                 and ("own" not in test or test["own"] in "".join(node["own"]))
                 and ("child" not in test or self.has_child(n, *test["child"]))
             )
 
         def children(self, n) -> list[int]:
-            return [i for i, node in enumerate(self.nodes) if node["parent"] == n]
+            return self.roots if n is None else self.nodes[n]["kids"]
 
         def has_child(self, n: int, tag: str, own: str) -> bool:
             kids = (self.nodes[k] for k in self.children(n))
