@@ -96,7 +96,15 @@ def merge_sources(
     not in a full outer join. Both sides are shuffled once, as the joins share
     their exchanges, and the distinct keys are reduced before their shuffle.
     """
-    lk, rk = keyed(left, key), keyed(right, key)
+    out = merge_keyed(keyed(left, key), keyed(right, key), order, prefer_source)
+    return out.unionByName(_passed(left, right, key, order), allowMissingColumns=True) if keep_unkeyed else out
+
+
+def merge_keyed(
+    lk: DataFrame, rk: DataFrame, order: str = "rec_idx", prefer_source: str | None = None
+) -> DataFrame:
+    """``merge_sources`` for frames that carry their match key already."""
+    left, right = lk.drop(KEY), rk.drop(KEY)
     schema = {f.name: f.dataType for f in [*right.schema.fields, *left.schema.fields]}
     fields = {f: schema[f] for f in _value_fields(left, right, order)}
 
@@ -122,21 +130,23 @@ def merge_sources(
             F.lit(None).cast("boolean").alias("is_cross_source_merged"),
         )
 
-    out = both.unionByName(single(ls, "l_", rk)).unionByName(single(rs, "r_", lk))
-    if keep_unkeyed:
-        for df, lo, ro in ((left, order, None), (right, None, order)):
-            rest = unkeyed(df, key)
-            dtype = df.schema[order].dataType
-            out = out.unionByName(
-                rest.select(
-                    F.lit(None).cast("string").alias("merge_key"),
-                    (F.col(lo) if lo else F.lit(None).cast(dtype)).alias("left_order"),
-                    (F.col(ro) if ro else F.lit(None).cast(dtype)).alias("right_order"),
-                    *[F.col(f) for f in fields if f in df.columns],
-                ),
-                allowMissingColumns=True,
-            )
-    return out
+    return both.unionByName(single(ls, "l_", rk)).unionByName(single(rs, "r_", lk))
+
+
+def _passed(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows without a key, in the shape of merged rows."""
+
+    def part(df: DataFrame, lo: str | None, ro: str | None) -> DataFrame:
+        rest = unkeyed(df, key)
+        none = F.lit(None).cast(df.schema[order].dataType)
+        return rest.select(
+            F.lit(None).cast("string").alias("merge_key"),
+            (F.col(lo) if lo else none).alias("left_order"),
+            (F.col(ro) if ro else none).alias("right_order"),
+            *[F.col(f) for f in df.columns if f != order],
+        )
+
+    return part(left, order, None).unionByName(part(right, None, order), allowMissingColumns=True)
 
 
 def merge_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:

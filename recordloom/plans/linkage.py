@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank
 from recordloom.operators.dedup import GROUP, collapse_groups
-from recordloom.operators.merge import KEY, keyed, merge_sources
+from recordloom.operators.merge import KEY, keyed, merge_keyed
 
 ORDER = "merge_order"
 
@@ -104,13 +104,13 @@ def merge_and_fold(
     counts = key_counts(left, right, key)
     lk, rk = keyed(left, key).join(counts, KEY), keyed(right, key).join(counts, KEY)
     fields = [f for f in left.schema.fields if f.name != order]
-    helpers = [KEY, "l", "r", "n", "_ragged"]
+    helpers = ["l", "r", "n", "_ragged"]
 
     # A blank key is merged on but is no key for exact duplicates.
     blank = F.col(KEY) == ""
     alone = (F.col("n") == 1) | blank
     single = _with_order(
-        merge_sources(lk.filter(alone).drop(*helpers), rk.filter(alone).drop(*helpers), key, order)
+        merge_keyed(lk.filter(alone).drop(*helpers), rk.filter(alone).drop(*helpers), order)
     )
 
     many = (F.col("n") > 1) & ~blank
@@ -131,7 +131,7 @@ def merge_and_fold(
     # single pairs, so the pairs of these keys are formed.
     ragged = many & F.col("_ragged")
     pairs = _with_order(
-        merge_sources(lk.filter(ragged).drop(*helpers), rk.filter(ragged).drop(*helpers), key, order)
+        merge_keyed(lk.filter(ragged).drop(*helpers), rk.filter(ragged).drop(*helpers), order)
     )
     tagged = pairs.withColumns({GROUP: F.col(f"{ORDER}.merge_key"), "duplicate_kind": F.lit("exact")})
     from_pairs = collapse_groups(tagged, ORDER).withColumn("duplicate_count", F.col("duplicate_count").cast("bigint"))
@@ -144,6 +144,6 @@ def exact_members(left: DataFrame, right: DataFrame, key: str = "parcel_id", ord
     counts = key_counts(left, right, key).filter((F.col("n") > 1) & (F.col(KEY) != "")).select(KEY)
 
     def part(df: DataFrame) -> DataFrame:
-        return keyed(df, key).join(counts, KEY, "left_semi").drop(KEY)
+        return keyed(df, key).join(counts, KEY, "left_semi")
 
-    return _with_order(merge_sources(part(left), part(right), key, order))
+    return _with_order(merge_keyed(part(left), part(right), order))
