@@ -480,20 +480,21 @@ def _run_folder(spark, name: str) -> str:
 
 @query
 def export_csv(spark, sf_dir):
-    path = export.write_csv(_scored(spark, sf_dir), _run_folder(spark, "csv"))
-    schema = export.for_export(_scored(spark, sf_dir)).schema
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows = export.for_export(_scored(spark, sf_dir))
+    return export.read_csv(spark, export.write_csv(rows, _run_folder(spark, "csv")), rows.schema)
 
 
 @query
 def export_json(spark, sf_dir):
-    path = export.write_json(_scored(spark, sf_dir), _run_folder(spark, "json"))
-    return spark.read.schema(export.for_export(_scored(spark, sf_dir)).schema).json(path)
+    rows = export.for_export(_scored(spark, sf_dir))
+    return spark.read.schema(rows.schema).json(export.write_json(rows, _run_folder(spark, "json")))
 
 
 @query
 def quality_band(spark, sf_dir):
-    return _scored(spark, sf_dir).select("rec_idx", quality.quality_band(F.col("quality_score")).alias("quality_band"))
+    return _scored(spark, sf_dir).select(
+        "rec_idx", quality.quality_band(F.col("quality_score")).alias("quality_band")
+    )
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,17 @@ REPORT_PARTS = ["all_properties", "wake_county", "orange_county", "duplicates",
 # --- End of fixed values. ---
 
 
+# Quotes are doubled, values keep their blanks, and empty text is an empty cell.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "multiLine": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def ordered_columns(columns: list[str]) -> list[str]:
     """Priority fields that exist, then the others in alphabetic order."""
     first = [c for c in EXPORT_PRIORITY if c in columns]
@@ -35,11 +46,16 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 0) -> str | None:
     """CSV files with a header, in UTF-8; nothing for an empty frame."""
     if df.isEmpty():
         return None
-    writer = _flat(for_export(df)).write.mode("overwrite").option("header", True).option("escape", '"')
-    writer.option("emptyValue", "").option("maxRecordsPerFile", rows_per_file).csv(path)
+    writer = _flat(for_export(df)).write.mode("overwrite").options(**CSV_OPTIONS)
+    writer.option("maxRecordsPerFile", rows_per_file).csv(path)
     return path
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read what ``write_csv`` wrote; empty text comes back as null."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+
+
 def write_json(df: DataFrame, path: str, rows_per_file: int = 0) -> str:
     """JSON lines; nulls are kept as such."""
     writer = for_export(df).write.mode("overwrite").option("ignoreNullFields", False)
@@ -62,8 +78,8 @@ def write_report(parts: dict[str, DataFrame], path: str, fmt: str = "parquet", r
     for name in REPORT_PARTS:
         df = parts[name] if name == "statistics" else for_export(parts[name])
         df = _flat(df) if fmt == "csv" else df
-        writer = df.write.mode("overwrite").format(fmt).option("maxRecordsPerFile", rows_per_file)
-        (writer.option("header", True) if fmt == "csv" else writer).save(f"{path}/{name}")
+        writer = df.write.mode("overwrite").format(fmt).options(**(CSV_OPTIONS if fmt == "csv" else {}))
+        writer.option("maxRecordsPerFile", rows_per_file).save(f"{path}/{name}")
     return path
 
 

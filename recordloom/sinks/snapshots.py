@@ -6,9 +6,9 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 _local_root: dict[str, str] = {}
 
@@ -55,16 +55,10 @@ def save_snapshot(df: DataFrame, stage: str, run_id: str, root: str | None = Non
 def load_snapshot(spark: SparkSession, stage: str, run_id: str | None = None, root: str | None = None):
     """The snapshot of a run, by default the newest; None when there is none."""
     base = f"{root or snapshot_root(spark) + '/stages'}/{stage}"
-    if run_id is None:
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        try:
-            paths = listing.option("pathGlobFilter", "_SUCCESS").load(base).select("path")
-        except AnalysisException:
-            return None
-        run_id = paths.agg(F.max(F.regexp_extract("path", "run_id=([^/]+)/", 1))).first()[0]
-        if not run_id:
-            return None
     try:
+        if run_id is None:
+            # Run folders are partitions, and a failed write leaves none.
+            run_id = spark.read.parquet(base).agg(F.max("run_id")).first()[0]
         return spark.read.parquet(f"{base}/run_id={run_id}")
     except AnalysisException:
         return None

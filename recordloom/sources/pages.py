@@ -26,8 +26,9 @@ from recordloom.sources.selectors import (
 )
 
 
-def _finder():
-    """The page reader. Nested, so that it travels with the task."""
+def _reader(asks: list[tuple], link: list):
+    """The function that reads batches of pages; nested in one piece, so that it
+    travels with the task."""
     from html.parser import HTMLParser
 
     void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -124,7 +125,25 @@ def _finder():
             found = self.all(steps, start)
             return found[0] if found else None
 
-    return Page
+    def value(page, node, mode, attr):
+        if node is None:
+            return None
+        return page.text(node) if mode == "text" else page.nodes[node]["attrs"].get(attr) or ""
+
+    def answer(page, mode, selectors, attr):
+        if mode == "rows":
+            return [value(page, page.first(link, row), mode, attr) for row in page.all(selectors[0])]
+        return [value(page, page.first(s), mode, attr) for s in selectors]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parsed = [Page(html) for html in batch["html"]]
+            out = {"page_id": batch["page_id"], "url": batch["url"]}
+            for name, mode, selectors, attr in asks:
+                out[name] = [answer(p, mode, selectors, attr) for p in parsed]
+            yield pd.DataFrame(out)
+
+    return read
 
 
 def find(
@@ -148,27 +167,7 @@ def find(
         [T.StructField("page_id", id_type), T.StructField("url", T.StringType())]
         + [T.StructField(name, T.ArrayType(T.StringType())) for name, *_ in asks]
     )
-    make_finder, link = _finder, compile_selector("a[href]")
-
-    def value(page, node, mode, attr):
-        if node is None:
-            return None
-        return page.text(node) if mode == "text" else page.nodes[node]["attrs"].get(attr) or ""
-
-    def answer(page, mode, selectors, attr):
-        if mode == "rows":
-            return [value(page, page.first(link, row), mode, attr) for row in page.all(selectors[0])]
-        return [value(page, page.first(s), mode, attr) for s in selectors]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page_class = make_finder()
-        for batch in batches:
-            parsed = [page_class(html) for html in batch["html"]]
-            out = {"page_id": batch["page_id"], "url": batch["url"]}
-            for name, mode, selectors, attr in asks:
-                out[name] = [answer(p, mode, selectors, attr) for p in parsed]
-            yield pd.DataFrame(out)
-
+    read = _reader(asks, compile_selector("a[href]"))
     return pages.select("page_id", "url", "html").mapInPandas(read, schema)
 
 
