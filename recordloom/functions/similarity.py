@@ -51,7 +51,7 @@ def lcs_length(a: Column, b: Column) -> Column:
     def lengths(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([length(x, y) for x, y in zip(xs, ys)], dtype="int32")
 
-    return F.pandas_udf(lengths, T.IntegerType())(a, b)
+    return F.pandas_udf(lengths, T.IntegerType()).asNondeterministic()(a, b)
 
 
 def ratio(a: Column, b: Column, lcs: Column) -> Column:

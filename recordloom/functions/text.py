@@ -32,7 +32,7 @@ def collapse(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only; never null itself."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return F.coalesce(~c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
 
 
 def title(c: Column) -> Column:
@@ -90,28 +90,15 @@ def title_keeping_acronyms(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, " "), word), " ")
 
 
-def normalize_owner_name(c: Column) -> Column:
-    name = title_keeping_acronyms(collapse(normalize_suffix(flip_last_first(collapse(c)))))
-    return F.coalesce(collapse(name), F.lit(""))
-
-
-def normalize_address(c: Column) -> Column:
-    out = F.upper(collapse(c))
+def abbreviate_streets(c: Column) -> Column:
     for word, short in STREET_ABBREVIATIONS.items():
-        out = F.regexp_replace(out, rf"(?U)\b{word}\b", short)
-    return F.coalesce(collapse(out), F.lit(""))
-
+        c = F.regexp_replace(c, rf"(?U)\b{word}\b", short)
+    return c
 
-def normalize_city(c: Column) -> Column:
-    return F.coalesce(strip(title(collapse(c))), F.lit(""))
 
-
-def normalize_state(c: Column) -> Column:
-    up = F.upper(strip(c))
-    code = up
-    for name, short in STATE_CODES.items():
-        code = F.when(up == name, F.lit(short)).otherwise(code)
-    return F.coalesce(F.substring(code, 1, 2), F.lit(""))
+def state_code(c: Column) -> Column:
+    codes = F.create_map(*[F.lit(x) for pair in STATE_CODES.items() for x in pair])
+    return F.substring(F.coalesce(codes[c], c), 1, 2)
 
 
 def zero_fill(c: Column, width: int) -> Column:
@@ -119,21 +106,47 @@ def zero_fill(c: Column, width: int) -> Column:
     return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
 
 
-def normalize_zip(c: Column) -> Column:
+def zip_digits(c: Column) -> Column:
+    """Digits and inner hyphens; null for null and empty text."""
+    return F.when(c != "", F.regexp_replace(F.regexp_replace(c, r"[^\d\-]", ""), "^-+|-+$", ""))
+
+
+def zip_form(c: Column) -> Column:
     """5 or 5-4 digits; more than two hyphen parts give null."""
-    digits = F.regexp_replace(F.regexp_replace(c, r"[^\d\-]", ""), "^-+|-+$", "")
-    parts = F.split(digits, "-")
+    parts = F.split(c, "-")
     extended = F.concat_ws("-", zero_fill(parts[0], 5), F.rpad(F.substring(F.get(parts, F.lit(1)), 1, 4), 4, "0"))
     return (
-        F.when(F.coalesce(c, F.lit("")) == "", F.lit(""))
+        F.when(c.isNull(), F.lit(""))
         .when(F.size(parts) == 2, extended)
         .when(F.size(parts) > 2, F.lit(None).cast("string"))
-        .when(F.length(digits) == 9, F.concat_ws("-", F.substring(digits, 1, 5), F.substring(digits, 6, 4)))
-        .when(F.length(digits) <= 5, zero_fill(digits, 5))
-        .otherwise(F.substring(digits, 1, 5))
+        .when(F.length(c) == 9, F.concat_ws("-", F.substring(c, 1, 5), F.substring(c, 6, 4)))
+        .when(F.length(c) <= 5, zero_fill(c, 5))
+        .otherwise(F.substring(c, 1, 5))
     )
 
 
+def or_empty(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+# Each field is cleaned in steps. A step may use its input several times, so the
+# steps become one projection each and nothing is computed twice per row.
+STEPS = {
+    "owner_name": [collapse, flip_last_first, normalize_suffix, collapse, title_keeping_acronyms, or_empty],
+    "address": [collapse, F.upper, abbreviate_streets, or_empty],
+    "city": [collapse, title, or_empty],
+    "state": [strip, F.upper, state_code, or_empty],
+    "zip_code": [zip_digits, zip_form],
+}
+
+
+def normalize_address(c: Column) -> Column:
+    """All address steps in one expression; every step uses its input once."""
+    for step in STEPS["address"]:
+        c = step(c)
+    return c
+
+
 def match_key(c: Column) -> Column:
     """Upper-cased, trimmed text: the form in which keys are compared."""
     return F.upper(strip(c.cast("string")))

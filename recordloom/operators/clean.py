@@ -1,36 +1,41 @@
-"""Cleaning: one projection over the fields that are present."""
+"""Cleaning: projections over the fields that are present."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text
-
-CLEANERS: dict[str, Callable[[Column], Column]] = {
-    "owner_name": text.normalize_owner_name,
-    "property_address": text.normalize_address,
-    "mailing_address": text.normalize_address,
-    "city": text.normalize_city,
-    "state": text.normalize_state,
-    "zip_code": text.normalize_zip,
+from recordloom.functions.scalars import parse_currency
+
+# Which kind of value each field holds; the kinds have their steps in ``text``.
+KINDS = {
+    "owner_name": "owner_name",
+    "property_address": "address",
+    "mailing_address": "address",
+    "city": "city",
+    "state": "state",
+    "zip_code": "zip_code",
 }
 
 
+def apply_steps(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Run the steps of each column's kind, the n-th steps of all together."""
+    steps = {f: text.STEPS[k] for f, k in kinds.items()}
+    for n in range(max((len(s) for s in steps.values()), default=0)):
+        df = df.withColumns({f: s[n](F.col(f)) for f, s in steps.items() if n < len(s)})
+    return df
+
+
 def clean_records(df: DataFrame) -> DataFrame:
     """Normalise names, addresses, city, state and ZIP; other columns pass.
 
     A column that holds no text gives ``""``, as a value that is no text does.
     """
     types = dict(df.dtypes)
-    cleaned = {
-        f: clean(F.col(f)) if types[f] == "string" else F.lit("")
-        for f, clean in CLEANERS.items()
-        if f in types
-    }
-    return df.withColumns(cleaned)
+    present = {f: k for f, k in KINDS.items() if f in types}
+    no_text = {f: F.lit("") for f in present if types[f] != "string"}
+    return apply_steps(df, {f: k for f, k in present.items() if f not in no_text}).withColumns(no_text)
 
 
 def trim_text_columns(df: DataFrame) -> DataFrame:
@@ -40,8 +45,6 @@ def trim_text_columns(df: DataFrame) -> DataFrame:
 
 def coerce_money(df: DataFrame, fields: list[str]) -> DataFrame:
     """Text amounts to doubles, so that later stages see one type per field."""
-    from recordloom.functions.scalars import parse_currency
-
     types = dict(df.dtypes)
     return df.withColumns(
         {

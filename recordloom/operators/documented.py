@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.config import CANONICAL_FIELDS, NUMERIC_FIELDS, REQUIRED_FIELDS
 from recordloom.functions.similarity import normal_form, similarity
 from recordloom.functions.text import collapse, is_blank, match_key, normalize_address
+from recordloom.operators.clean import apply_steps
 from recordloom.operators.dedup import GROUP
 from recordloom.operators.merge import KEY, keyed
 from recordloom.operators.quality import has_value
@@ -91,9 +92,10 @@ def normalize_parcel(c: Column, width: int = 0) -> Column:
     return F.when(F.length(out) < width, F.lpad(out, width, "0")).otherwise(out) if width else out
 
 
-def keep_originals(df: DataFrame, cleaners: dict) -> DataFrame:
+def keep_originals(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Normalised values in new columns; the originals stay."""
-    return df.withColumns({f"{f}_normalized": clean(F.col(f)) for f, clean in cleaners.items()})
+    copies = df.withColumns({f"{f}_normalized": F.col(f) for f in kinds})
+    return apply_steps(copies, {f"{f}_normalized": k for f, k in kinds.items()})
 
 
 def exact_address_groups(df: DataFrame, order: str = "rec_idx") -> DataFrame:

@@ -54,7 +54,10 @@ def _even(c: Column) -> Column:
 
 
 def _keys(texts: DataFrame) -> DataFrame:
-    """(kind, text, family, key) for texts of (kind, threshold, text)."""
+    """(kind, threshold, text, family, key) for texts of (kind, threshold, text)."""
+    # Texts are small but give many keys each: spread them before they grow.
+    spark = texts.sparkSession
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text")
     c = (F.lit(100.5) - F.col("threshold")) / 100.0 + F.lit(1e-9)
     n = F.length("text")
     # Distances over all partners that are short or long enough to match.
@@ -67,13 +70,13 @@ def _keys(texts: DataFrame) -> DataFrame:
     chosen = (
         ranged.filter((F.col("_hi") >= 2) & (F.col("_lo") <= _WIDEST))
         .select("kind", "threshold", "text", plain.alias("_plain"), families.alias("family"))
-        .join(F.broadcast(_choice_table(texts.sparkSession)), "family")
+        .join(F.broadcast(_choice_table(spark)), "family")
         .select(
             "kind",
             "threshold",
             "text",
             "family",
-            F.xxhash64("choice", F.expr("translate(_plain, removed, '')")).alias("key"),
+            F.xxhash64("family", "choice", F.expr("translate(_plain, removed, '')")).alias("key"),
         )
     )
 
@@ -108,11 +111,12 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     above the number of insertions and deletions, so the bound loses nothing.
     """
     keys = _keys(texts)
-    left = keys.withColumnRenamed("text", "a")
-    right = keys.select("kind", "family", "key", F.col("text").alias("b"))
-    c_total = F.length("a") + F.length("b")
-    met = left.join(right, ["kind", "family", "key"]).filter(F.col("a") < F.col("b"))
-    met = met.withColumn("_k", max_distance(c_total, F.col("threshold")))
+    # The two sides differ in nothing but their alias, so they share one shuffle.
+    x, y = keys.alias("x"), keys.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "family", "threshold", "kind")]
+    a, b = F.col("x.text"), F.col("y.text")
+    k = max_distance(F.length(a) + F.length(b), F.col("x.threshold"))
+    met = x.join(y, same).filter(a < b).select("x.kind", "x.threshold", "x.family", a.alias("a"), b.alias("b"), k.alias("_k"))
     near = met.filter(
         (F.col("_k") >= F.abs(F.length("a") - F.length("b")))
         & (F.least(_even(F.col("_k")), F.lit(_WIDEST + 2)) == F.col("family"))
@@ -122,7 +126,11 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
 
 def similar_pairs(texts: DataFrame) -> DataFrame:
     """(kind, a, b, score) for all pairs ``a < b`` of one kind that reach their
-    threshold. Pairs of an empty and another text score 0 and never occur."""
+    threshold. Pairs of an empty and another text score 0 and never occur.
+
+    The kernel counts as non-deterministic so that the optimizer does not move
+    it below the ``distinct`` and run it once per shared key.
+    """
     pairs = candidate_pairs(texts).withColumn("lcs", lcs_length(F.col("a"), F.col("b")))
     scored = pairs.withColumn("score", ratio(F.col("a"), F.col("b"), F.col("lcs")))
     return scored.filter(F.col("score") >= F.col("threshold")).select("kind", "a", "b", "score")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from recordloom.functions.text import is_blank
 from recordloom.operators.dedup import GROUP, collapse_groups
 from recordloom.operators.merge import KEY, keyed, merge_keyed
+from recordloom.sinks.snapshots import cut
 
 ORDER = "merge_order"
 
@@ -101,7 +102,7 @@ def merge_and_fold(
     key with several merged rows, with ``is_merged`` and ``duplicate_count``.
     Both sources must have the same columns.
     """
-    counts = key_counts(left, right, key)
+    counts = cut(key_counts(left, right, key), "key_counts")
     lk, rk = keyed(left, key).join(counts, KEY), keyed(right, key).join(counts, KEY)
     fields = [f for f in left.schema.fields if f.name != order]
     helpers = ["l", "r", "n", "_ragged"]
@@ -130,6 +131,8 @@ def merge_and_fold(
     # Extraction times of several lengths: which one survives depends on the
     # single pairs, so the pairs of these keys are formed.
     ragged = many & F.col("_ragged")
+    if counts.filter(ragged).isEmpty():
+        return single, folded
     pairs = _with_order(
         merge_keyed(lk.filter(ragged).drop(*helpers), rk.filter(ragged).drop(*helpers), order)
     )

@@ -60,30 +60,28 @@ def _joined_errors(df: DataFrame) -> DataFrame:
 # --- scalar functions ---
 
 
+def _cleaned(spark, sf_dir, *fields: str) -> DataFrame:
+    return clean.clean_records(_all(spark, sf_dir).select("rec_idx", *fields))
+
+
 @query
 def clean_names(spark, sf_dir):
-    return _all(spark, sf_dir).select("rec_idx", text.normalize_owner_name(F.col("owner_name")).alias("owner_name"))
+    return _cleaned(spark, sf_dir, "owner_name")
 
 
 @query
 def clean_addresses(spark, sf_dir):
-    return _all(spark, sf_dir).select(
-        "rec_idx", *[text.normalize_address(F.col(f)).alias(f) for f in ("property_address", "mailing_address")]
-    )
+    return _cleaned(spark, sf_dir, "property_address", "mailing_address")
 
 
 @query
 def clean_city_state(spark, sf_dir):
-    return _all(spark, sf_dir).select(
-        "rec_idx",
-        text.normalize_city(F.col("city")).alias("city"),
-        text.normalize_state(F.col("state")).alias("state"),
-    )
+    return _cleaned(spark, sf_dir, "city", "state")
 
 
 @query
 def clean_zip(spark, sf_dir):
-    return _all(spark, sf_dir).select("rec_idx", text.normalize_zip(F.col("zip_code")).alias("zip_code"))
+    return _cleaned(spark, sf_dir, "zip_code")
 
 
 @query
@@ -569,7 +567,7 @@ def parcel_ids(spark, sf_dir):
 
 @query
 def keep_originals(spark, sf_dir):
-    wanted = {f: clean.CLEANERS[f] for f in ("owner_name", "property_address")}
+    wanted = {f: clean.KINDS[f] for f in ("owner_name", "property_address")}
     got = documented.keep_originals(_all(spark, sf_dir), wanted)
     return got.select("rec_idx", "owner_name", "owner_name_normalized", "property_address", "property_address_normalized")
 
