@@ -10,6 +10,7 @@ from recordloom.config import ADDRESS_THRESHOLD, EXACT_MATCH_FIELDS, NAME_THRESH
 from recordloom.functions.similarity import normal_form, similarity
 from recordloom.functions.text import match_key
 from recordloom.operators.groups import greedy_groups
+from recordloom.operators.joins import join_where_keyed
 from recordloom.operators.similar import similar_pairs
 from recordloom.sinks.snapshots import cut
 
@@ -43,11 +44,11 @@ def exact_groups(df: DataFrame, order: str = "rec_idx", fields: list[str] = EXAC
 def mark_exact(df: DataFrame, order: str = "rec_idx", fields: list[str] = EXACT_MATCH_FIELDS) -> DataFrame:
     """Add ``_exact``: the first row of the exact group, null for other rows.
 
-    Each key joins one row, and a left outer join lets the runtime split the
-    rows of a hot key.
+    Each key joins one row, and rows without a key are kept apart.
     """
     groups = exact_groups(df, order, fields)
-    return df.withColumn("_key", exact_key(df, fields)).join(groups, "_key", "left").drop("_key")
+    keyed = df.withColumn("_key", exact_key(df, fields))
+    return join_where_keyed(keyed, groups, ["_key"], order).drop("_key")
 
 
 def _forms(matcher: str, name: str, address: str) -> dict[str, Column]:
@@ -157,19 +158,9 @@ def find_duplicates(
     fuzzy = (
         vertices.join(labels, "v", "left")
         .filter("seed is not null or rows > 1")
-        .select(
-            F.col("_n").alias("_n0"),
-            F.coalesce("_a", F.lit("")).alias("_a0"),
-            F.col("_a").isNull().alias("_bare0"),
-            F.coalesce("seed", "v").alias("_fuzzy"),
-        )
+        .select("_n", "_a", F.coalesce("seed", "v").alias("_fuzzy"))
     )
-    same = (
-        (F.col("_n") == F.col("_n0"))
-        & (F.coalesce("_a", F.lit("")) == F.col("_a0"))
-        & (F.col("_a").isNull() == F.col("_bare0"))
-    )
-    tagged = marked.join(fuzzy, same, "left")
+    tagged = join_where_keyed(marked, fuzzy, ["_n", "_a"], order)
     kind = F.when(F.col("_exact").isNotNull(), F.lit("exact")).when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy"))
     return tagged.withColumns({GROUP: F.coalesce("_exact", "_fuzzy"), KIND: kind}).select(*df.columns, GROUP, KIND)
 

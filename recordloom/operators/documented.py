@@ -12,6 +12,7 @@ from recordloom.functions.similarity import normal_form, similarity
 from recordloom.functions.text import collapse, is_blank, match_key, normalize_address
 from recordloom.operators.clean import apply_steps
 from recordloom.operators.dedup import GROUP
+from recordloom.operators.joins import join_where_keyed
 from recordloom.operators.merge import KEY, keyed
 from recordloom.operators.quality import has_value
 
@@ -105,7 +106,7 @@ def exact_address_groups(df: DataFrame, order: str = "rec_idx") -> DataFrame:
     key = F.concat_ws("|", address, match_key(F.coalesce("city", F.lit(""))), F.coalesce("zip_code", F.lit("")))
     marked = df.withColumn("_key", F.when(address != "", key))
     groups = marked.filter("_key is not null").groupBy("_key").agg(F.min(order).alias(GROUP), F.count("*").alias("_n"))
-    return marked.join(groups.filter("_n > 1").drop("_n"), "_key", "left").drop("_key")
+    return join_where_keyed(marked, groups.filter("_n > 1").drop("_n"), ["_key"], order).drop("_key")
 
 
 def mark_best(tagged: DataFrame, reason: Column, order: str = "rec_idx") -> DataFrame:
@@ -136,7 +137,7 @@ def mark_best(tagged: DataFrame, reason: Column, order: str = "rec_idx") -> Data
         .groupBy(GROUP)
         .agg(F.min(F.struct(F.col(order).alias("o"), F.col("parcel_id").alias("p"))).alias("_kept"))
     )
-    out = ranked.drop("_quality").join(firsts, GROUP, "left")
+    out = join_where_keyed(ranked.drop("_quality"), firsts, [GROUP], order)
     dup = F.coalesce(F.col(order) != F.col("_kept.o"), F.lit(False))
     return out.withColumns(
         {

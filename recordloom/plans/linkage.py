@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank
-from recordloom.operators.dedup import GROUP, collapse_groups
 from recordloom.operators.merge import KEY, keyed, merge_keyed
 from recordloom.sinks.snapshots import cut
 
 ORDER = "merge_order"
+HOT_KEYS = 1000
+HOT_ROWS = 100_000
 
 
 def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:
@@ -54,7 +55,10 @@ def _with_order(merged: DataFrame) -> DataFrame:
 
 def _side_summary(rows: DataFrame, fields: list[T.StructField], order: str, prefix: str) -> DataFrame:
     """Per key: the first row, and per field the longest texts or first value."""
-    aggs = [F.min_by(F.struct(*[f.name for f in fields]), F.col(order)).alias(f"{prefix}first"), F.min(order).alias(f"{prefix}order")]
+    aggs = [
+        F.min_by(F.struct(*[f.name for f in fields]), F.col(order)).alias(f"{prefix}first"),
+        F.min(order).alias(f"{prefix}order"),
+    ]
     for f in fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
@@ -63,7 +67,7 @@ def _side_summary(rows: DataFrame, fields: list[T.StructField], order: str, pref
             aggs.append(F.min_by(c, F.when(~is_blank(c), longest)).alias(f"{prefix}{f.name}"))
         else:
             aggs.append(F.min_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"{prefix}{f.name}"))
-    return rows.groupBy(KEY, "l", "r", "n").agg(*aggs)
+    return rows.groupBy(KEY, "l", "r", "n", "_ragged").agg(*aggs)
 
 
 def _folded(field: T.StructField) -> Column:
@@ -84,7 +88,8 @@ def _folded(field: T.StructField) -> Column:
     if name in ("source", "source_url"):
         return F.concat_ws(" + " if name == "source" else " | ", any_a, any_b)
     if name == "extracted_at":
-        return F.when(both, F.coalesce(F.greatest(first, F.col(f"r_first.{name}")), F.lit(""))).otherwise(one_side)
+        even = F.coalesce(F.greatest(first, F.col(f"r_first.{name}")), F.lit(""))
+        return F.when(F.col("_ragged"), F.col("_time")).when(both, even).otherwise(one_side)
     right_wins = (F.length(b) > F.length(a)) | (
         (F.length(b) == F.length(a)) & ~(F.coalesce(F.length(first), F.lit(-1)) == F.length(a))
     )
@@ -92,35 +97,113 @@ def _folded(field: T.StructField) -> Column:
     return F.when(both, F.coalesce(longest, F.lit(""))).otherwise(one_side)
 
 
+def _join_by_key(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows with the columns of a table that has one row per key.
+
+    Rows of the ``hot`` keys (few by construction) stay where they are and meet
+    the table by broadcast; the others are shuffled without them.
+    """
+    if hot is None:
+        return rows.join(table, KEY)
+    hot = F.broadcast(hot)
+    cold_rows = rows.join(hot, KEY, "left_anti").join(table, KEY)
+    return cold_rows.unionByName(rows.join(F.broadcast(table.join(hot, KEY)), KEY))
+
+
+def _ragged_times(left: DataFrame, right: DataFrame, keys: DataFrame, order: str, hot: DataFrame | None) -> DataFrame:
+    """(key, time) that survives where extraction times differ in length.
+
+    A pair keeps the greater of its two texts, and the first longest of those
+    wins. Which length that is follows from the greatest text per length and the
+    least text per side; the first left row that reaches it, and then the first
+    right row, follow from one pass over each side.
+    """
+
+    def times(df: DataFrame, side: str) -> DataFrame:
+        time = F.coalesce("extracted_at", F.lit("")).alias("_t")
+        return df.select(KEY, F.lit(side).alias("_side"), time, F.col(order).alias("_ord"))
+
+    lt, rt = times(left, "l"), times(right, "r")
+    is_left = F.col("_side") == "l"
+    per_length = (
+        _join_by_key(lt.union(rt), keys, hot)
+        .groupBy(KEY, "_side", F.length("_t").alias("_len"))
+        .agg(F.max("_t").alias("_max"), F.min("_t").alias("_min"))
+    )
+    limits = per_length.groupBy(KEY).agg(
+        F.min(F.when(is_left, F.col("_min"))).alias("_min_l"),
+        F.min(F.when(~is_left, F.col("_min"))).alias("_min_r"),
+        F.collect_list(F.struct("_side", "_len", "_max")).alias("_lengths"),
+    )
+    reached = F.filter(
+        "_lengths",
+        lambda x: x["_max"] >= F.when(x["_side"] == "l", F.col("_min_r")).otherwise(F.col("_min_l")),
+    )
+    limits = limits.withColumn("_m", F.array_max(F.transform(reached, lambda x: x["_len"])))
+    greatest_right = F.filter("_lengths", lambda x: (x["_side"] == "r") & (x["_len"] == F.col("_m")))
+    limits = limits.select(KEY, "_min_r", "_m", F.get(greatest_right, F.lit(0))["_max"].alias("_max_r"))
+
+    reaches = ((F.length("_t") == F.col("_m")) & (F.col("_t") >= F.col("_min_r"))) | F.coalesce(
+        F.col("_t") < F.col("_max_r"), F.lit(False)
+    )
+    first_left = (
+        _join_by_key(lt, limits, hot).filter(reaches).groupBy(KEY, "_m").agg(F.min_by("_t", "_ord").alias("_x"))
+    )
+    pair = F.greatest("_x", "_t")
+    return (
+        _join_by_key(rt, first_left, hot)
+        .filter(F.length(pair) == F.col("_m"))
+        .groupBy(KEY)
+        .agg(F.min_by(pair, "_ord").alias("_time"))
+    )
+
+
 def merge_and_fold(
-    left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx"
+    left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx", hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """(single, folded).
 
     ``single`` holds the merged rows that are alone with their key, with their
     place in the merged order as ``merge_order``; ``folded`` holds one row per
     key with several merged rows, with ``is_merged`` and ``duplicate_count``.
-    Both sources must have the same columns.
+    Both sources must have the same columns. The row counts per key are written
+    down first; they are what the later joins are chosen by.
     """
     counts = cut(key_counts(left, right, key), "key_counts")
-    lk, rk = keyed(left, key).join(counts, KEY), keyed(right, key).join(counts, KEY)
     fields = [f for f in left.schema.fields if f.name != order]
     helpers = ["l", "r", "n", "_ragged"]
+    lk, rk = keyed(left, key), keyed(right, key)
 
     # A blank key is merged on but is no key for exact duplicates.
     blank = F.col(KEY) == ""
-    alone = (F.col("n") == 1) | blank
-    single = _with_order(
-        merge_keyed(lk.filter(alone).drop(*helpers), rk.filter(alone).drop(*helpers), order)
+    many = counts.filter((F.col("n") > 1) & ~blank)
+
+    # A key is hot when it holds more than 1/HOT_KEYS of all rows, so there are
+    # fewer than HOT_KEYS of them.
+    size = F.col("l") + F.col("r")
+    rows = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = many.filter(size > max(rows // HOT_KEYS, hot_rows)).select(KEY)
+    hot = None if hot.isEmpty() else hot
+
+    alone = counts.filter((F.col("n") == 1) | blank)
+    if hot is None:
+        ls, rs = lk.join(alone, KEY), rk.join(alone, KEY)
+    else:
+        ls, rs = [s.join(F.broadcast(hot), KEY, "left_anti").join(alone, KEY) for s in (lk, rk)]
+    single = _with_order(merge_keyed(ls.drop(*helpers), rs.drop(*helpers), order))
+
+    sides = _side_summary(_join_by_key(lk, many, hot), fields, order, "l_").join(
+        _side_summary(_join_by_key(rk, many, hot), fields, order, "r_"), [KEY, "l", "r", "n", "_ragged"], "full_outer"
     )
-
-    many = (F.col("n") > 1) & ~blank
-    even = many & ~F.col("_ragged")
-    ls = _side_summary(lk.filter(even), fields, order, "l_")
-    rs = _side_summary(rk.filter(even), fields, order, "r_")
-    sides = ls.join(rs, [KEY, "l", "r", "n"], "full_outer")
-    at = F.struct(F.col(KEY).alias("merge_key"), F.col("l_order").alias("left_order"), F.col("r_order").alias("right_order"))
-    folded = sides.select(
+    ragged = many.filter("_ragged").select(KEY)
+    if ragged.isEmpty():
+        sides = sides.withColumn("_time", F.lit(None).cast("string"))
+    else:
+        sides = sides.join(_ragged_times(lk, rk, ragged, order, hot), KEY, "left")
+    at = F.struct(
+        F.col(KEY).alias("merge_key"), F.col("l_order").alias("left_order"), F.col("r_order").alias("right_order")
+    )
+    return single, sides.select(
         *[_folded(f).alias(f.name) for f in fields],
         F.when((F.col("l") > 0) & (F.col("r") > 0), F.lit(True)).alias("is_cross_source_merged"),
         at.alias(ORDER),
@@ -128,18 +211,6 @@ def merge_and_fold(
         F.col("n").alias("duplicate_count"),
     )
 
-    # Extraction times of several lengths: which one survives depends on the
-    # single pairs, so the pairs of these keys are formed.
-    ragged = many & F.col("_ragged")
-    if counts.filter(ragged).isEmpty():
-        return single, folded
-    pairs = _with_order(
-        merge_keyed(lk.filter(ragged).drop(*helpers), rk.filter(ragged).drop(*helpers), order)
-    )
-    tagged = pairs.withColumns({GROUP: F.col(f"{ORDER}.merge_key"), "duplicate_kind": F.lit("exact")})
-    from_pairs = collapse_groups(tagged, ORDER).withColumn("duplicate_count", F.col("duplicate_count").cast("bigint"))
-    return single, folded.unionByName(from_pairs)
-
 
 def exact_members(left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx") -> DataFrame:
     """All merged rows of keys with several: every pair, by definition. Only

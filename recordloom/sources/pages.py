@@ -137,11 +137,12 @@ def _reader(asks: list[tuple], link: list):
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = [Page(html) for html in batch["html"]]
-            out = {"page_id": batch["page_id"], "url": batch["url"]}
-            for name, mode, selectors, attr in asks:
-                out[name] = [answer(p, mode, selectors, attr) for p in parsed]
-            yield pd.DataFrame(out)
+            found = {name: [] for name, *_ in asks}
+            for html in batch["html"]:
+                page = Page(html)
+                for name, mode, selectors, attr in asks:
+                    found[name].append(answer(page, mode, selectors, attr))
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], **found})
 
     return read
 
