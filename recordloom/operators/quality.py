@@ -139,9 +139,8 @@ def add_rank(df: DataFrame, order: str = "rec_idx", slices: int | None = None) -
     if df.schema[order].dataType.typeName() not in ("long", "integer", "short", "byte", "double", "float"):
         raise TypeError("add_rank needs a numeric order column")
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.col(order).cast("double").alias("_o")).approxQuantile(
-        "_o", [i / n for i in range(1, n)], 0.1 / n
-    )
+    places = df.select(F.col(order).cast("double").alias("_o"))
+    cuts = places.approxQuantile("_o", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     split = Bucketizer(splits=edges, inputCol="_o", outputCol="_slice")
     cells = split.transform(df.withColumns({"_o": F.col(order).cast("double"), "_s": _score(df)}))
