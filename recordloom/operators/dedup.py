@@ -83,7 +83,8 @@ def match_edges(vertices: DataFrame, name_threshold: int, address_threshold: int
     addresses = vertices.filter("_a is not null").select(
         F.lit("address").alias("kind"), F.lit(address_threshold).alias("threshold"), F.col("_a").alias("text")
     )
-    similar = cut(similar_pairs(names.union(addresses).distinct()), "similar", ["kind"])
+    texts = cut(names.union(addresses).distinct(), "texts")
+    similar = cut(similar_pairs(texts), "similar", ["kind"])
     name_up = similar.filter("kind = 'name'").select(F.col("a").alias("_n"), F.col("b").alias("_n2"))
     name_any = name_up.union(name_up.select(F.col("_n2").alias("_n"), F.col("_n").alias("_n2")))
     address_up = similar.filter("kind = 'address'").select(F.col("a").alias("_a"), F.col("b").alias("_a2"))

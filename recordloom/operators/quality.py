@@ -141,9 +141,12 @@ def add_rank(df: DataFrame, order: str = "rec_idx", slices: int | None = None) -
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = df.select(F.col(order).cast("double").alias("_o"))
     cuts = places.approxQuantile("_o", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    split = Bucketizer(splits=edges, inputCol="_o", outputCol="_slice")
-    cells = split.transform(df.withColumns({"_o": F.col(order).cast("double"), "_s": _score(df)}))
+    cells = df.withColumns({"_o": F.col(order).cast("double"), "_s": _score(df)})
+    if cuts:
+        edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        cells = Bucketizer(splits=edges, inputCol="_o", outputCol="_slice").transform(cells)
+    else:
+        cells = cells.withColumn("_slice", F.lit(0.0))
     sizes = cells.groupBy("_s", "_slice").agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.desc("_s"), "_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import lcs_length, max_distance, ratio
+from recordloom.sinks.snapshots import cut
 
 # The symbols of processed text, frequent ones apart so that groups are even.
 SYMBOLS = " eanrtsoilk0123456789dcmhupgbyvfwjxzq_"
@@ -53,24 +54,26 @@ def _even(c: Column) -> Column:
     return c + F.pmod(c, F.lit(2))
 
 
-def _keys(texts: DataFrame) -> DataFrame:
-    """(kind, threshold, text, family, key) for texts of (kind, threshold, text)."""
-    # Texts are small but give many keys each: spread them before they grow.
-    spark = texts.sparkSession
-    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text")
+def _ranged(texts: DataFrame) -> DataFrame:
+    """Texts with the least and largest distance (``_lo``, ``_hi``, rounded up
+    to even) over all partners that are short or long enough to match."""
     c = (F.lit(100.5) - F.col("threshold")) / 100.0 + F.lit(1e-9)
     n = F.length("text")
-    # Distances over all partners that are short or long enough to match.
     lowest = F.greatest(F.floor(2 * c * n / (1 + c)) - 1, F.lit(1)).cast("int")
     highest = F.floor(2 * c * n / (1 - c)).cast("int")
-    ranged = texts.withColumns({"_lo": _even(lowest), "_hi": _even(highest)})
+    return texts.withColumns({"_lo": _even(lowest), "_hi": _even(highest)})
+
 
+def _choice_keys(ranged: DataFrame) -> DataFrame:
+    """(kind, threshold, text, family, key): one key per choice of groups."""
+    # Texts are small but give many keys each: spread them before they grow.
+    ranged = ranged.repartition(int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text")
     families = F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.lit(_WIDEST)), F.lit(2)))
     plain = F.regexp_replace(F.lower("text"), "[^a-z0-9_ ]", "")
-    chosen = (
+    return (
         ranged.filter((F.col("_hi") >= 2) & (F.col("_lo") <= _WIDEST))
         .select("kind", "threshold", "text", plain.alias("_plain"), families.alias("family"))
-        .join(F.broadcast(_choice_table(spark)), "family")
+        .join(F.broadcast(_choice_table(ranged.sparkSession)), "family")
         .select(
             "kind",
             "threshold",
@@ -80,9 +83,13 @@ def _keys(texts: DataFrame) -> DataFrame:
         )
     )
 
-    # Very long texts: the smallest hashes of their distinct grams. A change
-    # touches at most _GRAM grams, so one of the first _GRAM * K + 1 is shared;
-    # texts with fewer distinct grams than that also meet under one key.
+
+def _gram_keys(ranged: DataFrame) -> DataFrame:
+    """The same for very long texts: the smallest hashes of their distinct
+    grams. A change touches at most _GRAM grams, so one of the first
+    _GRAM * K + 1 is shared; texts with fewer distinct grams than that also meet
+    under one key."""
+    n = F.length("text")
     grams = F.array_sort(
         F.array_distinct(
             F.transform(
@@ -92,36 +99,46 @@ def _keys(texts: DataFrame) -> DataFrame:
         )
     )
     limit = _GRAM * F.col("_hi")
-    long_keys = F.when(F.size("_grams") <= limit, F.array_append("_grams", F.lit(0))).otherwise(
+    keys = F.when(F.size("_grams") <= limit, F.array_append("_grams", F.lit(0))).otherwise(
         F.slice("_grams", 1, limit + 1)
     )
-    long = (
+    return (
         ranged.filter(F.col("_hi") > _WIDEST)
         .withColumn("_grams", grams)
-        .select("kind", "threshold", "text", F.lit(_WIDEST + 2).alias("family"), F.explode(long_keys).alias("key"))
+        .select("kind", "threshold", "text", F.lit(_WIDEST + 2).alias("family"), F.explode(keys).alias("key"))
     )
-    return chosen.unionByName(long)
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (kind, threshold, a, b) with ``a < b``.
+def _met(keys: DataFrame) -> DataFrame:
+    """Pairs that share a key and whose lengths fit the key's family.
 
-    ``texts`` holds distinct (kind, threshold, text). The length test and the
-    bounded edit distance run inside the join stage: an edit distance is never
-    above the number of insertions and deletions, so the bound loses nothing.
+    The two sides differ in nothing but their alias, so they share one shuffle.
     """
-    keys = _keys(texts)
-    # The two sides differ in nothing but their alias, so they share one shuffle.
     x, y = keys.alias("x"), keys.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "family", "threshold", "kind")]
     a, b = F.col("x.text"), F.col("y.text")
     k = max_distance(F.length(a) + F.length(b), F.col("x.threshold"))
-    met = x.join(y, same).filter(a < b).select("x.kind", "x.threshold", "x.family", a.alias("a"), b.alias("b"), k.alias("_k"))
-    near = met.filter(
-        (F.col("_k") >= F.abs(F.length("a") - F.length("b")))
-        & (F.least(_even(F.col("_k")), F.lit(_WIDEST + 2)) == F.col("family"))
-    ).filter(F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1"))
-    return near.select("kind", "threshold", "a", "b").distinct()
+    met = x.join(y, same).filter(a < b)
+    met = met.select("x.kind", "x.threshold", "x.family", a.alias("a"), b.alias("b"), k.alias("_k"))
+    fits = F.least(_even(F.col("_k")), F.lit(_WIDEST + 2)) == F.col("family")
+    return met.filter((F.col("_k") >= F.abs(F.length("a") - F.length("b"))) & fits).drop("family")
+
+
+def candidate_pairs(texts: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (kind, threshold, a, b) with ``a < b``.
+
+    ``texts`` holds distinct (kind, threshold, text) and should be a written
+    table. The bounded edit distance is never above the number of insertions and
+    deletions, so it loses nothing. It runs inside the join stage for ordinary
+    texts. Very long ones share many keys and are costly to compare, so their
+    pairs are made distinct and written before.
+    """
+    near = F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1")
+    ranged = _ranged(texts)
+    pairs = _met(_choice_keys(ranged)).filter(near)
+    if not ranged.filter(F.col("_hi") > _WIDEST).isEmpty():
+        pairs = pairs.unionByName(cut(_met(_gram_keys(ranged)).distinct(), "long_pairs").filter(near))
+    return pairs.select("kind", "threshold", "a", "b").distinct()
 
 
 def similar_pairs(texts: DataFrame) -> DataFrame:
