@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from recordloom.plans.queries import QUERIES  # noqa: E402
+from recordloom.session import configured  # noqa: E402
+
 HEADLINE = [
     "clean_records",
     "validate_strict",
@@ -36,21 +39,18 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("recordloom-bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recordloom-bench-"))
-        .getOrCreate()
+    builder = configured(
+        SparkSession.builder.master(f"local[{cpus}]").appName("recordloom-bench"),
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="recordloom-bench-"),
+        },
     )
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    from recordloom.plans.queries import QUERIES
-
     def run(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -26,17 +26,17 @@ from recordloom.sinks.snapshots import cut
 # The symbols of processed text, frequent ones apart so that groups are even.
 SYMBOLS = " eanrtsoilk0123456789dcmhupgbyvfwjxzq_"
 
-# Groups kept per choice, by the largest distance served: more groups make
-# keys more selective, and more numerous.
-_KEEP = {2: 3, 4: 3, 6: 2, 8: 2, 10: 2, 12: 2}
-_WIDEST = 36  # one group per symbol is the most there can be
+# Groups kept per choice, by distance; one beyond. More groups make keys more
+# selective, and more numerous.
+_KEEP = {1: 3, 2: 3, 3: 3, 4: 3} | dict.fromkeys(range(5, 13), 2)
+_WIDEST = len(SYMBOLS) - 1  # one group per symbol is the most there can be
 _GRAM = 3
 
 
 def _choices() -> list[tuple[int, int, str]]:
     """(distance, number, symbols to remove) for every choice of groups."""
     out = []
-    for distance in range(2, _WIDEST + 1, 2):
+    for distance in range(1, _WIDEST + 1):
         keep = _KEEP.get(distance, 1)
         groups = distance + keep
         members = ["".join(SYMBOLS[i::groups]) for i in range(groups)]
@@ -50,36 +50,39 @@ def _choice_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_choices(), "family int, choice int, removed string")
 
 
-def _even(c: Column) -> Column:
-    return c + F.pmod(c, F.lit(2))
-
-
 def _ranged(texts: DataFrame) -> DataFrame:
-    """Texts with the least and largest distance (``_lo``, ``_hi``, rounded up
-    to even) over all partners that are short or long enough to match."""
+    """Texts with their length ``n`` and the least and largest distance (``_lo``,
+    ``_hi``) over all partners that are short or long enough to match."""
     c = (F.lit(100.5) - F.col("threshold")) / 100.0 + F.lit(1e-9)
     n = F.length("text")
     lowest = F.greatest(F.floor(2 * c * n / (1 + c)) - 1, F.lit(1)).cast("int")
     highest = F.floor(2 * c * n / (1 - c)).cast("int")
-    return texts.withColumns({"_lo": _even(lowest), "_hi": _even(highest)})
+    return texts.withColumns({"n": n, "_lo": lowest, "_hi": highest})
 
 
 def _choice_keys(ranged: DataFrame) -> DataFrame:
-    """(kind, threshold, text, family, key): one key per choice of groups."""
+    """(kind, threshold, text, n, family, key): one key per choice of groups, for
+    each distance (``family``) that the text may have to a partner.
+
+    Texts at an even distance have lengths of one parity, which goes into the
+    key as well.
+    """
     # Texts are small but give many keys each: spread them before they grow.
     ranged = ranged.repartition(int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text")
-    families = F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.lit(_WIDEST)), F.lit(2)))
+    families = F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.lit(_WIDEST))))
     plain = F.regexp_replace(F.lower("text"), "[^a-z0-9_ ]", "")
+    parity = F.when(F.col("family") % 2 == 0, F.col("n") % 2).otherwise(F.lit(2))
     return (
-        ranged.filter((F.col("_hi") >= 2) & (F.col("_lo") <= _WIDEST))
-        .select("kind", "threshold", "text", plain.alias("_plain"), families.alias("family"))
+        ranged.filter((F.col("_hi") >= 1) & (F.col("_lo") <= _WIDEST))
+        .select("kind", "threshold", "text", "n", plain.alias("_plain"), families.alias("family"))
         .join(F.broadcast(_choice_table(ranged.sparkSession)), "family")
         .select(
             "kind",
             "threshold",
             "text",
+            "n",
             "family",
-            F.xxhash64("family", "choice", F.expr("translate(_plain, removed, '')")).alias("key"),
+            F.xxhash64("family", "choice", parity, F.expr("translate(_plain, removed, '')")).alias("key"),
         )
     )
 
@@ -89,11 +92,10 @@ def _gram_keys(ranged: DataFrame) -> DataFrame:
     grams. A change touches at most _GRAM grams, so one of the first
     _GRAM * K + 1 is shared; texts with fewer distinct grams than that also meet
     under one key."""
-    n = F.length("text")
     grams = F.array_sort(
         F.array_distinct(
             F.transform(
-                F.sequence(F.lit(1), F.greatest(n - _GRAM + 1, F.lit(1))),
+                F.sequence(F.lit(1), F.greatest(F.col("n") - _GRAM + 1, F.lit(1))),
                 lambda i: F.xxhash64(F.col("text").substr(i, F.lit(_GRAM))),
             )
         )
@@ -105,23 +107,22 @@ def _gram_keys(ranged: DataFrame) -> DataFrame:
     return (
         ranged.filter(F.col("_hi") > _WIDEST)
         .withColumn("_grams", grams)
-        .select("kind", "threshold", "text", F.lit(_WIDEST + 2).alias("family"), F.explode(keys).alias("key"))
+        .select("kind", "threshold", "text", "n", F.lit(_WIDEST + 1).alias("family"), F.explode(keys).alias("key"))
     )
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """Pairs that share a key and whose lengths fit the key's family.
+    """Pairs that share a key, whose lengths fit the key's family; ``_k`` is the
+    most that they may differ by.
 
     The two sides differ in nothing but their alias, so they share one shuffle.
     """
     x, y = keys.alias("x"), keys.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "family", "threshold", "kind")]
-    a, b = F.col("x.text"), F.col("y.text")
-    k = max_distance(F.length(a) + F.length(b), F.col("x.threshold"))
-    met = x.join(y, same).filter(a < b)
-    met = met.select("x.kind", "x.threshold", "x.family", a.alias("a"), b.alias("b"), k.alias("_k"))
-    fits = F.least(_even(F.col("_k")), F.lit(_WIDEST + 2)) == F.col("family")
-    return met.filter((F.col("_k") >= F.abs(F.length("a") - F.length("b"))) & fits).drop("family")
+    k = max_distance(F.col("x.n") + F.col("y.n"), F.col("x.threshold"))
+    fits = (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (F.least(k, F.lit(_WIDEST + 1)) == F.col("x.family"))
+    met = x.join(y, same).filter(fits & (F.col("x.text") < F.col("y.text")))
+    return met.select("x.kind", "x.threshold", F.col("x.text").alias("a"), F.col("y.text").alias("b"), k.alias("_k"))
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:

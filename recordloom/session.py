@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Comparing texts costs far more than reading them: keep small partitions apart.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     # Pages can be large: keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
