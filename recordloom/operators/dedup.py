@@ -193,7 +193,7 @@ def collapse_groups(tagged: DataFrame, order: str = "rec_idx", strategy: str = "
     aggs = [F.min(order).alias(order) if f.name == order else _most_complete(f, order) for f in fields]
     return (
         members.groupBy(GROUP)
-        .agg(*aggs, F.count("*").cast("int").alias("duplicate_count"))
+        .agg(*aggs, F.count("*").alias("duplicate_count"))
         .withColumn("is_merged", F.lit(True))
         .select(*[f.name for f in fields], "is_merged", "duplicate_count")
     )

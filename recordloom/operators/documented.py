@@ -202,6 +202,31 @@ def enrichment_statistics(merged: DataFrame) -> DataFrame:
     ).withColumn("enrichment_rate", F.bround(F.try_divide("merged_records", "total_records") * 100.0, 2))
 
 
+def summary_metrics(scored: DataFrame) -> DataFrame:
+    """(metric, value): rows, share of merged rows, average score overall and per
+    ``data_source``, and how often each field is filled, from one aggregation
+    per data source."""
+    sums = {f: F.sum(F.when(has_value(scored, f), 1).otherwise(0)) for f in CANONICAL_FIELDS}
+    each = scored.groupBy("data_source").agg(
+        F.count("*").alias("n"), F.sum("quality_score").alias("s"), *[c.alias(f) for f, c in sums.items()]
+    )
+    rows = F.sum("n")
+
+    def percent(part: Column) -> Column:
+        return F.bround(F.try_divide(part, rows) * 100.0, 2)
+
+    total = each.agg(
+        rows.cast("double").alias("records"),
+        percent(F.sum(F.when(F.col("data_source") == "merged", F.col("n")).otherwise(0))).alias("enrichment_rate"),
+        F.bround(F.try_divide(F.sum("s"), rows), 2).alias("avg_score"),
+        *[percent(F.sum(f)).alias(f"filled_percent_{f}") for f in CANONICAL_FIELDS],
+    )
+    by_source = each.select(
+        F.concat(F.lit("avg_score_"), "data_source").alias("metric"), F.bround(F.col("s") / F.col("n"), 2).alias("value")
+    )
+    return total.unpivot([], total.columns, "metric", "value").unionByName(by_source)
+
+
 def record_url(parcel: Column, template: str = URL_TEMPLATE) -> Column:
     before, after = template.split("{parcel_id}")
     return F.when(~is_blank(parcel), F.concat(F.lit(before), parcel, F.lit(after)))

@@ -155,8 +155,9 @@ def add_rank(df: DataFrame, order: str = "rec_idx", slices: int | None = None) -
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
     within = Window.partitionBy("_s", "_slice").orderBy(order)
+    # The rows are partitioned and sorted by cell already; the join adds no shuffle.
     ranked = cells.withColumn("_rn", F.row_number().over(within)).join(
-        F.broadcast(offsets), (F.col("_s") == F.col("_s0")) & (F.col("_slice") == F.col("_slice0"))
+        offsets, (F.col("_s") == F.col("_s0")) & (F.col("_slice") == F.col("_slice0"))
     )
     rank = (F.col("_before") + F.col("_rn")).cast("bigint")
     return ranked.withColumn("quality_rank", rank).select(*df.columns, "quality_rank")

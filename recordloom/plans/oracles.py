@@ -286,7 +286,7 @@ tagged AS (
 
 TAGGED = both_phases(PREP_ALL)
 UNIQUE_PLUS = f"""
-SELECT rec_idx, {FIELDS}, NULL::BOOLEAN AS is_merged, NULL::INT AS duplicate_count FROM {{rel}} WHERE duplicate_group IS NULL
+SELECT rec_idx, {FIELDS}, NULL::BOOLEAN AS is_merged, NULL::BIGINT AS duplicate_count FROM {{rel}} WHERE duplicate_group IS NULL
 UNION ALL SELECT rec_idx, {FIELDS}, is_merged, duplicate_count FROM ({folded_rows('SELECT * FROM {rel}')})"""
 
 # The whole job: merged rows in order, exact groups, fuzzy groups among the rest.
@@ -380,7 +380,9 @@ CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 1 THEN st
  WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d') END"""
 DATE_FORMATS = "['%Y-%m-%d', '%m/%d/%Y', '%m-%d-%Y', '%d/%m/%Y', '%Y/%m/%d', '%B %d, %Y', '%b %d, %Y']"
 
-ENTITIES = "replace(replace(replace(replace({c}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
+# The final semicolon of these four may be missing in HTML.
+ENTITIES = """regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&amp;?', '&', 'g'), '&lt;?', '<', 'g'),
+  '&gt;?', '>', 'g'), '&quot;?', '"', 'g')"""
 
 
 def inner(pattern: str) -> str:
@@ -424,6 +426,9 @@ _ORIGIN_JSON = " || ".join(
     f"CASE WHEN {base_origin(f)} IS NOT NULL THEN ',\"{f}\":\"' || {base_origin(f)} || '\"' ELSE '' END"
     for f in sorted(CANONICAL_FIELDS)
 )
+BASE_SCORED = scored(
+    f"SELECT data_source, {', '.join(f'{base_value(f)} AS {f}' for f in CANONICAL_FIELDS)} FROM ({JOINED})"
+)
 _NAME_SCORE = "CASE WHEN ln <> '' AND rn <> '' THEN {0} END"
 
 ORACLES: dict[str, str] = {
@@ -507,7 +512,7 @@ ORACLES: dict[str, str] = {
     "exact_groups": f"""SELECT rec_idx, duplicate_group, CASE WHEN duplicate_group IS NOT NULL THEN 'exact' END
       AS duplicate_kind FROM ({exact(PREP_ALL)})""",
     "exact_merged": f"WITH e AS ({exact(PREP_ALL)}) {UNIQUE_PLUS.replace('{rel}', 'e')}",
-    "collapse_most_complete": f"""SELECT rec_idx, {FIELDS}, is_merged, duplicate_count::INT AS duplicate_count
+    "collapse_most_complete": f"""SELECT rec_idx, {FIELDS}, is_merged, duplicate_count
       FROM ({folded_rows(exact(PREP_ALL))})""",
     "collapse_first": f"SELECT rec_idx, {FIELDS} FROM ({exact(PREP_ALL)}) WHERE rec_idx = duplicate_group",
     "collapse_last": f"""SELECT rec_idx, {FIELDS} FROM (SELECT *, max(rec_idx) OVER (PARTITION BY duplicate_group) AS last
@@ -633,6 +638,15 @@ ORACLES: dict[str, str] = {
       AS merged_records, sum(CASE WHEN data_source = 'merged' THEN {' + '.join(
           f"CASE WHEN {base_origin(f)} = 'scraped' THEN 1 ELSE 0 END" for f in CANONICAL_FIELDS)} END)::BIGINT AS fields_added,
       round_even(merged_records::DOUBLE / total_records * 100, 2) AS enrichment_rate FROM ({JOINED})""",
+    "summary_metrics": f"""WITH b AS ({BASE_SCORED}) SELECT metric, value FROM (
+      SELECT 'records' AS metric, count(*)::DOUBLE AS value FROM b
+      UNION ALL SELECT 'enrichment_rate', round_even(count(*) FILTER (WHERE data_source = 'merged')::DOUBLE / count(*) * 100, 2) FROM b
+      UNION ALL SELECT 'avg_score', round_even(avg(quality_score), 2) FROM b
+      UNION ALL SELECT 'avg_score_' || data_source, round_even(avg(quality_score), 2) FROM b GROUP BY data_source
+      {' '.join(f"UNION ALL SELECT 'filled_percent_{f}', round_even(count(*) FILTER (WHERE {has_value(f)})::DOUBLE / count(*) * 100, 2) FROM b" for f in CANONICAL_FIELDS)})""",
+    "crawl_records": f"""WITH d AS (SELECT page_id, url, {H1} AS owner_name, {FIRST_LINK} AS city FROM pages)
+      SELECT p.page_id, p.owner_name, p.city, p.url AS source_url FROM d l JOIN d p ON l.url = p.url
+      WHERE l.page_id % 20 < 10 AND p.owner_name <> '' ORDER BY l.page_id // 20, l.page_id % 20, p.page_id LIMIT 100""",
     "record_urls": f"""SELECT rec_idx, CASE WHEN NOT {is_blank('parcel_id')} THEN 'https://data.wake.gov/property/' ||
       parcel_id END AS record_url FROM ({ALL})""",
     "bonus_score": f"""SELECT rec_idx, bonus_score, CASE WHEN bonus_score >= 90 THEN 'complete' WHEN bonus_score >= 70

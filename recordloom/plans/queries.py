@@ -294,6 +294,21 @@ def page_records(spark, sf_dir):
     return got.select("page_id", "owner_name", "parcel_id", "city", "state", "county", "source", "source_url", "extracted_at")
 
 
+@query
+def crawl_records(spark, sf_dir):
+    """Result lists of up to 20 links, built from the pages' own urls."""
+    landed = _table(spark, sf_dir, "pages")
+    row = F.struct("page_id", F.concat(F.lit("<tr><td><a href='"), "url", F.lit("'>x</a></td></tr>")).alias("h"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), "")
+    listing = landed.groupBy(F.floor(F.col("page_id") / 20).alias("page_id")).agg(
+        F.lit("http://list.example/search").alias("url"),
+        F.concat(F.lit('<table class="search-results"><tbody>'), rows, F.lit("</tbody></table>")).alias("html"),
+    )
+    wanted = {"owner_name": ["h1"], "parcel_id": ["span.parcel-id"], "city": ["nav a"]}
+    got = pages.crawl_records(listing, landed, 100, selectors=wanted, links_per_listing=10)
+    return got.select("page_id", "owner_name", "city", "source_url")
+
+
 @query
 def source_counts(spark, sf_dir):
     rows = _all(spark, sf_dir)
@@ -609,6 +624,12 @@ def enrichment_statistics(spark, sf_dir):
     return documented.enrichment_statistics(documented.merge_with_base(_joined(spark, sf_dir)))
 
 
+@query
+def summary_metrics(spark, sf_dir):
+    merged = documented.merge_with_base(_joined(spark, sf_dir))
+    return documented.summary_metrics(quality.score_records(merged, timestamp=False))
+
+
 @query
 def record_urls(spark, sf_dir):
     return _all(spark, sf_dir).select("rec_idx", documented.record_url(F.col("parcel_id")).alias("record_url"))

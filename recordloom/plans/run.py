@@ -47,14 +47,12 @@ def link(left: DataFrame, right: DataFrame, order: str = "rec_idx", **matching)
     tagged = cut(dedup.find_duplicates(single, ORDER, use_exact=False, **matching), "tagged")
     collapsed = dedup.collapse_groups(tagged, ORDER)
     unique = tagged.filter(F.col(dedup.GROUP).isNull()).drop(dedup.GROUP, dedup.KIND)
-    records = unique.unionByName(
-        collapsed.withColumn("duplicate_count", F.col("duplicate_count").cast("bigint")), allowMissingColumns=True
-    ).unionByName(folded)
+    records = unique.unionByName(collapsed, allowMissingColumns=True).unionByName(folded)
     return records.drop(ORDER), tagged.filter(F.col(dedup.GROUP).isNotNull())
 
 
 def run_statistics(
-    sources: dict[str, DataFrame], cleaned: dict[str, DataFrame], records: DataFrame, fuzzy_members: DataFrame
+    sources: dict[str, DataFrame], cleaned: dict[str, DataFrame], records: DataFrame
 ) -> DataFrame:
     """Counts of every stage as (section, key, value)."""
     left, right = cleaned.values()
@@ -137,13 +135,12 @@ def run(
         duplicates = exact_members(left, right, order=order).unionByName(
             fuzzy_members.drop(dedup.GROUP, dedup.KIND)
         ).drop(ORDER)
-        stats = run_statistics(frames, cleaned, scored, fuzzy_members)
+        stats = run_statistics(frames, cleaned, scored)
         path = None
         if output_path:
             parts = None
             if output_format == "report":
-                names = sinks.REPORT_PARTS[1:]
-                parts = dict(zip(names, [left.drop(order), right.drop(order), duplicates, sinks.titled(stats)]))
+                parts = sinks.report_parts(scored, left.drop(order), right.drop(order), duplicates, stats)
             path = sinks.export(scored, output_path, output_format, parts)
         return Result(True, scored, duplicates, stats, path, scored.count(), None, run_id, errors)
     except (PySparkException, ValueError) as e:

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from recordloom.config import EXPORT_PRIORITY
 from recordloom.functions.text import title
-from recordloom.operators.merge import from_source
 
 # --- Fixed values: the parts of the report. ---
 REPORT_PARTS = ["all_properties", "wake_county", "orange_county", "duplicates", "statistics"]
@@ -91,9 +90,9 @@ def write_by_source(df: DataFrame, path: str) -> str:
 
 
 def export(records: DataFrame, path: str, output_format: str, parts: dict[str, DataFrame] | None = None):
-    """Dispatch on the format: report, csv or json."""
+    """Dispatch on the format: report (of ``parts``), csv or json."""
     if output_format == "report":
-        return write_report({"all_properties": records, **(parts or {})}, path)
+        return write_report(parts or {}, path)
     if output_format == "csv":
         return write_csv(records, path)
     if output_format == "json":
@@ -128,6 +127,3 @@ def report_parts(
     """The parts by name; the two sources are the cleaned rows before merging."""
     return dict(zip(REPORT_PARTS, [records, left, right, duplicates, titled(statistics)]))
 
-
-def split_sources(df: DataFrame, names: list[str]) -> dict[str, DataFrame]:
-    return {n: from_source(df, n) for n in names}

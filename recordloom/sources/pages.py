@@ -254,18 +254,23 @@ def page_links(
 
 
 def crawl_records(
-    listing: DataFrame, pages: DataFrame, max_records: int, base_url: str | None = None, **options
+    listing: DataFrame,
+    pages: DataFrame,
+    max_records: int,
+    base_url: str | None = None,
+    selectors: dict[str, list[str]] = DETAIL_SELECTORS,
+    links_per_listing: int | None = None,
+    **link_options,
 ) -> DataFrame:
-    """Records of the pages that the listing links to, in link order, at most
-    ``max_records``; a listing without links is read as a record itself.
+    """Records of the pages that the listings link to, in link order, at most
+    ``max_records``; when no listing has a link, they are read as records.
 
-    Links meet the landed pages by url. ``options`` go to ``page_links``.
+    Links meet the landed pages by url. ``link_options`` go to ``page_links``.
     """
-    links = page_links(listing, base_url, max_links=max_records, **options)
+    links = page_links(listing, base_url, max_links=links_per_listing or max_records, **link_options)
     ordered = links.select(F.struct(F.col("page_id").alias("listing"), "pos").alias("_at"), "link")
-    records = page_records(pages)
-    linked = ordered.join(records, F.col("link") == F.col("source_url")).drop("link")
+    linked = ordered.join(page_records(pages, selectors), F.col("link") == F.col("source_url")).drop("link")
     has_links = links.agg(F.count("*") > 0).scalar()
     at = F.struct(F.col("page_id").alias("listing"), F.lit(0).alias("pos")).alias("_at")
-    direct = page_records(listing).filter(~has_links).select(at, "*")
-    return linked.unionByName(direct).orderBy("_at").limit(max_records).drop("_at")
+    direct = page_records(listing, selectors).filter(~has_links).select(at, "*")
+    return linked.unionByName(direct).orderBy("_at", "page_id").limit(max_records).drop("_at")
