@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank, match_key
+from recordloom.sinks.snapshots import cut
 
 KEY = "_key"
+HOT_KEYS = 1000
+HOT_ROWS = 100_000
 
 
 def keyed(df: DataFrame, key: str = "parcel_id") -> DataFrame:
@@ -57,80 +60,161 @@ def merged_field(field: str, dtype: T.DataType, a: Column, b: Column, prefer: Co
     return _survivor(dtype, a, b, prefer)
 
 
-def _value_fields(left: DataFrame, right: DataFrame, order: str) -> list[str]:
-    known = [c for c in left.columns if c not in (KEY, order)]
-    return known + [c for c in right.columns if c not in known and c not in (KEY, order)]
+def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """Per key: rows on each side (``l``, ``r``), merged rows (``n``), and
+    whether a key of both sides has extraction times of several lengths."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        time = F.col("extracted_at") if "extracted_at" in df.columns else F.lit("")
+        return keyed(df, key).select(
+            KEY, F.lit(name).alias("_side"), F.length(F.coalesce(time, F.lit(""))).alias("_len")
+        )
+
+    is_left = F.col("_side") == "l"
+    counts = side(left, "l").union(side(right, "r")).groupBy(KEY).agg(
+        F.count_if(is_left).alias("l"),
+        F.count_if(~is_left).alias("r"),
+        (F.min("_len") != F.max("_len")).alias("_ragged"),
+    )
+    both = (F.col("l") > 0) & (F.col("r") > 0)
+    merged = F.when(both, F.col("l") * F.col("r")).otherwise(F.col("l") + F.col("r"))
+    return counts.select(KEY, "l", "r", merged.alias("n"), (both & F.col("_ragged")).alias("_ragged"))
+
+
+def hot_keys(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys that hold more than 1/HOT_KEYS of all rows (and more than
+    ``hot_rows``), or None: there are fewer than HOT_KEYS of them, so they may be
+    broadcast. ``counts`` should be a written table."""
+    size = F.col("l") + F.col("r")
+    rows = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = counts.filter(size > max(rows // HOT_KEYS, hot_rows))
+    return None if hot.isEmpty() else hot
+
+
+def _fields(left: DataFrame, right: DataFrame, order: str) -> dict[str, T.DataType]:
+    """Value columns of either side and their types, left ones first."""
+    types = {f.name: f.dataType for f in [*right.schema.fields, *left.schema.fields]}
+    names = dict.fromkeys([*left.columns, *right.columns])
+    return {f: types[f] for f in names if f not in (KEY, order)}
 
 
-def merge_pairs(pairs: DataFrame, fields: dict[str, T.DataType], prefer_source: str | None = None) -> list[Column]:
-    """Merged columns of a frame that holds both records as ``l_*`` and ``r_*``."""
+def _side(df: DataFrame, fields: dict[str, T.DataType], order: str, prefix: str, *also: str) -> DataFrame:
+    cols = [F.col(f) if f in df.columns else F.lit(None).cast(t).alias(f) for f, t in fields.items()]
+    return df.select(
+        KEY,
+        F.lit(True).alias(f"{prefix}here"),
+        F.col(order).alias(f"{prefix}order"),
+        *[c.alias(f"{prefix}{f}") for c, f in zip(cols, fields)],
+        *also,
+    )
+
+
+def _merged_rows(joined: DataFrame, fields: dict[str, T.DataType], prefer_source: str | None) -> DataFrame:
+    """Merged columns of records held as ``l_*`` and ``r_*``; a record without a
+    partner passes unchanged."""
     prefer = None
     if prefer_source is not None:
         prefer = F.when(F.col("l_source") == prefer_source, 1).when(F.col("r_source") == prefer_source, 2)
-    return [merged_field(f, t, F.col(f"l_{f}"), F.col(f"r_{f}"), prefer).alias(f) for f, t in fields.items()]
+    has_left, both = F.col("l_here").isNotNull(), F.col("l_here") & F.col("r_here")
 
+    def value(f: str, t: T.DataType) -> Column:
+        a, b = F.col(f"l_{f}"), F.col(f"r_{f}")
+        return F.when(both, merged_field(f, t, a, b, prefer)).when(has_left, a).otherwise(b).alias(f)
 
-def _side(df: DataFrame, fields: dict[str, T.DataType], order: str, prefix: str) -> DataFrame:
-    cols = [F.col(f) if f in df.columns else F.lit(None).cast(t).alias(f) for f, t in fields.items()]
-    return df.select(
-        KEY, F.col(order).alias(f"{prefix}order"), *[c.alias(f"{prefix}{f}") for c, f in zip(cols, fields)]
+    return joined.select(
+        F.col(KEY).alias("merge_key"),
+        F.col("l_order").alias("left_order"),
+        F.col("r_order").alias("right_order"),
+        *[value(f, t) for f, t in fields.items()],
+        F.when(both, F.lit(True)).alias("is_cross_source_merged"),
     )
 
 
-def merge_sources(
-    left: DataFrame,
-    right: DataFrame,
-    key: str = "parcel_id",
+def merge_cold(
+    lk: DataFrame, rk: DataFrame, order: str = "rec_idx", prefer_source: str | None = None
+) -> DataFrame:
+    """Merge frames that carry their match key, none of which is hot: one full
+    outer join, one shuffle per side."""
+    fields = _fields(lk, rk, order)
+    joined = _side(lk, fields, order, "l_").join(_side(rk, fields, order, "r_"), KEY, "full_outer")
+    return _merged_rows(joined, fields, prefer_source)
+
+
+def merge_hot(
+    lk: DataFrame,
+    rk: DataFrame,
+    hot: DataFrame,
     order: str = "rec_idx",
     prefer_source: str | None = None,
-    keep_unkeyed: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Full outer merge on the normalised key.
-
-    Keys on both sides give one merged row per left and right row; other keys
-    pass their rows unchanged. The result carries ``merge_key``,
-    ``left_order`` and ``right_order``, which fix its order.
+    """Merge the rows of hot keys, which meet their counts by broadcast.
 
-    It is written as an inner join plus two anti joins on distinct keys rather
-    than one full outer join: the runtime can split a skewed key in those, but
-    not in a full outer join. Both sides are shuffled once, as the joins share
-    their exchanges, and the distinct keys are reduced before their shuffle.
+    Rows of a key of one side only are not shuffled at all. The pairs of a key of
+    both sides form a grid of parts: a left row goes to one part row and all part
+    columns, a right row to one column and all rows. So the pairs of one key are
+    spread over tasks, and the repeats are few beside the pairs.
     """
-    out = merge_keyed(keyed(left, key), keyed(right, key), order, prefer_source)
-    return out.unionByName(_passed(left, right, key, order), allowMissingColumns=True) if keep_unkeyed else out
+    fields = _fields(lk, rk, order)
+    cell = max(hot_rows // 10, 1)
+
+    def parts(n: str) -> Column:
+        return F.ceil(F.col(n) / cell).cast("int")
+
+    grid = F.broadcast(hot.select(KEY, "l", "r", parts("l").alias("_rows"), parts("r").alias("_cols")))
+    helpers = ["l", "r", "_rows", "_cols"]
+    ls = _side(lk.join(grid, KEY), fields, order, "l_", *helpers)
+    rs = _side(rk.join(grid, KEY), fields, order, "r_", *helpers)
+
+    def one(place: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(place), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    lefts = ls.filter("r > 0").withColumn("_row", one("l_order", "_rows")).withColumn("_col", every("_cols"))
+    rights = rs.filter("l > 0").withColumn("_col", one("r_order", "_cols")).withColumn("_row", every("_rows"))
+    pairs = lefts.drop(*helpers).join(rights.drop(*helpers), [KEY, "_row", "_col"])
+    alone = ls.filter("r = 0").unionByName(rs.filter("l = 0"), allowMissingColumns=True)
+    return _merged_rows(pairs.unionByName(alone, allowMissingColumns=True), fields, prefer_source)
 
 
 def merge_keyed(
-    lk: DataFrame, rk: DataFrame, order: str = "rec_idx", prefer_source: str | None = None
+    lk: DataFrame,
+    rk: DataFrame,
+    hot: DataFrame | None,
+    order: str = "rec_idx",
+    prefer_source: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``merge_sources`` for frames that carry their match key already."""
-    left, right = lk.drop(KEY), rk.drop(KEY)
-    schema = {f.name: f.dataType for f in [*right.schema.fields, *left.schema.fields]}
-    fields = {f: schema[f] for f in _value_fields(left, right, order)}
-
-    ls, rs = _side(lk, fields, order, "l_"), _side(rk, fields, order, "r_")
-    both = ls.join(rs, KEY).select(
-        F.col(KEY).alias("merge_key"),
-        F.col("l_order").alias("left_order"),
-        F.col("r_order").alias("right_order"),
-        *merge_pairs(ls, fields, prefer_source),
-        F.lit(True).alias("is_cross_source_merged"),
+    if hot is None:
+        return merge_cold(lk, rk, order, prefer_source)
+    lc, rc = [s.join(F.broadcast(hot.select(KEY)), KEY, "left_anti") for s in (lk, rk)]
+    return merge_cold(lc, rc, order, prefer_source).unionByName(
+        merge_hot(lk, rk, hot, order, prefer_source, hot_rows)
     )
 
-    def single(side: DataFrame, prefix: str, other: DataFrame) -> DataFrame:
-        orders = {"l_": ("l_order", None), "r_": (None, "r_order")}[prefix]
-        rest = side.join(other.select(KEY).distinct(), KEY, "left_anti")
-        dtype = side.schema[f"{prefix}order"].dataType
-        lo, ro = [F.col(o) if o else F.lit(None).cast(dtype) for o in orders]
-        return rest.select(
-            F.col(KEY).alias("merge_key"),
-            lo.alias("left_order"),
-            ro.alias("right_order"),
-            *[F.col(f"{prefix}{f}").alias(f) for f in fields],
-            F.lit(None).cast("boolean").alias("is_cross_source_merged"),
-        )
 
-    return both.unionByName(single(ls, "l_", rk)).unionByName(single(rs, "r_", lk))
+def merge_sources(
+    left: DataFrame,
+    right: DataFrame,
+    key: str = "parcel_id",
+    order: str = "rec_idx",
+    prefer_source: str | None = None,
+    keep_unkeyed: bool = False,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Full outer merge on the normalised key.
+
+    Keys on both sides give one merged row per left and right row; other keys
+    pass their rows unchanged. The result carries ``merge_key``, ``left_order``
+    and ``right_order``, which fix its order. Rows per key are counted and
+    written down first, so that hot keys can be treated apart.
+    """
+    hot = hot_keys(cut(key_counts(left, right, key), "key_counts"), hot_rows)
+    out = merge_keyed(keyed(left, key), keyed(right, key), hot, order, prefer_source, hot_rows)
+    return out.unionByName(_passed(left, right, key, order), allowMissingColumns=True) if keep_unkeyed else out
 
 
 def _passed(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

@@ -14,37 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank
-from recordloom.operators.merge import KEY, keyed, merge_keyed
+from recordloom.operators.merge import HOT_ROWS, KEY, hot_keys, key_counts, keyed, merge_cold, merge_keyed
 from recordloom.sinks.snapshots import cut
 
 ORDER = "merge_order"
-HOT_KEYS = 1000
-HOT_ROWS = 100_000
-
-
-def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:
-    """Per key: rows on each side, merged rows (``n``), and whether the
-    extraction times are texts of one length."""
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return keyed(df, key).select(
-            KEY, F.lit(name).alias("_side"), F.length(F.coalesce("extracted_at", F.lit(""))).alias("_len")
-        )
-
-    is_left = F.col("_side") == "l"
-    counts = side(left, "l").union(side(right, "r")).groupBy(KEY).agg(
-        F.count_if(is_left).alias("l"),
-        F.count_if(~is_left).alias("r"),
-        (F.min("_len") != F.max("_len")).alias("_ragged"),
-    )
-    both = (F.col("l") > 0) & (F.col("r") > 0)
-    return counts.select(
-        KEY,
-        "l",
-        "r",
-        F.when(both, F.col("l") * F.col("r")).otherwise(F.col("l") + F.col("r")).alias("n"),
-        (both & F.col("_ragged")).alias("_ragged"),
-    )
 
 
 def _with_order(merged: DataFrame) -> DataFrame:
@@ -178,19 +151,15 @@ def merge_and_fold(
     blank = F.col(KEY) == ""
     many = counts.filter((F.col("n") > 1) & ~blank)
 
-    # A key is hot when it holds more than 1/HOT_KEYS of all rows, so there are
-    # fewer than HOT_KEYS of them.
-    size = F.col("l") + F.col("r")
-    rows = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    hot = many.filter(size > max(rows // HOT_KEYS, hot_rows)).select(KEY)
-    hot = None if hot.isEmpty() else hot
+    hot = hot_keys(many, hot_rows)
+    hot = None if hot is None else hot.select(KEY)
 
     alone = counts.filter((F.col("n") == 1) | blank)
-    if hot is None:
-        ls, rs = lk.join(alone, KEY), rk.join(alone, KEY)
-    else:
-        ls, rs = [s.join(F.broadcast(hot), KEY, "left_anti").join(alone, KEY) for s in (lk, rk)]
-    single = _with_order(merge_keyed(ls.drop(*helpers), rs.drop(*helpers), order))
+    ls, rs = lk, rk
+    if hot is not None:
+        ls, rs = [s.join(F.broadcast(hot), KEY, "left_anti") for s in (lk, rk)]
+    ls, rs = [s.join(alone, KEY).drop(*helpers) for s in (ls, rs)]
+    single = _with_order(merge_cold(ls, rs, order))
 
     sides = _side_summary(_join_by_key(lk, many, hot), fields, order, "l_").join(
         _side_summary(_join_by_key(rk, many, hot), fields, order, "r_"), [KEY, "l", "r", "n", "_ragged"], "full_outer"
@@ -212,12 +181,14 @@ def merge_and_fold(
     )
 
 
-def exact_members(left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx") -> DataFrame:
+def exact_members(
+    left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """All merged rows of keys with several: every pair, by definition. Only
     needed where the duplicates themselves are exported."""
-    counts = key_counts(left, right, key).filter((F.col("n") > 1) & (F.col(KEY) != "")).select(KEY)
-
-    def part(df: DataFrame) -> DataFrame:
-        return keyed(df, key).join(counts, KEY, "left_semi")
-
-    return _with_order(merge_keyed(part(left), part(right), order))
+    counts = cut(key_counts(left, right, key).filter((F.col("n") > 1) & (F.col(KEY) != "")), "repeated_keys")
+    hot = hot_keys(counts, hot_rows)
+    hot_names = None if hot is None else hot.select(KEY)
+    helpers = ["l", "r", "n", "_ragged"]
+    lk, rk = [_join_by_key(keyed(s, key), counts, hot_names).drop(*helpers) for s in (left, right)]
+    return _with_order(merge_keyed(lk, rk, hot, order, hot_rows=hot_rows))

@@ -378,7 +378,7 @@ def _exact(spark, sf_dir) -> DataFrame:
 
 @query
 def exact_merged(spark, sf_dir):
-    return dedup.deduplicated(_exact(spark, sf_dir))
+    return dedup.deduplicate(_prepared_all(spark, sf_dir), use_fuzzy=False)[0]
 
 
 @query

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.config import CANONICAL_FIELDS, NUMERIC_FIELDS, canonical_schema
-from recordloom.operators import dedup
+from recordloom.operators import dedup, merge
 from recordloom.operators.merge import merge_counts, merge_sources
 from recordloom.plans import linkage
 
@@ -26,12 +26,14 @@ def _records(spark, rng, n, keys, source):
 
 @pytest.mark.parametrize("seed,hot_rows", [(1, 100_000), (2, 3), (3, 3)])
 def test_fold_equals_merge_then_exact_dedup(spark, seed, hot_rows, monkeypatch):
-    monkeypatch.setattr(linkage, "HOT_KEYS", 4)
+    monkeypatch.setattr(merge, "HOT_KEYS", 4)
     rng = random.Random(seed)
     # One key holds a third of the rows on both sides.
     keys = ["hot", "hot", "hot", "a", " A ", "b", "c", "d", "", "  ", None]
     left, right = _records(spark, rng, 50, keys, "L"), _records(spark, rng, 40, [*keys, "e"], "Right")
-    merged = linkage._with_order(merge_sources(left, right))
+    merged = merge_sources(left, right)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, merge_sources(left, right, hot_rows=hot_rows).collect()))
+    merged = linkage._with_order(merged)
     slow = dedup.deduplicated(dedup.find_duplicates(merged, linkage.ORDER, use_fuzzy=False), linkage.ORDER)
     single, folded = linkage.merge_and_fold(left, right, hot_rows=hot_rows)
     fast = single.unionByName(folded, allowMissingColumns=True)
@@ -42,5 +44,5 @@ def test_fold_equals_merge_then_exact_dedup(spark, seed, hot_rows, monkeypatch):
     counts = merge_counts(left, right).first()
     assert counts.total == merged.count()
     assert counts.total == fast.agg(F.sum(F.coalesce("duplicate_count", F.lit(1)))).first()[0]
-    members = linkage.exact_members(left, right).count()
+    members = linkage.exact_members(left, right, hot_rows=hot_rows).count()
     assert members == folded.agg(F.sum("duplicate_count")).first()[0]
