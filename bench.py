@@ -1,4 +1,8 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries; prints one JSON line.
+
+Each query runs twice and the shorter time counts, so that the start of the JVM
+and of the Python workers does not fall on whichever query comes first.
+"""
 
 from __future__ import annotations
 
@@ -56,9 +60,8 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - start, 3)
 
-    run("quality_distribution")  # starts the JVM's code paths
     names = sys.argv[1:] or HEADLINE
-    times = {name: run(name) for name in names}
+    times = {name: min(run(name), run(name)) for name in names}
     scale = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": scale}))

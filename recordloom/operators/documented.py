@@ -13,7 +13,7 @@ from recordloom.functions.text import collapse, is_blank, match_key, normalize_a
 from recordloom.operators.clean import apply_steps
 from recordloom.operators.dedup import GROUP
 from recordloom.operators.joins import join_where_keyed
-from recordloom.operators.merge import KEY, keyed
+from recordloom.operators.merge import KEY, join_sources
 from recordloom.operators.quality import has_value
 
 # --- Fixed values: word lists, weights and limits. ---
@@ -148,12 +148,15 @@ def mark_best(tagged: DataFrame, reason: Column, order: str = "rec_idx") -> Data
     ).drop("_kept")
 
 
-def joined_sources(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:
+def joined_sources(
+    left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx"
+) -> DataFrame:
     """Full outer join as ``l_*`` and ``r_*`` columns with a ``data_source`` tag."""
-    ls = keyed(left, key).select(KEY, *[F.col(c).alias(f"l_{c}") for c in left.columns], F.lit(True).alias("_l"))
-    rs = keyed(right, key).select(KEY, *[F.col(c).alias(f"r_{c}") for c in right.columns], F.lit(True).alias("_r"))
-    tag = F.when(F.col("_r").isNull(), "api_only").when(F.col("_l").isNull(), "scraped_only").otherwise("merged")
-    return ls.join(rs, KEY, "full_outer").withColumn("data_source", tag).drop("_l", "_r")
+    tag = (
+        F.when(F.col("r_here").isNull(), "api_only").when(F.col("l_here").isNull(), "scraped_only").otherwise("merged")
+    )
+    joined = join_sources(left, right, key, order).withColumn("data_source", tag)
+    return joined.drop("l_here", "r_here").withColumnsRenamed({f"{s}_order": f"{s}_{order}" for s in "lr"})
 
 
 def merge_with_base(joined: DataFrame, fields: list[str] = CANONICAL_FIELDS) -> DataFrame:

@@ -130,32 +130,22 @@ def _merged_rows(joined: DataFrame, fields: dict[str, T.DataType], prefer_source
     )
 
 
-def merge_cold(
-    lk: DataFrame, rk: DataFrame, order: str = "rec_idx", prefer_source: str | None = None
-) -> DataFrame:
-    """Merge frames that carry their match key, none of which is hot: one full
-    outer join, one shuffle per side."""
-    fields = _fields(lk, rk, order)
-    joined = _side(lk, fields, order, "l_").join(_side(rk, fields, order, "r_"), KEY, "full_outer")
-    return _merged_rows(joined, fields, prefer_source)
+def _join_cold(lk: DataFrame, rk: DataFrame, fields: dict[str, T.DataType], order: str) -> DataFrame:
+    """Records of both sides by key, none of which is hot: one full outer join,
+    one shuffle per side."""
+    return _side(lk, fields, order, "l_").join(_side(rk, fields, order, "r_"), KEY, "full_outer")
 
 
-def merge_hot(
-    lk: DataFrame,
-    rk: DataFrame,
-    hot: DataFrame,
-    order: str = "rec_idx",
-    prefer_source: str | None = None,
-    hot_rows: int = HOT_ROWS,
+def _join_hot(
+    lk: DataFrame, rk: DataFrame, hot: DataFrame, fields: dict[str, T.DataType], order: str, hot_rows: int
 ) -> DataFrame:
-    """Merge the rows of hot keys, which meet their counts by broadcast.
+    """The same for hot keys, whose rows meet their counts by broadcast.
 
     Rows of a key of one side only are not shuffled at all. The pairs of a key of
     both sides form a grid of parts: a left row goes to one part row and all part
     columns, a right row to one column and all rows. So the pairs of one key are
     spread over tasks, and the repeats are few beside the pairs.
     """
-    fields = _fields(lk, rk, order)
     cell = max(hot_rows // 10, 1)
 
     def parts(n: str) -> Column:
@@ -176,7 +166,30 @@ def merge_hot(
     rights = rs.filter("l > 0").withColumn("_col", one("r_order", "_cols")).withColumn("_row", every("_rows"))
     pairs = lefts.drop(*helpers).join(rights.drop(*helpers), [KEY, "_row", "_col"])
     alone = ls.filter("r = 0").unionByName(rs.filter("l = 0"), allowMissingColumns=True)
-    return _merged_rows(pairs.unionByName(alone, allowMissingColumns=True), fields, prefer_source)
+    return pairs.drop("_row", "_col").unionByName(alone.drop(*helpers), allowMissingColumns=True)
+
+
+def join_keyed(
+    lk: DataFrame, rk: DataFrame, hot: DataFrame | None, order: str = "rec_idx", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Full outer join of frames that carry their match key, as ``l_*`` and
+    ``r_*`` columns with ``l_here`` and ``r_here``; ``hot`` as ``hot_keys`` gives it."""
+    fields = _fields(lk, rk, order)
+    if hot is None:
+        return _join_cold(lk, rk, fields, order)
+    lc, rc = [s.join(F.broadcast(hot.select(KEY)), KEY, "left_anti") for s in (lk, rk)]
+    return _join_cold(lc, rc, fields, order).unionByName(
+        _join_hot(lk, rk, hot, fields, order, hot_rows), allowMissingColumns=True
+    )
+
+
+def join_sources(
+    left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Full outer join of two sources on the normalised key. Rows per key are
+    counted and written down first, so that hot keys can be treated apart."""
+    hot = hot_keys(cut(key_counts(left, right, key), "key_counts"), hot_rows)
+    return join_keyed(keyed(left, key), keyed(right, key), hot, order, hot_rows)
 
 
 def merge_keyed(
@@ -188,12 +201,7 @@ def merge_keyed(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``merge_sources`` for frames that carry their match key already."""
-    if hot is None:
-        return merge_cold(lk, rk, order, prefer_source)
-    lc, rc = [s.join(F.broadcast(hot.select(KEY)), KEY, "left_anti") for s in (lk, rk)]
-    return merge_cold(lc, rc, order, prefer_source).unionByName(
-        merge_hot(lk, rk, hot, order, prefer_source, hot_rows)
-    )
+    return _merged_rows(join_keyed(lk, rk, hot, order, hot_rows), _fields(lk, rk, order), prefer_source)
 
 
 def merge_sources(
@@ -209,11 +217,11 @@ def merge_sources(
 
     Keys on both sides give one merged row per left and right row; other keys
     pass their rows unchanged. The result carries ``merge_key``, ``left_order``
-    and ``right_order``, which fix its order. Rows per key are counted and
-    written down first, so that hot keys can be treated apart.
+    and ``right_order``, which fix its order.
     """
-    hot = hot_keys(cut(key_counts(left, right, key), "key_counts"), hot_rows)
-    out = merge_keyed(keyed(left, key), keyed(right, key), hot, order, prefer_source, hot_rows)
+    out = _merged_rows(
+        join_sources(left, right, key, order, hot_rows), _fields(left, right, order), prefer_source
+    )
     return out.unionByName(_passed(left, right, key, order), allowMissingColumns=True) if keep_unkeyed else out
 
 

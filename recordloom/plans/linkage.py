@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank
-from recordloom.operators.merge import HOT_ROWS, KEY, hot_keys, key_counts, keyed, merge_cold, merge_keyed
+from recordloom.operators.merge import HOT_ROWS, KEY, hot_keys, key_counts, keyed, merge_keyed
 from recordloom.sinks.snapshots import cut
 
 ORDER = "merge_order"
@@ -159,7 +159,7 @@ def merge_and_fold(
     if hot is not None:
         ls, rs = [s.join(F.broadcast(hot), KEY, "left_anti") for s in (lk, rk)]
     ls, rs = [s.join(alone, KEY).drop(*helpers) for s in (ls, rs)]
-    single = _with_order(merge_cold(ls, rs, order))
+    single = _with_order(merge_keyed(ls, rs, None, order))
 
     sides = _side_summary(_join_by_key(lk, many, hot), fields, order, "l_").join(
         _side_summary(_join_by_key(rk, many, hot), fields, order, "r_"), [KEY, "l", "r", "n", "_ragged"], "full_outer"
