@@ -76,18 +76,28 @@ def match_edges(vertices: DataFrame, name_threshold: int, address_threshold: int
     Similar names and similar addresses are found among the distinct texts, once
     per text. Vertices then meet by equality: one side steps to a similar
     address and a similar name, and the other is looked up by both. The work
-    grows with the number of similar texts, not with the square of the rows
+    grows with the number of similar texts, not with the square of the vertices
     that share a name, an address or a street.
     """
-    names = vertices.select(F.lit("name").alias("kind"), F.lit(name_threshold).alias("threshold"), F.col("_n").alias("text"))
-    addresses = vertices.filter("_a is not null").select(
-        F.lit("address").alias("kind"), F.lit(address_threshold).alias("threshold"), F.col("_a").alias("text")
-    )
-    texts = cut(names.union(addresses).distinct(), "texts")
+    kinds = {"name": ("_n", name_threshold), "address": ("_a", address_threshold)}
+    each = [
+        vertices.filter(F.col(c).isNotNull()).select(
+            F.lit(kind).alias("kind"), F.lit(t).alias("threshold"), F.col(c).alias("text")
+        )
+        for kind, (c, t) in kinds.items()
+    ]
+    texts = cut(each[0].union(each[1]).groupBy("kind", "threshold", "text").agg(F.count("*").alias("uses")), "texts")
     similar = cut(similar_pairs(texts), "similar", ["kind"])
-    name_up = similar.filter("kind = 'name'").select(F.col("a").alias("_n"), F.col("b").alias("_n2"))
+
+    # Every pair is walked from the text with fewer vertices to the other one, so
+    # a text that very many vertices share is looked up, not multiplied.
+    rare_first = F.col("uses_a") <= F.col("uses_b")
+    rare = F.when(rare_first, F.col("a")).otherwise(F.col("b"))
+    other = F.when(rare_first, F.col("b")).otherwise(F.col("a"))
+    names = similar.filter("kind = 'name'")
+    name_up = names.select(rare.alias("_n"), other.alias("_n2"))
     name_any = name_up.union(name_up.select(F.col("_n2").alias("_n"), F.col("_n").alias("_n2")))
-    address_up = similar.filter("kind = 'address'").select(F.col("a").alias("_a"), F.col("b").alias("_a2"))
+    address_up = similar.filter("kind = 'address'").select(rare.alias("_a"), other.alias("_a2"))
 
     located = vertices.filter("_a is not null").select("v", "_n", "_a")
     # Similar address with the same or a similar name; same address with a similar name.

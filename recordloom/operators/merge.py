@@ -60,6 +60,16 @@ def merged_field(field: str, dtype: T.DataType, a: Column, b: Column, prefer: Co
     return _survivor(dtype, a, b, prefer)
 
 
+def count_of(c: Column) -> Column:
+    """A count as BIGINT; pairs beyond that range are given as its largest value."""
+    return F.least(c, F.lit(2**63 - 1)).cast("bigint")
+
+
+def pair_count(l: Column, r: Column) -> Column:
+    """``l * r`` without overflow."""
+    return l.cast("decimal(19,0)") * r.cast("decimal(19,0)")
+
+
 def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:
     """Per key: rows on each side (``l``, ``r``), merged rows (``n``), and
     whether a key of both sides has extraction times of several lengths."""
@@ -77,7 +87,7 @@ def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> Dat
         (F.min("_len") != F.max("_len")).alias("_ragged"),
     )
     both = (F.col("l") > 0) & (F.col("r") > 0)
-    merged = F.when(both, F.col("l") * F.col("r")).otherwise(F.col("l") + F.col("r"))
+    merged = F.when(both, count_of(pair_count(F.col("l"), F.col("r")))).otherwise(F.col("l") + F.col("r"))
     return counts.select(KEY, "l", "r", merged.alias("n"), (both & F.col("_ragged")).alias("_ragged"))
 
 
@@ -91,7 +101,7 @@ def hot_keys(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def _fields(left: DataFrame, right: DataFrame, order: str) -> dict[str, T.DataType]:
+def value_fields(left: DataFrame, right: DataFrame, order: str) -> dict[str, T.DataType]:
     """Value columns of either side and their types, left ones first."""
     types = {f.name: f.dataType for f in [*right.schema.fields, *left.schema.fields]}
     names = dict.fromkeys([*left.columns, *right.columns])
@@ -174,7 +184,7 @@ def join_keyed(
 ) -> DataFrame:
     """Full outer join of frames that carry their match key, as ``l_*`` and
     ``r_*`` columns with ``l_here`` and ``r_here``; ``hot`` as ``hot_keys`` gives it."""
-    fields = _fields(lk, rk, order)
+    fields = value_fields(lk, rk, order)
     if hot is None:
         return _join_cold(lk, rk, fields, order)
     lc, rc = [s.join(F.broadcast(hot.select(KEY)), KEY, "left_anti") for s in (lk, rk)]
@@ -201,7 +211,7 @@ def merge_keyed(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``merge_sources`` for frames that carry their match key already."""
-    return _merged_rows(join_keyed(lk, rk, hot, order, hot_rows), _fields(lk, rk, order), prefer_source)
+    return _merged_rows(join_keyed(lk, rk, hot, order, hot_rows), value_fields(lk, rk, order), prefer_source)
 
 
 def merge_sources(
@@ -220,7 +230,7 @@ def merge_sources(
     and ``right_order``, which fix its order.
     """
     out = _merged_rows(
-        join_sources(left, right, key, order, hot_rows), _fields(left, right, order), prefer_source
+        join_sources(left, right, key, order, hot_rows), value_fields(left, right, order), prefer_source
     )
     return out.unionByName(_passed(left, right, key, order), allowMissingColumns=True) if keep_unkeyed else out
 
@@ -249,13 +259,15 @@ def merge_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> D
     each = lc.join(rc, KEY, "full_outer").na.fill(0, ["l", "r"])
 
     def total(c: Column) -> Column:
-        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        return count_of(F.coalesce(F.sum(c), F.lit(0)))
 
     return each.agg(
         total(F.when(F.col("r") == 0, F.col("l"))).alias("left_only"),
         total(F.when(F.col("l") == 0, F.col("r"))).alias("right_only"),
-        total(F.col("l") * F.col("r")).alias("merged"),
-    ).withColumn("total", F.col("left_only") + F.col("right_only") + F.col("merged"))
+        total(pair_count(F.col("l"), F.col("r"))).alias("merged"),
+    ).withColumn(
+        "total", count_of(F.col("left_only").cast("decimal(38,0)") + F.col("right_only") + F.col("merged"))
+    )
 
 
 def unkeyed_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:

@@ -32,6 +32,8 @@ _KEEP = {1: 3, 2: 3, 3: 3, 4: 3} | dict.fromkeys(range(5, 13), 2)
 _WIDEST = len(SYMBOLS) - 1  # one group per symbol is the most there can be
 _GRAM = 3
 
+_PAIR = [("x", "text", "a"), ("y", "text", "b"), ("x", "uses", "uses_a"), ("y", "uses", "uses_b")]
+
 
 def _choices() -> list[tuple[int, int, str]]:
     """(distance, number, symbols to remove) for every choice of groups."""
@@ -61,7 +63,7 @@ def _ranged(texts: DataFrame) -> DataFrame:
 
 
 def _choice_keys(ranged: DataFrame) -> DataFrame:
-    """(kind, threshold, text, n, family, key): one key per choice of groups, for
+    """(kind, threshold, text, uses, n, family, key): one key per choice of groups, for
     each distance (``family``) that the text may have to a partner.
 
     Texts at an even distance have lengths of one parity, which goes into the
@@ -74,12 +76,13 @@ def _choice_keys(ranged: DataFrame) -> DataFrame:
     parity = F.when(F.col("family") % 2 == 0, F.col("n") % 2).otherwise(F.lit(2))
     return (
         ranged.filter((F.col("_hi") >= 1) & (F.col("_lo") <= _WIDEST))
-        .select("kind", "threshold", "text", "n", plain.alias("_plain"), families.alias("family"))
+        .select("kind", "threshold", "text", "uses", "n", plain.alias("_plain"), families.alias("family"))
         .join(F.broadcast(_choice_table(ranged.sparkSession)), "family")
         .select(
             "kind",
             "threshold",
             "text",
+            "uses",
             "n",
             "family",
             F.xxhash64("family", "choice", parity, F.expr("translate(_plain, removed, '')")).alias("key"),
@@ -107,7 +110,9 @@ def _gram_keys(ranged: DataFrame) -> DataFrame:
     return (
         ranged.filter(F.col("_hi") > _WIDEST)
         .withColumn("_grams", grams)
-        .select("kind", "threshold", "text", "n", F.lit(_WIDEST + 1).alias("family"), F.explode(keys).alias("key"))
+        .select(
+            "kind", "threshold", "text", "uses", "n", F.lit(_WIDEST + 1).alias("family"), F.explode(keys).alias("key")
+        )
     )
 
 
@@ -122,33 +127,34 @@ def _met(keys: DataFrame) -> DataFrame:
     k = max_distance(F.col("x.n") + F.col("y.n"), F.col("x.threshold"))
     fits = (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (F.least(k, F.lit(_WIDEST + 1)) == F.col("x.family"))
     met = x.join(y, same).filter(fits & (F.col("x.text") < F.col("y.text")))
-    return met.select("x.kind", "x.threshold", F.col("x.text").alias("a"), F.col("y.text").alias("b"), k.alias("_k"))
+    sides = [F.col(f"{s}.{c}").alias(f"{n}") for s, c, n in _PAIR]
+    return met.select("x.kind", "x.threshold", *sides, k.alias("_k"))
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (kind, threshold, a, b) with ``a < b``.
+    """Distinct candidate pairs (kind, threshold, a, b, uses_a, uses_b), ``a < b``.
 
-    ``texts`` holds distinct (kind, threshold, text) and should be a written
-    table. The bounded edit distance is never above the number of insertions and
+    ``texts`` holds distinct (kind, threshold, text), optionally with the number
+    of ``uses`` of each, and should be a written table. The bounded edit distance is never above the number of insertions and
     deletions, so it loses nothing. It runs inside the join stage for ordinary
     texts. Very long ones share many keys and are costly to compare, so their
     pairs are made distinct and written before.
     """
     near = F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1")
-    ranged = _ranged(texts)
+    ranged = _ranged(texts if "uses" in texts.columns else texts.withColumn("uses", F.lit(1).cast("bigint")))
     pairs = _met(_choice_keys(ranged)).filter(near)
     if not ranged.filter(F.col("_hi") > _WIDEST).isEmpty():
         pairs = pairs.unionByName(cut(_met(_gram_keys(ranged)).distinct(), "long_pairs").filter(near))
-    return pairs.select("kind", "threshold", "a", "b").distinct()
+    return pairs.drop("_k").distinct()
 
 
 def similar_pairs(texts: DataFrame) -> DataFrame:
-    """(kind, a, b, score) for all pairs ``a < b`` of one kind that reach their
-    threshold. Pairs of an empty and another text score 0 and never occur.
+    """(kind, a, b, uses_a, uses_b, score) for all pairs ``a < b`` of one kind that
+    reach their threshold. Pairs of an empty and another text score 0 and never occur.
 
     The kernel counts as non-deterministic so that the optimizer does not move
     it below the ``distinct`` and run it once per shared key.
     """
     pairs = candidate_pairs(texts).withColumn("lcs", lcs_length(F.col("a"), F.col("b")))
     scored = pairs.withColumn("score", ratio(F.col("a"), F.col("b"), F.col("lcs")))
-    return scored.filter(F.col("score") >= F.col("threshold")).select("kind", "a", "b", "score")
+    return scored.filter(F.col("score") >= F.col("threshold")).drop("threshold", "lcs")

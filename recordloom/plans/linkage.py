@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank
-from recordloom.operators.merge import HOT_ROWS, KEY, hot_keys, key_counts, keyed, merge_keyed
+from recordloom.operators.merge import HOT_ROWS, KEY, hot_keys, key_counts, keyed, merge_keyed, value_fields
 from recordloom.sinks.snapshots import cut
 
 ORDER = "merge_order"
@@ -139,9 +139,16 @@ def merge_and_fold(
     ``single`` holds the merged rows that are alone with their key, with their
     place in the merged order as ``merge_order``; ``folded`` holds one row per
     key with several merged rows, with ``is_merged`` and ``duplicate_count``.
-    Both sources must have the same columns. The row counts per key are written
-    down first; they are what the later joins are chosen by.
+    The row counts per key are written down first; they are what the later joins
+    are chosen by.
     """
+    types = value_fields(left, right, order)
+    left, right = [
+        df.select(
+            order, *[(F.col(f) if f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in types.items()]
+        )
+        for df in (left, right)
+    ]
     counts = cut(key_counts(left, right, key), "key_counts")
     fields = [f for f in left.schema.fields if f.name != order]
     helpers = ["l", "r", "n", "_ragged"]

@@ -71,8 +71,9 @@ def run_statistics(
     merged = merge.merge_counts(left, right)
     stages.append(sinks.long_statistics("merging", merged))
 
+    members = F.sum(F.col("duplicate_count").cast("decimal(38,0)"))
     grouped = records.agg(
-        F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("bigint").alias("members"),
+        merge.count_of(F.coalesce(members, F.lit(0))).alias("members"),
         F.count("duplicate_count").alias("groups"),
         F.count("*").alias("out"),
     )

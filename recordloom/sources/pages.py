@@ -32,7 +32,13 @@ def _reader(asks: list[tuple], link: list):
     from html.parser import HTMLParser
 
     void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-    closes = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+    # Elements that end when one of their kind begins, and what they do not end across.
+    closes = {
+        "li": ({"li"}, {"ul", "ol", "table"}),
+        "tr": ({"tr"}, {"table"}),
+        "td": ({"td", "th"}, {"tr", "table"}),
+        "th": ({"td", "th"}, {"tr", "table"}),
+    }
     ends_p = {"article", "aside", "div", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "nav"}
     ends_p |= {"ol", "p", "section", "table", "ul"}
 
@@ -54,7 +60,7 @@ def _reader(asks: list[tuple], link: list):
 
         def handle_starttag(self, tag, attrs):
             if tag in closes:
-                self.shut(closes[tag], {"table", "ul", "ol"})
+                self.shut(*closes[tag])
             if tag in ends_p:
                 self.shut({"p"}, {"table", "td", "th", "button"})
             parent = self.open[-1] if self.open else None

@@ -46,3 +46,18 @@ def test_fold_equals_merge_then_exact_dedup(spark, seed, hot_rows, monkeypatch):
     assert counts.total == fast.agg(F.sum(F.coalesce("duplicate_count", F.lit(1)))).first()[0]
     members = linkage.exact_members(left, right, hot_rows=hot_rows).count()
     assert members == folded.agg(F.sum("duplicate_count")).first()[0]
+
+
+def test_sources_of_different_columns(spark):
+    left = spark.createDataFrame([(0, "k", "a", "t")], "rec_idx bigint, parcel_id string, city string, extracted_at string")
+    right = spark.createDataFrame([(0, "K", "n", "u"), (1, "K", "nn", "t")], "rec_idx bigint, parcel_id string, note string, extracted_at string")
+    single, folded = linkage.merge_and_fold(left, right)
+    assert single.count() == 0
+    row = folded.first()
+    assert (row.city, row.note, row.extracted_at, row.duplicate_count) == ("a", "nn", "u", 2)
+
+
+def test_pair_counts_do_not_overflow(spark):
+    df = spark.createDataFrame([(2**40, 2**40), (3, 4)], "l bigint, r bigint")
+    got = [r.n for r in df.select(merge.count_of(merge.pair_count(F.col("l"), F.col("r"))).alias("n")).collect()]
+    assert got == [2**63 - 1, 12]

@@ -65,6 +65,14 @@ def test_selectors():
         compile_selector("a > b ~ c::before")
 
 
+def test_unclosed_elements(spark):
+    html = "<table><tr><td>A<td>1<tr><td>B<td>2<table><tr><td>C<td>3</table></table><ul><li>x<ul><li>y</ul><li>z</ul><p>q<div>r"
+    fields = {"a": ["td:contains('A') + td"], "c": ["td:contains('C') + td"], "p": ["p"], "d": ["div"], "li": ["ul ul li"]}
+    row = pages.extract_texts(_pages(spark, ("u", html)), fields).first()
+    assert (row.a, row.p, row.d, row.li) == ("1", "q", "r", "y")
+    assert row.c == "3"
+
+
 def test_path_fallbacks(spark):
     html = "<table><tr><td>Owner of it</td><td>Ann</td></tr></table><div class='the-owner-box'>Box</div>"
     fields = {"a": ["//tr[td[contains(text(), 'Owner')]]/td[2]"], "b": ["//div[contains(@class, 'owner')]//text()"]}
