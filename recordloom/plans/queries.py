@@ -548,7 +548,7 @@ def run_statistics(spark, sf_dir):
 
 @query
 def run_duplicates(spark, sf_dir):
-    return _run(spark, sf_dir).duplicates
+    return _run(spark, sf_dir).duplicates()
 
 
 # --- documented extras ---

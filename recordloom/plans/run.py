@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -21,7 +22,7 @@ class Result:
 
     success: bool
     records: DataFrame | None = None
-    duplicates: DataFrame | None = None
+    duplicates: Callable[[], DataFrame] | None = None  # every pair of hot keys, so only on request
     statistics: DataFrame | None = None
     output_path: str | None = None
     total_records: int = 0
@@ -51,9 +52,7 @@ def link(left: DataFrame, right: DataFrame, order: str = "rec_idx", **matching)
     return records.drop(ORDER), tagged.filter(F.col(dedup.GROUP).isNotNull())
 
 
-def run_statistics(
-    sources: dict[str, DataFrame], cleaned: dict[str, DataFrame], records: DataFrame
-) -> DataFrame:
+def run_statistics(sources: dict[str, DataFrame], cleaned: dict[str, DataFrame], records: DataFrame) -> DataFrame:
     """Counts of every stage as (section, key, value)."""
     left, right = cleaned.values()
     counted = validate.validation_counts(sources)
@@ -77,8 +76,9 @@ def run_statistics(
         F.count("duplicate_count").alias("groups"),
         F.count("*").alias("out"),
     )
+    rows_in = F.col("members").cast("decimal(38,0)") + F.col("out") - F.col("groups")
     dedup_row = grouped.select(
-        (F.col("out") - F.col("groups") + F.col("members")).alias("input_records"),
+        merge.count_of(rows_in).alias("input_records"),
         F.col("out").alias("unique_records"),
         F.col("members").alias("duplicates_removed"),
         (F.col("members") - F.col("groups")).alias("rows_removed"),
@@ -94,7 +94,7 @@ def run_statistics(
 
 def run(
     spark: SparkSession,
-    sources: dict[str, object],
+    sources: dict[str, Callable[[], DataFrame]],
     output_path: str | None = None,
     output_format: str = "csv",
     snapshots: bool = False,
@@ -133,15 +133,17 @@ def run(
             if snapshots and save_snapshot(scored, "04_enriched", run_id)
             else cut(scored, "scored")
         )
-        duplicates = exact_members(left, right, order=order).unionByName(
-            fuzzy_members.drop(dedup.GROUP, dedup.KIND)
-        ).drop(ORDER)
+
+        def duplicates() -> DataFrame:
+            fuzzy = fuzzy_members.drop(dedup.GROUP, dedup.KIND)
+            return exact_members(left, right, order=order).unionByName(fuzzy).drop(ORDER)
+
         stats = run_statistics(frames, cleaned, scored)
         path = None
         if output_path:
             parts = None
             if output_format == "report":
-                parts = sinks.report_parts(scored, left.drop(order), right.drop(order), duplicates, stats)
+                parts = sinks.report_parts(scored, left.drop(order), right.drop(order), duplicates(), stats)
             path = sinks.export(scored, output_path, output_format, parts)
         return Result(True, scored, duplicates, stats, path, scored.count(), None, run_id, errors)
     except (PySparkException, ValueError) as e:
