@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_counts
-from .common import documents
+from . import token_counts, toxicity
+from .common import documents, fold
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -20,5 +21,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts,)}
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, labels(spark, sf_dir), fold("doc_id", 3) != 1)
+    scores = toxicity.scored(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score")
+    return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {}
