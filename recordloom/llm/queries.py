@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts, toxicity
+from . import line_crf, quality_rules, token_counts, toxicity
 from .common import documents, fold
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,6 +17,17 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = line_crf.train(docs, labels(spark, sf_dir), fold("doc_id", 5) != 0)
+    scores = line_crf.scored(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score")
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), limit=512)
 
@@ -32,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_quality_classifier, op10_toxicity)}
 ORACLES: dict[str, str] = {}
