@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, quality_rules, token_counts, toxicity
+from . import line_crf, minhash, quality_rules, token_counts, toxicity
 from .common import documents, fold
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(docs, labels(spark, sf_dir), fold("doc_id", 3) != 1)
@@ -43,5 +47,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_quality_classifier, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_quality_classifier, op6_minhash, op10_toxicity)}
 ORACLES: dict[str, str] = {}
