@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, minhash, packing, quality_rules, substrings, token_counts, toxicity, vectors
+from . import line_crf, lm, minhash, packing, quality_rules, substrings, token_counts, toxicity, vectors
 from .common import documents, fold
 
 BYTE_BPE, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -17,6 +17,11 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm.scored(docs, lm.train(docs))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir))
 
@@ -60,5 +65,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
