@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, lm, minhash, packing, quality_rules, substrings, token_counts, toxicity, vectors
+from . import line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, vectors
 from .common import documents, fold
 
+PIECE_BPE = "piece_bpe_32k.model"
 BYTE_BPE, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
@@ -58,6 +59,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary(), vocabulary(BYTE_BPE_RANKS), length=2048, end=1)
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = pieces.sampled(documents(spark, sf_dir), vocabulary(PIECE_BPE), k=2)
+    return drawn.withColumn("n_pieces", F.size("ids")).drop("ids")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(docs, labels(spark, sf_dir), fold("doc_id", 3) != 1)
@@ -65,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op9_piece_sampling, op10_toxicity)}
 ORACLES: dict[str, str] = {}
