@@ -70,52 +70,68 @@ def _vertices(df: DataFrame, order: str) -> DataFrame:
     )
 
 
-def match_edges(vertices: DataFrame, name_threshold: int, address_threshold: int) -> DataFrame:
-    """All matching vertex pairs (lo, hi).
+def _repeated(texts: DataFrame) -> DataFrame:
+    """Texts of kinds that hold more than one: only those can make a pair."""
+    several = texts.groupBy("kind").agg(F.count("*").alias("_texts")).filter("_texts > 1").select("kind")
+    return texts.join(several, "kind")
+
+
+def _located_pairs(vertices: DataFrame, name_threshold: int, address_threshold: int) -> DataFrame:
+    """Matching pairs (v, w) of vertices that have an address.
 
-    Similar names and similar addresses are found among the distinct texts, once
-    per text. Vertices then meet by equality: one side steps to a similar
-    address and a similar name, and the other is looked up by both. The work
-    grows with the number of similar texts, not with the square of the vertices
-    that share a name, an address or a street.
+    Both texts must be similar, and addresses are the more telling ones. So similar
+    addresses are found first, among the distinct ones, and a vertex steps to
+    those of its address that more vertices have. Names then only meet at one address:
+    a long or common name has no partners all over the data.
     """
-    kinds = {"name": ("_n", name_threshold), "address": ("_a", address_threshold)}
-    each = [
-        vertices.filter(F.col(c).isNotNull()).select(
-            F.lit(kind).alias("kind"), F.lit(t).alias("threshold"), F.col(c).alias("text")
-        )
-        for kind, (c, t) in kinds.items()
-    ]
-    texts = cut(each[0].union(each[1]).groupBy("kind", "threshold", "text").agg(F.count("*").alias("uses")), "texts")
-    similar = cut(similar_pairs(texts), "similar", ["kind"])
-
-    # Every pair is walked from the text with fewer vertices to the other one, so
-    # a text that very many vertices share is looked up, not multiplied.
+    located = vertices.filter("_a is not null").select("v", "_n", "_a")
+    addresses = located.groupBy(F.col("_a").alias("text")).agg(F.count("*").alias("uses"))
+    texts = addresses.select(F.lit("address").alias("kind"), F.lit(address_threshold).alias("threshold"), "text", "uses")
+    similar = cut(similar_pairs(cut(texts, "addresses")), "similar")
     rare_first = F.col("uses_a") <= F.col("uses_b")
     rare = F.when(rare_first, F.col("a")).otherwise(F.col("b"))
     other = F.when(rare_first, F.col("b")).otherwise(F.col("a"))
-    names = similar.filter("kind = 'name'")
-    name_up = names.select(rare.alias("_n"), other.alias("_n2"))
-    name_any = name_up.union(name_up.select(F.col("_n2").alias("_n"), F.col("_n").alias("_n2")))
-    address_up = similar.filter("kind = 'address'").select(rare.alias("_a"), other.alias("_a2"))
-
-    located = vertices.filter("_a is not null").select("v", "_n", "_a")
-    # Similar address with the same or a similar name; same address with a similar name.
-    moved = located.join(address_up, "_a").select("v", "_n", F.col("_a2").alias("_a"))
-    steps = (
-        moved.union(moved.join(name_any, "_n").select("v", F.col("_n2").alias("_n"), "_a"))
-        .union(located.join(name_up, "_n").select("v", F.col("_n2").alias("_n"), "_a"))
+    moved = located.join(similar.select(rare.alias("_a"), other.alias("_a2")), "_a").select("v", "_n", F.col("_a2").alias("_a"))
+
+    at = cut(located.withColumn("_home", F.lit(True)).union(moved.withColumn("_home", F.lit(False))), "located")
+    names = at.groupBy(F.col("_a").alias("kind"), F.col("_n").alias("text")).agg(F.max("_home").alias("asks"))
+    names = cut(_repeated(names.withColumn("threshold", F.lit(name_threshold))), "names")
+    alike = cut(similar_pairs(names).select(F.col("kind").alias("_a"), "a", "b"), "similar")
+
+    home = at.filter("_home").select(F.col("v").alias("w"), "_n", "_a")
+    same = at.filter("not _home").join(home, ["_n", "_a"]).select("v", "w")
+    # One of the two is at home at the address; two that are meet once.
+    both_ways = alike.select("_a", F.col("a").alias("_n"), F.col("b").alias("_m"), F.lit(True).alias("_up")).union(
+        alike.select("_a", F.col("b"), F.col("a"), F.lit(False))
     )
-    by_both = steps.join(located.withColumnRenamed("v", "w"), ["_n", "_a"]).select("v", "w")
+    step = home.join(both_ways, ["_n", "_a"]).select("w", F.col("_m").alias("_n"), "_a", "_up")
+    return same.union(step.join(at, ["_n", "_a"]).filter(~F.col("_home") | F.col("_up")).select("v", "w"))
+
 
-    # Without an address on either side the name decides alone.
+def _bare_pairs(vertices: DataFrame, name_threshold: int) -> DataFrame:
+    """Matching pairs (v, w) of which one has no address: the name decides alone."""
+    names = vertices.groupBy(F.col("_n").alias("text")).agg(F.max(F.col("_a").isNull()).alias("asks"))
+    texts = names.select(F.lit("name").alias("kind"), F.lit(name_threshold).alias("threshold"), "text", "asks")
+    similar = cut(similar_pairs(cut(texts, "names")), "similar")
+    any_way = similar.select(F.col("a").alias("_n"), F.col("b").alias("_n2"))
+    any_way = any_way.union(any_way.select(F.col("_n2").alias("_n"), F.col("_n").alias("_n2")))
     bare = vertices.filter("_a is null").select("v", "_n")
-    bare_steps = bare.union(bare.join(name_any, "_n").select("v", F.col("_n2").alias("_n")))
+    steps = bare.union(bare.join(any_way, "_n").select("v", F.col("_n2").alias("_n")))
     others = vertices.select(F.col("v").alias("w"), "_n", F.col("_a").isNull().alias("_bare"))
-    by_name = bare_steps.join(others, "_n").filter(
+    return steps.join(others, "_n").filter(
         F.when(F.col("_bare"), F.col("v") < F.col("w")).otherwise(F.col("v") != F.col("w"))
-    )
-    pairs = by_both.union(by_name.select("v", "w"))
+    ).select("v", "w")
+
+
+def match_edges(vertices: DataFrame, name_threshold: int, address_threshold: int) -> DataFrame:
+    """All matching vertex pairs (lo, hi).
+
+    The work grows with the number of similar texts, not with the square of the
+    vertices that share a name, an address or a street.
+    """
+    pairs = _located_pairs(vertices, name_threshold, address_threshold)
+    if not vertices.filter("_a is null").isEmpty():
+        pairs = pairs.union(_bare_pairs(vertices, name_threshold))
     return pairs.select(F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi"))
 
 

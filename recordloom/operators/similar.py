@@ -7,9 +7,10 @@ least G - K groups keep their subsequence, and two matching texts agree on some
 choice of G - K groups. Each text emits one key per choice: itself with the
 symbols of all other groups removed. Equal keys make candidates, without loss.
 
-A key keeps the order and the digits of about half of a text, so texts that only
-share a street, a word or a prefix do not meet, and there are no hot keys of
-that kind. Texts are distinct beforehand, so copies of one text do not meet
+A key keeps the order and the digits of about half of a short text, so texts that only
+share a street, a word or a prefix do not meet. Keys of long texts (a distance of 13
+and more, so from about 60 symbols at threshold 90) say much less, so callers give such
+texts a narrow kind to meet in. Texts are distinct beforehand, so copies of one text do not meet
 either. The join is an inner equi-join, which the runtime can split on skew.
 """
 
@@ -33,6 +34,7 @@ _WIDEST = len(SYMBOLS) - 1  # one group per symbol is the most there can be
 _GRAM = 3
 
 _PAIR = [("x", "text", "a"), ("y", "text", "b"), ("x", "uses", "uses_a"), ("y", "uses", "uses_b")]
+_COLUMNS = ["kind", "threshold", "text", "uses", "asks", "n"]
 
 
 def _choices() -> list[tuple[int, int, str]]:
@@ -76,14 +78,10 @@ def _choice_keys(ranged: DataFrame) -> DataFrame:
     parity = F.when(F.col("family") % 2 == 0, F.col("n") % 2).otherwise(F.lit(2))
     return (
         ranged.filter((F.col("_hi") >= 1) & (F.col("_lo") <= _WIDEST))
-        .select("kind", "threshold", "text", "uses", "n", plain.alias("_plain"), families.alias("family"))
+        .select(*_COLUMNS, plain.alias("_plain"), families.alias("family"))
         .join(F.broadcast(_choice_table(ranged.sparkSession)), "family")
         .select(
-            "kind",
-            "threshold",
-            "text",
-            "uses",
-            "n",
+            *_COLUMNS,
             "family",
             F.xxhash64("family", "choice", parity, F.expr("translate(_plain, removed, '')")).alias("key"),
         )
@@ -111,14 +109,14 @@ def _gram_keys(ranged: DataFrame) -> DataFrame:
         ranged.filter(F.col("_hi") > _WIDEST)
         .withColumn("_grams", grams)
         .select(
-            "kind", "threshold", "text", "uses", "n", F.lit(_WIDEST + 1).alias("family"), F.explode(keys).alias("key")
+            *_COLUMNS, F.lit(_WIDEST + 1).alias("family"), F.explode(keys).alias("key")
         )
     )
 
 
 def _met(keys: DataFrame) -> DataFrame:
     """Pairs that share a key, whose lengths fit the key's family; ``_k`` is the
-    most that they may differ by.
+    most that they may differ by. One of the two asks.
 
     The two sides differ in nothing but their alias, so they share one shuffle.
     """
@@ -126,7 +124,7 @@ def _met(keys: DataFrame) -> DataFrame:
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "family", "threshold", "kind")]
     k = max_distance(F.col("x.n") + F.col("y.n"), F.col("x.threshold"))
     fits = (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (F.least(k, F.lit(_WIDEST + 1)) == F.col("x.family"))
-    met = x.join(y, same).filter(fits & (F.col("x.text") < F.col("y.text")))
+    met = x.join(y, same).filter(fits & (F.col("x.text") < F.col("y.text")) & (F.col("x.asks") | F.col("y.asks")))
     sides = [F.col(f"{s}.{c}").alias(f"{n}") for s, c, n in _PAIR]
     return met.select("x.kind", "x.threshold", *sides, k.alias("_k"))
 
@@ -135,13 +133,16 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     """Distinct candidate pairs (kind, threshold, a, b, uses_a, uses_b), ``a < b``.
 
     ``texts`` holds distinct (kind, threshold, text), optionally with the number
-    of ``uses`` of each, and should be a written table. The bounded edit distance is never above the number of insertions and
+    of ``uses`` of each and whether it ``asks``: pairs of texts that both don't are
+    left out. It should be a written table. Texts of different kinds never meet, so a
+    kind may be as narrow as wanted. The bounded edit distance is never above the number of insertions and
     deletions, so it loses nothing. It runs inside the join stage for ordinary
     texts. Very long ones share many keys and are costly to compare, so their
     pairs are made distinct and written before.
     """
     near = F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1")
-    ranged = _ranged(texts if "uses" in texts.columns else texts.withColumn("uses", F.lit(1).cast("bigint")))
+    given = {"uses": F.lit(1).cast("bigint"), "asks": F.lit(True)}
+    ranged = _ranged(texts.withColumns({c: v for c, v in given.items() if c not in texts.columns}))
     pairs = _met(_choice_keys(ranged)).filter(near)
     if not ranged.filter(F.col("_hi") > _WIDEST).isEmpty():
         pairs = pairs.unionByName(cut(_met(_gram_keys(ranged)).distinct(), "long_pairs").filter(near))
