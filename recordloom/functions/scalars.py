@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions.text import is_blank, strip
 
@@ -52,6 +53,26 @@ def value_or(c: Column, default: Column) -> Column:
     return F.when(is_blank(c), default).otherwise(c)
 
 
-def record_hash(*cols: Column) -> Column:
-    """md5 over the lower-cased, trimmed values joined by ``|``; null as empty."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.lower(strip(c.cast("string"))), F.lit("")) for c in cols]))
+def value_text(c: Column, dtype: T.DataType) -> Column:
+    """A value as the text that is hashed: nothing for null, zero and false; a
+    number in plain decimals, one of a floating type with at least one place."""
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, F.lit("true"))
+    if not isinstance(dtype, T.NumericType):
+        return c.cast("string")
+    text = c.cast("string")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        places = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), "(?<=[0-9])0+$", "")
+        plain = F.regexp_replace(places, r"\.$", ".0")
+        # Without an exponent the text is plain already; very large and very small numbers keep theirs.
+        exact = text.contains("E") & (F.abs(c) < 1e16) & (F.abs(c) >= 1e-4)
+        text = F.when(exact, plain).otherwise(text)
+    return F.when(c != 0, text)
+
+
+def record_hash(*cols: Column, types: list[T.DataType] | None = None) -> Column:
+    """md5 over the lower-cased, trimmed values joined by ``|``; null, zero and
+    false as empty. Columns count as text unless ``types`` are given."""
+    types = types or [T.StringType()] * len(cols)
+    texts = [value_text(c, t) for c, t in zip(cols, types)]
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.lower(strip(t)), F.lit("")) for t in texts]))

@@ -14,6 +14,7 @@ from recordloom.sinks.snapshots import cut
 KEY = "_key"
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
+WORK = 100
 
 
 def keyed(df: DataFrame, key: str = "parcel_id") -> DataFrame:
@@ -61,8 +62,8 @@ def merged_field(field: str, dtype: T.DataType, a: Column, b: Column, prefer: Co
 
 
 def count_of(c: Column) -> Column:
-    """A count as BIGINT; pairs beyond that range are given as its largest value."""
-    return F.least(c, F.lit(2**63 - 1)).cast("bigint")
+    """A count that may be a number of pairs: a product of two BIGINTs fits."""
+    return c.cast("decimal(38,0)")
 
 
 def pair_count(l: Column, r: Column) -> Column:
@@ -87,18 +88,21 @@ def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> Dat
         (F.min("_len") != F.max("_len")).alias("_ragged"),
     )
     both = (F.col("l") > 0) & (F.col("r") > 0)
-    merged = F.when(both, count_of(pair_count(F.col("l"), F.col("r")))).otherwise(F.col("l") + F.col("r"))
+    merged = F.when(both, pair_count(F.col("l"), F.col("r"))).otherwise(count_of(F.col("l") + F.col("r")))
     return counts.select(KEY, "l", "r", merged.alias("n"), (both & F.col("_ragged")).alias("_ragged"))
 
 
 def hot_keys(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys that hold more than 1/HOT_KEYS of all rows (and more than
-    ``hot_rows``), or None: there are fewer than HOT_KEYS of them, so they may be
-    broadcast. ``counts`` should be a written table."""
+    """Keys of more than ``hot_rows`` rows, or of more pairs than a task should
+    form (``hot_rows`` times WORK), or None, however many rows there are in all.
+    Up to HOT_KEYS of them are marked for broadcast; more are joined by key.
+    ``counts`` should be a written table."""
     size = F.col("l") + F.col("r")
-    rows = counts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    hot = counts.filter(size > max(rows // HOT_KEYS, hot_rows))
-    return None if hot.isEmpty() else hot
+    hot = counts.filter((size > hot_rows) | (pair_count(F.col("l"), F.col("r")) > hot_rows * WORK))
+    some = hot.limit(HOT_KEYS + 1).count()
+    if not some:
+        return None
+    return F.broadcast(hot) if some <= HOT_KEYS else hot
 
 
 def value_fields(left: DataFrame, right: DataFrame, order: str) -> dict[str, T.DataType]:
@@ -149,7 +153,7 @@ def _join_cold(lk: DataFrame, rk: DataFrame, fields: dict[str, T.DataType], orde
 def _join_hot(
     lk: DataFrame, rk: DataFrame, hot: DataFrame, fields: dict[str, T.DataType], order: str, hot_rows: int
 ) -> DataFrame:
-    """The same for hot keys, whose rows meet their counts by broadcast.
+    """The same for hot keys, whose rows meet their counts by broadcast if there are few such keys.
 
     Rows of a key of one side only are not shuffled at all. The pairs of a key of
     both sides form a grid of parts: a left row goes to one part row and all part
@@ -161,7 +165,7 @@ def _join_hot(
     def parts(n: str) -> Column:
         return F.ceil(F.col(n) / cell).cast("int")
 
-    grid = F.broadcast(hot.select(KEY, "l", "r", parts("l").alias("_rows"), parts("r").alias("_cols")))
+    grid = hot.select(KEY, "l", "r", parts("l").alias("_rows"), parts("r").alias("_cols"))
     helpers = ["l", "r", "_rows", "_cols"]
     ls = _side(lk.join(grid, KEY), fields, order, "l_", *helpers)
     rs = _side(rk.join(grid, KEY), fields, order, "r_", *helpers)
@@ -187,7 +191,7 @@ def join_keyed(
     fields = value_fields(lk, rk, order)
     if hot is None:
         return _join_cold(lk, rk, fields, order)
-    lc, rc = [s.join(F.broadcast(hot.select(KEY)), KEY, "left_anti") for s in (lk, rk)]
+    lc, rc = [s.join(hot.select(KEY), KEY, "left_anti") for s in (lk, rk)]
     return _join_cold(lc, rc, fields, order).unionByName(
         _join_hot(lk, rk, hot, fields, order, hot_rows), allowMissingColumns=True
     )
@@ -266,7 +270,7 @@ def merge_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> D
         total(F.when(F.col("l") == 0, F.col("r"))).alias("right_only"),
         total(pair_count(F.col("l"), F.col("r"))).alias("merged"),
     ).withColumn(
-        "total", count_of(F.col("left_only").cast("decimal(38,0)") + F.col("right_only") + F.col("merged"))
+        "total", count_of(F.col("left_only") + F.col("right_only") + F.col("merged"))
     )
 
 
@@ -307,13 +311,36 @@ def merge_statistics(df: DataFrame) -> DataFrame:
     One pass: rows are counted per source and merge flag, and the totals are
     sums over that small table.
     """
-    each = df.groupBy(source_name().alias("source"), _is_cross(df).alias("cross")).agg(F.count("*").alias("n"))
+    return _statistics(df.groupBy(source_name().alias("source"), _is_cross(df).alias("cross")).agg(count_of(F.count("*")).alias("n")))
+
+
+def pair_statistics(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """``merge_statistics`` of the merged sources without forming a pair: rows are
+    counted per key and source on each side, and the counts of a key are multiplied."""
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        counts = keyed(df, key).groupBy(KEY, "source").agg(F.count("*").alias(f"{prefix}n"))
+        return counts.withColumnRenamed("source", f"{prefix}source")
+
+    both = F.col("l_n").isNotNull() & F.col("r_n").isNotNull()
+    source = F.when(both, merged_field("source", T.StringType(), F.col("l_source"), F.col("r_source")))
+    each = side(left, "l_").join(side(right, "r_"), KEY, "full_outer").select(
+        F.coalesce(source, F.coalesce("l_source", "r_source"), F.lit("Unknown")).alias("source"),
+        both.alias("cross"),
+        F.when(both, pair_count(F.col("l_n"), F.col("r_n"))).otherwise(count_of(F.coalesce("l_n", "r_n"))).alias("n"),
+    )
+    return _statistics(each.groupBy("source", "cross").agg(F.sum("n").alias("n")))
+
+
+def _statistics(each: DataFrame) -> DataFrame:
+    """The long table from counts per source and merge flag."""
+    none = count_of(F.lit(0))
     totals = each.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
-        F.coalesce(F.sum(F.when(~F.col("cross"), F.col("n"))), F.lit(0)).alias("single_source"),
-        F.coalesce(F.sum(F.when(F.col("cross"), F.col("n"))), F.lit(0)).alias("cross_source_merged"),
+        count_of(F.coalesce(F.sum("n"), none)).alias("total_records"),
+        count_of(F.coalesce(F.sum(F.when(~F.col("cross"), F.col("n"))), none)).alias("single_source"),
+        count_of(F.coalesce(F.sum(F.when(F.col("cross"), F.col("n"))), none)).alias("cross_source_merged"),
     ).unpivot([], ["total_records", "single_source", "cross_source_merged"], "key", "value")
-    by_source = each.groupBy(F.col("source").alias("key")).agg(F.sum("n").alias("value"))
+    by_source = each.groupBy(F.col("source").alias("key")).agg(count_of(F.sum("n")).alias("value"))
     return totals.select(F.lit("totals").alias("section"), "key", "value").unionByName(
         by_source.select(F.lit("by_source").alias("section"), "key", "value")
     )

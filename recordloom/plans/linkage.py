@@ -73,14 +73,13 @@ def _folded(field: T.StructField) -> Column:
 def _join_by_key(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Rows with the columns of a table that has one row per key.
 
-    Rows of the ``hot`` keys (few by construction) stay where they are and meet
-    the table by broadcast; the others are shuffled without them.
+    Rows of the ``hot`` keys, if those are few enough to be broadcast, stay where
+    they are; the others are shuffled without them.
     """
     if hot is None:
         return rows.join(table, KEY)
-    hot = F.broadcast(hot)
     cold_rows = rows.join(hot, KEY, "left_anti").join(table, KEY)
-    return cold_rows.unionByName(rows.join(F.broadcast(table.join(hot, KEY)), KEY))
+    return cold_rows.unionByName(rows.join(hot, KEY).join(table, KEY))
 
 
 def _ragged_times(left: DataFrame, right: DataFrame, keys: DataFrame, order: str, hot: DataFrame | None) -> DataFrame:
@@ -164,9 +163,10 @@ def merge_and_fold(
     alone = counts.filter((F.col("n") == 1) | blank)
     ls, rs = lk, rk
     if hot is not None:
-        ls, rs = [s.join(F.broadcast(hot), KEY, "left_anti") for s in (lk, rk)]
+        ls, rs = [s.join(hot, KEY, "left_anti") for s in (lk, rk)]
     ls, rs = [s.join(alone, KEY).drop(*helpers) for s in (ls, rs)]
-    single = _with_order(merge_keyed(ls, rs, None, order))
+    # Every pair of the blank key is a row of its own, so its pairs are dealt over tasks.
+    single = _with_order(merge_keyed(ls, rs, hot_keys(alone, hot_rows), order, hot_rows=hot_rows))
 
     sides = _side_summary(_join_by_key(lk, many, hot), fields, order, "l_").join(
         _side_summary(_join_by_key(rk, many, hot), fields, order, "r_"), [KEY, "l", "r", "n", "_ragged"], "full_outer"

@@ -443,7 +443,10 @@ ORACLES: dict[str, str] = {
     "match_keys": f"SELECT rec_idx, upper({strip('parcel_id')}) AS match_key FROM ({ALL})",
     "record_hash": f"SELECT rec_idx, {hash_of('owner_name', 'parcel_id', 'property_address', 'sale_date')} AS record_hash "
     f"FROM ({ALL})",
-    "document_hash": f"SELECT doc_id, {hash_of('lang', 'source')} AS record_hash FROM documents",
+    "document_hash": f"SELECT doc_id, {hash_of('text', 'lang', 'source')} AS record_hash FROM documents",
+    "hash_numbers": f"""SELECT rec_idx, {hash_of('parcel_id', 'value_text', 'price_text')} AS record_hash FROM (SELECT *,
+      CASE WHEN assessed_value <> 0 THEN assessed_value::VARCHAR END AS value_text,
+      CASE WHEN sale_price <> 0 THEN sale_price::VARCHAR END AS price_text FROM ({ALL}))""",
     "parse_dates": f"SELECT o_orderkey, strftime(try_strptime({DATE_TEXT}, {DATE_FORMATS}), '%Y-%m-%d') AS order_date "
     "FROM orders",
     "parse_currency": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL

@@ -41,6 +41,12 @@ def _all(spark, sf_dir) -> DataFrame:
     return adapter.all_records(spark, sf_dir)
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """Counts as BIGINT for comparison; one beyond its range fails."""
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() == "decimal(38,0)"]
+    return df.withColumns({c: F.col(c).cast("bigint") for c in wide})
+
+
 def _prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return plan.prepare(_left(spark, sf_dir)), plan.prepare(_right(spark, sf_dir))
 
@@ -108,7 +114,15 @@ def record_hash(spark, sf_dir):
 @query
 def document_hash(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", scalars.record_hash(F.col("lang"), F.col("source")).alias("record_hash"))
+    return docs.select("doc_id", scalars.record_hash(F.col("text"), F.col("lang"), F.col("source")).alias("record_hash"))
+
+
+@query
+def hash_numbers(spark, sf_dir):
+    rows = _all(spark, sf_dir)
+    fields = ["parcel_id", "assessed_value", "sale_price"]
+    types = [rows.schema[f].dataType for f in fields]
+    return rows.select("rec_idx", scalars.record_hash(*map(F.col, fields), types=types).alias("record_hash"))
 
 
 @query
@@ -335,7 +349,7 @@ def merge_keeping_unkeyed(spark, sf_dir):
 
 @query
 def merge_counts(spark, sf_dir):
-    return merge.merge_counts(*_prepared(spark, sf_dir))
+    return _counted(merge.merge_counts(*_prepared(spark, sf_dir)))
 
 
 @query
@@ -345,7 +359,7 @@ def unkeyed_counts(spark, sf_dir):
 
 @query
 def merge_statistics(spark, sf_dir):
-    return merge.merge_statistics(merge.merge_sources(*_prepared(spark, sf_dir)))
+    return _counted(merge.pair_statistics(*_prepared(spark, sf_dir)))
 
 
 @query
@@ -529,7 +543,7 @@ def stage_snapshot(spark, sf_dir):
 @query
 def linked_records(spark, sf_dir):
     records, _ = plan.link(*_prepared(spark, sf_dir))
-    return quality.score_records(records, timestamp=False)
+    return _counted(quality.score_records(records, timestamp=False))
 
 
 def _run(spark, sf_dir) -> plan.Result:
@@ -548,7 +562,7 @@ def run_statistics(spark, sf_dir):
 
 @query
 def run_duplicates(spark, sf_dir):
-    return _run(spark, sf_dir).duplicates()
+    return _counted(_run(spark, sf_dir).duplicates())
 
 
 # --- documented extras ---

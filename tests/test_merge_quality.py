@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from recordloom.config import canonical_schema
 from recordloom.operators import dedup, merge, quality
-from recordloom.sources.responses import synthetic_sources
+from samples import small_sources
 
 FIELDS = "rec_idx int, parcel_id string, owner_name string, city string, sale_price double, source string, source_url string, extracted_at string"
 
@@ -172,8 +172,8 @@ def test_rank_of_one_score(spark):
     assert ranked.filter(F.col("quality_rank") != F.col("rec_idx") / 7 + 1).count() == 0
 
 
-def test_synthetic_sources(spark):
-    left, right = synthetic_sources(spark)
+def test_small_sources(spark):
+    left, right = small_sources(spark)
     assert left.drop("rec_idx").schema.names == canonical_schema().names == right.drop("rec_idx").schema.names
     assert (left.count(), right.count()) == (10, 5)
     c = merge.merge_counts(left, right).first()

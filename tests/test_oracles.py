@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, views
+from recordloom.plans.oracles import ORACLES
+from recordloom.plans.queries import QUERIES
 
 pytestmark = pytest.mark.skipif(
     not os.path.isdir(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")), reason="no tables"
@@ -18,12 +20,12 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf_dir, name):
-    assert compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], sf_dir) is None
+    assert compare(spark, con, name, QUERIES[name], ORACLES[name], sf_dir) is None
 
 
 def test_entry(spark):

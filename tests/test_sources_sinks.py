@@ -8,6 +8,7 @@ from recordloom.sinks import export, snapshots
 from recordloom.sources import pages, responses
 from recordloom.sources.selectors import compile_selector, is_path, selectors_for
 from recordloom.streaming import landing
+from samples import small_sources
 
 DETAIL = """<html><body><div class="owner-info x"><div>skip</div><h3> Ann <b>Lee</b> &amp; Co </h3></div>
 <span class="parcel-id"> </span><table><tr><td>Parcel ID</td><td>P-1</td><tr><td>City:</td><td>Cary</table>
@@ -111,7 +112,7 @@ def test_missing_source_is_empty(spark):
 
 
 def test_observed(spark):
-    left, _ = responses.synthetic_sources(spark, 4)
+    left, _ = small_sources(spark, 4)
     out, seen = responses.observed(left, "left")
     assert out.count() == 4
     assert seen.get == {"total_records": 4, "successful_extractions": 4, "failed_extractions": 0}
@@ -171,13 +172,13 @@ def test_stream_resumes(spark, tmp_path):
 
 @pytest.mark.parametrize("fmt,snaps", [("report", True), ("csv", False)])
 def test_whole_run(spark, tmp_path, fmt, snaps):
-    left, right = responses.synthetic_sources(spark)
+    left, right = small_sources(spark)
     result = plan.run(spark, {"left": lambda: left, "right": lambda: right}, str(tmp_path / "o"), fmt, snaps)
     assert result.success and result.total_records == 13, result.error
     rows = result.records.collect()
     assert {r.quality_score for r in rows} == {100.0}
     merged = [r for r in rows if r.is_cross_source_merged]
-    assert len(merged) == 2 and {r.county for r in merged} == {"Orange"}
+    assert len(merged) == 2 and {r.county for r in merged} == {"Cumberland"}
     stats = {(r.section, r.key): r.value for r in result.statistics.collect()}
     assert stats[("merging", "merged")] == "2" and stats[("deduplication", "duplicate_groups")] == "0"
     if fmt == "report":
@@ -188,7 +189,7 @@ def test_whole_run(spark, tmp_path, fmt, snaps):
 
 
 def test_run_with_missing_source_and_failure(spark, tmp_path):
-    left, _ = responses.synthetic_sources(spark)
+    left, _ = small_sources(spark)
     result = plan.run(spark, {"left": lambda: left, "right": lambda: spark.read.parquet("/nowhere")})
     assert result.success and result.total_records == 10 and "right" in result.source_errors
     bad = plan.run(spark, {"left": lambda: left, "right": lambda: left.limit(0)}, str(tmp_path / "x"), "pdf")
