@@ -13,7 +13,7 @@ from recordloom.operators import clean, dedup, documented, merge, quality, valid
 from recordloom.plans import run as plan
 from recordloom.plans.linkage import ORDER
 from recordloom.sinks import export
-from recordloom.sinks.snapshots import load_snapshot, new_run_id, save_snapshot, snapshot_root
+from recordloom.sinks.snapshots import cut, load_snapshot, new_run_id, save_snapshot, snapshot_root
 from recordloom.sources import adapter, pages, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -542,7 +542,8 @@ def stage_snapshot(spark, sf_dir):
 
 @query
 def linked_records(spark, sf_dir):
-    records, _ = plan.link(*_prepared(spark, sf_dir))
+    # The stages read each side several times: from a written table.
+    records, _ = plan.link(*[cut(df, "prepared") for df in _prepared(spark, sf_dir)])
     return _counted(quality.score_records(records, timestamp=False))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,17 @@ def link(left: DataFrame, right: DataFrame, order: str = "rec_idx", **matching)
     return records.drop(ORDER), tagged.filter(F.col(dedup.GROUP).isNotNull())
 
 
+def _two(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """Both sides of the merge; a single source has an empty partner."""
+    some = list(frames.values())
+    if not 1 <= len(some) <= 2:
+        raise ValueError(f"one or two sources, not {len(some)}")
+    return some if len(some) == 2 else [some[0], some[0].limit(0)]
+
+
 def run_statistics(sources: dict[str, DataFrame], cleaned: dict[str, DataFrame], records: DataFrame) -> DataFrame:
     """Counts of every stage as (section, key, value)."""
-    left, right = cleaned.values()
+    left, right = _two(cleaned)
     counted = validate.validation_counts(sources)
     stages = [
         counted.select(
@@ -99,30 +108,39 @@ def run(
     output_format: str = "csv",
     snapshots: bool = False,
     order: str = "rec_idx",
+    limits: dict[str, int] | None = None,
     **matching,
 ) -> Result:
-    """Run all stages over two sources (name to a function that reads it).
+    """Run all stages over one or two sources (name to a function that reads it).
 
-    A source that cannot be read counts as empty. With ``snapshots`` the stages
-    are saved under the run id. Any later error ends the run with ``success``
-    false and its text.
+    Every source is read once, into a written table: by itself, so a source that
+    fails, also while its rows are read, counts as empty and leaves the other one's
+    records. ``limits`` cuts a source to its first rows in ``order``. With
+    ``snapshots`` the stages are saved under the run id. Any later error ends the
+    run with ``success`` false and its text.
     """
     run_id = new_run_id()
+
+    def kept(df: DataFrame, stage: str) -> DataFrame:
+        if not snapshots:
+            return cut(df, stage)
+        save_snapshot(df, stage, run_id)
+        return load_snapshot(spark, stage, run_id)
+
+    def fetched(name: str) -> Callable[[DataFrame], DataFrame]:
+        most = (limits or {}).get(name)
+        return lambda df: kept(df if most is None else df.orderBy(order).limit(most), f"01_fetched_{name}")
+
     try:
         frames, errors = {}, {}
         for name, read in sources.items():
-            df, error = read_or_empty(spark, read)
+            df, error = read_or_empty(spark, read, fetched(name))
             if error:
                 df = df.withColumn(order, F.lit(None).cast("bigint"))
                 errors[name] = error
             frames[name] = df
-        cleaned = {name: prepare(df) for name, df in frames.items()}
-        if snapshots:
-            for name in frames:
-                save_snapshot(frames[name], f"01_fetched_{name}", run_id)
-                save_snapshot(cleaned[name], f"02_cleaned_{name}", run_id)
-            cleaned = {name: load_snapshot(spark, f"02_cleaned_{name}", run_id) for name in frames}
-        left, right = cleaned.values()
+        cleaned = {name: kept(prepare(df), f"02_cleaned_{name}") for name, df in frames.items()}
+        left, right = _two(cleaned)
         linked, fuzzy_members = link(left, right, order, **matching)
         if snapshots:
             save_snapshot(linked, "03_deduplicated", run_id)
@@ -146,5 +164,5 @@ def run(
                 parts = sinks.report_parts(scored, left.drop(order), right.drop(order), duplicates(), stats)
             path = sinks.export(scored, output_path, output_format, parts)
         return Result(True, scored, duplicates, stats, path, scored.count(), None, run_id, errors)
-    except (PySparkException, ValueError) as e:
+    except (PySparkException, Py4JJavaError, ValueError) as e:
         return Result(False, error=str(e), run_id=run_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -111,12 +112,19 @@ def fetch_and_map(responses: DataFrame, limit=None, offset=0, filters=None, orde
     return fetch(map_api_fields(feature_records(responses), **mapping), limit, offset, filters, order)
 
 
-def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame]) -> tuple[DataFrame, str | None]:
+def read_or_empty(
+    spark: SparkSession, read: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, str | None]:
     """The source, or an empty canonical frame and the error text, so that one
-    missing source does not stop a run."""
+    source that fails does not stop a run.
+
+    Reading is lazy: only with ``keep``, which writes the rows and gives the written
+    table, are errors met that arise while rows are read.
+    """
     try:
-        return read(), None
-    except PySparkException as e:
+        df = read()
+        return (df if keep is None else keep(df)), None
+    except (PySparkException, Py4JJavaError) as e:
         return spark.createDataFrame([], canonical_schema()), str(e)
 
 

@@ -178,3 +178,28 @@ def test_ratio_matcher_and_order_of_any_type(spark):
     df = spark.createDataFrame(rows, "id string, owner_name string, property_address string")
     got = dedup.find_duplicates(df.withColumn("parcel_id", F.lit(None).cast("string")), "id", matcher="ratio")
     assert {r.id: r.duplicate_group for r in got.collect()} == {"a": "a", "b": "a", "c": None}
+
+
+def test_long_names_meet_at_similar_addresses_only(spark, monkeypatch):
+    """Long names of common words: beyond short distances name keys say little, so addresses must part them first."""
+    rng = random.Random(12)
+    common = "smith jones family trust estate of the and heirs living revocable dated john mary".split()
+    rows = []
+    for i in range(600):
+        name = " ".join(rng.choice(common) for _ in range(rng.randint(10, 22)))
+        rows.append((i, name, f"{i * 7919 % 100003} {rng.choice(common)}{i % 37} road"))
+    for i in range(0, 60, 3):  # the same with a small difference in the name, or in the address
+        rows.append((1000 + i, rows[i][1] + " x", rows[i][2]))
+        rows.append((2000 + i, rows[i][1], rows[i][2][:-1]))
+    met = []
+    plain = dedup.similar_pairs
+
+    def counted(texts):
+        met.extend(r["count"] for r in texts.groupBy("kind").count().collect() if r["kind"] != "address")
+        return plain(texts)
+
+    monkeypatch.setattr(dedup, "similar_pairs", counted)
+    df = spark.createDataFrame(rows, "rec_idx int, owner_name string, property_address string")
+    got = {(r["lo"], r["hi"]) for r in dedup.fuzzy_pairs(df).collect()}
+    assert {(i, 1000 + i) for i in range(0, 60, 3)} <= got and {(i, 2000 + i) for i in range(0, 60, 3)} <= got
+    assert max(met) <= 6 and sum(met) < 200  # names at one address, out of 640

@@ -194,3 +194,21 @@ def test_run_with_missing_source_and_failure(spark, tmp_path):
     assert result.success and result.total_records == 10 and "right" in result.source_errors
     bad = plan.run(spark, {"left": lambda: left, "right": lambda: left.limit(0)}, str(tmp_path / "x"), "pdf")
     assert not bad.success and "Unsupported output format" in bad.error
+
+
+def test_run_keeps_failures_apart(spark, tmp_path):
+    left, right = small_sources(spark)
+    broken = tmp_path / "broken.parquet"
+    broken.write_bytes(b"PAR1 this is no table PAR1")
+    raising = right.withColumn("city", F.when(F.col("rec_idx") > 3, F.raise_error(F.lit("row lost"))).otherwise(F.col("city")))
+    for read in (lambda: spark.read.schema(right.schema).parquet(str(broken)), lambda: raising):
+        result = plan.run(spark, {"left": lambda: left, "right": read})
+        assert result.success and result.total_records == 10 and set(result.source_errors) == {"right"}
+
+
+def test_run_of_one_source_and_limits(spark):
+    left, right = small_sources(spark)
+    one = plan.run(spark, {"left": lambda: left})
+    assert one.success and one.total_records == 10, one.error
+    few = plan.run(spark, {"left": lambda: left, "right": lambda: right}, limits={"left": 3, "right": 1})
+    assert few.success and few.total_records == 3, few.error
