@@ -6,14 +6,15 @@ would shuffle every word's hash. Instead:
 1. Anchors: hashes of ``ANCHOR`` (7) words, only where the word's position modulo 7 is 0, 1 or 3. These residues are a
    difference cover: for any two positions p and q there is a shift below 7 with both p + shift and q + shift in the
    cover. 7 words from there still lie inside 13, so two equal windows always share an aligned anchor.
-2. Extension: only windows around an anchor that another document has as well are hashed, on all their 13 words (128
+2. Extension: only windows around an anchor that another document has as well are hashed, on all their 13 words (96
    bits). Per hash, all documents but the one of the least id hold a repeat.
 3. Every document takes out the words that its repeats cover.
 
-Both hash exchanges are free of hot keys: a task first compares the documents it has read itself. Anchors that several
+Whole texts that an earlier document has as well are found by a hash of the text beforehand: their windows are all
+repeats, and they take no part in steps 1 and 2. Both hash exchanges are free of hot keys: a task first compares the documents it has read itself. Anchors that several
 of them have are settled on the spot, as are windows that one of them with a smaller id has, and only one row for
 each hash and group of documents is shuffled by the hash. A passage of a third of all documents so makes as many rows as there are groups.
-The texts are shuffled once by id, and that exchange serves steps 2 and 3.
+The texts are shuffled once by id, and that exchange serves all steps.
 
 Words are runs of other bytes than white space, unchanged. Null, empty and blank texts have no words; texts of fewer
 than 13 words have no window. Rows that share an id count as one document, so they don't remove words from each other.
@@ -35,7 +36,7 @@ COVER = (0, 1, 3)
 _IN_COVER = np.isin(np.arange(ANCHOR), COVER)
 #: Hashes that a task compares among themselves before it hands them on.
 _GROUP = 1_500_000
-_ROWS = "key bigint, id bigint, sure bigint, other bigint"
+_ROWS = "key bigint, id bigint, sure bigint, other int"
 
 
 def _placed(owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,24 +58,24 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows_at(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window."""
-    return window_hashes(words, WINDOW, 0), window_hashes(words, WINDOW, 1)
+    """Two hashes of every window, of 64 and of 32 bits."""
+    return window_hashes(words, WINDOW, 0), (window_hashes(words, WINDOW, 1) >> np.uint64(32)).astype(np.uint32)
 
 
 def _batch(key, ids, sure, other) -> pa.RecordBatch:
     """``sure`` is a hash that is settled (such rows are dealt out by a mix of hash and id), or nothing."""
-    arrays = [pa.array(key.view(np.int64)), pa.array(ids), pa.array(sure[0].view(np.int64), mask=~sure[1]), pa.array(other.view(np.int64))]
+    arrays = [pa.array(key.view(np.int64)), pa.array(ids), pa.array(sure[0].view(np.int64), mask=~sure[1]), pa.array(other.view(np.int32))]
     return pa.RecordBatch.from_arrays(arrays, names=["key", "id", "sure", "other"])
 
 
 def _split(key, ids, other, settled, hand_on):
     """Rows that are settled, and rows to be compared with those of other tasks."""
-    zero = np.zeros(1, np.uint64)
+    zero = np.zeros(1, other.dtype)
     a, b = np.flatnonzero(settled), np.flatnonzero(hand_on)
     spread = mixed(key[a] + mixed(ids[a].view(np.uint64)))
     return _batch(
         np.concatenate([spread, key[b]]), np.concatenate([ids[a], ids[b]]),
-        (np.concatenate([key[a], np.repeat(zero, len(b))]), np.arange(len(a) + len(b)) < len(a)), np.concatenate([np.repeat(zero, len(a)), other[b]]),
+        (np.concatenate([key[a], key[b]]), np.arange(len(a) + len(b)) < len(a)), np.concatenate([np.repeat(zero, len(a)), other[b]]),
     )
 
 
@@ -94,7 +95,7 @@ def _compared_anchors(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     first = _first_of(key)
     # A run of more than one document.
     run = np.cumsum(first) - 1
-    return _split(key, ids, np.zeros(len(key), np.uint64), (np.bincount(run) > 1)[run] if len(run) else first, first)
+    return _split(key, ids, np.zeros(len(key), np.uint32), (np.bincount(run) > 1)[run] if len(run) else first, first)
 
 
 def _compared_windows(key: np.ndarray, other: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -123,12 +124,21 @@ def _grouped(parts, compare):
 def _anchor_rows(batches):
     def parts():
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_null())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, texts in pieces(utf8(t) for t in batch.column(1).to_pylist()):
                 key, owner, _ = anchors(texts)
                 yield key, ids[start + owner]
 
-    return _grouped(parts(), _compared_anchors)
+    return (b.select(["key", "id", "sure"]) for b in _grouped(parts(), _compared_anchors))
+
+
+def _copies(known: DataFrame) -> DataFrame:
+    """Ids of documents whose whole text an earlier one has, with the texts' hashes (128 bits are compared; no text is shuffled)."""
+    seeds = F.xxhash64("body"), F.xxhash64("body", F.lit(1))
+    hashed = known.where(F.col("body").isNotNull()).select("id", seeds[0].alias("h"), seeds[1].alias("g"))
+    first = hashed.groupBy("h", "g").agg(F.min("id").alias("first"))
+    return hashed.join(first, ["h", "g"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("copies"))
 
 
 def _hits(of: pa.ListArray, i: int) -> np.ndarray:
@@ -191,7 +201,9 @@ def _settled(batches, least: bool):
 
 def _by_id(rows: DataFrame, least: bool) -> DataFrame:
     """The settled hashes of every document; as many as it has itself."""
-    dealt = rows.repartition("key").sortWithinPartitions("key", "other", "id")
+    dealt = rows.repartition("key")
+    dealt = dealt if least else dealt.withColumn("other", F.lit(0))
+    dealt = dealt.sortWithinPartitions("key", "other", "id")
     found = dealt.mapInArrow(lambda x: _settled(x, least), "id bigint, hash bigint")
     return found.groupBy("id").agg(F.collect_set("hash").alias("hits"))
 
@@ -207,18 +219,18 @@ def covered(words: np.ndarray, hits: np.ndarray) -> np.ndarray:
 
 def _cleaned(batches):
     for batch in batches:
-        ids, texts, hits, row = (batch.column(k) for k in range(4))
+        ids, texts, hits, row, copy = (batch.column(k) for k in range(5))
         kept, n, removed = [], [], []
         for i in range(batch.num_rows):
             text = utf8(texts[i].as_py())
             parts = text.split()
             n.append(len(parts))
-            gone = 0
-            if hits[i].is_valid and len(parts) >= WINDOW:
+            if copy[i].is_valid and len(parts) >= WINDOW:
+                parts = []
+            elif hits[i].is_valid and len(parts) >= WINDOW:
                 drop = covered(word_hashes([text])[0], _hits(hits, i))
-                gone = int(drop.sum())
                 parts = [w for w, d in zip(parts, drop.tolist()) if not d]
-            removed.append(gone)
+            removed.append(n[-1] - len(parts))
             kept.append(b" ".join(parts).decode("utf-8"))
         arrays = [row, ids, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "kept", "n_words", "n_removed"])
@@ -228,11 +240,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """``row`` (the other columns), ``id``, ``kept`` (words that stay, joined by one space), n_words and n_removed of every row."""
     on_workers(docs.sparkSession)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), rest.alias("row"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("body"), rest.alias("row"))
     known = own.where(F.col("id").isNotNull())
-    by_anchor = known.select("id", "text").mapInArrow(_anchor_rows, _ROWS)
-    near = known.join(_by_id(by_anchor, False), "id", "left").select("id", "text", "hits").mapInArrow(_window_rows, _ROWS)
-    hits = known.join(_by_id(near, True), "id", "left").select("id", "text", "hits", "row")
-    unknown = own.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<bigint>").alias("hits"), "row")
+    # All joins are on the id and none is a broadcast, so the texts are dealt out once for the three of them.
+    known = known.join(_copies(known).hint("merge"), "id", "left")
+    known = known.withColumn("copy", F.when(F.array_contains("copies", F.xxhash64("body")), True))
+    # All passes read the same columns (and the text under a new name, as an alias that changes nothing is dropped in
+    # some places), or else the texts would be dealt out anew for each.
+    by_anchor = known.select("id", "body", "copy", "row").mapInArrow(_anchor_rows, _ROWS.rpartition(",")[0])
+    near = known.join(_by_id(by_anchor, False).hint("merge"), "id", "left").select("id", "body", "hits", "copy", "row").mapInArrow(_window_rows, _ROWS)
+    hits = known.join(_by_id(near, True).hint("merge"), "id", "left").select("id", "body", "hits", "row", "copy")
+    unknown = own.where(F.col("id").isNull()).select("id", "body", F.lit(None).cast("array<bigint>").alias("hits"), "row", F.lit(None).cast("boolean").alias("copy"))
     schema = f"row {own.schema['row'].dataType.simpleString()}, id bigint, kept string, n_words bigint, n_removed bigint"
     return hits.union(unknown).mapInArrow(_cleaned, schema)
