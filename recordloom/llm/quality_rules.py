@@ -43,8 +43,8 @@ LANGUAGES = list(CLASS_SHARES)
 FIRST, SLOPE = 0.061, 0.8
 #: The words that a text needs for a test to apply. Chance distances shrink as a text gets longer: by the number of
 #: words for the classes, by its root for the words; so do the largest distances that pass.
-CLASS_WORDS, CLASS_LIMIT, CLASS_CHANCE = 20, 0.16, 4.0
-WORD_WORDS, WORD_LIMIT, WORD_CHANCE = 40, 0.13, 1.2
+CLASS_WORDS, CLASS_LIMIT, CLASS_CHANCE = 20, 0.18, 3.0
+WORD_WORDS, WORD_LIMIT, WORD_CHANCE = 40, 0.16, 0.95
 
 
 def word_shares(language: str) -> list[float]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, vectors
 from .common import documents, fold
+from .oracles import ORACLES  # noqa: F401  registered beside the queries
 
 PIECE_BPE = "piece_bpe_32k.model"
 BYTE_BPE, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -72,4 +73,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op9_piece_sampling, op10_toxicity)}
-ORACLES: dict[str, str] = {}
