@@ -36,7 +36,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), limit=512)
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary(), vocabulary(BYTE_BPE_RANKS), limit=512)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

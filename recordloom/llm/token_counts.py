@@ -1,144 +1,83 @@
 """Token counts by a two-tier lookup on the map side.
 
-A text is cut at every single space that stands before a non-space. The pattern of a byte-level vocabulary always
-starts a new pre-token there, so the units between two cuts (one word with its space, punctuation and line ends: a run
-of one or few pre-tokens) are tokenised independently, and their lengths add up.
+Tier one is a compact hash table of the units (see ``units``: words with their space, runs of pre-tokens) that are
+frequent in the corpus, with what they are tokenised to. Every task counts the units of its own documents and hands on
+the most frequent ones only; nothing else is shuffled, and the table that is broadcast has at most ``table_size``
+units. Tier two is a bounded cache in each Python worker; each unit that neither has is tokenised once. The table only
+saves time: the counts don't depend on it.
 
-Tier one is a hash table of the units that are frequent in the corpus, with their lengths. Every task counts the units
-of its own documents and hands on its most frequent ones only; the sums of these short lists are all that is shuffled,
-and the table that is broadcast has at most ``table_size`` units. Tier two is a cache in each Python worker: units
-that the table lacks are tokenised by the library once and remembered until the cache holds ``cache_size`` units. The
-table only saves time; the counts don't depend on it.
-
-Texts with a special string, or in which a space stands before white space of any kind, are tokenised whole.
 Null texts count as empty; a repeated row gives a repeated result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import os
-import re
+import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, on_workers, table
+from .common import kept_by_worker, on_workers, pieces, table, utf8
+from .units import Vocabulary, cut
 
-#: A space before white space, in the widest sense, or at the end: there a text isn't cut but tokenised whole.
-_ODD = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​-‍⁠﻿]|\Z)")
-#: Units of more characters than this are not remembered.
+#: Units of more bytes than this aren't put into the table of frequent ones.
 _LONG = 64
 
 
-class Units:
-    """A vocabulary of the tokenizers library with a bounded cache of what its units give."""
-
-    def __init__(self, path: str, cache_size: int, kind: str):
-        # A task has one core.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache: dict = {}
-        self.cache_size = cache_size
-        self.kind = kind
-
-    def whole(self, texts: list[str]) -> list:
-        """What the library gives for each text: the number of ids, or the ids as bytes of 4 each."""
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        if self.kind == "length":
-            return [len(x) for x in found]
-        import numpy as np
-
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def cut(self, text: str) -> list[str] | None:
-        """The units of a text, without the space that each but the first begins with; None if the text can't be cut."""
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
-
-    def of(self, units: set[str], first: dict) -> dict:
-        """What each unit gives with its space: from the table, from the cache, else from the library."""
-        missing = [u for u in units if u not in first and u not in self.cache]
-        if len(self.cache) + len(missing) > self.cache_size:
-            self.cache.clear()
-            missing = [u for u in units if u not in first]
-        got = {}
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            got.update(zip(some, self.whole([" " + u for u in some])))
-        self.cache.update((u, n) for u, n in got.items() if len(u) <= _LONG)
-        return got
-
-    def batch(self, texts: list[str], first: dict, join) -> list:
-        """What each text gives; ``join`` puts together what its units give."""
-        out: list = [None] * len(texts)
-        cuts = [self.cut(t) if t else [] for t in texts]
-        uncut = [i for i, c in enumerate(cuts) if c is None]
-        for i in uncut:
-            out[i] = self.whole([texts[i]])[0]
-        heads = [i for i, c in enumerate(cuts) if c]
-        for i, got in zip(heads, self.whole([cuts[i][0] for i in heads])):
-            out[i] = got
-        for at in range(0, len(heads), 512):
-            some = heads[at : at + 512]
-            units: set[str] = set()
-            for i in some:
-                units.update(cuts[i][1:])
-            got = self.of(units, first)
-            known = {u: got[u] if u in got else first[u] if u in first else self.cache[u] for u in units}
-            for i in some:
-                out[i] = join([out[i], *map(known.__getitem__, cuts[i][1:])])
-        return out
-
-
-def _lists(path: str, per_task: int, room: int):
-    """The most frequent units of a task's documents; the counts are pruned when there are too many of them."""
+def _lists(per_task: int, room: int):
+    """The most frequent units of a task's documents; rare ones are dropped when there are too many."""
 
     def run(batches):
-        units = kept_by_worker(f"units-length:{path}", lambda: Units(path, room, "length"))
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and (cut := units.cut(text)):
-                    counts.update(cut[1:])
+            for _, texts in pieces(utf8(t) for t in batch.column(0).to_pylist()):
+                data = b"".join(texts)
+                bounds, hashes, _ = cut(texts, [True] * len(texts))
+                _, first, times = np.unique(hashes, return_index=True, return_counts=True)
+                often = np.flatnonzero(times > 2)
+                counts.update({data[bounds[k] : bounds[k + 1]]: int(n) for k, n in zip(first[often].tolist(), times[often].tolist())})
                 if len(counts) > room:
                     counts = Counter(dict(counts.most_common(room // 4)))
         top = [(u, n) for u, n in counts.most_common(per_task) if len(u) <= _LONG]
-        schema = pa.schema([("unit", pa.string()), ("n", pa.int64())])
-        yield table(schema, [u for u, _ in top], [n for _, n in top])
+        yield table(pa.schema([("unit", pa.binary()), ("n", pa.int64())]), [u for u, _ in top], [n for _, n in top])
 
     return run
 
 
-def frequent_units(docs: DataFrame, path: str, table_size: int = 50_000, per_task: int = 8_000, room: int = 200_000, text: str = "text") -> list[str]:
+def frequent_units(docs: DataFrame, table_size: int = 50_000, per_task: int = 8_000, room: int = 200_000, text: str = "text") -> list[bytes]:
     """The units that are frequent in all documents: at most ``table_size``."""
     on_workers(docs.sparkSession)
-    lists = docs.select(F.col(text).cast("string")).mapInArrow(_lists(path, per_task, room), "unit string, n bigint")
+    lists = docs.select(F.col(text).cast("string")).mapInArrow(_lists(per_task, room), "unit binary, n bigint")
     top = lists.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table_size)
-    return [r["unit"] for r in top.collect()]
+    return [bytes(r["unit"]) for r in top.collect()]
+
 
+def token_counts(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text: str = "text", limit: int = 512, table_size: int = 50_000) -> DataFrame:
+    """``id_col``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 512, table_size: int = 50_000, cache_size: int = 300_000) -> DataFrame:
-    """``id_col``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row."""
+    ``path``: the vocabulary's file of the tokenizers library; ``ranks``: the same vocabulary as ranks.
+    """
     spark = on_workers(docs.sparkSession)
-    first = Units(path, 0, "length")
-    frequent = frequent_units(docs, path, table_size, text=text)
-    shared = spark.sparkContext.broadcast(dict(zip(frequent, first.whole([" " + u for u in frequent]))))
+    frequent = spark.sparkContext.broadcast(frequent_units(docs, table_size, text=text))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def made() -> Vocabulary:
+        vocabulary = Vocabulary(path, ranks)
+        vocabulary.learn(frequent.value, 18)
+        return vocabulary
+
+    # Workers keep the tables for later tasks of the same call.
+    key = f"counts:{uuid.uuid4().hex}"
+
     def run(batches):
-        units = kept_by_worker(f"units-length:{path}", lambda: Units(path, cache_size, "length"))
+        vocabulary = kept_by_worker(key, made)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = units.batch(texts, shared.value, sum)
-            sizes = [len(t.encode("utf-8", "replace")) for t in texts]
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array([c or 0 for c in counts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "n_tokens"])
+            texts = [utf8(t) for t in batch.column(1).to_pylist()]
+            counts = pa.array(vocabulary.lengths(texts), pa.int64())
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, counts], names=[id_col, "n_bytes", "n_tokens"])
 
     counted = docs.select(id_col, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
