@@ -5,10 +5,12 @@
 2. Documents with equal sets form a class; the least id stands for it. Copies go no further.
 3. Two classes that share a band's hash are candidates. Of each bucket only the pairs with one pivot are formed: the
    member that meets most others, so the likely original of a group of edited copies.
-4. Pairs whose signatures agree in far fewer places than the similarity asks for (six standard deviations) are
+4. Pairs whose signatures agree in far fewer places than the similarity asks for (4.5 standard deviations) are
    left out; the others are compared on full sets. What passes is a link.
-5. Components by large-star and small-star. Where a bucket still holds several components, all pairs across
-   them are verified as in 4, so no link between components is lost. Inside one component no pair can change anything.
+5. Components by large-star and small-star. Where a bucket still holds several components, the pairs across them are
+   walked inside tasks, block against block, on sets of short hashes that bound the similarity from above; what may be
+   a link is compared on full sets, so no link between components is lost. Inside one component no pair can change
+   anything.
 
 With 48 bands of 6 rows a pair of similarity 0.8 misses all bands with probability 5e-7.
 
@@ -95,6 +97,12 @@ def signatures(docs: DataFrame, id_col: str, text: str, size: int, bands: int, r
     return docs.select(F.col(id_col).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
+def _least_agreeing(hashes: int, percent: int) -> int:
+    """In fewer places than these, signatures of similar sets agree once in 300,000 times (4.5 standard deviations)."""
+    share = percent / 100
+    return int(hashes * (share - 4.5 * (share * (1 - share) / hashes) ** 0.5))
+
+
 def _agreeing(batches, least: int):
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
@@ -102,6 +110,63 @@ def _agreeing(batches, least: int):
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
 
+def _groups(batches, columns: tuple[str, ...]):
+    """Rows of equal columns, from batches that are sorted by them."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        keys = [rows.column(c).to_numpy() for c in columns]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        starts = [0, *new.tolist()]
+        for x, y in zip(starts, starts[1:]):
+            yield rows.slice(x, y - x)
+        held = rows.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _folded(batches):
+    """Shingle sets as 16-bit hashes."""
+    for batch in batches:
+        sets = batch.column(1)
+        small = [sets[i].values.to_numpy().view(np.uint64).astype("<u2").tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["id", "small"])
+
+
+def _across(batches, percent: int):
+    """Of two blocks of a bucket, the pairs of different components that may be similar.
+
+    How many of a set's 16-bit hashes another set has is never less than what they share, so no link is lost.
+    """
+    for rows in _groups(batches, ("key", "one", "two")):
+        block, one, two, ids, c = (rows.column(x).to_numpy() for x in ("block", "one", "two", "id", "c"))
+        right = np.flatnonzero(block == two[0])
+        sets = [np.frombuffer(x, "<u2") for x in rows.column("small").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        flat = np.concatenate([sets[j] for j in right])
+        starts = np.cumsum(n[right]) - n[right]
+        has = np.zeros(1 << 16, bool)
+        found = []
+        for i in np.flatnonzero(block == one[0]):
+            fits = (c[right] != c[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)
+            if one[0] == two[0]:
+                fits &= ids[right] > ids[i]
+            if not fits.any():
+                continue
+            has[sets[i]] = True
+            at = np.flatnonzero(fits)
+            if len(at) * 3 > len(right):
+                both = np.add.reduceat(has[flat], starts, dtype=np.int64)[at]
+            else:
+                both = np.array([has[sets[right[k]]].sum() for k in at])
+            has[sets[i]] = False
+            near = right[at[both * (100 + percent) >= percent * (n[right[at]] + n[i])]]
+            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _linked(batches, percent: int):
     for batch in batches:
         left, right = (batch.column(k) for k in (2, 3))
@@ -129,15 +194,37 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, size: int) ->
     return some.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, hashes: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    share = percent / 100
-    least = int(hashes * (share - 6 * (share * (1 - share) / hashes) ** 0.5))
-    low = nodes.select("id", "low", "n_shingles")
-    of = lambda side: low.select(F.col("id").alias(side), F.col("low").alias(f"low_{side}"), F.col("n_shingles").alias(f"n_{side}"))
+def _alike(pairs: DataFrame, nodes: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough."""
+    least = _least_agreeing(hashes, percent)
+    of = lambda side: nodes.select(F.col("id").alias(side), F.col("low").alias(f"low_{side}"), F.col("n_shingles").alias(f"n_{side}"))
     sized = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    near = sized.select("a", "b", "low_a", "low_b").mapInArrow(lambda x: _agreeing(x, least), "a bigint, b bigint")
-    near = cut(near.distinct(), "near")
+    return sized.select("a", "b", "low_a", "low_b").mapInArrow(lambda x: _agreeing(x, least), "a bigint, b bigint").distinct()
+
+
+def _linked_across(members: DataFrame, found: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, block: int = 2000) -> DataFrame:
+    """In buckets that hold several components, the links (a, b) across them.
+
+    The pairs are walked block against block inside tasks, and only those that may be links come out.
+    """
+    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
+    # Buckets of the same members need one walk.
+    once = several.where("lo < hi").groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = cut(placed.join(once, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "split")
+    sets = _sets(docs, rows.select("id").distinct(), id_col, text, size)
+    small = sets.mapInArrow(_folded, "id bigint, small binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    rows = rows.join(small, "id").select("key", "one", "two", "block", "id", "c", "small")
+    dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    near = dealt.mapInArrow(lambda x: _across(x, percent), "a bigint, b bigint").distinct()
+    return verified(near, docs, id_col, text, size, percent)
+
+
+def verified(near: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    near = cut(near, "near")
     ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     sets = cut(_sets(docs, ids, id_col, text, size), "sets")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -172,17 +259,10 @@ def near_duplicates(
     shared = keyed.groupBy("key").agg((F.count("*") - 1).alias("others")).where("others > 0")
     members = cut(keyed.join(shared, "key").distinct(), "buckets")
 
-    check = lambda pairs: verified(pairs, nodes, docs, id_col, text, size, percent, bands * rows)
     copies = member.where("id > node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    links = cut(check(_pivots(members)), "linked")
+    links = verified(_alike(_pivots(members), nodes, percent, bands * rows), docs, id_col, text, size, percent)
     found = components(links.union(copies), "a", "b")
-    # Buckets that still hold several components.
-    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(placed.join(split, "key", "left_semi"), "split")
-    right = open_.select("key", F.col("id").alias("id_"), F.col("c").alias("c_"))
-    across = open_.join(right, "key").where("id < id_ and c <> c_")
-    more = cut(check(_pairs(across, F.col("id"), F.col("id_"))), "across")
+    more = cut(_linked_across(members, found, docs, id_col, text, size, percent), "across")
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
     out = signed.select(F.col("id").alias(id_col), "n_shingles").join(found.withColumnRenamed("id", id_col), id_col, "left")
