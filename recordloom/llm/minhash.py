@@ -190,7 +190,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, size: int) ->
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.ListArray.from_arrays(ends, flat)], names=["id", "shingles"])
 
-    some = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+    # The list of ids grows with the data: it is never broadcast, so the plan is the same at every size.
+    some = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
     return some.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
