@@ -2,7 +2,7 @@
 
 A word is the mean of the vectors of its character n-grams (3 to 5 characters with word marks, hashed to a fixed
 number of rows), so a misspelt or inflected word that was never seen shares most of them. A bag is a run of ``window``
-words, the mean of its words; two linear outputs and a softmax say how toxic it is. A text counts as toxic as its worst
+words of the text, repeated ones included, the mean of its words; two linear outputs and a softmax say how toxic it is. A text counts as toxic as its worst
 bag, so length doesn't dilute it. In training, the bag of each text that scores highest stands for it and is chosen
 anew in every step. A logistic curve fitted on training texts that the vectors haven't seen turns the best bag's margin into the score.
 
@@ -93,7 +93,7 @@ def fit(sample: list[tuple[bytes, int]], s: Settings | None = None) -> Model:
     part = np.array(part)
     y = np.array([y for _, y in sample], float)
     words: dict[bytes, int] = {}
-    docs = [[words.setdefault(w, len(words)) for w in dict.fromkeys(text.split())] for text, _ in sample]
+    docs = [[words.setdefault(w, len(words)) for w in text.split()] for text, _ in sample]
     grams_of, at = _ragged([grams(w, s.buckets) for w in words])
     # Rows that few texts have can only be learnt by heart; they stay zero.
     texts_with = np.zeros(s.buckets, np.int64)
@@ -171,14 +171,15 @@ class Scorer:
         return float(self.model.rows[grams(w, len(self.model.rows))].mean())
 
     def score(self, text: bytes) -> float:
-        words = list(dict.fromkeys(text.split()))
+        words = text.split()
         if not words or self.model.key == "none":
             return self.lowest
         m, cache = self.model, self.cache
-        fresh = {w for w in words if w not in cache}
+        distinct = set(words)
+        fresh = {w for w in distinct if w not in cache}
         if len(cache) + len(fresh) > self.cache_size:
             cache.clear()
-            fresh = set(words)
+            fresh = distinct
         cache.update((w, self.word(w)) for w in fresh)
         values = np.fromiter(map(cache.__getitem__, words), float, len(words))
         if len(values) <= m.window:

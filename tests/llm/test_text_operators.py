@@ -449,6 +449,29 @@ def test_toxicity():
     assert toxicity.Scorer(nothing).score(b"x") == 0
 
 
+def test_toxicity_of_repeated_words():
+    model = toxicity.Model(np.zeros(1 << 16), -1.0, (1.0, 0.0), 12, "test")
+    bad = [f"grumblefex{c}".encode() for c in "abcdefghijkl"]
+    for w in bad:
+        model.rows[toxicity.grams(w, 1 << 16)] = 12.0
+    scorer = toxicity.Scorer(model)
+    rng = random.Random(3)
+    plain = [w.encode() for w in _words(rng, 4000, "uvwyz")]
+    for i, w in enumerate(bad):
+        plain[300 * i + 50] = w  # each singly, among harmless words
+    assert scorer.score(b" ".join(plain)) < 0.6 and scorer.score(b" ".join(plain + bad + plain[100:200])) > 0.99
+    assert scorer.score(b" ".join(plain[60:300] + bad[:1] * 12)) > 0.99  # one word again and again
+    # In training as well: the toxic texts have the words of the others, in runs.
+    def text(toxic):
+        w = [rng.choice(["red", "blue", "green", "cyan", "pink", "grey"]) for _ in range(60)]
+        if toxic:
+            w[30:42] = ["pink"] * 12
+        return " ".join(w).encode()
+
+    scorer = toxicity.Scorer(toxicity.fit([(text(y), y) for y in (0, 1) for _ in range(300)]))
+    assert np.mean([scorer.score(text(1)) > scorer.score(text(0)) for _ in range(60)]) > 0.9
+
+
 def test_classifiers_on_odd_tables(spark, docs, texts, none):
     labels = spark.createDataFrame([(k, k % 2, (k + 1) % 2) for k in range(60)] + [(1, 0, 1), (2, None, None), (None, 1, 1), (9999, 1, 0)], "doc_id bigint, quality int, toxic int")
     for train, scored in ((line_crf.train, line_crf.scored), (toxicity.train, toxicity.scored)):
