@@ -1,15 +1,16 @@
 """Masked pseudo-likelihood: every word is predicted from the words on both sides, and the log-probabilities add up.
 
-Words (runs of other bytes than white space, A-Z lower-cased) are numbered by how frequent they are in all documents; the
-rest falls into ``buckets`` by hash. The network looks at two words before and two after: a table of vectors for each
+Words (runs of other bytes than white space, A-Z lower-cased) are all counted, and the known ones numbered by how
+frequent they are in all documents; the rest falls into ``buckets`` by hash. Both and the number of classes grow with the
+square root of the number of distinct words. The network looks at two words before and two after: a table of vectors for each
 of the four places, their sum through a tanh, and a softmax over word classes. The most frequent words are a class of
 their own, the others share one with the words of their bucket. A word's probability is that of its class in its
-context times its share of the class in the corpus.
+context times its share of the class in the corpus; words of a bucket share its mass evenly.
 
 Training, in numpy, goes over all documents in ``rounds`` disjoint parts. Every eighth word (by a hash of place and
 length) is masked, so a document's loss grows with its length. Each task trains on its own documents from the
 weights of the last round; Spark averages the tasks' weights, by the number of words that each saw. What a
-round gathers grows with the input, and the driver only ever holds one model, whose size is fixed.
+round gathers grows with the input, and the driver only ever holds one model.
 
 Null, empty and blank texts have no words: log-likelihood 0, no mean. A repeated row is scored twice alike; other columns
 are not looked at. On an empty table the untrained network is used for nothing.
@@ -17,6 +18,7 @@ are not looked at. On an empty table the untrained network is used for nothing.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.snapshots import cut
 from .common import mixed, on_workers, pieces, utf8, word_hashes
 
 PLACES = (-2, -1, 1, 2)
@@ -43,6 +46,11 @@ class Words:
     def size(self) -> int:
         return len(self.classes)
 
+    @property
+    def kinds(self) -> int:
+        """The number of classes; the last bucket's is the last of them."""
+        return int(self.classes[-1]) + 1
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         bucket = len(self.hashes) + (hashes % np.uint64(self.buckets)).astype(np.int64)
         if not len(self.hashes):
@@ -51,56 +59,64 @@ class Words:
         return np.where(self.hashes[at] == hashes, self.number[at], bucket)
 
 
-def _counts(per_task: int, room: int, buckets: int):
-    """A task's most frequent words, and words by bucket (with hash null)."""
+def _counts(room: int):
+    """A task's words and how often each occurs; what exceeds ``room`` is handed on in parts, so a word may come twice."""
 
     def run(batches):
-        keys, times, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(buckets, np.int64)
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def merged(k, n):
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-            return k[first], np.add.reduceat(n, first) if len(first) else n
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["hash", "n"])
 
         for batch in batches:
             for _, texts in pieces(utf8(t) for t in batch.column(0).to_pylist()):
-                hashes, _ = word_hashes(texts, lower=True)
-                total += np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-                k, n = np.unique(hashes, return_counts=True)
-                keys, times = np.concatenate([keys, k[n > 1]]), np.concatenate([times, n[n > 1]])
+                k, n = np.unique(word_hashes(texts, lower=True)[0], return_counts=True)
+                k, n = np.concatenate([keys, k]), np.concatenate([times, n])
+                order = np.argsort(k, kind="stable")
+                k, n = k[order], n[order]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+                keys, times = k[first], np.add.reduceat(n, first) if len(first) else n
                 if len(keys) > room:
-                    keys, times = merged(keys, times)
-                    if len(keys) > room // 2:
-                        top = np.argsort(-times, kind="stable")[: room // 4]
-                        keys, times = keys[top], times[top]
-        keys, times = merged(keys, times)
-        top = np.argsort(-times, kind="stable")[:per_task]
-        k = pa.concat_arrays([pa.array(keys[top].view(np.int64)), pa.nulls(buckets, pa.int64())])
-        yield pa.RecordBatch.from_arrays(
-            [k, pa.concat_arrays([pa.nulls(len(top), pa.int64()), pa.array(np.arange(buckets))]), pa.array(np.concatenate([times[top], total]))],
-            names=["hash", "bucket", "n"],
-        )
+                    yield table()
+                    keys, times = keys[:0], times[:0]
+        yield table()
 
     return run
 
 
-def words(docs: DataFrame, text: str, known: int = 1000, alone: int = 64, buckets: int = 64, per_task: int = 20_000) -> Words:
-    """Number the words of all documents; the ``alone`` most frequent ones are classes of their own."""
+def _bucket(buckets: int):
+    """The hash, read as unsigned, modulo ``buckets``."""
+    high, low = F.shiftrightunsigned("hash", 32), F.col("hash").bitwiseAND(F.lit((1 << 32) - 1))
+    return F.pmod(high % buckets * ((1 << 32) % buckets) + low % buckets, F.lit(buckets))
+
+
+def words(docs: DataFrame, text: str, known: int | None = None, alone: int | None = None, buckets: int | None = None, room: int = 400_000) -> Words:
+    """Number the words of all documents; the ``alone`` most frequent ones are classes of their own.
+
+    What isn't given grows with the square root of the number of distinct words.
+    """
     on_workers(docs.sparkSession)
-    lists = docs.select(F.col(text).cast("string")).mapInArrow(_counts(per_task, 400_000, buckets), "hash bigint, bucket bigint, n bigint")
-    counted = lists.groupBy("hash", "bucket").agg(F.sum("n").alias("n"))
-    rows = counted.where("hash is not null").orderBy(F.desc("n"), "hash").limit(known).collect()
-    mass = np.ones(buckets)
-    for r in counted.where("hash is null").collect():  # one row a bucket
+    lists = docs.select(F.col(text).cast("string")).mapInArrow(_counts(room), "hash bigint, n bigint")
+    counted = cut(lists.groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    root = math.isqrt(counted.count())
+    known = max(1000, 4 * root) if known is None else known
+    alone = max(64, root // 4) if alone is None else alone
+    buckets = max(64, root // 4) if buckets is None else buckets
+    rows = counted.orderBy(F.desc("n"), "hash").limit(known).toArrow()
+    # Of words that aren't known, one more that was never seen is reckoned with in each bucket.
+    mass, distinct = np.ones(buckets), np.ones(buckets)
+    for r in counted.groupBy(_bucket(buckets).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # one row a bucket
         mass[r["bucket"]] += r["n"]
-    hashes = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in rows], float)
+        distinct[r["bucket"]] += r["words"]
+    hashes = rows.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    n = rows.column("n").to_numpy().astype(float)
     of = (hashes % np.uint64(buckets)).astype(np.int64)
-    mass = np.maximum(mass - np.bincount(of, n, buckets), 1.0)
+    mass -= np.bincount(of, n, buckets)
+    distinct -= np.bincount(of, minlength=buckets)
     classes = np.concatenate([np.where(np.arange(len(n)) < alone, np.arange(len(n)), alone + of), alone + np.arange(buckets)])
     weight = np.concatenate([n, mass])
     share = np.log(weight / np.bincount(classes, weight, alone + buckets)[classes])
+    share[len(n) :] -= np.log(distinct)  # a bucket's mass is that of all its words
     order = np.argsort(hashes)
     return Words(hashes[order], order, classes, share, buckets)
 
@@ -115,8 +131,8 @@ class Network:
             weights = np.random.default_rng(29).normal(0, 0.1, self.ends[-1])
             weights[self.ends[2] :] = 0
         self.weights = weights.astype(np.float32)
-        self.squares = np.full(len(self.weights), 1e-2, np.float32)
         self.place, self.out, self.bias = (self.weights[a:b].reshape(s) for a, b, s in zip(self.ends, self.ends[1:], self.shapes))
+        self.place_squares, self.out_squares, self.bias_squares = (np.full(s, 1e-2, np.float32) for s in self.shapes)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.place[0][context[0]]
@@ -137,16 +153,18 @@ class Network:
         d[np.arange(len(target)), target] -= 1
         d /= len(target)
         back = (d @ self.out.T) * (1 - h * h)
-        grad = np.zeros_like(self.weights)
-        g_place, g_out, g_bias = (grad[a:b].reshape(s) for a, b, s in zip(self.ends, self.ends[1:], self.shapes))
-        g_out[:], g_bias[:] = h.T @ d, d.sum(0)
+        g_out, g_bias = h.T @ d, d.sum(0)
         for k in range(len(PLACES)):
             order = np.argsort(context[k], kind="stable")
             c = context[k][order]
             first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            g_place[k][c[first]] = np.add.reduceat(back[order], first)
-        self.squares += grad * grad
-        self.weights -= rate * grad / np.sqrt(self.squares)
+            grad, rows = np.add.reduceat(back[order], first), c[first]  # all other rows stay as they are
+            seen = self.place_squares[k, rows] + grad * grad
+            self.place_squares[k, rows] = seen
+            self.place[k, rows] -= rate * grad / np.sqrt(seen)
+        for value, squares, grad in ((self.out, self.out_squares, g_out), (self.bias, self.bias_squares, g_bias)):
+            squares += grad * grad
+            value -= rate * grad / np.sqrt(squares)
 
 
 def _contexts(numbers: np.ndarray, owner: np.ndarray, texts: int, none: int) -> np.ndarray:
@@ -183,12 +201,12 @@ def _trained(vocabulary, start, classes: int, width: int, rate: float, batch_siz
     return run
 
 
-def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rounds: int = 2, width: int = 24, rate: float = 0.1, alone: int = 64, buckets: int = 64):
+def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rounds: int = 2, width: int = 24, rate: float = 0.1, alone: int | None = None, buckets: int | None = None):
     """(words, weights) of a network that has seen all documents once."""
     spark = on_workers(docs.sparkSession)
     vocabulary = words(docs, text, alone=alone, buckets=buckets)
     shared = spark.sparkContext.broadcast(vocabulary)
-    classes = alone + buckets
+    classes = vocabulary.kinds
     weights = Network(vocabulary.size, classes, width).weights
     turn = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(rounds))
     for k in range(rounds):
@@ -221,7 +239,7 @@ def log_likelihoods(texts: list[bytes], w: Words, net: Network) -> tuple[np.ndar
     return total, counts
 
 
-def scored(docs: DataFrame, model, id_col: str = "doc_id", text: str = "text", width: int = 24, classes: int = 128) -> DataFrame:
+def scored(docs: DataFrame, model, id_col: str = "doc_id", text: str = "text", width: int = 24) -> DataFrame:
     """``id_col``, n_words, log_likelihood (a sum), mean_log_likelihood and perplexity of every row's whole text."""
     spark = on_workers(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -229,7 +247,7 @@ def scored(docs: DataFrame, model, id_col: str = "doc_id", text: str = "text", w
 
     def run(batches):
         w, weights = shared.value
-        net = Network(w.size, classes, width, weights)
+        net = Network(w.size, w.kinds, width, weights)
         for batch in batches:
             total, counts = log_likelihoods([utf8(t) for t in batch.column(1).to_pylist()], w, net)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(total)], names=[id_col, "n_words", "log_likelihood"])

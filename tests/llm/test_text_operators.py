@@ -387,6 +387,36 @@ def test_language_model(spark, texts, docs, none):
     assert lm.scored(none, lm.train(none)).count() == 0
 
 
+def _hash_of(*some):
+    return common.word_hashes([" ".join(some).encode()], lower=True)[0]
+
+
+def test_all_words_are_counted(spark):
+    rows = [(k, " ".join([f"w{k}x{i}" for i in range(2000)] + ["once", "More", "more"])) for k in range(40)]
+    w = lm.words(_frame(spark, rows, 40), "text")  # "once" is never seen twice in a task
+    assert w.of(_hash_of("more", "once")).tolist() == [0, 1]
+    assert len(w.hashes) == 4 * math.isqrt(80_002) and w.kinds == 2 * (math.isqrt(80_002) // 4)  # both grow
+    every = np.concatenate([_hash_of(*(f"w{k}x{i}" for i in range(2000))) for k in range(40)] + [_hash_of("once", "more")])
+    numbers = w.of(every)
+    total = np.bincount(w.classes[numbers], np.exp(w.share[numbers]), w.kinds)
+    own = np.arange(w.kinds) < w.kinds - w.buckets
+    unseen = np.exp(w.share[len(w.hashes) :])
+    assert np.allclose(total[own], 1) and np.allclose(total[~own] + unseen, 1)  # one unseen word a bucket
+    # A word that was never seen is no likelier than a rare one of its class that is known.
+    rare = numbers[(numbers < len(w.hashes)) & (w.classes[numbers] >= w.kinds - w.buckets)]
+    assert len(rare) and (w.share[len(w.hashes) + w.classes[rare] - (w.kinds - w.buckets)] <= w.share[rare] + 1e-9).all()
+    small = lm.words(_frame(spark, rows, 2), "text", known=50, alone=8, buckets=7, room=3000)  # handed on in parts
+    assert len(small.hashes) == 50 and small.of(_hash_of("more", "once")).tolist() == [0, 1]
+    of = (every % np.uint64(7)).astype(int)
+    times = np.ones(len(every))
+    times[-2:] = 40, 80
+    assert np.isclose(np.exp(small.share[0]), 1)
+    unknown = small.of(every) >= 50
+    mass = 1 + np.bincount(of[unknown], times[unknown], 7)
+    known = np.bincount(of[~unknown & (small.of(every) >= 8)], minlength=7)
+    assert np.allclose(np.exp(small.share[50:]), mass / (mass + known) / (1 + np.bincount(of[unknown], minlength=7)))
+
+
 def _good(rng):
     return "\n".join(" ".join(_words(rng, rng.randint(6, 14))).capitalize() + "." for _ in range(rng.randint(1, 8)))
 
