@@ -7,8 +7,8 @@ of the four places, their sum through a tanh, and a softmax over word classes. T
 their own, the others share one with the words of their bucket. A word's probability is that of its class in its
 context times its share of the class in the corpus; words of a bucket share its mass evenly.
 
-Training, in numpy, goes over all documents in ``rounds`` disjoint parts. Every eighth word (by a hash of place and
-length) is masked, so a document's loss grows with its length. Each task trains on its own documents from the
+Training, in numpy, goes over all documents in ``rounds`` disjoint parts. Every word of a document is masked once, so a
+document's loss grows with its length. Each task trains on its own documents from the
 weights of the last round; Spark averages the tasks' weights, by the number of words that each saw. What a
 round gathers grows with the input, and the driver only ever holds one model.
 
@@ -149,7 +149,10 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean log-probability of the targets."""
         h = self.hidden(context)
-        d = np.exp(self.logs(h))
+        d = h @ self.out + self.bias
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True)
         d[np.arange(len(target)), target] -= 1
         d /= len(target)
         back = (d @ self.out.T) * (1 - h * h)
@@ -185,12 +188,9 @@ def _trained(vocabulary, start, classes: int, width: int, rate: float, batch_siz
                 hashes, owner = word_hashes(texts, lower=True)
                 numbers = w.of(hashes)
                 context = _contexts(numbers, owner, len(texts), w.size)
-                place = np.arange(len(numbers)) - np.searchsorted(owner, owner)
-                size = np.bincount(owner, minlength=len(texts))[owner]
-                masked = np.flatnonzero(mixed((place + (size << 32)).astype(np.uint64)) % np.uint64(8) == 0)
-                masked = masked[np.argsort(mixed(masked.astype(np.uint64)))]  # neighbours apart
-                for i in range(0, len(masked), batch_size):
-                    some = masked[i : i + batch_size]
+                order = np.argsort(mixed(np.arange(len(numbers), dtype=np.uint64)))  # neighbours apart
+                for i in range(0, len(order), batch_size):
+                    some = order[i : i + batch_size]
                     net.step(context[:, some], w.classes[numbers[some]], rate)
                     seen += len(some)
         if seen:
@@ -202,7 +202,7 @@ def _trained(vocabulary, start, classes: int, width: int, rate: float, batch_siz
 
 
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rounds: int = 2, width: int = 24, rate: float = 0.1, alone: int | None = None, buckets: int | None = None):
-    """(words, weights) of a network that has seen all documents once."""
+    """(words, weights) of a network that every word of all documents has been a target of once."""
     spark = on_workers(docs.sparkSession)
     vocabulary = words(docs, text, alone=alone, buckets=buckets)
     shared = spark.sparkContext.broadcast(vocabulary)

@@ -8,8 +8,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,6 +419,20 @@ def test_all_words_are_counted(spark):
     assert np.allclose(np.exp(small.share[50:]), mass / (mass + known) / (1 + np.bincount(of[unknown], minlength=7)))
 
 
+def test_every_word_is_a_target(monkeypatch):
+    texts = ["", None, "a b", "b a", "one", " ".join(_words(random.Random(2), 3000))]
+    hashes = np.unique(common.word_hashes([common.utf8(t) for t in texts])[0])
+    numbered = lm.Words(hashes, np.arange(len(hashes)), np.append(np.arange(len(hashes)), len(hashes)), np.zeros(len(hashes) + 1), 1)
+    targets = Counter()
+    step = lm.Network.step
+    monkeypatch.setattr(lm.Network, "step", lambda self, context, target, rate: (targets.update(target.tolist()), step(self, context, target, rate))[1])
+    start = lm.Network(numbered.size, numbered.kinds, 4).weights
+    run = lm._trained(mock.Mock(value=numbered), mock.Mock(value=start), numbered.kinds, 4, 0.1, batch_size=64)
+    out = list(run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    every = numbered.of(common.word_hashes([common.utf8(t) for t in texts])[0])
+    assert targets == Counter(every.tolist()) and out[0].column(1)[0].as_py() == len(every) == 3005
+
+
 def _good(rng):
     return "\n".join(" ".join(_words(rng, rng.randint(6, 14))).capitalize() + "." for _ in range(rng.randint(1, 8)))
 
