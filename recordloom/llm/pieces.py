@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding, with sampled segmentations by Gumbel top-k without replacement.
 
-``encoded`` and ``decoded`` are the library's own. ``sampled`` draws, for every row, distinct segmentations of its whole
+``encoded`` and ``decoded`` are the library's own, over frames, and ``round_trip`` is by the library. ``sampled`` draws, for every row, distinct segmentations of its whole
 text, as if all segmentations had been given Gumbel noise and the k highest were taken. A text's lattice has too many
 paths for that, so an A-star search goes through regions of it, from the top down: a region's highest perturbed score
 is drawn first, as one Gumbel variable at the log of the region's mass, and when the region is split, one part inherits
@@ -351,17 +351,43 @@ def top_segmentations(texts: list[str], keys: list[int], k: int, model: Model) -
     return [run.samples(i) for i in range(len(texts))]
 
 
-def _runs(texts: list[str]):
+def _runs(texts: list, of=len):
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > _RUN:
+        if size and size + of(t) > _RUN:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += of(t)
     if start < len(texts):
         yield start, len(texts)
 
 
+def _with(frame: DataFrame, path: str, column: str, into: str, kind: str, size, make) -> DataFrame:
+    """The frame with one more column, which ``make`` fills from a list of values; ``size`` says how much a value counts."""
+    on_workers(frame.sparkSession)
+    schema = frame.select("*", F.lit(None).cast(kind).alias(into)).schema
+
+    def run(batches):
+        model = kept_by_worker(f"pieces:{path}", lambda: Model(path))
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            for a, b in _runs(values, size):
+                new = pa.array(make(model, values[a:b]), pa.string() if kind == "string" else pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, new], names=[*batch.schema.names, into])
+
+    return frame.mapInArrow(run, schema)
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """The frame with the ids of the library's best segmentation of every row's whole text; a null text is empty."""
+    return _with(docs, path, text, into, "array<int>", lambda t: len(t or ""), lambda model, some: model.encoded([t or "" for t in some]))
+
+
+def decoded(frame: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """The frame with the text that the library decodes every row's ids to; null ids are none."""
+    return _with(frame, path, ids, into, "string", lambda i: len(i or ()), lambda model, some: model.decoded([i or [] for i in some]))
+
+
 def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 1, key_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``key_col``, sample (from 1), ids, log_probability, perturbed, log_inclusion and round_trip of up to k segmentations of every row."""
     on_workers(docs.sparkSession)
@@ -374,8 +400,8 @@ def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 1, key_col: str
             for a, b in _runs(every):
                 texts, rows = every[a:b], []
                 for i, drawn in enumerate(top_segmentations(texts, batch.column(1).slice(a, b - a).to_pylist(), k, model)):
-                    own = texts[i].encode("utf-8", "replace")
-                    rows += [(a + i, n, ids, logp, score, inclusion, model.spelt(ids.tolist()) == own) for n, (logp, score, inclusion, ids) in enumerate(drawn, 1)]
+                    texts_of = model.decoded([ids.tolist() for *_, ids in drawn])
+                    rows += [(a + i, n, ids, logp, score, inclusion, back == texts[i]) for n, ((logp, score, inclusion, ids), back) in enumerate(zip(drawn, texts_of), 1)]
                 flat = np.concatenate([r[2] for r in rows]).astype(np.int32)
                 ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
                 arrays = [

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import common, line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, units
 from recordloom.llm.components import components
-from recordloom.llm.queries import BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE, vocabulary
+from recordloom.llm.queries import BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE, QUERIES, vocabulary
 
 # Names that the operators use for themselves.
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, row string, key string, score string, kept int"
@@ -361,6 +361,20 @@ def test_piece_sampling(docs, texts, none):
     assert pieces.sampled(none, path).count() == 0
 
 
+def test_pieces_of_documents(spark, docs, texts, tmp_path):
+    path = vocabulary(PIECE_BPE)
+    model = pieces.Model(path)
+    back = pieces.decoded(pieces.encoded(docs, path, into="ids_"), path, ids="ids_", into="decoded_").collect()
+    assert len(back) == len(texts) and all(r["ids_"] == model.encoded([r["text"] or ""])[0] and r["decoded_"] == (r["text"] or "") for r in back)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_piece_sampling"](spark, str(tmp_path)).collect()
+    best = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["ids"]) for r in got if r["sample"] == 0)
+    assert best == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["ids_"]) for r in back)
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in got)
+    drawn = pieces.sampled(docs, path, k=2).collect()
+    assert _by_id(drawn, "doc_id", "sample", "ids") == _by_id([r for r in got if r["sample"]], "doc_id", "sample", "ids")
+
+
 def test_language_model(spark, texts, docs, none):
     rng = random.Random(5)
     follow = {w: rng.choice("bcdefghij") for w in "abcdefghij"}
