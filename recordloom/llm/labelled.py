@@ -6,27 +6,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.snapshots import cut
+
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int, max_bytes: int, seed: int = 11) -> list[tuple[bytes, int]]:
-    """Texts and labels of at most ``per_class`` documents of either class, the first by a hash of their id.
+    """Texts and labels of at most ``per_class`` documents of either class, of those that have a fitting text the first by a hash of their id.
 
     Only rows for which ``train`` holds are looked at; an id that labels name twice counts with its smaller label.
     Longer texts than ``max_bytes`` don't take part in fitting, so the sample has a proven size.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     order = F.xxhash64("doc_id", F.lit(seed))
-    # Somewhat more than needed: some ids may be without a document or have a long text.
-    chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class * 5 // 4 + 10) for y in (0, 1)]
+    fit = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    # Only ids that have such a text are chosen from.
+    there = cut(fit.select("doc_id").join(known, "doc_id").distinct(), "labelled")
+    chosen = [there.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     texts = (
-        docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-        .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # as many rows as asked for
+        fit.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # as many rows as asked for
         .groupBy("doc_id", "y")
         .agg(F.min(F.col("text").cast("string")).alias("text"))
     )
     rows = texts.orderBy(order, "doc_id").collect()
     out: list[tuple[bytes, int]] = []
     for y in (0, 1):
-        out += [(r["text"].encode("utf-8", "replace"), y) for r in rows if r["y"] == y][:per_class]
+        out += [(r["text"].encode("utf-8", "replace"), y) for r in rows if r["y"] == y]
     return out
 
 

@@ -156,12 +156,19 @@ def _quality(p: np.ndarray, size: np.ndarray, owner: np.ndarray, texts: int) ->
     return np.bincount(owner, p * size, texts) / np.maximum(np.bincount(owner, size, texts), 1)
 
 
-def fit(sample: list[tuple[bytes, int]], steps: int = 120, rate: float = 0.08, ridge: float = 1e-4, max_lines: int = 200) -> Model:
-    """Fit on the texts of a bounded sample; of a text with more than ``max_lines`` lines, the first so many."""
+def fit(sample: list[tuple[bytes, int]], steps: int = 120, rate: float = 0.08, ridge: float = 1e-4, most_lines: int = 300_000) -> Model:
+    """Fit on the whole texts of a bounded sample: of either class, those that fit into ``most_lines`` lines, in their order."""
+    room, whole = {0: most_lines, 1: most_lines}, []
+    for t, y in sample:
+        lines = t.count(b"\n") + 1
+        if lines <= room[y]:
+            room[y] -= lines
+            whole.append((t, y))
+    sample = whole
     good = [y for _, y in sample]
     if len(set(good)) < 2:
         return Model(np.zeros(0), np.zeros((2, 2)), np.zeros(0), np.ones(0), (), float(np.mean(good)) if good else 1.0)
-    texts = [b"\n".join(t.split(b"\n")[:max_lines]) for t, _ in sample]
+    texts = [t for t, _ in sample]
     label = np.array(good)
     own, size, owner = line_features(texts)
     x = with_neighbours(own, owner)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import common, line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, units
+from recordloom.llm import common, labelled, line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, units
 from recordloom.llm.components import components
 from recordloom.llm.queries import BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE, QUERIES, vocabulary
 
@@ -540,6 +540,25 @@ def test_classifiers_on_odd_tables(spark, docs, texts, none):
         assert scored(none, train(none, labels.limit(0), F.lit(True)), into="score_").count() == 0
 
 
+def test_labelled_sample_is_full_where_ids_are_missing(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id bigint, toxic int")
+    rows = [(k, "x" * 50 if k % 200 < 20 else f"text {k}") for k in range(4000) if k % 100 < 20]  # most have no document, some a long one
+    sample = labelled.labelled_texts(_frame(spark, rows), labels, "toxic", F.lit(True), 30, 40)
+    assert Counter(y for _, y in sample) == {0: 30, 1: 30}
+    assert all(int(t.split()[1]) % 2 == y for t, y in sample) and len({t for t, _ in sample}) == 60
+
+
+def test_lines_beyond_the_first_are_fitted_on(monkeypatch):
+    given = []
+    features = line_crf.line_features
+    monkeypatch.setattr(line_crf, "line_features", lambda texts: (given.append(texts), features(texts))[1])
+    sample = [(b"\n".join(b"line %d of text %d" % (k, i) for k in range(250 + i)), i % 2) for i in range(8)]
+    line_crf.fit(sample, steps=2)
+    assert given == [[t for t, _ in sample]]
+    line_crf.fit(sample, steps=2, most_lines=600)
+    assert given[1] == [t for t, _ in sample[:4]]  # whole ones only, two of either class
+
+
 def test_kept_digest(docs, texts):
     found = substrings.without_repeats(docs.select("doc_id", "text"))
     got = _by_id(found.select("id", F.sha2("kept", 256).alias("d")).collect(), "id", "d")
