@@ -89,4 +89,38 @@ reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, v FROM re
 least_id AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_id USING (doc_id)"""
 
-ORACLES = {"op2_quality_rules": _quality(), "op5_substring_dedup": SUBSTRINGS, "op6_minhash": MINHASH}
+# Every order spelt out: each kind of document is sent through all 120.
+FILTER_AUDIT = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1) AS toxic
+  FROM documents),
+first AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+fails AS (
+  SELECT part, good, toxic, list_filter([CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN first_id < doc_id THEN 'E' END], lambda x: x IS NOT NULL) AS f
+  FROM d JOIN first USING (t)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS x FROM orders, range(1, 6) s(step)),
+masks AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM fails GROUP BY part, f),
+taken AS (
+  SELECT part, filter_order, o.step, m.f, n, n_good, n_toxic, o.x, list_contains(m.f, o.x) AS failing,
+    len(list_filter(m.f, lambda y: instr(filter_order, y) < o.step)) > 0 AS gone
+  FROM masks m, steps o),
+counted AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failing AND len(f) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND failing THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM taken GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM counted
+"""
+
+ORACLES = {"op2_quality_rules": _quality(), "op5_substring_dedup": SUBSTRINGS, "op6_minhash": MINHASH, "op13_filter_audit": FILTER_AUDIT}

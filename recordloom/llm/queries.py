@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, vectors
+from . import filter_audit, line_crf, lm, minhash, packing, pieces, quality_rules, substrings, token_counts, toxicity, vectors
 from .common import documents, fold
 from .oracles import ORACLES  # noqa: F401  registered beside the queries
 
@@ -77,4 +77,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op9_piece_sampling, op10_toxicity)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.document_masks(documents(spark, sf_dir))
+    return filter_audit.audit(filter_audit.mask_counts(masks, labels(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op9_piece_sampling, op10_toxicity, op13_filter_audit)}
