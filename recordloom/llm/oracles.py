@@ -123,4 +123,38 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM counted
 """
 
-ORACLES = {"op2_quality_rules": _quality(), "op5_substring_dedup": SUBSTRINGS, "op6_minhash": MINHASH, "op13_filter_audit": FILTER_AUDIT}
+# crc32 bit by bit, as DuckDB has no function for it.
+PREFIX_TRIE = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b:
+      list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, _: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))),
+      4294967295::BIGINT) % 9 AS h
+  FROM t GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.place < c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place >= c.h),
+paths AS (
+  SELECT c.conv_id AS conv, coalesce(p, []) AS p, coalesce(s, []) AS s
+  FROM c LEFT JOIN (
+    SELECT conv_id, list(md5(length(role)::VARCHAR || ' ' || role || text) ORDER BY own, place) AS p, list(strlen(text) ORDER BY own, place) AS s
+    FROM rebuilt GROUP BY conv_id) r ON r.conv_id = c.conv_id),
+members AS (SELECT conv, d, array_to_string(p[1:d], '') AS path, array_to_string(p[1:d - 1], '') AS above, coalesce(s[d], 0) AS size, d = len(p) AS ending FROM paths, LATERAL (SELECT unnest(range(0, len(p) + 1)) AS d)),
+nodes AS (
+  SELECT path, d, min(conv) AS conv_id, count(*) AS n_convs, any_value(size) AS size, any_value(above) AS above,
+    sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE ending), '')) AS ends_sha256
+  FROM members GROUP BY path, d),
+kids AS (SELECT above AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above, d),
+full_nodes AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path, d)),
+sums AS (
+  SELECT m.path, m.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.size) AS saved_tokens
+  FROM full_nodes u JOIN members m ON m.conv = u.conv_id AND m.d <= u.d GROUP BY m.path, m.d)
+SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM full_nodes v JOIN sums USING (path, d) LEFT JOIN nodes up ON up.path = v.above AND up.d = v.d - 1"""
+
+ORACLES = {"op2_quality_rules": _quality(), "op5_substring_dedup": SUBSTRINGS, "op6_minhash": MINHASH, "op12_prefix_trie": PREFIX_TRIE, "op13_filter_audit": FILTER_AUDIT}
