@@ -123,6 +123,22 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM counted
 """
 
+# Bytes as two hex digits each; every string of 400 bytes is looked at.
+SUFFIX_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM d, LATERAL (SELECT unnest(range(0, strlen(x) // 2 - 399)) AS i)),
+often AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM strings JOIN often USING (h)),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
+between_spans AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cleaned AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM between_spans JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cleaned USING (doc_id)"""
+
 # crc32 bit by bit, as DuckDB has no function for it.
 PREFIX_TRIE = """
 WITH t AS (
@@ -157,4 +173,4 @@ SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs:
   n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
 FROM full_nodes v JOIN sums USING (path, d) LEFT JOIN nodes up ON up.path = v.above AND up.d = v.d - 1"""
 
-ORACLES = {"op2_quality_rules": _quality(), "op5_substring_dedup": SUBSTRINGS, "op6_minhash": MINHASH, "op12_prefix_trie": PREFIX_TRIE, "op13_filter_audit": FILTER_AUDIT}
+ORACLES = {"op2_quality_rules": _quality(), "op5_substring_dedup": SUBSTRINGS, "op6_minhash": MINHASH, "op11_suffix_repeats": SUFFIX_REPEATS, "op12_prefix_trie": PREFIX_TRIE, "op13_filter_audit": FILTER_AUDIT}

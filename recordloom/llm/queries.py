@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, line_crf, lm, minhash, packing, pieces, prefix_trie, quality_rules, substrings, token_counts, toxicity, vectors
+from . import filter_audit, line_crf, lm, minhash, packing, pieces, prefix_trie, quality_rules, substrings, suffix_repeats, token_counts, toxicity, vectors
 from .common import documents, fold
 from .oracles import ORACLES  # noqa: F401  registered beside the queries
 
@@ -77,6 +77,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_repeats.without_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=400, keep="none")
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("row.doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie.trie(*prefix_trie.grafted(turns)).drop("one", "two")
@@ -87,4 +93,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_counts(masks, labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op9_piece_sampling, op10_toxicity, op12_prefix_trie, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_token_counts, op4_quality_classifier, op5_substring_dedup, op6_minhash, op7_embeddings, op8_packing, op9_piece_sampling, op10_toxicity, op11_suffix_repeats, op12_prefix_trie, op13_filter_audit)}
