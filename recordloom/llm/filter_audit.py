@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks.snapshots import cut
 from .common import on_workers, utf8, word_hashes
 
 FILTERS = "ABCDE"
@@ -100,15 +101,15 @@ def mask_counts(masks: DataFrame, labels: DataFrame, id_col: str = "doc_id", goo
         F.sum("n").alias("n"), F.min("id").alias("least"), F.min_by(F.when(known, F.col("n")), "id").alias("at_least"),
         F.sum(F.when(known, F.lit(0)).otherwise(F.col("n"))).alias("without_id"),
     )
+    cells = cut(cells, "cells")  # read twice
     first = cells.groupBy("one", "two").agg(F.min("least").alias("first"))
     passing = F.col("without_id") + F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
     both = cells.join(first, ["one", "two"]).withColumn("passing", passing)
     kinds = F.array(F.struct("mask", F.col("passing").alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - F.col("passing")).alias("n")))
     rows = both.select("part", "good", "toxic", F.explode(kinds).alias("k")).where("k.n > 0")
     n = F.col("k.n")
-    return rows.groupBy("part", F.col("k.mask").alias("mask")).agg(
-        F.sum(n).alias("n"), F.sum(n * F.col("good")).alias("n_good"), F.sum(n * F.col("toxic")).alias("n_toxic")
-    )
+    sums = [F.sum(n).alias("n"), F.sum(n * F.col("good")).alias("n_good"), F.sum(n * F.col("toxic")).alias("n_toxic")]
+    return cut(rows.groupBy("part", F.col("k.mask").alias("mask")).agg(*sums), "masks")
 
 
 def lehmer_rank(beginning: tuple[int, ...], n: int) -> int:
