@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +14,7 @@ from recordloom.config import (
     QUALITY_WEIGHTS,
 )
 from recordloom.functions.text import is_blank
+from recordloom.sinks.snapshots import cut
 
 
 def has_value(df: DataFrame, field: str) -> Column:
@@ -127,40 +127,24 @@ def top_quality(df: DataFrame, n: int = 10, order: str = "rec_idx") -> DataFrame
     return sort_by_quality(df, order).limit(n)
 
 
-def add_rank(df: DataFrame, order: str = "rec_idx", slices: int | None = None) -> DataFrame:
-    """Add ``quality_rank`` 1..n by score, ties by the numeric ``order`` column.
+def add_rank(df: DataFrame, order: str = "rec_idx") -> DataFrame:
+    """Add ``quality_rank`` 1..n by score, ties by ``order``, which may be of any type that sorts and must be unique.
 
-    A window over the whole table would run in one task. Here each row falls
-    into a cell (score, slice of the order column). Rows are numbered within
-    their cell, and the sizes of the better cells are added. A score that a
-    third of the rows share is cut into slices, and the table of cell sizes has
-    at most 10,001 scores times ``slices`` rows, whatever the input.
+    The rows are written once with their score, then dealt out by ranges of (score, order), so a score that a third of
+    the rows share is cut like any other, and written in order with their place in the range. What comes before a range
+    is the sum of the ranges ahead of it: one number a task, the only thing that the driver sees.
     """
-    if df.schema[order].dataType.typeName() not in ("long", "integer", "short", "byte", "double", "float"):
-        raise TypeError("add_rank needs a numeric order column")
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = df.select(F.col(order).cast("double").alias("_o"))
-    cuts = places.approxQuantile("_o", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    cells = df.withColumns({"_o": F.col(order).cast("double"), "_s": _score(df)})
-    if cuts:
-        edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        cells = Bucketizer(splits=edges, inputCol="_o", outputCol="_slice").transform(cells)
-    else:
-        cells = cells.withColumn("_slice", F.lit(0.0))
-    sizes = cells.groupBy("_s", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.desc("_s"), "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("_s").alias("_s0"),
-        F.col("_slice").alias("_slice0"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    within = Window.partitionBy("_s", "_slice").orderBy(order)
-    # The rows are partitioned and sorted by cell already; the join adds no shuffle.
-    ranked = cells.withColumn("_rn", F.row_number().over(within)).join(
-        offsets, (F.col("_s") == F.col("_s0")) & (F.col("_slice") == F.col("_slice0"))
-    )
-    rank = (F.col("_before") + F.col("_rn")).cast("bigint")
-    return ranked.withColumn("quality_rank", rank).select(*df.columns, "quality_rank")
+    scored = cut(df.withColumn("_s", _score(df)), "scored")
+    in_order = [F.desc("_s"), F.asc_nulls_first(order)]
+    dealt = scored.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+    ranges = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    # The id holds the number of the range above 33 bits and the place in it below.
+    ranges = ranges.withColumns({"_range": F.shiftright("_at", 33).cast("int"), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = sorted(ranges.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before = [(r["_range"], sum(x["n"] for x in sizes[:k])) for k, r in enumerate(sizes)]
+    offsets = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    ranked = ranges.join(F.broadcast(offsets), "_range")  # as many rows as tasks
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias("quality_rank"))
 
 
 def quality_band(score: Column) -> Column:

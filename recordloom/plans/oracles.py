@@ -290,16 +290,31 @@ SELECT rec_idx, {FIELDS}, NULL::BOOLEAN AS is_merged, NULL::BIGINT AS duplicate_
 UNION ALL SELECT rec_idx, {FIELDS}, is_merged, duplicate_count FROM ({folded_rows('SELECT * FROM {rel}')})"""
 
 # The whole job: merged rows in order, exact groups, fuzzy groups among the rest.
-JOB_BASE = f"""
-SELECT row_number() OVER (ORDER BY merge_key, left_order NULLS FIRST, right_order NULLS FIRST) AS rec_idx, *
-  EXCLUDE (merge_key, left_order, right_order) FROM ({MERGED})"""
-JOB = both_phases(JOB_BASE)
 _FLAG = ", bool_or(is_cross_source_merged) AS is_cross_source_merged"
-JOB_RECORDS = f"""
-SELECT {FIELDS}, is_cross_source_merged, NULL::BOOLEAN AS is_merged, NULL::BIGINT AS duplicate_count
+
+
+def job(merged_rows: str) -> str:
+    """WITH clause up to ``tagged``."""
+    return both_phases(f"""
+SELECT row_number() OVER (ORDER BY merge_key, left_order NULLS FIRST, right_order NULLS FIRST) AS rec_idx, *
+  EXCLUDE (merge_key, left_order, right_order) FROM ({merged_rows})""")
+
+
+JOB = job(MERGED)
+JOB_IN_ORDER = f"""
+SELECT rec_idx, {FIELDS}, is_cross_source_merged, NULL::BOOLEAN AS is_merged, NULL::BIGINT AS duplicate_count
 FROM tagged WHERE duplicate_group IS NULL
-UNION ALL SELECT {FIELDS}, is_cross_source_merged, is_merged, duplicate_count
+UNION ALL SELECT rec_idx, {FIELDS}, is_cross_source_merged, is_merged, duplicate_count
 FROM ({folded_rows('SELECT * FROM tagged', flags=_FLAG)})"""
+JOB_RECORDS = f"SELECT * EXCLUDE (rec_idx) FROM ({JOB_IN_ORDER})"
+
+
+def ranked_job(merged_rows: str) -> str:
+    """Records of the whole job with their rank; ties in merged order."""
+    return f"""{job(merged_rows)}, records AS ({JOB_IN_ORDER})
+SELECT * EXCLUDE (rec_idx), row_number() OVER (ORDER BY quality_score DESC, rec_idx) AS quality_rank
+FROM ({scored('SELECT * FROM records')})"""
+
 
 COUNTS = """
 SELECT (SELECT count(*) FROM m WHERE right_order IS NULL) AS left_only,
@@ -373,6 +388,15 @@ SELECT rec_idx, rec_idx // 200 AS page, owner_name, CASE WHEN rec_idx % 5 <> 0 T
   '2025-01-01T00:00:00' AS extracted_at
 FROM ({LEFT}) WHERE rec_idx % 31 <> 0"""
 
+# What the pages of the right records say: white space collapsed, money as whole dollars.
+PAGE_ROWS = f"""
+SELECT rec_idx, {", ".join(f"{collapse(f)} AS {f}" for f in ("owner_name", "parcel_id", "property_address", "mailing_address", "city", "state", "zip_code"))},
+  'Orange' AS county, CASE WHEN assessed_value > 0 THEN floor(assessed_value)::DOUBLE END AS assessed_value, sale_date,
+  NULL::DOUBLE AS sale_price, 'Orange County Scraper' AS source, 'https://b.example/p/' || rec_idx AS source_url,
+  '2025-01-01T00:00:00' AS extracted_at
+FROM ({RIGHT})"""
+NO_ROWS = f"SELECT * FROM ({PAGE_ROWS}) WHERE false"
+
 DATE_TEXT = """
 CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 1 THEN strftime(o_orderdate, '%m-%d-%Y')
  WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN strftime(o_orderdate, '%Y/%m/%d')
@@ -570,6 +594,10 @@ ORACLES: dict[str, str] = {
     "stage_snapshot": f"SELECT rec_idx, {FIELDS} FROM ({PREP_ALL})",
     "linked_records": f"""{JOB}, records AS ({JOB_RECORDS}) SELECT {FIELDS}, is_cross_source_merged, is_merged,
       duplicate_count, quality_score, quality_level, completeness_percent FROM ({scored('SELECT * FROM records')})""",
+    "run_ranked": ranked_job(MERGED),
+    "run_landed": ranked_job(merged(prepared(RESPONSE_ROWS), prepared(PAGE_ROWS))),
+    "run_one_source": f"""{job(merged(prepared(NO_ROWS), prepared(PAGE_ROWS)))}, records AS ({JOB_RECORDS})
+      SELECT 'responses' AS failed_source, count(*) AS records, max(quality_score) AS best_score FROM ({scored('SELECT * FROM records')})""",
     "run_statistics": f"""{JOB}, m AS ({MERGED}), records AS ({JOB_RECORDS}),
       c AS ({COUNTS}), q AS ({DISTRIBUTION} FROM ({scored('SELECT * FROM records')})),
       d AS (SELECT (SELECT count(*) FROM tagged) AS input_records, (SELECT count(*) FROM records) AS unique_records,

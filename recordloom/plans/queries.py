@@ -249,11 +249,37 @@ def _responses(spark, sf_dir) -> DataFrame:
         F.when(F.col("rec_idx") % 4 != 0, F.col("rec_idx") + 1700000000).alias("SALE_DATE"),
     )
     feature = F.struct(F.col("rec_idx").alias("id"), F.when(F.col("rec_idx") % 31 != 0, attributes).alias("attributes"))
-    left = _left(spark, sf_dir).select(F.floor(F.col("rec_idx") / 200).alias("page"), F.to_json(feature).alias("f"))
-    joined = F.concat(F.lit('{"features": ['), F.array_join(F.collect_list("f"), ", "), F.lit("]}"))
+    left = _left(spark, sf_dir).select("rec_idx", F.floor(F.col("rec_idx") / 200).alias("page"), F.to_json(feature).alias("f"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("rec_idx", "f"))), lambda x: x["f"])
+    joined = F.concat(F.lit('{"features": ['), F.array_join(in_order, ", "), F.lit("]}"))
     return left.groupBy("page").agg(joined.alias("raw"))
 
 
+def _property_pages(spark, sf_dir) -> DataFrame:
+    """A page of HTML for every right record."""
+    cells = {
+        "parcel-id": F.col("parcel_id"), "city": F.col("city"), "state": F.col("state"), "zip": F.col("zip_code"),
+        "assessed-value": F.when(F.col("assessed_value") > 0, F.concat(F.lit("$"), F.floor("assessed_value").cast("string"))),
+        "sale-date": F.col("sale_date"),
+    }
+    parts = [F.lit('<html><body><div class="owner-info"><h3>'), F.col("owner_name"), F.lit("</h3></div>")]
+    for name in ("property_address", "mailing_address"):
+        parts += [F.lit(f'<div class="{name.replace("_", "-")}">'), F.col(name), F.lit("</div>")]
+    for name, value in cells.items():
+        parts += [F.lit(f'<span class="{name}">'), F.coalesce(value, F.lit("")), F.lit("</span>")]
+    html = F.concat(*parts, F.lit("</body></html>"))
+    url = F.concat(F.lit("https://b.example/p/"), F.col("rec_idx").cast("string"))
+    return _right(spark, sf_dir).select(F.col("rec_idx").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def _landed_responses(spark, sf_dir) -> str:
+    """The responses as files, one each, in folders whose names sort like the pages."""
+    folder = _run_folder(spark, "landed")
+    rows = _responses(spark, sf_dir).select(F.lpad(F.col("page").cast("string"), 12, "0").alias("response"), F.col("raw").alias("value"))
+    rows.write.partitionBy("response").text(folder)
+    return folder
+
+
 @query
 def response_features(spark, sf_dir):
     got = responses.feature_records(_responses(spark, sf_dir))
@@ -544,17 +570,48 @@ def stage_snapshot(spark, sf_dir):
 def linked_records(spark, sf_dir):
     # The stages read each side several times: from a written table.
     records, _ = plan.link(*[cut(df, "prepared") for df in _prepared(spark, sf_dir)])
-    return _counted(quality.score_records(records, timestamp=False))
+    return _counted(quality.score_records(records.drop(ORDER), timestamp=False))
 
 
-def _run(spark, sf_dir) -> plan.Result:
-    sources = {"left": lambda: _left(spark, sf_dir), "right": lambda: _right(spark, sf_dir)}
-    result = plan.run(spark, sources)
+def _succeeded(result: plan.Result) -> plan.Result:
     if not result.success:
         raise RuntimeError(result.error)
     return result
 
 
+def _run(spark, sf_dir) -> plan.Result:
+    sources = {"left": lambda: _left(spark, sf_dir), "right": lambda: _right(spark, sf_dir)}
+    return _succeeded(plan.run(spark, sources))
+
+
+def _ranked(result: plan.Result) -> DataFrame:
+    return _counted(plan.ranked(result).drop(ORDER, "enriched_at"))
+
+
+@query
+def run_ranked(spark, sf_dir):
+    return _ranked(_run(spark, sf_dir))
+
+
+@query
+def run_landed(spark, sf_dir):
+    """Response files and pages to ranked records."""
+    stamp = F.lit("2025-01-01T00:00:00")
+    result = plan.run_landed(
+        spark, _landed_responses(spark, sf_dir), lambda: _property_pages(spark, sf_dir), source_url="https://a.example", extracted_at=stamp
+    )
+    return _ranked(_succeeded(result))
+
+
+@query
+def run_one_source(spark, sf_dir):
+    """Pages alone, as the responses can't be read: the run goes on with what it has."""
+    missing = f"{snapshot_root(spark)}/no-such-folder"
+    result = _succeeded(plan.run_landed(spark, missing, lambda: _property_pages(spark, sf_dir), extracted_at=F.lit("2025-01-01T00:00:00")))
+    failed = F.lit(", ".join(sorted(result.source_errors)))
+    return result.records.agg(failed.alias("failed_source"), F.count("*").alias("records"), F.max("quality_score").alias("best_score"))
+
+
 @query
 def run_statistics(spark, sf_dir):
     stats = _run(spark, sf_dir).statistics

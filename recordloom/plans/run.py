@@ -7,19 +7,21 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.operators import clean, dedup, merge, quality, validate
 from recordloom.plans.linkage import ORDER, exact_members, merge_and_fold
 from recordloom.sinks import export as sinks
 from recordloom.sinks.snapshots import cut, load_snapshot, new_run_id, save_snapshot
-from recordloom.sources.responses import read_or_empty
+from recordloom.sources.pages import page_records
+from recordloom.sources.responses import landed_order, landed_records, read_or_empty
+from recordloom.sources.selectors import DETAIL_SELECTORS
 
 
 @dataclass
 class Result:
-    """What a run returns."""
+    """What a run returns. ``records`` can be sorted and ranked by ``merge_order``."""
 
     success: bool
     records: DataFrame | None = None
@@ -42,7 +44,8 @@ def link(left: DataFrame, right: DataFrame, order: str = "rec_idx", **matching)
     """(records, fuzzy members) of two prepared sources.
 
     Keys with several rows are folded without forming pairs; the fuzzy phase
-    sees only the rows that are alone with their key.
+    sees only the rows that are alone with their key. The records have their place
+    in the merged order as ``merge_order``, a folded one that of its first row.
     """
     single, folded = merge_and_fold(left, right, order=order)
     single = cut(single, "merged")
@@ -50,7 +53,7 @@ def link(left: DataFrame, right: DataFrame, order: str = "rec_idx", **matching)
     collapsed = dedup.collapse_groups(tagged, ORDER)
     unique = tagged.filter(F.col(dedup.GROUP).isNull()).drop(dedup.GROUP, dedup.KIND)
     records = unique.unionByName(collapsed, allowMissingColumns=True).unionByName(folded)
-    return records.drop(ORDER), tagged.filter(F.col(dedup.GROUP).isNotNull())
+    return records, tagged.filter(F.col(dedup.GROUP).isNotNull())
 
 
 def _two(frames: dict[str, DataFrame]) -> list[DataFrame]:
@@ -136,9 +139,12 @@ def run(
         for name, read in sources.items():
             df, error = read_or_empty(spark, read, fetched(name))
             if error:
-                df = df.withColumn(order, F.lit(None).cast("bigint"))
                 errors[name] = error
             frames[name] = df
+        # A source that failed has the order column of the other one.
+        known = [df.schema[order].dataType for df in frames.values() if order in df.columns]
+        for name in errors:
+            frames[name] = frames[name].withColumn(order, F.lit(None).cast(known[0] if known else "bigint"))
         cleaned = {name: kept(prepare(df), f"02_cleaned_{name}") for name, df in frames.items()}
         left, right = _two(cleaned)
         linked, fuzzy_members = link(left, right, order, **matching)
@@ -159,10 +165,44 @@ def run(
         stats = run_statistics(frames, cleaned, scored)
         path = None
         if output_path:
-            parts = None
+            parts, exported = None, scored.drop(ORDER)
             if output_format == "report":
-                parts = sinks.report_parts(scored, left.drop(order), right.drop(order), duplicates(), stats)
-            path = sinks.export(scored, output_path, output_format, parts)
+                parts = sinks.report_parts(exported, left.drop(order), right.drop(order), duplicates(), stats)
+            path = sinks.export(exported, output_path, output_format, parts)
         return Result(True, scored, duplicates, stats, path, scored.count(), None, run_id, errors)
     except (PySparkException, Py4JJavaError, ValueError) as e:
         return Result(False, error=str(e), run_id=run_id)
+
+
+def run_landed(
+    spark: SparkSession,
+    responses: str,
+    pages: Callable[[], DataFrame],
+    selectors: dict[str, list[str]] = DETAIL_SELECTORS,
+    source_url: str = "",
+    extracted_at: Column | None = None,
+    **options,
+) -> Result:
+    """The whole job from what was landed: response files below a path, and pages
+    (page_id, url, html). Each source is read by itself; one that can't be read
+    counts as empty and is named in ``source_errors``. ``options`` go to ``run``.
+    """
+
+    def from_pages() -> DataFrame:
+        records = page_records(pages(), selectors, extracted_at=extracted_at)
+        return records.withColumn("landed", landed_order(F.lit(""), F.col("page_id"))).drop("page_id")
+
+    sources = {
+        "responses": lambda: landed_records(spark, responses, source_url=source_url, extracted_at=extracted_at),
+        "pages": from_pages,
+    }
+    return run(spark, sources, order="landed", **options)
+
+
+def ranked(result: Result, n: int | None = None) -> DataFrame:
+    """The records of a run with ``quality_rank``; ``n`` of them, the best ones, if given."""
+    if result.records is None:
+        raise ValueError(f"the run has no records: {result.error}")
+    if n is not None:
+        return quality.add_rank(quality.top_quality(result.records, n, ORDER), ORDER)
+    return quality.add_rank(result.records, ORDER)

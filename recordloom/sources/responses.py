@@ -28,17 +28,21 @@ API_STATE = "NC"
 # --- End of fixed values. ---
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Landed response files, one row per file (a response is one page of a
-    paged service, so its size is bounded)."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
+def read_responses(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """Landed response files below ``path``, one row per file (a response is one page
+    of a paged service, so its size is bounded); ``file`` names a column for the
+    file's path."""
+    rows = spark.read.option("recursiveFileLookup", file is not None).text(path, wholetext=True)
+    rows = rows.withColumnRenamed("value", "raw")
+    return rows if file is None else rows.withColumn(file, F.col("_metadata.file_path"))
 
 
-def feature_records(responses: DataFrame, raw: str = "raw") -> DataFrame:
+def feature_records(responses: DataFrame, raw: str = "raw", at: str | None = None) -> DataFrame:
     """One row per record: the ``attributes`` of each feature that has them, or
     the elements of a bare list; any other shape gives no rows.
 
-    Adds ``record`` (variant) and drops the response text.
+    Adds ``record`` (variant) and drops the response text; ``at`` names a column
+    for the record's place in its response.
     """
     doc = F.try_parse_json(F.col(raw))
     listed = F.try_variant_get(doc, "$", "array<variant>")
@@ -47,7 +51,10 @@ def feature_records(responses: DataFrame, raw: str = "raw") -> DataFrame:
         F.transform(features, lambda f: F.try_variant_get(f, "$.attributes", "variant")), lambda a: a.isNotNull()
     )
     records = F.coalesce(attributes, listed)
-    return responses.withColumn("record", F.explode(records)).drop(raw)
+    if at is None:
+        return responses.withColumn("record", F.explode(records)).drop(raw)
+    rest = [F.col(c) for c in responses.columns if c != raw]
+    return responses.select(*rest, F.posexplode(records).alias(at, "record"))
 
 
 def _has(name: str) -> Column:
@@ -112,6 +119,18 @@ def fetch_and_map(responses: DataFrame, limit=None, offset=0, filters=None, orde
     return fetch(map_api_fields(feature_records(responses), **mapping), limit, offset, filters, order)
 
 
+def landed_order(file: Column, at: Column) -> Column:
+    """Where a record was landed: its file, then its place there. It sorts like the
+    records came in, and both sources of a merge have it in the same type."""
+    return F.struct(file.cast("string").alias("file"), at.cast("bigint").alias("at"))
+
+
+def landed_records(spark: SparkSession, path: str, order: str = "landed", **mapping) -> DataFrame:
+    """Canonical records of all response files below a path, with their ``order``."""
+    features = feature_records(read_responses(spark, path, file="_file"), at="_at")
+    return map_api_fields(features.withColumn(order, landed_order(F.col("_file"), F.col("_at"))).drop("_file", "_at"), **mapping)
+
+
 def read_or_empty(
     spark: SparkSession, read: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, str | None]:

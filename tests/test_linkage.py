@@ -1,5 +1,6 @@
 """The folded plan must give what merging and then de-duplicating gives."""
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from recordloom.config import CANONICAL_FIELDS, NUMERIC_FIELDS, canonical_schema
 from recordloom.operators import dedup, merge
 from recordloom.operators.merge import merge_counts, merge_sources
-from recordloom.plans import linkage
+from recordloom.plans import linkage, run
+from recordloom.plans.linkage import ORDER
+from recordloom.sources import responses
 
 
 def _records(spark, rng, n, keys, source):
@@ -62,3 +65,32 @@ def test_pair_counts_do_not_overflow(spark):
     df = spark.createDataFrame([(2**40, 2**40), (3, 4)], "l bigint, r bigint")
     got = [r.n for r in df.select(merge.count_of(merge.pair_count(F.col("l"), F.col("r"))).alias("n")).collect()]
     assert got == [2**80, 12]
+
+
+def test_run_from_landed_files_to_ranks(spark, tmp_path):
+    """Two response files, one of them with a bare list, and pages; every record keeps where it was landed."""
+    folder = tmp_path / "responses"
+    for name, body in {
+        "b": [{"OWNER": "B Two", "PIN_NUM": "P2", "SITE_ADDRESS": "2 Oak St"}, {"OWNER": "C Three", "PIN_NUM": "P3", "SITE_ADDRESS": "3 Oak St"}],
+        "a": {"features": [{"attributes": {"OWNER": "Z Last", "PIN_NUM": "P9", "SITE_ADDRESS": "9 Oak St"}}, {"id": 1}]},
+        "c": "not what was asked for",
+    }.items():
+        (folder / name).mkdir(parents=True)
+        (folder / name / "response.json").write_text(json.dumps(body))
+    html = "<div class='owner-info'><h3>B Two</h3></div><span class='parcel-id'>p2</span><div class='property-address'>2 Oak St East</div>"
+    pages = spark.createDataFrame([(4, "http://x/4", html), (5, "http://x/5", "<p>none</p>")], "page_id bigint, url string, html string")
+    landed = responses.landed_records(spark, str(folder), extracted_at=F.lit("t")).orderBy("landed")
+    assert [(r["landed"]["file"].split("/")[-2], r["landed"]["at"], r["parcel_id"]) for r in landed.collect()] == [("a", 0, "P9"), ("b", 0, "P2"), ("b", 1, "P3")]
+    result = run.run_landed(spark, str(folder), lambda: pages, extracted_at=F.lit("t"), output_path=str(tmp_path / "out"), output_format="json")
+    assert result.success and not result.source_errors and result.total_records == 3
+    found = run.ranked(result).orderBy("quality_rank").select("parcel_id", "quality_rank", "is_cross_source_merged").collect()
+    assert [(r[0], r[1], r[2]) for r in found] == [("P2", 1, True), ("P3", 2, None), ("P9", 3, None)]
+    assert [r["parcel_id"] for r in run.ranked(result, 1).collect()] == ["P2"]
+    assert ORDER not in spark.read.json(str(tmp_path / "out")).columns
+    # One source that can't be read, or has no readable page, leaves the other one's records.
+    alone = run.run_landed(spark, str(tmp_path / "missing"), lambda: pages, extracted_at=F.lit("t"))
+    assert alone.success and list(alone.source_errors) == ["responses"] and alone.total_records == 1
+    bad = run.run_landed(spark, str(folder), lambda: pages.select(F.raise_error(F.lit("no page")).alias("page_id"), "url", "html"), extracted_at=F.lit("t"))
+    assert bad.success and list(bad.source_errors) == ["pages"] and bad.total_records == 3
+    with pytest.raises(ValueError):
+        run.ranked(run.Result(False, error="nothing"))

@@ -156,19 +156,19 @@ def test_distribution_filter_rank(spark):
     assert [r.rec_idx for r in quality.sort_by_quality(df).collect()] == order
     assert [r.rec_idx for r in quality.sort_by_quality(df, descending=False).collect()] == [4, 5, 0, 2, 3, 1, 6]
     assert [r.rec_idx for r in quality.top_quality(df, 3).collect()] == order[:3]
-    for slices in (1, 3, 16):
-        ranked = quality.add_rank(df, slices=slices).orderBy("quality_rank").collect()
+    places = [F.col("rec_idx"), F.format_string("%05d", "rec_idx"), F.struct(F.lit(None).cast("string").alias("file"), F.col("rec_idx"))]
+    for place in places:  # numbers, texts and structs
+        ranked = quality.add_rank(df.withColumn("place", place), "place").orderBy("quality_rank").collect()
         assert [r.rec_idx for r in ranked] == order
         assert [r.quality_rank for r in ranked] == list(range(1, 8))
-    with pytest.raises(TypeError):
-        quality.add_rank(df.withColumn("rec_idx", F.col("rec_idx").cast("string")))
+    assert quality.add_rank(df.limit(0)).collect() == []
     bands = [r.b for r in df.select("rec_idx", quality.quality_band(F.col("quality_score")).alias("b")).orderBy("rec_idx").collect()]
     assert bands == ["medium", "high", "high", "high", "low", "low", "high"]
 
 
 def test_rank_of_one_score(spark):
     df = spark.range(5000).select((F.col("id") * 7).alias("rec_idx"), F.lit(80.0).alias("quality_score"))
-    ranked = quality.add_rank(df, slices=10)
+    ranked = quality.add_rank(df)
     assert ranked.filter(F.col("quality_rank") != F.col("rec_idx") / 7 + 1).count() == 0
 
 
