@@ -1,17 +1,29 @@
 """Similarity self-join: all pairs of texts whose score reaches a threshold.
 
 Two texts of total length s that score at least T differ by at most K(s)
-insertions and deletions. The symbols are dealt into G groups, and one insertion
-or deletion changes the subsequence of one group only. So with K changes at
+insertions and deletions.
+
+Texts at a small distance (up to 12): the symbols are dealt into G groups, and one
+insertion or deletion changes the subsequence of one group only. So with K changes at
 least G - K groups keep their subsequence, and two matching texts agree on some
 choice of G - K groups. Each text emits one key per choice: itself with the
-symbols of all other groups removed. Equal keys make candidates, without loss.
-
-A key keeps the order and the digits of about half of a short text, so texts that only
-share a street, a word or a prefix do not meet. Keys of long texts (a distance of 13
-and more, so from about 60 symbols at threshold 90) say much less, so callers give such
-texts a narrow kind to meet in. Texts are distinct beforehand, so copies of one text do not meet
-either. The join is an inner equi-join, which the runtime can split on skew.
+symbols of all other groups removed. Equal keys make candidates, without loss. A key
+keeps the order and the digits of about half of a short text, so texts that only
+share a street, a word or a prefix do not meet.
+
+Texts at a larger distance (from about 55 symbols at threshold 90): a text is the set
+of its symbols with occurrence numbers (the third ``e``). Texts at distance K have
+at least (s - K) / 2 of them in common, so if both sets are sorted alike, rarest first
+by their frequency in all texts, the beginnings of the two have one in common: a tenth
+of the shorter text and a fifth of the longer one at threshold 90. Rare are letters that
+few texts have, and letters in numbers that few texts have. Pairs meet on one of these,
+and only those whose counts of symbols differ by at most K leave the join; that test
+is a sum of differences of small numbers. Unrelated names of common words pass it once in
+some thousand pairs, but the rows of a key are compared with each other: of n texts with
+no address and such a length, a key may hold a third.
+
+Texts are distinct beforehand, so copies of one text do not meet either. The joins are
+inner equi-joins, which the runtime can split on skew.
 """
 
 from __future__ import annotations
@@ -27,11 +39,12 @@ from recordloom.sinks.snapshots import cut
 # The symbols of processed text, frequent ones apart so that groups are even.
 SYMBOLS = " eanrtsoilk0123456789dcmhupgbyvfwjxzq_"
 
-# Groups kept per choice, by distance; one beyond. More groups make keys more
-# selective, and more numerous.
+# Groups kept per choice, by distance. More groups make keys more selective, and more numerous.
 _KEEP = {1: 3, 2: 3, 3: 3, 4: 3} | dict.fromkeys(range(5, 13), 2)
-_WIDEST = len(SYMBOLS) - 1  # one group per symbol is the most there can be
-_GRAM = 3
+_WIDEST = max(_KEEP)
+
+# Symbols that are counted together in long texts: frequent ones alone.
+_COUNTED = [*" eanrtsoilkdcmhupgbyvfw", "jxzq_", "0123456789"]
 
 _PAIR = [("x", "text", "a"), ("y", "text", "b"), ("x", "uses", "uses_a"), ("y", "uses", "uses_b")]
 _COLUMNS = ["kind", "threshold", "text", "uses", "asks", "n"]
@@ -41,7 +54,7 @@ def _choices() -> list[tuple[int, int, str]]:
     """(distance, number, symbols to remove) for every choice of groups."""
     out = []
     for distance in range(1, _WIDEST + 1):
-        keep = _KEEP.get(distance, 1)
+        keep = _KEEP[distance]
         groups = distance + keep
         members = ["".join(SYMBOLS[i::groups]) for i in range(groups)]
         for n, kept in enumerate(combinations(range(groups), keep)):
@@ -50,7 +63,7 @@ def _choices() -> list[tuple[int, int, str]]:
 
 
 def _choice_table(spark: SparkSession) -> DataFrame:
-    """All choices as a table: a few hundred rows, whatever the data."""
+    """All choices as a table: as many rows whatever the data."""
     return spark.createDataFrame(_choices(), "family int, choice int, removed string")
 
 
@@ -61,7 +74,7 @@ def _ranged(texts: DataFrame) -> DataFrame:
     n = F.length("text")
     lowest = F.greatest(F.floor(2 * c * n / (1 + c)) - 1, F.lit(1)).cast("int")
     highest = F.floor(2 * c * n / (1 - c)).cast("int")
-    return texts.withColumns({"n": n, "_lo": lowest, "_hi": highest})
+    return texts.withColumns({"n": n, "_lo": lowest, "_hi": highest, "_c": c})
 
 
 def _choice_keys(ranged: DataFrame) -> DataFrame:
@@ -88,32 +101,59 @@ def _choice_keys(ranged: DataFrame) -> DataFrame:
     )
 
 
-def _gram_keys(ranged: DataFrame) -> DataFrame:
-    """The same for very long texts: the smallest hashes of their distinct
-    grams. A change touches at most _GRAM grams, so one of the first
-    _GRAM * K + 1 is shared; texts with fewer distinct grams than that also meet
-    under one key."""
-    grams = F.array_sort(
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.col("n") - _GRAM + 1, F.lit(1))),
-                lambda i: F.xxhash64(F.col("text").substr(i, F.lit(_GRAM))),
-            )
-        )
-    )
-    limit = _GRAM * F.col("_hi")
-    keys = F.when(F.size("_grams") <= limit, F.array_append("_grams", F.lit(0))).otherwise(
-        F.slice("_grams", 1, limit + 1)
-    )
-    return (
-        ranged.filter(F.col("_hi") > _WIDEST)
-        .withColumn("_grams", grams)
-        .select(
-            *_COLUMNS, F.lit(_WIDEST + 1).alias("family"), F.explode(keys).alias("key")
+def _counts() -> list[Column]:
+    """How often each symbol (or one of some rare ones) occurs in ``text``."""
+    plain = F.lower("text")
+    return [
+        (F.length(plain) - F.length(F.translate(plain, some, ""))).cast("smallint").alias(f"c{i}")
+        for i, some in enumerate(_COUNTED)
+    ]
+
+
+def _numbered_symbols() -> Column:
+    """The symbols of ``text`` with occurrence numbers: each one once."""
+    times = lambda ch: F.length("text") - F.length(F.replace("text", ch, F.lit("")))
+    return F.flatten(
+        F.transform(
+            F.array_distinct(F.split("text", "")),
+            lambda ch: F.transform(F.sequence(F.lit(1), times(ch)), lambda k: F.concat(ch, k.cast("string"))),
         )
     )
 
 
+def _long_pairs(ranged: DataFrame) -> DataFrame:
+    """Pairs like those of ``_met`` at a distance above ``_WIDEST``, from the rarest numbered symbols.
+
+    The beginning that a text takes depends on whether it is the shorter or the longer one of a pair.
+    """
+    own = [*_COLUMNS, *(f"c{i}" for i in range(len(_COUNTED)))]
+    # Texts stay in one task from here to their sorted symbols.
+    parts = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = cut(ranged.filter(F.col("_hi") > _WIDEST).select(*_COLUMNS, *_counts(), "_c"), "long_texts")
+    tokens = long.select("kind", "threshold", "text", F.explode(_numbered_symbols()).alias("symbol"))
+    # As many rows as symbols times the occurrences of one in a text, whatever the number of texts.
+    often = tokens.groupBy("symbol").agg(F.count("*").alias("often"))
+    spread = long.repartition(parts, "text").select(*own, "_c", F.explode(_numbered_symbols()).alias("symbol"))
+    ranked = spread.join(F.broadcast(often), "symbol").groupBy(*own, "_c").agg(F.array_sort(F.collect_list(F.struct("often", "symbol"))).alias("symbols"))
+    ranked = cut(ranked, "rarest")
+    as_shorter, as_longer = F.floor(F.col("_c") * F.col("n")), F.floor(2 * F.col("_c") * F.col("n") / (1 + F.col("_c")))
+
+    def beginning(size: Column) -> DataFrame:
+        return ranked.select(*own, F.explode(F.slice("symbols", 1, size.cast("int") + 1)).alias("s")).withColumn("key", F.col("s.symbol"))
+
+    x, y = beginning(as_shorter).alias("x"), beginning(as_longer).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "threshold", "kind")]
+    k = max_distance(F.col("x.n") + F.col("y.n"), F.col("x.threshold"))
+    differ = sum((F.abs(F.col(f"x.c{i}") - F.col(f"y.c{i}")) for i in range(len(_COUNTED))), F.lit(0))
+    shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.text") < F.col("y.text")))
+    fits = shorter & (F.col("y.n") - F.col("x.n") <= k) & (k > _WIDEST) & (differ <= k) & (F.col("x.asks") | F.col("y.asks"))
+    met = x.join(y, [*same, fits]).select("x.kind", "x.threshold", *[F.col(f"{s}.{c}").alias(n) for s, c, n in _PAIR], k.alias("_k"))
+    # The smaller text comes first.
+    up = F.col("a") < F.col("b")
+    swap = {n: F.when(up, F.col(n)).otherwise(F.col(m)) for n, m in (("a", "b"), ("b", "a"), ("uses_a", "uses_b"), ("uses_b", "uses_a"))}
+    return met.select("kind", "threshold", *[swap[n].alias(n) for n in ("a", "b", "uses_a", "uses_b")], "_k")
+
+
 def _met(keys: DataFrame) -> DataFrame:
     """Pairs that share a key, whose lengths fit the key's family; ``_k`` is the
     most that they may differ by. One of the two asks.
@@ -123,7 +163,7 @@ def _met(keys: DataFrame) -> DataFrame:
     x, y = keys.alias("x"), keys.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "family", "threshold", "kind")]
     k = max_distance(F.col("x.n") + F.col("y.n"), F.col("x.threshold"))
-    fits = (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (F.least(k, F.lit(_WIDEST + 1)) == F.col("x.family"))
+    fits = (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (k == F.col("x.family"))
     met = x.join(y, same).filter(fits & (F.col("x.text") < F.col("y.text")) & (F.col("x.asks") | F.col("y.asks")))
     sides = [F.col(f"{s}.{c}").alias(f"{n}") for s, c, n in _PAIR]
     return met.select("x.kind", "x.threshold", *sides, k.alias("_k"))
@@ -136,16 +176,14 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     of ``uses`` of each and whether it ``asks``: pairs of texts that both don't are
     left out. It should be a written table. Texts of different kinds never meet, so a
     kind may be as narrow as wanted. The bounded edit distance is never above the number of insertions and
-    deletions, so it loses nothing. It runs inside the join stage for ordinary
-    texts. Very long ones share many keys and are costly to compare, so their
-    pairs are made distinct and written before.
+    deletions, so it loses nothing.
     """
     near = F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1")
     given = {"uses": F.lit(1).cast("bigint"), "asks": F.lit(True)}
     ranged = _ranged(texts.withColumns({c: v for c, v in given.items() if c not in texts.columns}))
     pairs = _met(_choice_keys(ranged)).filter(near)
     if not ranged.filter(F.col("_hi") > _WIDEST).isEmpty():
-        pairs = pairs.unionByName(cut(_met(_gram_keys(ranged)).distinct(), "long_pairs").filter(near))
+        pairs = pairs.unionByName(_long_pairs(ranged).distinct().filter(near))
     return pairs.drop("_k").distinct()
 
 

@@ -554,6 +554,7 @@ ORACLES: dict[str, str] = {
           f"upper({strip(f'{s}_{f}')}) AS {s}{a}" for s in 'lr'
           for f, a in (('owner_name', 'n'), ('property_address', 'a'), ('parcel_id', 'p')))}
       FROM ({JOINED}) WHERE data_source = 'merged'))""",
+    "fuzzy_long_names": f"WITH {fuzzy_ctes(adapter.long_names_sql())} SELECT lo, hi FROM fuzzy_edges",
     "fuzzy_pairs": f"WITH {fuzzy_ctes(PREP_ALL)} SELECT lo, hi FROM fuzzy_edges",
     "fuzzy_groups": f"""WITH {fuzzy_group_ctes(PREP_ALL)} SELECT b.rec_idx, g.duplicate_group,
       CASE WHEN g.ord IS NOT NULL THEN 'fuzzy' END AS duplicate_kind FROM ({PREP_ALL}) b

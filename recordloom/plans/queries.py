@@ -459,6 +459,12 @@ def fuzzy_pairs(spark, sf_dir):
     return dedup.fuzzy_pairs(_prepared_all(spark, sf_dir))
 
 
+@query
+def fuzzy_long_names(spark, sf_dir):
+    """Names of 60 to 120 symbols without an address: the name decides alone."""
+    return dedup.fuzzy_pairs(adapter.long_names(spark, sf_dir))
+
+
 @query
 def fuzzy_groups(spark, sf_dir):
     tagged = dedup.find_duplicates(_prepared_all(spark, sf_dir), use_exact=False)

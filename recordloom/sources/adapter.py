@@ -65,7 +65,24 @@ SELECT CAST(1000000 + s_suppkey * 2 + v AS BIGINT),
 FROM (SELECT s_suppkey, s_acctbal, unnest_v AS v FROM supplier {{two}}) t
 """
 
-# The two rows per supplier, in each dialect.
+# Two names without an address for every third customer: some 60 to 120 symbols of common words, and the same with
+# up to 12 symbols taken out and up to 5 put in.
+LONG_NAMES_SQL = f"""
+SELECT k * 2 + v AS rec_idx, '' AS property_address,
+  CASE WHEN v = 0 THEN nm
+    ELSE substr(nm, 1, CAST(10 + k % 20 AS INT)) || substr('XYZZY', 1, CAST(k % 6 AS INT)) || substr(nm, CAST(11 + k % 20 + k % 13 AS INT))
+  END AS owner_name
+FROM (
+  SELECT k, unnest_v AS v, split_part({_LAST}, ' ', CAST(k % 11 + 1 AS INT)) || ' ' ||
+    split_part({_FIRST}, ' ', CAST(k * 5 % 7 + 1 AS INT)) || ' AND ' || split_part({_LAST}, ' ', CAST(k * 7 % 11 + 1 AS INT)) || ' ' ||
+    split_part('REVOCABLE LIVING FAMILY IRREVOCABLE TESTAMENTARY', ' ', CAST(k * 3 % 5 + 1 AS INT)) || ' TRUST OF ' ||
+    split_part('DURHAM RALEIGH CHARLOTTE GREENSBORO ASHEVILLE WILMINGTON', ' ', CAST(k * 11 % 6 + 1 AS INT)) || ' NORTH CAROLINA ' ||
+    substr('PROPERTIES HOLDINGS INVESTMENTS DEVELOPMENT PARTNERSHIP GROUP', 1, CAST(k * 13 % 44 AS INT)) || ' ' || CAST(k * 17 % 1000 AS STRING) AS nm
+  FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer WHERE c_custkey % 3 = 1) c {{two}}
+) t
+"""
+
+# The two rows per supplier or customer, in each dialect.
 _TWO = {
     "spark": "LATERAL VIEW explode(array(0, 1)) x AS unnest_v",
     "plain": ", (VALUES (0), (1)) x(unnest_v)",
@@ -91,6 +108,15 @@ def right_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(right_sql("spark"))
 
 
+def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    return spark.sql(LONG_NAMES_SQL.format(two=_TWO["spark"]))
+
+
+def long_names_sql() -> str:
+    return LONG_NAMES_SQL.format(two=_TWO["plain"])
+
+
 def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sources as one table with unique ``rec_idx`` (left even, right odd)."""
     left, right = left_records(spark, sf_dir), right_records(spark, sf_dir)
