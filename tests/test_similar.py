@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import normal_form, similarity, token_sorted
-from recordloom.operators import dedup
+from recordloom.operators import dedup, groups, similar
 from recordloom.operators.groups import greedy_groups
 from recordloom.operators.similar import SYMBOLS, similar_pairs
 from recordloom.sinks.snapshots import cut
@@ -124,7 +124,51 @@ def test_rounds_equal_sequential_pass(spark):
     edges += [(10_000 + a, 10_000 + b) for a, b in chain]
     want |= {10_000 + v: 10_000 + s for v, s in _sequential(10, chain).items()}
     table = cut(spark.createDataFrame(edges, "lo bigint, hi bigint"), "test_edges")
-    assert {r.v: r.seed for r in greedy_groups(table).collect()} == want
+    for room in (10_000, 12, 5, 0):  # one pass, components that fit, some that don't, rounds only
+        assert {r.v: r.seed for r in greedy_groups(table, room).collect()} == want
+
+
+def test_a_street_takes_few_writes(spark, monkeypatch):
+    """1,000 houses, each like the next one, and names of vertices that are structs or texts."""
+    writes = []
+    monkeypatch.setattr(groups, "cut", lambda df, name: (writes.append(name), cut(df, name))[1])
+    chain = [(i, i + 1) for i in range(999)]
+    table = cut(spark.createDataFrame(chain, "lo bigint, hi bigint"), "street")
+    want = {2 * i + 1: 2 * i for i in range(500)}
+    assert {r.v: r.seed for r in greedy_groups(table).collect()} == want and len(writes) <= 4
+    named = cut(table.select(*[F.struct(F.lit("s").alias("k"), F.col(c).alias("i")).alias(c) for c in ("lo", "hi")]), "street")
+    assert {r.v.i: r.seed.i for r in greedy_groups(named).collect()} == want
+    assert {r.v.i: r.seed.i for r in greedy_groups(named.limit(40), 5).collect()} == {v: s for v, s in want.items() if v <= 40}
+    texts = table.select(*[F.format_string("%05d", c).alias(c) for c in ("lo", "hi")])
+    assert {int(r.v): int(r.seed) for r in greedy_groups(cut(texts, "street")).collect()} == want
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 9), (3, 4), (4, 8), (3, 8), (5, 6)], "lo int, hi int")
+    assert {(r.u, r.component) for r in groups.components(edges).collect()} == {(2, 1), (9, 1), (4, 3), (8, 3), (6, 5)}
+
+
+@pytest.mark.parametrize("length", [60, 80, 140])
+def test_long_names_of_common_words_seldom_meet(spark, length):
+    """1,500 names without an address: what leaves the join is a small part of all pairs, and none that matches is lost."""
+    rng = random.Random(length)
+    common = "smith jones brown wilson family trust holdings properties land estate living revocable the of and limited john mary robert linda north durham church first oak".split()
+    names = set()
+    while len(names) < 1500:
+        words = []
+        while len(" ".join(words)) < length:
+            words.append(rng.choice(common))
+        names.add(" ".join(sorted(words))[: length + rng.randint(-2, 2)])
+    names = sorted(names)
+    names[::50] = [n[:20] + n[23:] + "x" for n in names[1::50]]
+    names = sorted({n.strip() for n in names})
+    texts = cut(spark.createDataFrame([("name", 90, n) for n in names], "kind string, threshold int, text string"), "names")
+    ranged = similar._ranged(texts.withColumns({"uses": F.lit(1).cast("bigint"), "asks": F.lit(True)}))
+    met = similar._long_pairs(ranged).distinct()
+    assert met.count() < 0.05 * len(names) * (len(names) - 1) / 2
+    found = {(r["a"], r["b"]) for r in similar_pairs(texts).collect()}
+    near = [(a, b) for i, a in enumerate(names) for b in names[i + 1 : i + 30] if score(a, b) >= 90]
+    assert len(found) >= 20 and set(near) <= found and all(score(a, b) >= 90 for a, b in found)
 
 
 def _model(rows, name_t=90, address_t=95):
