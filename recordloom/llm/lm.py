@@ -3,17 +3,18 @@
 Words (runs of other bytes than white space, A-Z lower-cased) are all counted, and the known ones numbered by how
 frequent they are in all documents; the rest falls into ``buckets`` by hash. Both and the number of classes grow with the
 square root of the number of distinct words. The network looks at two words before and two after: a table of vectors for each
-of the four places, their sum through a tanh, and a softmax over word classes. The most frequent words are a class of
-their own, the others share one with the words of their bucket. A word's probability is that of its class in its
+of the four places, their sum through a tanh, and word classes in two steps: a softmax over groups of classes, and one
+over the classes of a group. The most frequent words are a class of their own, the others share one with the words of their bucket. A word's probability is that of its class in its
 context times its share of the class in the corpus; words of a bucket share its mass evenly.
 
 Training, in numpy, goes over all documents in ``rounds`` disjoint parts. Every word of a document is masked once, so a
 document's loss grows with its length. Each task trains on its own documents from the
-weights of the last round; Spark averages the tasks' weights, by the number of words that each saw. What a
-round gathers grows with the input, and the driver only ever holds one model.
+weights of the last round; Spark averages the tasks' weights, in chunks, by the number of words that each saw. What a
+round gathers grows with the input, and the driver only ever holds one model, which grows with the root of the vocabulary.
 
 Null, empty and blank texts have no words: log-likelihood 0, no mean. A repeated row is scored twice alike; other columns
-are not looked at. On an empty table the untrained network is used for nothing.
+are not looked at. Words that are equally frequent are numbered by their hash. On an empty table there is nothing to
+train on or to score, and the result is empty.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sinks.snapshots import cut
-from .common import mixed, on_workers, pieces, utf8, word_hashes
+from .common import on_workers, pieces, utf8, word_hashes
 
 PLACES = (-2, -1, 1, 2)
+#: Weights of a row, when models are averaged.
+_CHUNK = 4096
+#: Known words are looked up by the bits of their hash above these.
+_SLOT = np.uint64(46)
 
 
 @dataclass
@@ -51,12 +56,30 @@ class Words:
         """The number of classes; the last bucket's is the last of them."""
         return int(self.classes[-1]) + 1
 
+    def __post_init__(self):
+        """A table that finds most known words by the first bits of their hash; those that share them are searched for."""
+        slot = (self.hashes >> _SLOT).astype(np.int64)
+        self.first = np.full(1 << 64 - int(_SLOT), -1, np.int32)
+        self.first[slot] = np.arange(len(slot))
+        self.late = np.flatnonzero(self.first[slot] != np.arange(len(slot)))
+        self.crowded = np.zeros(len(self.first), bool)
+        self.crowded[slot[self.late]] = True
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = len(self.hashes) + (hashes % np.uint64(self.buckets)).astype(np.int64)
+        out = len(self.hashes) + (hashes % np.uint64(self.buckets)).astype(np.int64)
         if not len(self.hashes):
-            return bucket
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.number[at], bucket)
+            return out
+        slot = (hashes >> _SLOT).astype(np.int64)
+        at = self.first[slot]
+        hit = (at >= 0) & (self.hashes[at] == hashes)
+        out[hit] = self.number[at[hit]]
+        rest = np.flatnonzero(self.crowded[slot] & ~hit)
+        if len(rest):
+            late = self.hashes[self.late]
+            at = np.minimum(np.searchsorted(late, hashes[rest]), len(late) - 1)
+            hit = late[at] == hashes[rest]
+            out[rest[hit]] = self.number[self.late[at[hit]]]
+        return out
 
 
 def _counts(room: int):
@@ -122,63 +145,118 @@ def words(docs: DataFrame, text: str, known: int | None = None, alone: int | Non
 
 
 class Network:
-    """Vectors for each place, a hidden layer, classes; all weights lie in one array."""
+    """Vectors for each place, a hidden layer, and classes in groups of about the root of their number.
+
+    A class's probability is that of its group times its share of the group, each by a softmax of its own, so a target
+    costs two short rows however many classes there are. All weights lie in one array.
+    """
 
     def __init__(self, size: int, classes: int, width: int, weights: np.ndarray | None = None):
-        self.shapes = [(len(PLACES), size + 1, width), (width, classes), (classes,)]
-        self.ends = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
+        self.members = max(1, math.isqrt(classes - 1) + 1)
+        groups = -(-classes // self.members)
+        self.width = width
+        shapes = [(size + 1, len(PLACES) * width), (width, groups), (groups,), (groups, width, self.members), (groups, self.members)]
+        ends = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         if weights is None:
-            weights = np.random.default_rng(29).normal(0, 0.1, self.ends[-1])
-            weights[self.ends[2] :] = 0
+            weights = np.random.default_rng(29).normal(0, 0.1, ends[-1])
+            weights[ends[2] : ends[3]] = weights[ends[4] :] = 0
+            weights[ends[4] + classes :] = -1e9  # the last group's places beyond the classes
         self.weights = weights.astype(np.float32)
-        self.place, self.out, self.bias = (self.weights[a:b].reshape(s) for a, b, s in zip(self.ends, self.ends[1:], self.shapes))
-        self.place_squares, self.out_squares, self.bias_squares = (np.full(s, 1e-2, np.float32) for s in self.shapes)
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.place[0][context[0]]
-        for k in range(1, len(PLACES)):
-            total += self.place[k][context[k]]
+        self.place, self.group, self.group_bias, self.out, self.bias = (self.weights[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes))
+        self.squares = [np.full(s, 1e-2, np.float32) for s in shapes]
+
+    def hidden(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the words at some places of a run of numbers, from what stands around them; two numbers frame the run."""
+        vectors, inner, width = self.place[numbers], len(numbers) - 4, self.width
+        total = vectors[2 + PLACES[0] : 2 + PLACES[0] + inner, :width].copy()
+        for k, p in enumerate(PLACES[1:], 1):
+            total += vectors[2 + p : 2 + p + inner, k * width : (k + 1) * width]
+        total = total[at - 2]
         return np.tanh(total, out=total)
 
-    def logs(self, hidden: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the classes."""
-        z = hidden @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One Adagrad step on the mean log-probability of the targets."""
-        h = self.hidden(context)
-        d = h @ self.out + self.bias
-        d -= d.max(1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        back = (d @ self.out.T) * (1 - h * h)
-        g_out, g_bias = h.T @ d, d.sum(0)
-        for k in range(len(PLACES)):
-            order = np.argsort(context[k], kind="stable")
-            c = context[k][order]
-            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            grad, rows = np.add.reduceat(back[order], first), c[first]  # all other rows stay as they are
-            seen = self.place_squares[k, rows] + grad * grad
-            self.place_squares[k, rows] = seen
-            self.place[k, rows] -= rate * grad / np.sqrt(seen)
-        for value, squares, grad in ((self.out, self.out_squares, g_out), (self.bias, self.bias_squares, g_bias)):
-            squares += grad * grad
-            value -= rate * grad / np.sqrt(squares)
-
-
-def _contexts(numbers: np.ndarray, owner: np.ndarray, texts: int, none: int) -> np.ndarray:
-    """The numbers at each place around every word; ``none`` beyond the text."""
-    padded = np.full(len(numbers) + 2 * (texts + 1), none, np.int64)
-    at = np.arange(len(numbers)) + 2 * owner + 2
+    def _groups(self, target: np.ndarray):
+        """Targets in order of their groups: the order, the members, and (group, from, to) of those that occur."""
+        group, member = np.divmod(target, self.members)
+        order = np.argsort(group.astype(np.int16 if len(self.bias) < 1 << 15 else np.int64), kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(len(self.bias) + 1)).tolist()
+        return group, order, member[order], [(g, a, b) for g, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+
+    def logs(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of the class that stands at each place."""
+
+        def log_share(z: np.ndarray, is_it: np.ndarray) -> np.ndarray:
+            z -= z.max(0)
+            own = z[is_it, np.arange(z.shape[1])]
+            return own - np.log(np.exp(z, out=z).sum(0))
+
+        group, order, member, groups = self._groups(target)
+        out = log_share(self.group.T @ hidden.T + self.group_bias[:, None], group)
+        h, inner = hidden[order], np.empty(len(target), np.float32)
+        for g, a, b in groups:
+            inner[a:b] = log_share(self.out[g].T @ h[a:b].T + self.bias[g][:, None], member[a:b])
+        out[order] += inner
+        return out
+
+    def step(self, numbers: np.ndarray, at: np.ndarray, target: np.ndarray, rate: float) -> None:
+        """One Adagrad step on the mean log-probability of the targets, which stand at some places of a run of numbers."""
+
+        def slope(z: np.ndarray, is_it: np.ndarray) -> np.ndarray:
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z *= 1 / (z.sum(0) * len(target))
+            z[is_it, np.arange(z.shape[1])] -= 1 / len(target)
+            return z
+
+        def change(k: int, value: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
+            seen = self.squares[k][rows] + grad * grad
+            self.squares[k][rows] = seen
+            value[rows] -= rate * grad / np.sqrt(seen)
+
+        h = self.hidden(numbers, at)
+        group, order, member, groups = self._groups(target)
+        d = slope(self.group.T @ h.T + self.group_bias[:, None], group)
+        back = np.ascontiguousarray((self.group @ d).T)
+        sorted_h, more = h[order], np.empty_like(h)
+        for g, a, b in groups:
+            z = slope(self.out[g].T @ sorted_h[a:b].T + self.bias[g][:, None], member[a:b])
+            more[a:b] = (self.out[g] @ z).T
+            change(3, self.out, (z @ sorted_h[a:b]).T, g)
+            change(4, self.bias, z.sum(1), g)
+        back[order] += more
+        back *= 1 - h * h
+        change(1, self.group, (d @ h).T)
+        change(2, self.group_bias, d.sum(1))
+        # Each number's vectors for all places at once: what comes back to a word from where it is seen.
+        width = self.width
+        every = np.zeros((len(numbers) + 4, width), np.float32)
+        every[at + 2] = back
+        order = np.argsort(numbers)
+        rows = np.empty((len(numbers), len(PLACES) * width), np.float32)
+        for k, p in enumerate(PLACES):
+            rows[:, k * width : (k + 1) * width] = every[order + (2 - p)]
+        n = numbers[order]
+        first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        # Two numbers are added at once, as the parts of a complex one.
+        change(0, self.place, np.add.reduceat(rows.view(np.complex64), first).view(np.float32), n[first])  # all other rows stay as they are
+
+
+def _padded(numbers: np.ndarray, owner: np.ndarray, texts: int, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with two times ``none`` before, between and after the texts, and where each word stands."""
+    padded = np.full(len(numbers) + 2 * (texts + 1), none, np.int32)
+    at = (np.arange(len(numbers)) + 2 * owner + 2).astype(np.int32)
     padded[at] = numbers
-    return np.stack([padded[at + p] for p in PLACES])
+    return padded, at
+
 
+def _batches(padded: np.ndarray, at: np.ndarray, size: int):
+    """(words from, to, the run of numbers around them, where they stand in it)."""
+    for i in range(0, len(at), size):
+        some = at[i : i + size]
+        start = int(some[0]) - 2
+        yield i, i + len(some), padded[start : int(some[-1]) + 3], some - start
 
-def _trained(vocabulary, start, classes: int, width: int, rate: float, batch_size: int = 1024):
+
+def _trained(vocabulary, start, classes: int, width: int, rate: float, batch_size: int = 8192):
     def run(batches):
         w = vocabulary.value
         net = Network(w.size, classes, width, start.value)
@@ -187,20 +265,36 @@ def _trained(vocabulary, start, classes: int, width: int, rate: float, batch_siz
             for _, texts in pieces(utf8(t) for t in batch.column(0).to_pylist()):
                 hashes, owner = word_hashes(texts, lower=True)
                 numbers = w.of(hashes)
-                context = _contexts(numbers, owner, len(texts), w.size)
-                order = np.argsort(mixed(np.arange(len(numbers), dtype=np.uint64)))  # neighbours apart
-                for i in range(0, len(order), batch_size):
-                    some = order[i : i + batch_size]
-                    net.step(context[:, some], w.classes[numbers[some]], rate)
-                    seen += len(some)
+                for a, b, run_of, at in _batches(*_padded(numbers, owner, len(texts), w.size), batch_size):
+                    net.step(run_of, at, w.classes[numbers[a:b]], rate)
+                seen += len(numbers)
         if seen:
-            at = np.arange(0, len(net.weights), 4096)
-            parts = pa.array([net.weights[a : a + 4096] for a in at], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(at // 4096), pa.array(np.full(len(at), float(seen))), parts], names=["part", "seen", "weights"])
+            at = np.arange(0, len(net.weights), _CHUNK)
+            parts = pa.array([net.weights[a : a + _CHUNK] for a in at], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(at // _CHUNK), pa.array(np.full(len(at), float(seen))), parts], names=["part", "seen", "weights"])
 
     return run
 
 
+def _averaged(batches):
+    """Weighted means of the parts, which come one after another: one part is held at a time, however many tasks trained."""
+    part, total, weight = None, None, 0.0
+
+    def mean():
+        value = pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), value], names=["part", "weights"])
+
+    for batch in batches:
+        for p, seen, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if p != part:
+                if part is not None:
+                    yield mean()
+                part, total, weight = p, 0.0, 0.0
+            total, weight = total + seen * weights.values.to_numpy().astype(float), weight + seen
+    if part is not None:
+        yield mean()
+
+
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rounds: int = 2, width: int = 24, rate: float = 0.1, alone: int | None = None, buckets: int | None = None):
     """(words, weights) of a network that every word of all documents has been a target of once."""
     spark = on_workers(docs.sparkSession)
@@ -213,12 +307,10 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rounds: i
         start = spark.sparkContext.broadcast(weights)
         some = docs.where(turn == k).select(F.col(text).cast("string"))
         parts = some.mapInArrow(_trained(shared, start, classes, width, rate / (k + 1)), "part bigint, seen double, weights array<float>")
-        each = parts.select("part", "seen", F.posexplode("weights").alias("at", "w"))
-        mean = each.groupBy("part", "at").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
-        rows = mean.toArrow()  # as many rows as the model has weights
+        mean = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_averaged, "part bigint, weights array<float>")
+        rows = mean.toArrow().sort_by("part")  # the model
         if rows.num_rows:
-            weights = weights.copy()
-            weights[rows.column("part").to_numpy() * 4096 + rows.column("at").to_numpy()] = rows.column("w").to_numpy()
+            weights = rows.column("weights").combine_chunks().flatten().to_numpy()
     return vocabulary, weights
 
 
@@ -228,12 +320,9 @@ def log_likelihoods(texts: list[bytes], w: Words, net: Network) -> tuple[np.ndar
     for start, some in pieces(texts):
         hashes, owner = word_hashes(some, lower=True)
         numbers = w.of(hashes)
-        context = _contexts(numbers, owner, len(some), w.size)
         value = w.share[numbers]
-        target = w.classes[numbers]
-        for i in range(0, len(numbers), 4096):
-            logs = net.logs(net.hidden(context[:, i : i + 4096]))
-            value[i : i + 4096] += logs[np.arange(len(logs)), target[i : i + 4096]]
+        for a, b, run_of, at in _batches(*_padded(numbers, owner, len(some), w.size), 8192):
+            value[a:b] += net.logs(net.hidden(run_of, at), w.classes[numbers[a:b]])
         total[start : start + len(some)] = np.bincount(owner, value, len(some))
         counts[start : start + len(some)] = np.bincount(owner, minlength=len(some))
     return total, counts
