@@ -24,8 +24,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_BATCH, _BATCH_MB = "spark.sql.execution.arrow.maxBytesPerBatch", 4
+
+
+def _megabytes(size: str) -> float:
+    """A size as Spark writes it; without a limit, as many as there can be."""
+    units = {"b": 1 / (1 << 20), "k": 1 / 1024, "m": 1, "g": 1024}
+    number = float(size.strip().lower().rstrip("bkmg"))
+    unit = size.strip().lower().lstrip("-0123456789.")[:1] or "b"
+    return number * units[unit] if number > 0 else float("inf")
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, if it isn't installed there."""
+    """Let Python workers import this package from where the driver has it, if it isn't installed there.
+
+    Batches for them are kept to a few megabytes: by default they hold 64, several times over on both sides.
+    """
+    if _megabytes(spark.conf.get(_BATCH, "64m")) > _BATCH_MB:
+        spark.conf.set(_BATCH, f"{_BATCH_MB}m")
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
@@ -38,11 +54,12 @@ def fold(name: str, parts: int):
 
 
 def kept_by_worker(key: str, make):
-    """A value that a Python worker makes once and keeps for its later tasks; one value per kind."""
-    kind = key.split(":")[0]
-    if _state.get(kind, (None,))[0] != key:
-        _state[kind] = (key, make())
-    return _state[kind][1]
+    """A value that a Python worker makes once and keeps for its later tasks; the next one of any kind takes its place."""
+    if key not in _state:
+        _state.clear()  # before the next one is made: a worker never holds two
+        pa.default_memory_pool().release_unused()
+        _state[key] = make()
+    return _state[key]
 
 
 def utf8(text: str | None) -> bytes:
@@ -64,19 +81,24 @@ def pieces(texts: Iterable[bytes], limit: int = PIECE) -> Iterator[tuple[int, li
 
 
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as long as asked for."""
+    """Powers of an odd number and of its inverse modulo 2**64, as long as asked for; up to ``most`` of them are kept."""
+
+    most = 1 << 21
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
+        up, down = self.up, self.down
+        while len(up) < n:
+            k = len(up)
             more = np.uint64(pow(self.base, k, 1 << 64)), np.uint64(pow(self.inverse, k, 1 << 64))
-            self.up = np.concatenate([self.up, self.up * more[0]])
-            self.down = np.concatenate([self.down, self.down * more[1]])
-        return self.up[:n], self.down[:n]
+            up = np.concatenate([up, up * more[0]])
+            down = np.concatenate([down, down * more[1]])
+        if len(self.up) < len(up) <= self.most:
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _BYTES = np.random.default_rng(20240501).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -84,7 +106,7 @@ _SPREAD = [Powers(0x9E3779B97F4A7C15 | 3), Powers(0xD6E8FEB86659FD93 | 3)]
 _CHAIN = [Powers(0xA0761D6478BD642F | 3), Powers(0xE7037ED1A0B428DB | 3)]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Hashing one word after another of a long text: so many bytes at once.
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,22 +131,37 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int)
     return mixed((total[ends] - total[starts]) * down[starts])
 
 
-def word_hashes(texts: list[bytes], which: int = 0, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, and each word's text position; ``which``: one of two independent hashes."""
-    if lower:
-        texts = [t.lower() for t in texts]  # of bytes: A-Z only
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    starts, ends = word_edges(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each number once; many times quicker than a hash table where most numbers are."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each of some spans that follow each other, computed in blocks."""
     hashes, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
         hashes[at:to] = _hashed(data[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base, which)
         at = to
+    return hashes
+
+
+def words_of(texts: list[bytes], which: int = 0) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, and of each word: where it begins and ends, a 64-bit hash, and its text's position."""
+    joined = b"\n".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    starts, ends = word_edges(data)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    return joined, starts, ends, span_hashes(data, starts, ends, which), np.searchsorted(offsets, starts, "right") - 1
+
+
+def word_hashes(texts: list[bytes], which: int = 0, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, and each word's text position; ``which``: one of two independent hashes."""
+    if lower:
+        texts = [t.lower() for t in texts]  # of bytes: A-Z only
+    return words_of(texts, which)[3:]
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:

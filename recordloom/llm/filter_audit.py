@@ -24,13 +24,12 @@ from __future__ import annotations
 import math
 from itertools import permutations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks.snapshots import cut
-from .common import on_workers, utf8, word_hashes
+from .common import distinct, on_workers, utf8, word_hashes
 
 FILTERS = "ABCDE"
 #: Bytes that filter D looks for.
@@ -47,7 +46,7 @@ def _words(text: bytes) -> tuple[int, int]:
         words = text.split()  # of bytes: at the six white space bytes
         return len(words), len(set(words))
     hashes, _ = word_hashes([text])
-    return len(hashes), len(np.unique(hashes))
+    return len(hashes), len(distinct(hashes))
 
 
 def own_mask(text: bytes) -> int:

@@ -17,14 +17,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train, per_cl
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     order = F.xxhash64("doc_id", F.lit(seed))
-    fit = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    fit = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     # Only ids that have such a text are chosen from.
     there = cut(fit.select("doc_id").join(known, "doc_id").distinct(), "labelled")
     chosen = [there.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     texts = (
         fit.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # as many rows as asked for
         .groupBy("doc_id", "y")
-        .agg(F.min(F.col("text").cast("string")).alias("text"))
+        .agg(F.min("text").alias("text"))
     )
     rows = texts.orderBy(order, "doc_id").collect()
     out: list[tuple[bytes, int]] = []

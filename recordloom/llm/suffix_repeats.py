@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, Powers, many, mixed, on_workers
+from .common import _BYTES, Powers, distinct, many, mixed, on_workers
 
 LENGTH = 400
 #: Bytes of an anchor at most.
@@ -413,7 +413,7 @@ def _factored(ids, prints, off, width, bodies: list[bytes], length: int) -> Iter
     sa, lcp = suffix_order(ranked(data, length), at, length)
     shared, source = previous_factors(sa, lcp, length)
     found = shared >= length
-    for spots, kind in ((np.sort(sa[found]), LATER), (np.unique(source[found]), SOURCE)):
+    for spots, kind in ((np.sort(sa[found]), LATER), (distinct(source[found]), SOURCE)):
         r = np.searchsorted(begin, spots, "right") - 1
         a, b, c, d = _merged(ids[r], prints[r], off[r] + spots - begin[r], np.ones(len(r), np.int64))
         yield _rows(_FOUND, id=a, print=b, off=c, width=d, kind=np.full(len(a), kind))

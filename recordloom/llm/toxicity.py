@@ -6,14 +6,14 @@ words of the text, repeated ones included, the mean of its words; two linear out
 bag, so length doesn't dilute it. In training, the bag of each text that scores highest stands for it and is chosen
 anew in every step. A logistic curve fitted on training texts that the vectors haven't seen turns the best bag's margin into the score.
 
-Null, empty and blank texts have no bag and get the score of a bag of no evidence. A repeated row is scored twice alike;
-other columns are not looked at. Without labels of both classes every score is 0.
+Null, empty and blank texts have no bag and get the score of a bag of no evidence. A repeated row is scored twice alike,
+and of bags that score alike it doesn't matter which counts; rows without an id are scored but never learnt from; other
+columns are not looked at. Without labels of both classes, as on empty tables, every score is 0.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, on_workers, utf8
+from .common import distinct, kept_by_worker, mixed, on_workers, pieces, span_hashes, utf8, words_of
 from .labelled import calibrated, labelled_texts, logistic
 
 
@@ -42,12 +42,48 @@ class Settings:
 _STRIP = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#$%&|_-"
 
 
-def grams(word: bytes, buckets: int) -> list[int]:
-    """Rows of a word's n-grams of 3 to 5 characters, and of the word itself."""
-    w = "<" + word.decode("utf-8", "replace").lower().strip(_STRIP) + ">"
-    found = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {w}
-    # Of a very long word, a part says enough: its n-grams are hashed into the same rows over and over.
-    return sorted({zlib.crc32(g.encode()) % buckets for g in found})
+#: Words of more characters are hashed in parts, and have no row of their own beside those of their n-grams.
+_PART = 1 << 16
+#: Words whose n-grams are hashed at once.
+_AT_ONCE = 20_000
+
+
+def _rows_of(marked: list[str], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word and row of all n-grams, sorted, each pair once."""
+    data = np.frombuffer("".join(marked).encode("utf-8", "replace"), np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes where characters begin
+    size = np.array([len(w) for w in marked], np.int64)
+    end = np.cumsum(size)
+    word = np.repeat(np.arange(len(marked)), size)
+    found = [(np.arange(len(marked)), at[end - size], at[end])] if whole else []
+    place = np.arange(len(word))
+    for n in (3, 4, 5):
+        some = place[place + n <= end[word]]
+        found.append((word[some], at[some], at[some + n]))
+    pairs = [w * buckets + (mixed(span_hashes(data, a, b) + (b - a).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) for w, a, b in found]
+    pairs = distinct(np.concatenate(pairs))
+    return pairs // buckets, pairs % buckets
+
+
+def grams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the n-grams of 3 to 5 characters of each word, and of the word itself, all in one array; where each word's begin."""
+    lowered = b"\n".join(words).decode("utf-8", "replace").lower().split("\n") if words else []
+    marked = [f"<{w.strip(_STRIP)}>" for w in lowered]
+    rows, sizes, k = [np.zeros(0, np.int64)], np.zeros(len(words), np.int64), 0
+    while k < len(marked):
+        if len(marked[k]) > _PART:
+            parts = (marked[k][i : i + _PART + 4] for i in range(0, len(marked[k]) - 4, _PART))
+            own = np.unique(np.concatenate([_rows_of([p], buckets, False)[1] for p in parts]))
+            to, sizes[k] = k + 1, len(own)
+        else:
+            to, length = k, 0
+            while to < len(marked) and to - k < _AT_ONCE and len(marked[to]) <= _PART and length < 1 << 20:
+                length, to = length + len(marked[to]), to + 1
+            of, own = _rows_of(marked[k:to], buckets, True)
+            sizes[k:to] = np.bincount(of, minlength=to - k)
+        rows.append(own)
+        k = to
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +130,12 @@ def fit(sample: list[tuple[bytes, int]], s: Settings | None = None) -> Model:
     y = np.array([y for _, y in sample], float)
     words: dict[bytes, int] = {}
     docs = [[words.setdefault(w, len(words)) for w in text.split()] for text, _ in sample]
-    grams_of, at = _ragged([grams(w, s.buckets) for w in words])
+    grams_of, at = grams(list(words), s.buckets)
     # Rows that few texts have can only be learnt by heart; they stay zero.
     texts_with = np.zeros(s.buckets, np.int64)
     for d, own in zip(docs, part):
         if d and not own:
-            texts_with[np.unique(np.concatenate([grams_of[at[w] : at[w + 1]] for w in set(d)]))] += 1
+            texts_with[distinct(np.concatenate([grams_of[at[w] : at[w + 1]] for w in set(d)]))] += 1
     known = texts_with >= s.least_texts
     per_word = 1.0 / np.diff(at)
     word_of = np.repeat(np.arange(len(words)), np.diff(at))[known[grams_of]]
@@ -159,36 +195,69 @@ def fit(sample: list[tuple[bytes, int]], s: Settings | None = None) -> Model:
 
 
 class Scorer:
-    """Scores texts; remembers the margins of words, up to a bound."""
+    """Scores texts; the margins of words are looked up by hash in a table of a fixed size, in which later words replace earlier ones."""
 
-    def __init__(self, model: Model, cache_size: int = 400_000):
-        self.model = model
-        self.cache: dict[bytes, float] = {}
-        self.cache_size = cache_size
+    def __init__(self, model: Model, bits: int = 20):
+        self.model, self.bits = model, np.uint64(64 - bits)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
         self.lowest = float(logistic(model.curve[0] * model.bias + model.curve[1])) if model.key != "none" else 0.0
 
-    def word(self, w: bytes) -> float:
-        return float(self.model.rows[grams(w, len(self.model.rows))].mean())
-
-    def score(self, text: bytes) -> float:
-        words = text.split()
-        if not words or self.model.key == "none":
-            return self.lowest
-        m, cache = self.model, self.cache
-        distinct = set(words)
-        fresh = {w for w in distinct if w not in cache}
-        if len(cache) + len(fresh) > self.cache_size:
-            cache.clear()
-            fresh = distinct
-        cache.update((w, self.word(w)) for w in fresh)
-        values = np.fromiter(map(cache.__getitem__, words), float, len(words))
-        if len(values) <= m.window:
-            best = values.mean()
-        else:
-            total = np.concatenate([[0.0], np.cumsum(values)])
-            at = np.append(np.arange(0, len(values) - m.window + 1, m.window // 2), len(values) - m.window)
-            best = (total[at + m.window] - total[at]).max() / m.window
-        return float(logistic(m.curve[0] * (best + m.bias) + m.curve[1]))
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """The margin of each word: the mean over its n-grams."""
+        rows, at = grams(words, len(self.model.rows))
+        return np.add.reduceat(self.model.rows[rows], at[:-1]) / np.diff(at) if len(words) else np.zeros(0)
+
+    def margins(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The margin of every word of some texts; each distinct one that the table lacks is worked out once."""
+        slot = (hashes >> self.bits).astype(np.int64)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != hashes)
+        fresh, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+        first = miss[first]
+        values = np.empty(len(fresh))
+        for k in range(0, len(fresh), _AT_ONCE):
+            some = first[k : k + _AT_ONCE]
+            values[k : k + _AT_ONCE] = self.words([joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+        out[miss] = values[back]
+        # Where two words want one slot, the last of them gets it, key and value alike.
+        _, last = np.unique((fresh >> self.bits)[::-1], return_index=True)
+        last = len(fresh) - 1 - last
+        slot = (fresh[last] >> self.bits).astype(np.int64)
+        self.keys[slot], self.values[slot] = fresh[last], values[last]
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Of every text, by its worst bag; equal texts score alike wherever they stand."""
+        out = np.full(len(texts), self.lowest)
+        if self.model.key == "none":
+            return out
+        for start, some in pieces(texts):
+            joined, starts, ends, hashes, owner = words_of(some)
+            values = self.margins(joined, starts, ends, hashes)
+            n = np.bincount(owner, minlength=len(some))
+            best = self._worst(values, np.cumsum(n) - n, n)
+            known = n > 0
+            out[start : start + len(some)][known] = logistic(self.model.curve[0] * (best[known] + self.model.bias) + self.model.curve[1])
+        return out
+
+    def _worst(self, values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The highest mean of a bag, of texts whose ``n`` words begin at ``first``."""
+        window, step = self.model.window, self.model.window // 2
+        best = np.full(len(n), -np.inf)
+        for k in np.array_split(np.flatnonzero((n > 0) & (n <= window)), 1 + len(n) // 50_000):
+            place = np.minimum(np.arange(window), n[k, None] - 1)
+            best[k] = np.where(np.arange(window) < n[k, None], values[first[k, None] + place], 0.0).sum(1) / n[k]
+        long = np.flatnonzero(n > window)
+        bags = (n[long] - window + step - 1) // step + 1
+        begin = np.cumsum(bags) - bags
+        place = np.arange(bags.sum()) - np.repeat(begin, bags)
+        at = np.repeat(first[long], bags) + np.minimum(place * step, np.repeat(n[long] - window, bags))
+        means = np.empty(len(at))
+        for k in range(0, len(at), 100_000):
+            means[k : k + 100_000] = values[at[k : k + 100_000, None] + np.arange(window)].sum(1) / window
+        if len(long):
+            best[long] = np.maximum.reduceat(means, begin)
+        return best
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows, per_class: int = 2000, max_bytes: int = 10_000, settings: Settings | None = None) -> Model:
@@ -206,8 +275,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
         m = shared.value
         scorer = kept_by_worker(f"toxicity:{m.key}", lambda: Scorer(m))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            scores = pa.array([scorer.score(utf8(t)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, into])
+            texts = [utf8(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(texts), pa.float64())], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import _BYTES, _SPREAD, mixed, pieces
+from .common import mixed, pieces, span_hashes
 
 #: White space in the widest sense.
 _ODD = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​-‍⁠﻿]|\Z)")
@@ -195,9 +195,6 @@ def cut(texts: list[bytes], may: list[bool], data: np.ndarray | None = None) ->
     first[-1] = True
     bounds = np.flatnonzero(first)
     begin, end = bounds[:-1], bounds[1:]
-    up, down = _SPREAD[0](len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[0][data] * up[: len(data)], out=total[1:])
-    hashes = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    hashes = mixed(span_hashes(data, begin, end) + (end - begin).astype(np.uint64))
     owner = np.searchsorted(np.cumsum(sizes), begin, "right")
     return bounds, hashes, owner

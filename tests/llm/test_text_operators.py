@@ -439,7 +439,7 @@ def test_every_word_is_a_target(monkeypatch):
     numbered = lm.Words(hashes, np.arange(len(hashes)), np.append(np.arange(len(hashes)), len(hashes)), np.zeros(len(hashes) + 1), 1)
     targets = Counter()
     step = lm.Network.step
-    monkeypatch.setattr(lm.Network, "step", lambda self, context, target, rate: (targets.update(target.tolist()), step(self, context, target, rate))[1])
+    monkeypatch.setattr(lm.Network, "step", lambda self, run_of, at, target, rate: (targets.update(target.tolist()), step(self, run_of, at, target, rate))[1])
     start = lm.Network(numbered.size, numbered.kinds, 4).weights
     run = lm._trained(mock.Mock(value=numbered), mock.Mock(value=start), numbered.kinds, 4, 0.1, batch_size=64)
     out = list(run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
@@ -447,6 +447,63 @@ def test_every_word_is_a_target(monkeypatch):
     assert targets == Counter(every.tolist()) and out[0].column(1)[0].as_py() == len(every) == 3005
 
 
+def _context_logs(net, numbers, none):
+    """Word by word: the log-probability of every class in the context of each word of one text."""
+    width, out = net.width, []
+    for i in range(len(numbers)):
+        h = np.zeros(width)
+        for k, p in enumerate(lm.PLACES):
+            n = numbers[i + p] if 0 <= i + p < len(numbers) else none
+            h += net.place[n, k * width : (k + 1) * width]
+        h = np.tanh(h)
+        groups = np.exp(h @ net.group + net.group_bias)
+        inner = [np.exp(h @ net.out[g] + net.bias[g]) for g in range(len(net.bias))]
+        out.append(np.log(np.concatenate([groups[g] / groups.sum() * x / x.sum() for g, x in enumerate(inner)]) + 1e-300))
+    return np.array(out).reshape(len(numbers), net.bias.size)
+
+
+@pytest.mark.parametrize("classes", [1, 2, 5, 16, 23])
+def test_likelihoods_word_by_word(classes):
+    rng = np.random.default_rng(classes)
+    texts = [b"a b c a", b"", b"zz Q a", b"b"]
+    known = np.unique(common.word_hashes([b"a b c"])[0])
+    kinds = np.append(rng.integers(0, classes, 3), [0] * 2 + [classes - 1])
+    w = lm.Words(known, np.arange(3), kinds, rng.normal(size=6), 3)
+    net = lm.Network(w.size, w.kinds, 5)
+    real = net.bias.ravel()[:classes]
+    real += rng.normal(size=classes).astype(np.float32)
+    total, counts = lm.log_likelihoods(texts, w, net)
+    for k, t in enumerate(texts):
+        numbers = w.of(common.word_hashes([t], lower=True)[0])
+        logs = _context_logs(net, numbers, w.size)
+        assert np.allclose(np.exp(logs[:, :classes]).sum(1), 1, atol=1e-5)  # the classes that exist share all the mass
+        want = sum(logs[i, w.classes[n]] + w.share[n] for i, n in enumerate(numbers))
+        assert counts[k] == len(numbers) and np.isclose(total[k], want, atol=1e-4)
+
+
+def test_a_step_follows_the_slope():
+    rng = np.random.default_rng(1)
+    numbers, at = rng.integers(0, 9, 40).astype(np.int32), np.arange(2, 38)
+    target = rng.integers(0, 7, len(at))
+    net = lm.Network(9, 7, 4)
+    loss = lambda: -float(net.logs(net.hidden(numbers, at), target).astype(float).mean())
+    before, weights = [s.copy() for s in net.squares], net.weights.copy()
+    net.step(numbers, at, target, 0.0)
+    grads = np.concatenate([np.sqrt(np.maximum(a - b, 0)).ravel() for a, b in zip(net.squares, before)])  # their sizes
+    some = rng.choice(np.flatnonzero(np.abs(weights) < 1e8), 60, replace=False)
+    for i in some:
+        net.weights[i] = weights[i] + 2e-2
+        up = loss()
+        net.weights[i] = weights[i] - 2e-2
+        down = loss()
+        net.weights[i] = weights[i]
+        assert abs(abs(up - down) / 4e-2 - grads[i]) < 2e-3
+    start = loss()
+    for _ in range(30):
+        net.step(numbers, at, target, 0.1)
+    assert loss() < start - 0.1
+
+
 def _good(rng):
     return "\n".join(" ".join(_words(rng, rng.randint(6, 14))).capitalize() + "." for _ in range(rng.randint(1, 8)))
 
@@ -488,6 +545,11 @@ def test_marginals_are_exact():
     assert np.allclose(got, want) and np.allclose(pairs, links)
 
 
+def _scorer(model, **limits):
+    scorer = toxicity.Scorer(model, **limits)
+    return lambda text: float(scorer.scores([text])[0])
+
+
 def test_toxicity():
     rng = random.Random(7)
 
@@ -499,28 +561,27 @@ def test_toxicity():
 
     sample = [(text(y), y) for y in (0, 1) for _ in range(500)]
     model = toxicity.fit(sample)
-    scorer = toxicity.Scorer(model)
-    assert np.mean([scorer.score(text(1)) >= 0.7 for _ in range(60)]) > 0.8
-    assert np.mean([scorer.score(text(0)) < 0.7 for _ in range(60)]) > 0.95
+    score = _scorer(model)
+    assert np.mean([score(text(1)) >= 0.7 for _ in range(60)]) > 0.8
+    assert np.mean([score(text(0)) < 0.7 for _ in range(60)]) > 0.95
     plain = text(0)
-    assert scorer.score(plain + b" snorkwazle plimpfoz") > scorer.score(plain)  # misspelt
-    assert scorer.score(b"") < 0.3 and scorer.score("語 漢字 слово".encode()) < 0.5
+    assert score(plain + b" snorkwazle plimpfoz") > score(plain)  # misspelt
+    assert score(b"") < 0.3 and score("語 漢字 слово".encode()) < 0.5
     nothing = toxicity.fit([(b"x", 0)])
-    assert toxicity.Scorer(nothing).score(b"x") == 0
+    assert _scorer(nothing)(b"x") == 0
 
 
 def test_toxicity_of_repeated_words():
     model = toxicity.Model(np.zeros(1 << 16), -1.0, (1.0, 0.0), 12, "test")
     bad = [f"grumblefex{c}".encode() for c in "abcdefghijkl"]
-    for w in bad:
-        model.rows[toxicity.grams(w, 1 << 16)] = 12.0
-    scorer = toxicity.Scorer(model)
+    model.rows[toxicity.grams(bad, 1 << 16)[0]] = 12.0
+    score = _scorer(model)
     rng = random.Random(3)
     plain = [w.encode() for w in _words(rng, 4000, "uvwyz")]
     for i, w in enumerate(bad):
         plain[300 * i + 50] = w  # each singly, among harmless words
-    assert scorer.score(b" ".join(plain)) < 0.6 and scorer.score(b" ".join(plain + bad + plain[100:200])) > 0.99
-    assert scorer.score(b" ".join(plain[60:300] + bad[:1] * 12)) > 0.99  # one word again and again
+    assert score(b" ".join(plain)) < 0.6 and score(b" ".join(plain + bad + plain[100:200])) > 0.99
+    assert score(b" ".join(plain[60:300] + bad[:1] * 12)) > 0.99  # one word again and again
     # In training as well: the toxic texts have the words of the others, in runs.
     def text(toxic):
         w = [rng.choice(["red", "blue", "green", "cyan", "pink", "grey"]) for _ in range(60)]
@@ -528,11 +589,50 @@ def test_toxicity_of_repeated_words():
             w[30:42] = ["pink"] * 12
         return " ".join(w).encode()
 
-    scorer = toxicity.Scorer(toxicity.fit([(text(y), y) for y in (0, 1) for _ in range(300)]))
-    assert np.mean([scorer.score(text(1)) > scorer.score(text(0)) for _ in range(60)]) > 0.9
+    score = _scorer(toxicity.fit([(text(y), y) for y in (0, 1) for _ in range(300)]))
+    assert np.mean([score(text(1)) > score(text(0)) for _ in range(60)]) > 0.9
+
+
+def _naive_toxicity(text: bytes, m) -> float:
+    """Bag by bag, word by word."""
+
+    def margin(word):
+        rows, at = toxicity.grams([word], len(m.rows))
+        marked = "<" + word.decode("utf-8", "replace").lower().strip(toxicity._STRIP) + ">"
+        assert at.tolist() == [0, len(rows)]
+        assert len(rows) <= len({marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)} | {marked}) <= len(rows) + 1
+        return sum(m.rows[r] for r in rows) / len(rows)
+
+    words = text.split()
+    if not words:
+        return 1 / (1 + math.exp(-(m.curve[0] * m.bias + m.curve[1])))
+    begins = {*range(0, max(1, len(words) - m.window + 1), m.window // 2), max(0, len(words) - m.window)}
+    best = max(sum(bag) / len(bag) for bag in ([margin(w) for w in words[i : i + m.window]] for i in begins))
+    return 1 / (1 + math.exp(-(m.curve[0] * (best + m.bias) + m.curve[1])))
+
+
+def test_toxicity_is_the_worst_bag_of_n_grams(texts):
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=1 << 12), 0.3, (0.7, -0.2), 12, "naive")
+    every = [common.utf8(t) for _, t in texts] + [b"!!! ? . --", "ÄÖÜ ΣΑΣ İ ﬀ".encode(), b"a" * 30, b"\xff\xfe broken"]
+    for bits in (20, 3):  # a table with room for all words, and one with next to none
+        scorer = toxicity.Scorer(model, bits)
+        together = scorer.scores(every)
+        assert np.allclose(together, [_naive_toxicity(t, model) for t in every], atol=1e-12)
+        assert together.tolist() == scorer.scores(every).tolist() == [float(scorer.scores([t])[0]) for t in every]
+
+
+def test_very_long_words_are_hashed_in_parts(monkeypatch):
+    word = "".join(random.Random(1).choice("abcdé") for _ in range(3000)).encode()
+    rows, begin = toxicity.grams([word, b"short", word], 1 << 40)
+    monkeypatch.setattr(toxicity, "_PART", 100)
+    parts, at = toxicity.grams([word, b"short", word], 1 << 40)
+    whole = set(rows[: begin[1]].tolist())
+    assert len(whole - set(parts[: at[1]].tolist())) == 1 and set(parts[: at[1]].tolist()) < whole  # all but the word's own
 
 
 def test_classifiers_on_odd_tables(spark, docs, texts, none):
+    docs, none = docs.withColumn("y", F.lit("taken")), none.withColumn("y", F.lit("taken"))
     labels = spark.createDataFrame([(k, k % 2, (k + 1) % 2) for k in range(60)] + [(1, 0, 1), (2, None, None), (None, 1, 1), (9999, 1, 0)], "doc_id bigint, quality int, toxic int")
     for train, scored in ((line_crf.train, line_crf.scored), (toxicity.train, toxicity.scored)):
         out = scored(docs, train(docs, labels, F.lit(True)), into="score_").collect()
