@@ -331,6 +331,55 @@ SELECT count(*) AS total_records, count(*) FILTER (WHERE quality_level = 'High')
   round_even(low_quality::DOUBLE / total_records * 100, 2) AS low_quality_percent"""
 
 
+def _fetched(name: str, rel: str) -> str:
+    useful = "coalesce(owner_name, '') <> '' OR coalesce(parcel_id, '') <> ''"
+    return f"""
+SELECT 'fetching' AS section, '{name}_' || key AS key, value::DOUBLE AS value FROM (UNPIVOT (SELECT count(*) AS total_records,
+  count(*) FILTER (WHERE {useful}) AS successful_extractions, count(*) FILTER (WHERE NOT ({useful})) AS failed_extractions
+  FROM ({rel})) ON COLUMNS(*) INTO NAME key VALUE value)"""
+
+
+RUN_STATISTICS = f"""{JOB}, m AS ({MERGED}), records AS ({JOB_RECORDS}),
+      c AS ({COUNTS}), q AS ({DISTRIBUTION} FROM ({scored('SELECT * FROM records')})),
+      d AS (SELECT (SELECT count(*) FROM tagged) AS input_records, (SELECT count(*) FROM records) AS unique_records,
+        count(*) AS duplicates_removed, count(DISTINCT duplicate_group) AS duplicate_groups FROM tagged
+        WHERE duplicate_group IS NOT NULL),
+      v AS (SELECT * FROM (UNPIVOT (SELECT
+        (SELECT count(*) FROM ({LEFT}) WHERE {required_ok()}) AS left_valid,
+        (SELECT count(*) FROM ({LEFT}) WHERE NOT ({required_ok()})) AS left_invalid,
+        (SELECT count(*) FROM ({RIGHT}) WHERE {required_ok()}) AS right_valid,
+        (SELECT count(*) FROM ({RIGHT}) WHERE NOT ({required_ok()})) AS right_invalid)
+        ON COLUMNS(*) INTO NAME key VALUE value))
+      SELECT 'validation' AS section, key, value::DOUBLE AS value FROM v
+      UNION ALL SELECT 'merging', key, value::DOUBLE FROM (UNPIVOT c ON COLUMNS(*) INTO NAME key VALUE value)
+      UNION ALL SELECT 'deduplication', key, value::DOUBLE FROM (UNPIVOT (SELECT *, duplicates_removed - duplicate_groups
+        AS rows_removed FROM d) ON COLUMNS(*) INTO NAME key VALUE value)
+      UNION ALL SELECT 'enrichment', key, value::DOUBLE FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM q)
+        ON COLUMNS(*) INTO NAME key VALUE value)
+      UNION ALL SELECT * FROM ({" UNION ALL ".join(_fetched(n, rel) for n, rel in (("left", LEFT), ("right", RIGHT)))})
+      UNION ALL SELECT 'cleaning', replace(key, '_valid', '_cleaned_records'), value::DOUBLE FROM v WHERE key LIKE '%\\_valid' ESCAPE '\\'
+      UNION ALL SELECT 'export', 'exported_records', count(*)::DOUBLE FROM records
+      UNION ALL SELECT 'run', 'duration_seconds', 1"""
+
+TEXT_SIZE = "coalesce(sum(" + " + ".join(f"length(coalesce({f}, ''))" for f in ("owner_name", "parcel_id", "property_address")) + "), 0)::BIGINT"
+REPORT = {
+    "all_properties": "SELECT * FROM records",
+    "wake_county": PREP_LEFT,
+    "orange_county": PREP_RIGHT,
+    "duplicates": "SELECT * FROM tagged WHERE duplicate_group IS NOT NULL",
+}
+
+# Responses with numbers and lists for texts, nulls, and absent fields; by the rule of what is odd about them.
+ODD_ERRORS = f"""
+SELECT *, CASE WHEN len(_req) > 0 THEN _req ELSE _types END AS error_list FROM (
+SELECT *, list_filter([
+    CASE WHEN rec_idx % 17 = 4 OR (rec_idx % 7 <> 1 AND {is_blank('owner_name')}) THEN 'Required field is empty: owner_name' END,
+    CASE WHEN rec_idx % 13 = 3 OR {is_blank('property_address')} THEN 'Required field is empty: property_address' END], lambda e: e IS NOT NULL) AS _req,
+  list_filter([
+    CASE WHEN rec_idx % 7 = 1 THEN 'Field ''owner_name'' has invalid type: expected <class ''str''>, got <class ''int''>' END,
+    CASE WHEN rec_idx % 11 = 2 THEN 'Field ''city'' has invalid type: expected <class ''str''>, got <class ''list''>' END], lambda e: e IS NOT NULL) AS _types
+FROM ({LEFT}))"""
+
 def hash_of(*fields: str) -> str:
     return "md5(" + " || '|' || ".join(f"coalesce(lower({strip(f)}), '')" for f in fields) + ")"
 
@@ -519,6 +568,28 @@ ORACLES: dict[str, str] = {
     "page_records": f"""SELECT page_id, {H1} AS owner_name, '' AS parcel_id, {FIRST_LINK} AS city, '' AS state,
       'Orange' AS county, 'Orange County Scraper' AS source, url AS source_url, '2025-01-01T00:00:00' AS extracted_at
       FROM pages WHERE {H1} <> ''""",
+    "crawl_all": f"""WITH d AS (SELECT page_id, url, {H1} AS owner_name, {FIRST_LINK} AS city FROM pages)
+      SELECT l.page_id // 20 AS listing, row_number() OVER (PARTITION BY l.page_id // 20 ORDER BY l.page_id) - 1 AS pos,
+        p.page_id, p.owner_name, p.city, p.url AS source_url
+      FROM d l JOIN d p ON l.url = p.url WHERE p.owner_name <> ''""",
+    "observed_counts": " UNION ALL ".join(
+        f"""SELECT '{n}' AS origin, count(*) AS total_records,
+        count(*) FILTER (WHERE rec_idx % 19 <> 0 AND (owner_name <> '' OR parcel_id <> '')) AS successful_extractions,
+        count(*) FILTER (WHERE NOT (rec_idx % 19 <> 0 AND (owner_name <> '' OR parcel_id <> ''))) AS failed_extractions FROM ({rel})"""
+        for n, rel in (("left", LEFT), ("right", RIGHT))
+    ),
+    "validate_responses": f"""SELECT 'R' || rec_idx AS reid, len(error_list) = 0 AS is_valid, array_to_string(error_list, ' | ') AS errors
+      FROM ({ODD_ERRORS})""",
+    "typed_responses": f"""SELECT 'R' || rec_idx AS reid, owner_name, parcel_id, property_address, '' AS mailing_address, city, 'NC' AS state,
+      '27601' AS zip_code, 'Wake' AS county, NULL::DOUBLE AS assessed_value, '' AS sale_date, NULL::DOUBLE AS sale_price,
+      'Wake County API' AS source, 'https://a.example' AS source_url, '2025-01-01T00:00:00' AS extracted_at
+      FROM ({ODD_ERRORS}) WHERE len(error_list) = 0""",
+    "fetch_and_map": f"""SELECT {FIELDS} FROM ({RESPONSE_ROWS}) WHERE city = 'RALEIGH' ORDER BY rec_idx LIMIT 50 OFFSET 20""",
+    "rows_per_file": f"""SELECT unnest(['csv', 'json']) AS format, n AS rows, true AS within FROM (SELECT count(*) AS n FROM ({PREP_ALL}))""",
+    "raw_rows": LEFT,
+    "export_formats": f"""SELECT 'csv' AS format, count(*) AS rows, count(nullif(parcel_id, '')) AS filled, '' AS error FROM ({PREP_ALL})
+      UNION ALL SELECT 'json', count(*), count(parcel_id), '' FROM ({PREP_ALL})
+      UNION ALL SELECT 'xml', 0, 0, 'Unsupported output format: xml'""",
     "source_counts": f"SELECT source, count(*) AS total_records FROM ({ALL}) GROUP BY source",
     "merge_sources": MERGED,
     "merge_preferring_source": merged(PREP_LEFT, PREP_RIGHT, "Wake County API"),
@@ -599,23 +670,10 @@ ORACLES: dict[str, str] = {
     "run_landed": ranked_job(merged(prepared(RESPONSE_ROWS), prepared(PAGE_ROWS))),
     "run_one_source": f"""{job(merged(prepared(NO_ROWS), prepared(PAGE_ROWS)))}, records AS ({JOB_RECORDS})
       SELECT 'responses' AS failed_source, count(*) AS records, max(quality_score) AS best_score FROM ({scored('SELECT * FROM records')})""",
-    "run_statistics": f"""{JOB}, m AS ({MERGED}), records AS ({JOB_RECORDS}),
-      c AS ({COUNTS}), q AS ({DISTRIBUTION} FROM ({scored('SELECT * FROM records')})),
-      d AS (SELECT (SELECT count(*) FROM tagged) AS input_records, (SELECT count(*) FROM records) AS unique_records,
-        count(*) AS duplicates_removed, count(DISTINCT duplicate_group) AS duplicate_groups FROM tagged
-        WHERE duplicate_group IS NOT NULL),
-      v AS (SELECT * FROM (UNPIVOT (SELECT
-        (SELECT count(*) FROM ({LEFT}) WHERE {required_ok()}) AS left_valid,
-        (SELECT count(*) FROM ({LEFT}) WHERE NOT ({required_ok()})) AS left_invalid,
-        (SELECT count(*) FROM ({RIGHT}) WHERE {required_ok()}) AS right_valid,
-        (SELECT count(*) FROM ({RIGHT}) WHERE NOT ({required_ok()})) AS right_invalid)
-        ON COLUMNS(*) INTO NAME key VALUE value))
-      SELECT 'validation' AS section, key, value::DOUBLE AS value FROM v
-      UNION ALL SELECT 'merging', key, value::DOUBLE FROM (UNPIVOT c ON COLUMNS(*) INTO NAME key VALUE value)
-      UNION ALL SELECT 'deduplication', key, value::DOUBLE FROM (UNPIVOT (SELECT *, duplicates_removed - duplicate_groups
-        AS rows_removed FROM d) ON COLUMNS(*) INTO NAME key VALUE value)
-      UNION ALL SELECT 'enrichment', key, value::DOUBLE FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM q)
-        ON COLUMNS(*) INTO NAME key VALUE value)""",
+    "run_statistics": RUN_STATISTICS,
+    "report_parts": f"""{JOB}, records AS ({JOB_RECORDS})
+      {" UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS rows, {TEXT_SIZE} AS text_size FROM ({rel})" for part, rel in REPORT.items())}
+      UNION ALL SELECT 'statistics', count(*), sum(length(section) + length(key))::BIGINT FROM ({RUN_STATISTICS})""",
     "run_duplicates": f"{JOB} SELECT {FIELDS}, is_cross_source_merged FROM tagged WHERE duplicate_group IS NOT NULL",
     "address_units": rf"""SELECT rec_idx,
       CASE WHEN rec_idx % 3 = 0 THEN property_address ELSE {collapse('property_address')} END AS property_address,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,6 +293,54 @@ def response_records(spark, sf_dir):
     return responses.map_api_fields(got, "https://a.example", F.lit("2025-01-01T00:00:00")).drop("page")
 
 
+_OWNER, _CITY = '"OWNER":"[^"]*"', '"CITY":"[^"]*"'
+
+
+def _odd_responses(spark, sf_dir) -> DataFrame:
+    """Responses with numbers and lists for texts, nulls, and absent fields."""
+    k = F.col("rec_idx")
+    left = _left(spark, sf_dir).select(
+        "rec_idx", F.floor(k / 200).alias("page"),
+        F.to_json(F.struct(
+            F.col("owner_name").alias("OWNER"), F.col("parcel_id").alias("PIN_NUM"), F.concat(F.lit("R"), k.cast("string")).alias("REID"),
+            F.col("property_address").alias("SITE_ADDRESS"), F.col("city").alias("CITY"), F.lit(27601).alias("ZIPNUM"),
+        )).alias("a"),
+    )
+    a = F.when(k % 7 == 1, F.regexp_replace("a", F.lit(_OWNER), F.concat(F.lit('"OWNER":'), k.cast("string")))).otherwise(F.col("a"))
+    left = left.withColumn("a", a)
+    left = left.withColumn("a", F.when(k % 11 == 2, F.regexp_replace("a", _CITY, '"CITY":["x"]')).otherwise(F.col("a")))
+    left = left.withColumn("a", F.when(k % 13 == 3, F.regexp_replace("a", '"SITE_ADDRESS":"[^"]*"', '"SITE_ADDRESS":null')).otherwise(F.col("a")))
+    left = left.withColumn("a", F.when(k % 17 == 4, F.regexp_replace("a", '"OWNER":("[^"]*"|[0-9]+),', "")).otherwise(F.col("a")))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("rec_idx", "a"))), lambda x: F.concat(F.lit('{"attributes":'), x["a"], F.lit("}")))
+    return left.groupBy("page").agg(F.concat(F.lit('{"features": ['), F.array_join(in_order, ", "), F.lit("]}")).alias("raw"))
+
+
+def _as_said(spark, sf_dir) -> DataFrame:
+    records = responses.feature_records(_odd_responses(spark, sf_dir))
+    records = records.withColumn("reid", F.variant_get("record", "$.REID", "string"))
+    return responses.map_api_variants(records, "https://a.example", F.lit("2025-01-01T00:00:00"))
+
+
+@query
+def validate_responses(spark, sf_dir):
+    """Types as the response said them, judged by the strict rules."""
+    return _joined_errors(validate.validate(_as_said(spark, sf_dir), strict=True)).select("reid", "is_valid", "errors")
+
+
+@query
+def typed_responses(spark, sf_dir):
+    """The valid ones in their canonical types."""
+    return responses.typed_records(validate.keep_valid(_as_said(spark, sf_dir), strict=True)).drop("page")
+
+
+@query
+def fetch_and_map(spark, sf_dir):
+    got = responses.fetch_and_map(
+        _responses(spark, sf_dir), 50, 20, {"city": "RALEIGH"}, "page", at="at", source_url="https://a.example", extracted_at=F.lit("2025-01-01T00:00:00")
+    )
+    return got.drop("page", "at")
+
+
 @query
 def fetch_page(spark, sf_dir):
     return responses.fetch(_left(spark, sf_dir), limit=50, offset=20, filters={"city": "RALEIGH"})
@@ -334,21 +383,47 @@ def page_records(spark, sf_dir):
     return got.select("page_id", "owner_name", "parcel_id", "city", "state", "county", "source", "source_url", "extracted_at")
 
 
-@query
-def crawl_records(spark, sf_dir):
+def _listings(landed: DataFrame) -> DataFrame:
     """Result lists of up to 20 links, built from the pages' own urls."""
-    landed = _table(spark, sf_dir, "pages")
     row = F.struct("page_id", F.concat(F.lit("<tr><td><a href='"), "url", F.lit("'>x</a></td></tr>")).alias("h"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), "")
-    listing = landed.groupBy(F.floor(F.col("page_id") / 20).alias("page_id")).agg(
+    return landed.groupBy(F.floor(F.col("page_id") / 20).alias("page_id")).agg(
         F.lit("http://list.example/search").alias("url"),
         F.concat(F.lit('<table class="search-results"><tbody>'), rows, F.lit("</tbody></table>")).alias("html"),
     )
+
+
+@query
+def crawl_records(spark, sf_dir):
+    """Result lists of up to 20 links, built from the pages' own urls."""
+    landed = _table(spark, sf_dir, "pages")
+    listing = _listings(landed)
     wanted = {"owner_name": ["h1"], "parcel_id": ["span.parcel-id"], "city": ["nav a"]}
     got = pages.crawl_records(listing, landed, 100, selectors=wanted, links_per_listing=10)
     return got.select("page_id", "owner_name", "city", "source_url")
 
 
+@query
+def crawl_all(spark, sf_dir):
+    """All links of all result lists, without limits."""
+    landed = _table(spark, sf_dir, "pages")
+    wanted = {"owner_name": ["h1"], "parcel_id": ["span.parcel-id"], "city": ["nav a"]}
+    got = pages.crawl_all(_listings(landed), landed, selectors=wanted, extracted_at=F.lit("2025-01-01T00:00:00"))
+    return got.select("listing", "pos", "page_id", "owner_name", "city", "source_url")
+
+
+@query
+def observed_counts(spark, sf_dir):
+    """Counters of a source, taken while its rows are written."""
+    rows = []
+    for name, df in (("left", _left(spark, sf_dir)), ("right", _right(spark, sf_dir))):
+        emptied = df.withColumns({c: F.when(F.col("rec_idx") % 19 != 0, F.col(c)) for c in ("owner_name", "parcel_id")})
+        counted, seen = responses.observed(emptied, f"counts_{name}_{new_run_id()}")
+        cut(counted, "counted")
+        rows.append((name, *(seen.get[k] for k in ("total_records", "successful_extractions", "failed_extractions"))))
+    return spark.createDataFrame(rows, "origin string, total_records bigint, successful_extractions bigint, failed_extractions bigint")
+
+
 @query
 def source_counts(spark, sf_dir):
     rows = _all(spark, sf_dir)
@@ -549,6 +624,56 @@ def export_json(spark, sf_dir):
     return spark.read.schema(rows.schema).json(export.write_json(rows, _run_folder(spark, "json")))
 
 
+@query
+def rows_per_file(spark, sf_dir):
+    """Files of at most 100 rows each, in both formats."""
+    rows = export.for_export(_scored(spark, sf_dir))
+    written = {"csv": export.write_csv(rows, _run_folder(spark, "csv"), 100), "json": export.write_json(rows, _run_folder(spark, "json"), 100)}
+    out = []
+    for fmt, path in written.items():
+        table = export.read_csv(spark, path, rows.schema) if fmt == "csv" else spark.read.schema(rows.schema).json(path)
+        files = table.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+        out.append(files.agg(F.lit(fmt).alias("format"), F.sum("n").alias("rows"), (F.max("n") <= 100).alias("within")))
+    return out[0].unionByName(out[1])
+
+
+@query
+def raw_rows(spark, sf_dir):
+    """Fetched rows as they came, written and read again."""
+    rows = _left(spark, sf_dir)
+    return spark.read.schema(rows.schema).json(export.write_raw(rows, _run_folder(spark, "raw")))
+
+
+@query
+def report_parts(spark, sf_dir):
+    """The five parts of a run's report, read again: rows, and texts by their total length."""
+    folder = _run_folder(spark, "report")
+    _run(spark, sf_dir, output_path=folder, output_format="report")
+    out = []
+    for part in export.REPORT_PARTS:
+        table = spark.read.parquet(f"{folder}/{part}")
+        texts = ["section", "key"] if part == "statistics" else ["owner_name", "parcel_id", "property_address"]
+        size = F.coalesce(F.sum(sum((F.length(F.coalesce(c, F.lit(""))) for c in texts), F.lit(0))), F.lit(0))
+        out.append(table.agg(F.lit(part).alias("part"), F.count("*").alias("rows"), size.cast("bigint").alias("text_size")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query
+def export_formats(spark, sf_dir):
+    """Dispatch by format; an unknown one is refused."""
+    rows = _scored(spark, sf_dir)
+    out = []
+    for fmt in ("csv", "json", "xml"):
+        try:
+            path = export.export(rows, _run_folder(spark, fmt), fmt)
+            table = export.read_csv(spark, path, export.for_export(rows).schema) if fmt == "csv" else spark.read.json(path)
+            out.append(table.agg(F.lit(fmt).alias("format"), F.count("*").alias("rows"), F.count("parcel_id").alias("filled"), F.lit("").alias("error")))
+        except ValueError as e:
+            none = F.lit(0).cast("bigint")
+            out.append(rows.agg(F.lit(fmt).alias("format"), none.alias("rows"), none.alias("filled"), F.lit(str(e)).alias("error")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def quality_band(spark, sf_dir):
     return _scored(spark, sf_dir).select(
@@ -585,9 +710,9 @@ def _succeeded(result: plan.Result) -> plan.Result:
     return result
 
 
-def _run(spark, sf_dir) -> plan.Result:
+def _run(spark, sf_dir, **options) -> plan.Result:
     sources = {"left": lambda: _left(spark, sf_dir), "right": lambda: _right(spark, sf_dir)}
-    return _succeeded(plan.run(spark, sources))
+    return _succeeded(plan.run(spark, sources, **options))
 
 
 def _ranked(result: plan.Result) -> DataFrame:
@@ -620,8 +745,10 @@ def run_one_source(spark, sf_dir):
 
 @query
 def run_statistics(spark, sf_dir):
-    stats = _run(spark, sf_dir).statistics
-    return stats.withColumn("value", F.col("value").cast("double"))
+    """All sections; the seconds of the run only as whether there were any."""
+    stats = _run(spark, sf_dir, output_path=_run_folder(spark, "exported"), output_format="json").statistics
+    value = F.col("value").cast("double")
+    return stats.withColumn("value", F.when(F.col("section") == "run", (value > 0).cast("double")).otherwise(value))
 
 
 @query

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.operators import clean, dedup, merge, quality, validate
@@ -15,7 +16,7 @@ from recordloom.plans.linkage import ORDER, exact_members, merge_and_fold
 from recordloom.sinks import export as sinks
 from recordloom.sinks.snapshots import cut, load_snapshot, new_run_id, save_snapshot
 from recordloom.sources.pages import page_records
-from recordloom.sources.responses import landed_order, landed_records, read_or_empty
+from recordloom.sources.responses import landed_order, landed_records, observed, read_or_empty, typed_records
 from recordloom.sources.selectors import DETAIL_SELECTORS
 
 
@@ -35,8 +36,8 @@ class Result:
 
 
 def prepare(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Valid rows, money as numbers, cleaned: one projection over the scan."""
-    valid = validate.keep_valid(df, strict)
+    """Valid rows, in their types, money as numbers, cleaned: one projection over the scan."""
+    valid = typed_records(validate.keep_valid(df, strict))
     return clean.clean_records(clean.coerce_money(valid, ["assessed_value", "sale_price"]))
 
 
@@ -64,8 +65,14 @@ def _two(frames: dict[str, DataFrame]) -> list[DataFrame]:
     return some if len(some) == 2 else [some[0], some[0].limit(0)]
 
 
-def run_statistics(sources: dict[str, DataFrame], cleaned: dict[str, DataFrame], records: DataFrame) -> DataFrame:
-    """Counts of every stage as (section, key, value)."""
+def run_statistics(
+    sources: dict[str, DataFrame],
+    cleaned: dict[str, DataFrame],
+    records: DataFrame,
+    counted_before: list[tuple[str, str, str]] = (),
+) -> DataFrame:
+    """Counts of every stage as (section, key, value); ``counted_before`` are rows that
+    were counted while stages were written."""
     left, right = _two(cleaned)
     counted = validate.validation_counts(sources)
     stages = [
@@ -98,6 +105,8 @@ def run_statistics(sources: dict[str, DataFrame], cleaned: dict[str, DataFrame],
     )
     stages.append(sinks.long_statistics("deduplication", dedup_row))
     stages.append(sinks.long_statistics("enrichment", quality.quality_distribution(records)))
+    if counted_before:
+        stages.append(records.sparkSession.createDataFrame(list(counted_before), "section string, key string, value string"))
     out = stages[0]
     for s in stages[1:]:
         out = out.unionByName(s)
@@ -122,7 +131,7 @@ def run(
     ``snapshots`` the stages are saved under the run id. Any later error ends the
     run with ``success`` false and its text.
     """
-    run_id = new_run_id()
+    run_id, started, counted = new_run_id(), time.monotonic(), []
 
     def kept(df: DataFrame, stage: str) -> DataFrame:
         if not snapshots:
@@ -132,7 +141,20 @@ def run(
 
     def fetched(name: str) -> Callable[[DataFrame], DataFrame]:
         most = (limits or {}).get(name)
-        return lambda df: kept(df if most is None else df.orderBy(order).limit(most), f"01_fetched_{name}")
+
+        def keep(df: DataFrame) -> DataFrame:
+            rows, seen = observed(df if most is None else df.orderBy(order).limit(most), f"fetched_{name}_{run_id}")
+            table = kept(rows, f"01_fetched_{name}")
+            counted.extend(("fetching", f"{name}_{key}", str(value)) for key, value in seen.get.items())
+            return table
+
+        return keep
+
+    def cleaned_rows(name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(f"cleaned_{name}_{run_id}")
+        table = kept(prepare(df).observe(seen, F.count(F.lit(1)).alias("cleaned_records")), f"02_cleaned_{name}")
+        counted.extend(("cleaning", f"{name}_{key}", str(value)) for key, value in seen.get.items())
+        return table
 
     try:
         frames, errors = {}, {}
@@ -143,9 +165,11 @@ def run(
             frames[name] = df
         # A source that failed has the order column of the other one.
         known = [df.schema[order].dataType for df in frames.values() if order in df.columns]
-        for name in errors:
+        for name in errors:  # nothing of it was written
             frames[name] = frames[name].withColumn(order, F.lit(None).cast(known[0] if known else "bigint"))
-        cleaned = {name: kept(prepare(df), f"02_cleaned_{name}") for name, df in frames.items()}
+            none = ("total_records", "successful_extractions", "failed_extractions")
+            counted.extend(("fetching", f"{name}_{key}", "0") for key in none)
+        cleaned = {name: cleaned_rows(name, df) for name, df in frames.items()}
         left, right = _two(cleaned)
         linked, fuzzy_members = link(left, right, order, **matching)
         if snapshots:
@@ -162,14 +186,19 @@ def run(
             fuzzy = fuzzy_members.drop(dedup.GROUP, dedup.KIND)
             return exact_members(left, right, order=order).unionByName(fuzzy).drop(ORDER)
 
-        stats = run_statistics(frames, cleaned, scored)
+        total = scored.count()
+
+        def statistics() -> DataFrame:
+            more = [("export", "exported_records", str(total if output_path else 0)), ("run", "duration_seconds", f"{time.monotonic() - started:.3f}")]
+            return run_statistics(frames, cleaned, scored, [*counted, *more])
+
         path = None
         if output_path:
             parts, exported = None, scored.drop(ORDER)
             if output_format == "report":
-                parts = sinks.report_parts(exported, left.drop(order), right.drop(order), duplicates(), stats)
+                parts = sinks.report_parts(exported, left.drop(order), right.drop(order), duplicates(), statistics())
             path = sinks.export(exported, output_path, output_format, parts)
-        return Result(True, scored, duplicates, stats, path, scored.count(), None, run_id, errors)
+        return Result(True, scored, duplicates, statistics(), path, total, None, run_id, errors)
     except (PySparkException, Py4JJavaError, ValueError) as e:
         return Result(False, error=str(e), run_id=run_id)
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from recordloom.config import canonical_schema
 from recordloom.functions.text import strip
+from recordloom.sinks.snapshots import cut
 from recordloom.sources.selectors import (
     DETAIL_SELECTORS,
     PAGE_COUNTY,
@@ -280,3 +281,45 @@ def crawl_records(
     at = F.struct(F.col("page_id").alias("listing"), F.lit(0).alias("pos")).alias("_at")
     direct = page_records(listing, selectors).filter(~has_links).select(at, "*")
     return linked.unionByName(direct).orderBy("_at", "page_id").limit(max_records).drop("_at")
+
+
+def crawl_all(
+    listing: DataFrame,
+    pages: DataFrame,
+    selectors: dict[str, list[str]] = DETAIL_SELECTORS,
+    base_url: str | None = None,
+    rows: str = RESULT_ROWS,
+    tables: list[str] = RESULT_TABLES,
+    source: str = PAGE_SOURCE,
+    county: str = PAGE_COUNTY,
+    extracted_at: Column | None = None,
+) -> DataFrame:
+    """Records of all pages that any listing links to: listing, pos, page_id and the canonical fields.
+
+    Listings and pages are read together, once, for links, result table and fields; what was
+    found is written down, and the rest is a join of two small tables by url. A link that
+    nothing was landed for gives no record, and a page that is linked twice gives two. When
+    no listing has a link, the listings are read as records.
+    """
+    id_type = pages.schema["page_id"].dataType
+
+    def marked(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(F.concat(F.lit(mark), F.col("page_id").cast("string")).alias("page_id"), "url", "html")
+
+    texts = dict(selectors) | ({"_table": tables} if tables else {})
+    found = cut(find(marked(listing, "l").unionByName(marked(pages, "p")), texts=texts, row_links={"_links": rows}), "crawled")
+    found = found.withColumns({"_lists": F.col("page_id").startswith("l"), "page_id": F.expr("substr(page_id, 2)").cast(id_type)})
+    stamp = extracted_at if extracted_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    const = {"county": F.lit(county), "source": F.lit(source), "source_url": F.col("url"), "extracted_at": stamp}
+    fields = {f: const.get(f, first_filled(F.col(f)) if f in selectors else F.lit("")) for f in canonical_schema().names}
+    records = found.select("_lists", "page_id", *[c.alias(f) for f, c in fields.items()]).filter("owner_name <> '' or parcel_id <> ''")
+
+    lists = found.filter("_lists")
+    lists = lists.filter(F.exists("_table", lambda t: t.isNotNull())) if tables else lists
+    base = F.lit(base_url) if base_url is not None else F.col("url")
+    links = lists.select(F.col("page_id").alias("listing"), "url", F.posexplode("_links").alias("pos", "_href")).filter("_href <> ''")
+    links = links.select("listing", "pos", absolute_url(F.col("_href"), base).alias("link"))
+    if links.isEmpty():
+        return records.filter("_lists").select(F.col("page_id").alias("listing"), F.lit(0).alias("pos"), *records.columns).drop("_lists")
+    landed = records.filter("not _lists").drop("_lists")
+    return links.join(landed, F.col("link") == F.col("source_url")).drop("link")

@@ -70,36 +70,65 @@ def _money(name: str) -> Column:
     return F.coalesce(number, parse_currency(F.try_variant_get("record", f"$.{name}", "string")))
 
 
-def map_api_fields(records: DataFrame, source_url: str = "", extracted_at: Column | None = None) -> DataFrame:
-    """Source fields to the canonical record. An absent field gives ``""`` and a
-    null one stays null; the key falls back only when its field is absent."""
-    none = F.lit("")
+def _kept(name: str, absent: Column) -> Column:
+    return F.when(_has(name), F.try_variant_get("record", f"$.{name}", "variant")).otherwise(absent)
+
+
+def _made_fields(source_url: str, extracted_at: Column | None) -> dict[str, Column]:
+    """Fields that the mapping makes itself: amounts as numbers, the ZIP as text, constants."""
     zip_text = F.try_variant_get("record", f"$.{ZIP_FIELD}", "string")
     stamp = extracted_at if extracted_at is not None else F.date_format(
         F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     )
-    fields = {f: _text(s, none) for f, s in SOURCE_FIELDS.items()}
-    fields |= {f: _money(s) for f, s in MONEY_FIELDS.items()}
-    fields |= {
-        "parcel_id": _text(KEY_FIELD, _text(KEY_FALLBACK, none)),
-        "mailing_address": none,
+    return {f: _money(s) for f, s in MONEY_FIELDS.items()} | {
+        "mailing_address": F.lit(""),
         "state": F.lit(API_STATE),
-        "zip_code": F.when(zip_text.isin("0", "", "false"), none).otherwise(F.coalesce(zip_text, none)),
+        "zip_code": F.when(zip_text.isin("0", "", "false"), F.lit("")).otherwise(F.coalesce(zip_text, F.lit(""))),
         "county": F.lit(API_COUNTY),
         "source": F.lit(API_SOURCE),
         "source_url": F.lit(source_url),
         "extracted_at": stamp,
     }
+
+
+def _canonical(records: DataFrame, fields: dict[str, Column]) -> DataFrame:
     rest = [c for c in records.columns if c != "record"]
     return records.select(*rest, *[fields[f].alias(f) for f in canonical_schema().names])
 
 
+def map_api_fields(records: DataFrame, source_url: str = "", extracted_at: Column | None = None) -> DataFrame:
+    """Source fields to the canonical record. An absent field gives ``""`` and a
+    null one stays null; the key falls back only when its field is absent."""
+    none = F.lit("")
+    fields = {f: _text(s, none) for f, s in SOURCE_FIELDS.items()}
+    fields["parcel_id"] = _text(KEY_FIELD, _text(KEY_FALLBACK, none))
+    return _canonical(records, fields | _made_fields(source_url, extracted_at))
+
+
+def map_api_variants(records: DataFrame, source_url: str = "", extracted_at: Column | None = None) -> DataFrame:
+    """The same with every field as a variant: what the response said, in the type in
+    which it said it, so that validation can judge types. ``typed_records`` gives the
+    canonical types afterwards."""
+    none = F.lit("").cast("variant")
+    fields = {f: _kept(s, none) for f, s in SOURCE_FIELDS.items()}
+    fields["parcel_id"] = _kept(KEY_FIELD, _kept(KEY_FALLBACK, none))
+    made = {f: c.cast("variant") for f, c in _made_fields(source_url, extracted_at).items()}
+    return _canonical(records, fields | made)
+
+
+def typed_records(df: DataFrame) -> DataFrame:
+    """Variant columns of canonical fields in their canonical types; a value that has no such form becomes null."""
+    of = {f.name: f.dataType.simpleString() for f in canonical_schema()}
+    held = [f.name for f in df.schema.fields if f.name in of and f.dataType.simpleString() == "variant"]
+    return df.withColumns({f: F.try_variant_get(F.col(f), "$", of[f]) for f in held})
+
+
 def fetch(
     df: DataFrame,
     limit: int | None = None,
     offset: int = 0,
     filters: dict[str, str] | None = None,
-    order: str = "rec_idx",
+    order: str | list[str] = "rec_idx",
 ) -> DataFrame:
     """Rows that equal all filters, from ``offset`` on, at most ``limit``.
 
@@ -114,9 +143,13 @@ def fetch(
     return df if limit is None else df.limit(limit)
 
 
-def fetch_and_map(responses: DataFrame, limit=None, offset=0, filters=None, order="rec_idx", **mapping) -> DataFrame:
-    """Unwrap, map and fetch; ``order`` must be a column of ``responses``."""
-    return fetch(map_api_fields(feature_records(responses), **mapping), limit, offset, filters, order)
+def fetch_and_map(
+    responses: DataFrame, limit=None, offset=0, filters=None, order="rec_idx", at: str | None = None, **mapping
+) -> DataFrame:
+    """Unwrap, map and fetch; ``order`` must be a column of ``responses``. ``at`` names a
+    column for a record's place in its response, by which records of one response are ordered."""
+    records = map_api_fields(feature_records(responses, at=at), **mapping)
+    return fetch(records, limit, offset, filters, order if at is None else [order, at])
 
 
 def landed_order(file: Column, at: Column) -> Column:
@@ -125,10 +158,11 @@ def landed_order(file: Column, at: Column) -> Column:
     return F.struct(file.cast("string").alias("file"), at.cast("bigint").alias("at"))
 
 
-def landed_records(spark: SparkSession, path: str, order: str = "landed", **mapping) -> DataFrame:
-    """Canonical records of all response files below a path, with their ``order``."""
+def landed_records(spark: SparkSession, path: str, order: str = "landed", as_said: bool = False, **mapping) -> DataFrame:
+    """Canonical records of all response files below a path, with their ``order``; ``as_said`` as variants."""
     features = feature_records(read_responses(spark, path, file="_file"), at="_at")
-    return map_api_fields(features.withColumn(order, landed_order(F.col("_file"), F.col("_at"))).drop("_file", "_at"), **mapping)
+    placed = features.withColumn(order, landed_order(F.col("_file"), F.col("_at"))).drop("_file", "_at")
+    return map_api_variants(placed, **mapping) if as_said else map_api_fields(placed, **mapping)
 
 
 def read_or_empty(
@@ -150,7 +184,8 @@ def read_or_empty(
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count records, and those with a name or key, while the scan runs."""
     seen = Observation(name)
-    useful = (F.coalesce(F.col("owner_name"), F.lit("")) != "") | (F.coalesce(F.col("parcel_id"), F.lit("")) != "")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    useful = said("owner_name") | said("parcel_id")
     out = df.observe(
         seen,
         F.count(F.lit(1)).alias("total_records"),
