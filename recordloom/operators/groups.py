@@ -20,31 +20,31 @@ from recordloom.sinks.snapshots import cut
 ROOM = 1_000_000
 
 
-def _passed(batches):
-    """The edges that absorb, of edges in order of (component, lo, hi).
+def _in_one_pass(edges: DataFrame, dealt: bool) -> DataFrame:
+    """(v, seed) of components that a task can hold; ``edges`` have a ``component`` if they are ``dealt`` by it.
 
-    Vertices only have to be told apart here, so they come as text beside their own type.
+    The pass is nested so that it travels with the task. Vertices only have to be told apart
+    there, so they come as text beside their own type.
     """
-    component, absorbed = None, set()
-    for batch in batches:
-        taken = []
-        for c, lo, hi in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-            if c != component:
-                component, absorbed = c, set()
-            taken.append(lo not in absorbed and hi not in absorbed)
-            if taken[-1]:
-                absorbed.add(hi)
-        yield batch.select([0, 1]).filter(pa.array(taken, pa.bool_()))
 
+    def absorbing(batches):
+        component, absorbed = None, set()
+        for batch in batches:
+            taken = []
+            for c, lo, hi in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                if c != component:
+                    component, absorbed = c, set()
+                taken.append(lo not in absorbed and hi not in absorbed)
+                if taken[-1]:
+                    absorbed.add(hi)
+            yield batch.select([0, 1]).filter(pa.array(taken, pa.bool_()))
 
-def _in_one_pass(edges: DataFrame, dealt: bool) -> DataFrame:
-    """(v, seed) of components that a task can hold; ``edges`` have a ``component`` if they are ``dealt`` by it."""
     name = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
     component = F.to_json(F.struct("component")) if dealt else F.lit("")
     rows = edges.select(F.col("hi").alias("v"), F.col("lo").alias("seed"), component.alias("_c"), name("lo").alias("_lo"), name("hi").alias("_hi"))
     rows = rows.repartition("_c") if dealt else rows.repartition(1)
     schema = rows.select("v", "seed").schema
-    return rows.sortWithinPartitions("_c", "seed", "v").mapInArrow(_passed, schema)
+    return rows.sortWithinPartitions("_c", "seed", "v").mapInArrow(absorbing, schema)
 
 
 def _state(edges: DataFrame) -> tuple:

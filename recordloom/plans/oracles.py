@@ -667,6 +667,7 @@ ORACLES: dict[str, str] = {
     "linked_records": f"""{JOB}, records AS ({JOB_RECORDS}) SELECT {FIELDS}, is_cross_source_merged, is_merged,
       duplicate_count, quality_score, quality_level, completeness_percent FROM ({scored('SELECT * FROM records')})""",
     "run_ranked": ranked_job(MERGED),
+    "run_resumed": ranked_job(MERGED),
     "run_landed": ranked_job(merged(prepared(RESPONSE_ROWS), prepared(PAGE_ROWS))),
     "run_one_source": f"""{job(merged(prepared(NO_ROWS), prepared(PAGE_ROWS)))}, records AS ({JOB_RECORDS})
       SELECT 'responses' AS failed_source, count(*) AS records, max(quality_score) AS best_score FROM ({scored('SELECT * FROM records')})""",

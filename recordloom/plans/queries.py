@@ -719,6 +719,16 @@ def _ranked(result: plan.Result) -> DataFrame:
     return _counted(plan.ranked(result).drop(ORDER, "enriched_at"))
 
 
+@query
+def run_resumed(spark, sf_dir):
+    """A run that stops at its export, and one that goes on with its stages."""
+    sources = {"left": lambda: _left(spark, sf_dir), "right": lambda: _right(spark, sf_dir)}
+    stopped = plan.run(spark, sources, snapshots=True, output_path=_run_folder(spark, "x"), output_format="none")
+    if stopped.success:
+        raise RuntimeError("an unknown format has to stop the run")
+    return _ranked(_succeeded(plan.run(spark, sources, snapshots=True, resume=stopped.run_id)))
+
+
 @query
 def run_ranked(spark, sf_dir):
     return _ranked(_run(spark, sf_dir))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import clean, dedup, merge, quality, validate
 from recordloom.plans.linkage import ORDER, exact_members, merge_and_fold
 from recordloom.sinks import export as sinks
-from recordloom.sinks.snapshots import cut, load_snapshot, new_run_id, save_snapshot
+from recordloom.sinks.snapshots import Stages, cut, fingerprint, new_run_id, scratch
 from recordloom.sources.pages import page_records
 from recordloom.sources.responses import landed_order, landed_records, observed, read_or_empty, typed_records
 from recordloom.sources.selectors import DETAIL_SELECTORS
@@ -33,6 +33,7 @@ class Result:
     error: str | None = None
     run_id: str = ""
     source_errors: dict[str, str] = field(default_factory=dict)
+    drop: Callable[[], None] = lambda: None  # removes the run's stages; its frames can't be read afterwards
 
 
 def prepare(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -113,6 +114,12 @@ def run_statistics(
     return out
 
 
+def _source_counts(name: str, counts: dict) -> list[tuple[str, str, str]]:
+    """Rows of the statistics; zeros for a source of which nothing was written."""
+    keys = ("total_records", "successful_extractions", "failed_extractions")
+    return [("fetching", f"{name}_{key}", str(counts.get(key, 0))) for key in keys]
+
+
 def run(
     spark: SparkSession,
     sources: dict[str, Callable[[], DataFrame]],
@@ -121,85 +128,92 @@ def run(
     snapshots: bool = False,
     order: str = "rec_idx",
     limits: dict[str, int] | None = None,
+    resume: str | None = None,
     **matching,
 ) -> Result:
     """Run all stages over one or two sources (name to a function that reads it).
 
     Every source is read once, into a written table: by itself, so a source that
     fails, also while its rows are read, counts as empty and leaves the other one's
-    records. ``limits`` cuts a source to its first rows in ``order``. With
-    ``snapshots`` the stages are saved under the run id. Any later error ends the
-    run with ``success`` false and its text.
-    """
-    run_id, started, counted = new_run_id(), time.monotonic(), []
+    records. ``limits`` cuts a source to its first rows in ``order``. Any later error
+    ends the run with ``success`` false and its text.
 
-    def kept(df: DataFrame, stage: str) -> DataFrame:
-        if not snapshots:
-            return cut(df, stage)
-        save_snapshot(df, stage, run_id)
-        return load_snapshot(spark, stage, run_id)
+    The stages are written under the run id, with a manifest; ``resume`` goes on with the
+    run of that id: stages that are complete, from the same files and options, are read
+    again. Tables between the stages are dropped at the end. With ``snapshots`` the stages
+    are kept; without, they are dropped if the run fails, and else by ``Result.drop``.
+    """
+    run_id, started = resume or new_run_id(), time.monotonic()
+    stages = Stages(spark, run_id)
+    counted: list[tuple[str, str, str]] = []
 
-    def fetched(name: str) -> Callable[[DataFrame], DataFrame]:
+    def fetched(name: str, prints: dict[str, str]) -> Callable[[DataFrame], DataFrame]:
         most = (limits or {}).get(name)
 
         def keep(df: DataFrame) -> DataFrame:
-            rows, seen = observed(df if most is None else df.orderBy(order).limit(most), f"fetched_{name}_{run_id}")
-            table = kept(rows, f"01_fetched_{name}")
-            counted.extend(("fetching", f"{name}_{key}", str(value)) for key, value in seen.get.items())
+            prints[name] = fingerprint(spark, df, most, order)
+            some = df if most is None else df.orderBy(order).limit(most)
+            table, counts = stages.counted(f"01_fetched_{name}", prints[name], lambda: observed(some, f"fetched_{name}_{run_id}"))
+            counted.extend(_source_counts(name, counts))
             return table
 
         return keep
 
-    def cleaned_rows(name: str, df: DataFrame) -> DataFrame:
+    def cleaned_rows(name: str, df: DataFrame, source: str) -> DataFrame:
         seen = Observation(f"cleaned_{name}_{run_id}")
-        table = kept(prepare(df).observe(seen, F.count(F.lit(1)).alias("cleaned_records")), f"02_cleaned_{name}")
-        counted.extend(("cleaning", f"{name}_{key}", str(value)) for key, value in seen.get.items())
+        make = lambda: (prepare(df).observe(seen, F.count(F.lit(1)).alias("cleaned_records")), seen)
+        table, counts = stages.counted(f"02_cleaned_{name}", source, make)
+        counted.extend(("cleaning", f"{name}_{key}", str(value)) for key, value in counts.items())
         return table
 
     try:
-        frames, errors = {}, {}
-        for name, read in sources.items():
-            df, error = read_or_empty(spark, read, fetched(name))
-            if error:
-                errors[name] = error
-            frames[name] = df
-        # A source that failed has the order column of the other one.
-        known = [df.schema[order].dataType for df in frames.values() if order in df.columns]
-        for name in errors:  # nothing of it was written
-            frames[name] = frames[name].withColumn(order, F.lit(None).cast(known[0] if known else "bigint"))
-            none = ("total_records", "successful_extractions", "failed_extractions")
-            counted.extend(("fetching", f"{name}_{key}", "0") for key in none)
-        cleaned = {name: cleaned_rows(name, df) for name, df in frames.items()}
-        left, right = _two(cleaned)
-        linked, fuzzy_members = link(left, right, order, **matching)
-        if snapshots:
-            save_snapshot(linked, "03_deduplicated", run_id)
-            linked = load_snapshot(spark, "03_deduplicated", run_id)
-        scored = quality.score_records(linked)
-        scored = (
-            load_snapshot(spark, "04_enriched", run_id)
-            if snapshots and save_snapshot(scored, "04_enriched", run_id)
-            else cut(scored, "scored")
-        )
-
-        def duplicates() -> DataFrame:
-            fuzzy = fuzzy_members.drop(dedup.GROUP, dedup.KIND)
-            return exact_members(left, right, order=order).unionByName(fuzzy).drop(ORDER)
-
-        total = scored.count()
-
-        def statistics() -> DataFrame:
-            more = [("export", "exported_records", str(total if output_path else 0)), ("run", "duration_seconds", f"{time.monotonic() - started:.3f}")]
-            return run_statistics(frames, cleaned, scored, [*counted, *more])
-
-        path = None
-        if output_path:
-            parts, exported = None, scored.drop(ORDER)
-            if output_format == "report":
-                parts = sinks.report_parts(exported, left.drop(order), right.drop(order), duplicates(), statistics())
-            path = sinks.export(exported, output_path, output_format, parts)
-        return Result(True, scored, duplicates, statistics(), path, total, None, run_id, errors)
+        with scratch(spark):
+            frames, errors, prints = {}, {}, {}
+            for name, read in sources.items():
+                df, error = read_or_empty(spark, read, fetched(name, prints))
+                if error:
+                    errors[name] = error
+                    counted.extend(_source_counts(name, {}))
+                frames[name] = df
+            # A source that failed has the order column of the other one.
+            known = [df.schema[order].dataType for df in frames.values() if order in df.columns]
+            for name in errors:
+                frames[name] = frames[name].withColumn(order, F.lit(None).cast(known[0] if known else "bigint"))
+                prints[name] = f"failed: {known}"
+            cleaned = {name: cleaned_rows(name, df, prints[name]) for name, df in frames.items()}
+            left, right = _two(cleaned)
+            source = repr((sorted(prints.items()), sorted(matching.items())))
+            linked: list[DataFrame] = []
+
+            def of_link(k: int) -> DataFrame:
+                if not linked:
+                    linked.extend(link(left, right, order, **matching))
+                return linked[k]
+
+            folded = stages.table("03_deduplicated", source, lambda: of_link(0))
+            fuzzy_members = stages.table("03_fuzzy_members", source, lambda: of_link(1))
+            scored = stages.table("04_enriched", source, lambda: quality.score_records(folded))
+            total = scored.count()
+
+            def duplicates() -> DataFrame:
+                fuzzy = fuzzy_members.drop(dedup.GROUP, dedup.KIND)
+                return exact_members(left, right, order=order).unionByName(fuzzy).drop(ORDER)
+
+            def statistics() -> DataFrame:
+                seconds = f"{time.monotonic() - started:.3f}"
+                more = [("export", "exported_records", str(total if output_path else 0)), ("run", "duration_seconds", seconds)]
+                return run_statistics(frames, cleaned, scored, [*counted, *more])
+
+            path = None
+            if output_path:
+                parts, exported = None, scored.drop(ORDER)
+                if output_format == "report":
+                    parts = sinks.report_parts(exported, left.drop(order), right.drop(order), duplicates(), statistics())
+                path = sinks.export(exported, output_path, output_format, parts)
+        return Result(True, scored, duplicates, statistics(), path, total, None, run_id, errors, stages.drop)
     except (PySparkException, Py4JJavaError, ValueError) as e:
+        if not snapshots:
+            stages.drop()
         return Result(False, error=str(e), run_id=run_id)
 
 

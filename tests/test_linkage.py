@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from recordloom.operators import dedup, merge
 from recordloom.operators.merge import merge_counts, merge_sources
 from recordloom.plans import linkage, run
 from recordloom.plans.linkage import ORDER
+from recordloom.sinks.snapshots import Stages, load_snapshot, snapshot_root
 from recordloom.sources import responses
 
 
@@ -94,3 +96,39 @@ def test_run_from_landed_files_to_ranks(spark, tmp_path):
     assert bad.success and list(bad.source_errors) == ["pages"] and bad.total_records == 3
     with pytest.raises(ValueError):
         run.ranked(run.Result(False, error="nothing"))
+
+
+def test_a_stopped_run_goes_on_with_its_stages(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "source"
+    rng = random.Random(3)
+    for side in ("left", "right"):
+        _records(spark, rng, 60, [f"P{k}" for k in range(12)], side).withColumn("extracted_at", F.lit("t")).withColumn("owner_name", F.lit("A")).withColumn(
+            "property_address", F.format_string("%d Oak", "rec_idx")
+        ).write.parquet(str(folder / side))
+    sources = {side: lambda side=side: spark.read.parquet(str(folder / side)) for side in ("left", "right")}
+    cut_tables = lambda: {p.name for p in Path(snapshot_root(spark), "cut").glob("*")}
+    before = cut_tables()
+    with monkeypatch.context() as m:
+        m.setattr(run.quality, "score_records", lambda df: df.select(F.raise_error(F.lit("stopped")).alias("x")))
+        stopped = run.run(spark, sources, snapshots=True)
+    assert not stopped.success and "stopped" in stopped.error and cut_tables() == before
+    assert set(Stages(spark, stopped.run_id).done()) == {"01_fetched_left", "01_fetched_right", "02_cleaned_left", "02_cleaned_right", "03_deduplicated", "03_fuzzy_members"}
+    whole = run.run(spark, sources, snapshots=True)
+    with monkeypatch.context() as m:
+        m.setattr(run, "link", None)  # must not be called again
+        m.setattr(run, "prepare", None)
+        resumed = run.run(spark, sources, snapshots=True, resume=stopped.run_id)
+    assert resumed.success and cut_tables() == before
+    same = [c for c in whole.records.columns if c != "enriched_at"]
+    assert sorted(map(str, resumed.records.select(same).collect())) == sorted(map(str, whole.records.select(same).collect()))
+    timed = lambda r: sorted((x.section, x.key, x.value) for x in r.statistics.collect() if x.section != "run")
+    assert timed(resumed) == timed(whole)
+    # Other files, or other options, make the stages anew.
+    sources["left"]().limit(5).write.mode("append").parquet(str(folder / "left"))
+    again = run.run(spark, sources, snapshots=True, resume=stopped.run_id)
+    assert again.success and dict((x[1], x[2]) for x in timed(again))["left_total_records"] == str(sources["left"]().count())
+    # Without snapshots nothing is left of a run that fails, and of another one after it is dropped.
+    bad = run.run(spark, sources, output_path=str(tmp_path / "x"), output_format="none")
+    assert not bad.success and not Stages(spark, bad.run_id).done()
+    again.drop()
+    assert not Stages(spark, again.run_id).done() and load_snapshot(spark, "04_enriched", again.run_id) is None
