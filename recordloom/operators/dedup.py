@@ -71,8 +71,8 @@ def _vertices(df: DataFrame, order: str) -> DataFrame:
 
 
 def _repeated(texts: DataFrame) -> DataFrame:
-    """Texts of kinds that hold more than one: only those can make a pair."""
-    several = texts.groupBy("kind").agg(F.count("*").alias("_texts")).filter("_texts > 1").select("kind")
+    """Texts of kinds that hold more than one, with their number: only those can make a pair."""
+    several = texts.groupBy("kind").agg(F.count("*").alias("texts_of_kind")).filter("texts_of_kind > 1")
     return texts.join(several, "kind")
 
 

@@ -95,11 +95,11 @@ def key_counts(left: DataFrame, right: DataFrame, key: str = "parcel_id") -> Dat
 def hot_keys(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys of more than ``hot_rows`` rows, or of more pairs than a task should
     form (``hot_rows`` times WORK), or None, however many rows there are in all.
-    Up to HOT_KEYS of them are marked for broadcast; more are joined by key.
-    ``counts`` should be a written table."""
+    Up to HOT_KEYS of them are marked for broadcast; more are joined by key. Of the
+    counts only those of hot keys are written down."""
     size = F.col("l") + F.col("r")
-    hot = counts.filter((size > hot_rows) | (pair_count(F.col("l"), F.col("r")) > hot_rows * WORK))
-    some = hot.limit(HOT_KEYS + 1).count()
+    hot = cut(counts.filter((size > hot_rows) | (pair_count(F.col("l"), F.col("r")) > hot_rows * WORK)), "hot_keys")
+    some = hot.count()
     if not some:
         return None
     return F.broadcast(hot) if some <= HOT_KEYS else hot
@@ -201,8 +201,8 @@ def join_sources(
     left: DataFrame, right: DataFrame, key: str = "parcel_id", order: str = "rec_idx", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Full outer join of two sources on the normalised key. Rows per key are
-    counted and written down first, so that hot keys can be treated apart."""
-    hot = hot_keys(cut(key_counts(left, right, key), "key_counts"), hot_rows)
+    counted first, so that hot keys can be treated apart."""
+    hot = hot_keys(key_counts(left, right, key), hot_rows)
     return join_keyed(keyed(left, key), keyed(right, key), hot, order, hot_rows)
 
 

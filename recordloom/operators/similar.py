@@ -46,6 +46,9 @@ _WIDEST = max(_KEEP)
 # Symbols that are counted together in long texts: frequent ones alone.
 _COUNTED = [*" eanrtsoilkdcmhupgbyvfw", "jxzq_", "0123456789"]
 
+# Kinds of up to so many texts are compared as they are: a text meets fewer others there than it has keys.
+FEW = 64
+
 _PAIR = [("x", "text", "a"), ("y", "text", "b"), ("x", "uses", "uses_a"), ("y", "uses", "uses_b")]
 _COLUMNS = ["kind", "threshold", "text", "uses", "asks", "n"]
 
@@ -169,22 +172,40 @@ def _met(keys: DataFrame) -> DataFrame:
     return met.select("x.kind", "x.threshold", *sides, k.alias("_k"))
 
 
+def _few_pairs(ranged: DataFrame) -> DataFrame:
+    """Pairs like those of ``_met`` of kinds of up to ``FEW`` texts: they meet on their kind."""
+    x, y = ranged.select(*_COLUMNS).alias("x"), ranged.select(*_COLUMNS).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("kind", "threshold")]
+    k = max_distance(F.col("x.n") + F.col("y.n"), F.col("x.threshold"))
+    fits = (F.abs(F.col("x.n") - F.col("y.n")) <= k) & (F.col("x.text") < F.col("y.text")) & (F.col("x.asks") | F.col("y.asks"))
+    met = x.join(y, [*same, fits])
+    return met.select("x.kind", "x.threshold", *[F.col(f"{s}.{c}").alias(n) for s, c, n in _PAIR], k.alias("_k"))
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
     """Distinct candidate pairs (kind, threshold, a, b, uses_a, uses_b), ``a < b``.
 
     ``texts`` holds distinct (kind, threshold, text), optionally with the number
     of ``uses`` of each and whether it ``asks``: pairs of texts that both don't are
     left out. It should be a written table. Texts of different kinds never meet, so a
-    kind may be as narrow as wanted. The bounded edit distance is never above the number of insertions and
+    kind may be as narrow as wanted; where ``texts_of_kind`` says how many a kind has, small
+    kinds need no keys. The bounded edit distance is never above the number of insertions and
     deletions, so it loses nothing.
     """
     near = F.expr("levenshtein(a, b, greatest(_k, 0)) <> -1")
     given = {"uses": F.lit(1).cast("bigint"), "asks": F.lit(True)}
     ranged = _ranged(texts.withColumns({c: v for c, v in given.items() if c not in texts.columns}))
+    few = None
+    if "texts_of_kind" in ranged.columns:
+        few = _few_pairs(ranged.filter(F.col("texts_of_kind") <= FEW)).filter(near).drop("_k")
+        ranged = ranged.filter(F.col("texts_of_kind") > FEW)
+        if ranged.isEmpty():
+            return few
     pairs = _met(_choice_keys(ranged)).filter(near)
     if not ranged.filter(F.col("_hi") > _WIDEST).isEmpty():
         pairs = pairs.unionByName(_long_pairs(ranged).distinct().filter(near))
-    return pairs.drop("_k").distinct()
+    pairs = pairs.drop("_k").distinct()
+    return pairs if few is None else pairs.unionByName(few)
 
 
 def similar_pairs(texts: DataFrame) -> DataFrame:
