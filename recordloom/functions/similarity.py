@@ -62,10 +62,11 @@ def ratio(a: Column, b: Column, lcs: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Score of two normal forms; null when either is null."""
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).otherwise(
-        ratio(a, b, lcs_length(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    )
+    """Score of two normal forms; null when either is null. Equal forms score without the
+    kernel, which is given empty texts for them, as ``when`` doesn't keep it from running."""
+    blank = F.lit("")
+    x, y = (F.when(a == b, blank).otherwise(F.coalesce(c, blank)) for c in (a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).otherwise(ratio(a, b, lcs_length(x, y)))
 
 
 def max_distance(total: Column, threshold: Column) -> Column:
