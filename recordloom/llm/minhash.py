@@ -178,10 +178,10 @@ def _linked(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """Shingle sets of the documents that pairs name."""
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, size: int, folded: bool = False) -> DataFrame:
+    """Shingle sets of the documents that pairs name, or what ``_folded`` makes of them in the same pass."""
 
-    def run(batches):
+    def sets_of(batches):
         for batch in batches:
             texts = [utf8(t) for t in batch.column(1).to_pylist()]
             for start in range(0, len(texts), 500):
@@ -192,7 +192,9 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, size: int) ->
 
     # The list of ids grows with the data: it is never broadcast, so the plan is the same at every size.
     some = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
-    return some.mapInArrow(run, "id bigint, shingles array<bigint>")
+    if folded:
+        return some.mapInArrow(lambda batches: _folded(sets_of(batches)), "id bigint, small binary")
+    return some.mapInArrow(sets_of, "id bigint, shingles array<bigint>")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int, hashes: int) -> DataFrame:
@@ -213,8 +215,7 @@ def _linked_across(members: DataFrame, found: DataFrame, docs: DataFrame, id_col
     # Buckets of the same members need one walk.
     once = several.where("lo < hi").groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = cut(placed.join(once, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "split")
-    sets = _sets(docs, rows.select("id").distinct(), id_col, text, size)
-    small = sets.mapInArrow(_folded, "id bigint, small binary")
+    small = _sets(docs, rows.select("id").distinct(), id_col, text, size, folded=True)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     rows = rows.join(small, "id").select("key", "one", "two", "block", "id", "c", "small")

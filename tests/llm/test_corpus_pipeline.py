@@ -71,10 +71,13 @@ def test_stages(spark, corpus, tmp_path):
     assert lost[0] == 0 and set(lost[1:]) == {60}
     assert ids["packing"] == third
     done = corpus_pipeline.run(spark, where)
-    assert sorted(map(str, done.select("doc_id", "start", "length", "ids_crc32").collect())) is not None
-    assert {r["doc_id"] for r in done.select("doc_id").distinct().collect()} == third
+    # The same documents with the same numbers of tokens as stage by stage; where they are cut may differ.
+    sizes = lambda rows: {(r["doc_id"], r["doc_tokens"]) for r in rows}
+    packed = done.collect()
+    assert sizes(packed) == sizes(kept["packing"]) and {i for i, _ in sizes(packed)} == third
+    assert sum(r["length"] for r in packed) == sum(n for _, n in sizes(packed))
 
 
 def test_names():
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality_classifier", "toxicity", "minhash_near_dedup", "substring_dedup", "packing"]
-    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 11)) and len(QUERIES) == 10
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 14)) and len(QUERIES) == 13
