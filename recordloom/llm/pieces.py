@@ -33,7 +33,7 @@ from .common import _BYTES, _SPREAD, kept_by_worker, mixed, on_workers
 MARK = "▁"
 _MARK = MARK.encode()
 #: Texts are worked on in runs of about so many bytes.
-_RUN = 1 << 19
+_RUN = 1 << 18
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -388,8 +388,12 @@ def decoded(frame: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
     return _with(frame, path, ids, into, "string", lambda i: len(i or ()), lambda model, some: model.decoded([i or [] for i in some]))
 
 
-def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 1, key_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key_col``, sample (from 1), ids, log_probability, perturbed, log_inclusion and round_trip of up to k segmentations of every row."""
+def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 1, key_col: str = "doc_id", text: str = "text", best: bool = False) -> DataFrame:
+    """``key_col``, sample (from 1), ids, log_probability, perturbed, log_inclusion and round_trip of up to k segmentations of every row.
+
+    With ``best``, the library's best one as well, as sample 0 without scores: texts are read, encoded, sampled and
+    decoded in one pass.
+    """
     on_workers(docs.sparkSession)
     kind = docs.schema[key_col].dataType.simpleString()
 
@@ -399,10 +403,14 @@ def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 1, key_col: str
             every = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in _runs(every):
                 texts, rows = every[a:b], []
+                if best:
+                    ids = model.encoded(texts)
+                    back = model.decoded(ids)
+                    rows = [(a + i, 0, x, None, None, None, y == t) for i, (x, y, t) in enumerate(zip(ids, back, texts))]
                 for i, drawn in enumerate(top_segmentations(texts, batch.column(1).slice(a, b - a).to_pylist(), k, model)):
                     texts_of = model.decoded([ids.tolist() for *_, ids in drawn])
                     rows += [(a + i, n, ids, logp, score, inclusion, back == texts[i]) for n, ((logp, score, inclusion, ids), back) in enumerate(zip(drawn, texts_of), 1)]
-                flat = np.concatenate([r[2] for r in rows]).astype(np.int32)
+                flat = np.concatenate([np.asarray(r[2], np.int32) for r in rows])
                 ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
                 arrays = [
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat)),

@@ -67,12 +67,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every row the best encoding (sample 0) and two sampled ones, each decoded again."""
-    docs, path = documents(spark, sf_dir), vocabulary(PIECE_BPE)
-    drawn = pieces.sampled(docs, path, k=2)
-    best = pieces.decoded(pieces.encoded(docs.select("doc_id", F.col("text").cast("string").alias("text")), path), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    best = best.select("doc_id", F.lit(0).alias("sample"), "ids", same.alias("round_trip"))
-    return drawn.unionByName(best, allowMissingColumns=True).withColumn("n_pieces", F.size("ids"))
+    drawn = pieces.sampled(documents(spark, sf_dir), vocabulary(PIECE_BPE), k=2, best=True)
+    return drawn.withColumn("n_pieces", F.size("ids"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
