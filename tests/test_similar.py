@@ -171,6 +171,27 @@ def test_long_names_of_common_words_seldom_meet(spark, length):
     assert len(found) >= 20 and set(near) <= found and all(score(a, b) >= 90 for a, b in found)
 
 
+@pytest.mark.parametrize("part", [16, 8192])
+def test_long_texts_meet_once_whatever_they_share(spark, monkeypatch, part):
+    """Texts that all hold the same symbols: cells of any size give each pair once, and none that matches is lost."""
+    monkeypatch.setattr(similar, "PART", part)
+    rng = random.Random(3)
+    base = "smith jones family trust of north carolina revocable living holdings properties durham"
+    texts = sorted(set(_mutations(rng, [base, base[:70] + " é", base + base], 150, "abcdeimnorst 0123456789é")))
+    df = cut(spark.createDataFrame([("name", 90, t) for t in texts], "kind string, threshold int, text string"), "names")
+    ranged = similar._ranged(df.withColumns({"uses": F.length("text").cast("bigint"), "asks": F.length("text") % 2 == 0}))
+    met = [(r["a"], r["b"], r["uses_a"], r["uses_b"]) for r in similar._long_pairs(ranged).collect()]
+    assert len(met) == len(set(met)) and all(a < b and (len(a), len(b)) == (x, y) for a, b, x, y in met)
+    found = {(a, b) for a, b, _, _ in met}
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            bound = int((len(a) + len(b)) * 0.105 + 1e-7)
+            far = bound - (bound + len(a) + len(b)) % 2 > 12
+            if far and not (len(a) % 2 and len(b) % 2) and score(a, b) >= 90:
+                found.remove((a, b))
+    assert all(score(a, b) < 90 for a, b in found)
+
+
 def _model(rows, name_t=90, address_t=95):
     """The grouping of rows (idx, name, address) as one sequential pass."""
 
