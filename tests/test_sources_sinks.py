@@ -212,3 +212,12 @@ def test_run_of_one_source_and_limits(spark):
     assert one.success and one.total_records == 10, one.error
     few = plan.run(spark, {"left": lambda: left, "right": lambda: right}, limits={"left": 3, "right": 1})
     assert few.success and few.total_records == 3, few.error
+
+
+def test_records_of_one_small_file_are_work_for_all_cores(spark, sf_dir):
+    """A table of one row group would be cleaned by one task."""
+    from recordloom.sources import adapter
+
+    for made in (adapter.left_records, adapter.right_records, adapter.long_names):
+        sizes = [n for n in made(spark, sf_dir).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
