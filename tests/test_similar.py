@@ -268,3 +268,34 @@ def test_long_names_meet_at_similar_addresses_only(spark, monkeypatch):
     got = {(r["lo"], r["hi"]) for r in dedup.fuzzy_pairs(df).collect()}
     assert {(i, 1000 + i) for i in range(0, 60, 3)} <= got and {(i, 2000 + i) for i in range(0, 60, 3)} <= got
     assert max(met) <= 6 and sum(met) < 200  # names at one address, out of 640
+
+
+def test_names_come_first_where_they_are_far_fewer(spark, monkeypatch):
+    """Two streets of many numbers and a few names: the numbers meet at one name only, and no match is lost."""
+    rng = random.Random(13)
+    names = ["JOHN SMITH", "JOHN SMYTH", "MARY WALKER", "ROBERT YOUNG", "ACME HOLDINGS LLC"]
+    rows = [(i, names[i % 5], f"{100 + i * 37 % 4001 + rng.randint(0, 9) * 10**5} {('NORTH EXTENSION STREET', 'OAK ROAD')[i % 2]}") for i in range(900)]
+    kinds = []
+    plain = dedup.similar_pairs
+    monkeypatch.setattr(dedup, "similar_pairs", lambda t: (kinds.append({r["kind"] for r in t.select("kind").distinct().collect()}), plain(t))[1])
+    df = spark.createDataFrame(rows, "rec_idx int, owner_name string, property_address string")
+    got = sorted((r["lo"], r["hi"]) for r in dedup.fuzzy_pairs(df).collect())
+    assert kinds[0] == {"name"} and kinds[1] <= {" ".join(sorted(n.lower().split())) for n in names}
+    form = [(" ".join(sorted(n.lower().split())), " ".join(sorted(a.lower().split()))) for _, n, a in rows]
+    alike = {(a, b): score(a, b) >= 90 for a, _ in form[:5] for b, _ in form[:5]}
+    first = {f: i for i, f in reversed(list(enumerate(form)))}
+    some = sorted(first.values())
+    want = [(i, j) for i in some for j in some if i < j and alike[form[i][0], form[j][0]] and score(form[i][1], form[j][1]) >= 95]
+    assert len(want) > 50 and got == want
+
+
+def test_numbers_of_a_street_seldom_meet(spark):
+    """700 numbers of a street of 27 to 29 symbols: what shares a key is a small part of all pairs, and none that matches is lost."""
+    rng = random.Random(14)
+    numbers = rng.sample(range(10_000, 110_000), 700)
+    texts = [f"{n} extension north street" for n in numbers]
+    table = cut(spark.createDataFrame([("address", 95, t) for t in texts], "kind string, threshold int, text string"), "street")
+    ranged = similar._ranged(table.withColumns({"uses": F.lit(1).cast("bigint"), "asks": F.lit(True)}))
+    assert similar._short_pairs(ranged).count() < 0.03 * len(texts) * (len(texts) - 1) / 2
+    want = {(a, b) for i, a in enumerate(sorted(texts)) for b in sorted(texts)[i + 1 :] if abs(len(a) - len(b)) < 4 and score(a, b) >= 95}
+    assert len(want) > 50 and {(r["a"], r["b"]) for r in similar_pairs(table).collect()} == want
