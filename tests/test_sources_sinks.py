@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.plans import run as plan
+from recordloom.plans.queries import QUERIES
 from recordloom.sinks import export, snapshots
 from recordloom.sources import pages, responses
 from recordloom.sources.selectors import compile_selector, is_path, selectors_for
@@ -141,6 +142,17 @@ def test_files(spark, tmp_path):
         export.export(df, str(tmp_path / "x"), "pdf")
 
 
+def test_rows_per_file_cleans_once(spark, sf_dir, monkeypatch):
+    """Both writers get the rows from a written table, not the job that makes them."""
+    read = {}
+    for name in ("write_csv", "write_json"):
+        write = getattr(export, name)
+        monkeypatch.setattr(export, name, lambda df, *a, _n=name, _w=write: (read.update({_n: df.inputFiles()}), _w(df, *a))[1])
+    got = QUERIES["rows_per_file"](spark, sf_dir).collect()
+    assert {r.format for r in got} == {"csv", "json"} and all(r.within for r in got)
+    assert read["write_csv"] == read["write_json"] and all("/cut/" in f for f in read["write_csv"])
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path)
     assert snapshots.load_snapshot(spark, "01", root=root) is None
