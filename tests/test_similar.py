@@ -301,3 +301,15 @@ def test_numbers_of_a_street_seldom_meet(spark):
     near = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if 200 * (letters[a] & letters[b]).total() >= 94 * (len(a) + len(b))]
     want = {(a, b) for a, b in near if score(a, b) >= 95}
     assert len(want) > 50 and {(r["a"], r["b"]) for r in similar_pairs(table).collect()} == want
+
+
+def test_candidates_meet_once_by_number(spark):
+    """Keys carry a number and no text, and a pair that shares several keys is one candidate: it gets its texts once."""
+    texts = [f"{n} extension north street" for n in range(12_300, 12_420)]
+    table = cut(spark.createDataFrame([(k, 95, t, 3) for k in ("a", "b") for t in texts], "kind string, threshold int, text string, uses bigint"), "street")
+    ranged = similar._ranged(table.withColumn("asks", F.col("kind") == "a"))
+    got = [tuple(r) for r in similar._short_pairs(ranged).select("kind", "a", "b", "uses_a", "uses_b").collect()]
+    assert len(got) == len(set(got)) and {(r[0], r[3], r[4]) for r in got} == {("a", 3, 3)}
+    assert {r[1:3] for r in got} >= {(a, b) for a in texts for b in texts if a < b and score(a, b) >= 95}
+    numbered = cut(ranged.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    assert dict(similar._role_keys(similar._roles(numbered)).dtypes) == {"_id": "bigint", "asks": "boolean", "key": "bigint"}
