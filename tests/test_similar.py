@@ -313,3 +313,19 @@ def test_candidates_meet_once_by_number(spark):
     assert {r[1:3] for r in got} >= {(a, b) for a in texts for b in texts if a < b and score(a, b) >= 95}
     numbered = cut(ranged.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     assert dict(similar._role_keys(similar._roles(numbered)).dtypes) == {"_id": "bigint", "asks": "boolean", "key": "bigint"}
+
+
+def test_find_duplicates_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        made.add(1)
+        return f"PARCEL {k % 40}"
+
+    parcel = F.udf(seen, "string").asNondeterministic()("rec_idx")
+    text = F.concat(F.col("rec_idx").cast("string"), F.lit(" NORTH EXTENSION STREET"))
+    rows = spark.range(60).select(F.col("id").alias("rec_idx"), F.lit("ANN LEE").alias("owner_name"), text.alias("property_address"), F.lit("2024-01-01").alias("sale_date"))
+    rows = rows.withColumn("parcel_id", parcel)
+    got = dedup.find_duplicates(rows, exact_fields=["parcel_id"])
+    assert got.columns == [*rows.columns, "duplicate_group", "duplicate_kind"] and got.filter("duplicate_kind = 'exact'").count() == 40
+    assert made.value == 60
