@@ -361,6 +361,46 @@ def test_piece_sampling(docs, texts, none):
     assert pieces.sampled(none, path).count() == 0
 
 
+def test_lattices_are_kept(texts, monkeypatch):
+    """A worker keeps the lattices of units, and results don't depend on which."""
+    some = [t or "" for _, t in texts] + ["the cat  the dog", "a\u2581b \u2581 c", "<s> \ufb01 \u3000x\x00", " ", "\t\n", "the cat"]
+    model = pieces.Model(vocabulary(PIECE_BPE), best=True)
+    keys = list(range(len(some)))
+
+    def drawn(of):
+        return [[(*r[:3], r[3].tolist()) for r in rows] for rows in pieces.top_segmentations(some, keys, 3, of)]
+
+    first = drawn(model)
+    built = model.lattices.hash.used
+    assert drawn(model) == first and model.lattices.hash.used - built < built / 100  # but for units that meet in a slot
+    monkeypatch.setattr(pieces, "_KEPT", 3000)
+    few = pieces.Model(vocabulary(PIECE_BPE), best=True)
+    trimmed = []
+    trim = few.lattices._trim
+    monkeypatch.setattr(few.lattices, "_trim", lambda: (trim(), trimmed.append(few.lattices.hash.used)))
+    for _ in range(3):
+        for i in range(0, len(some), 7):
+            work = pieces._run(some[i : i + 7], keys[i : i + 7], 3, few)
+            assert [[(*r[:3], r[3].tolist()) for r in rows] for rows in work.samples()] == first[i : i + 7]
+            assert [x.tolist() for x in work.best()] == model.encoded(some[i : i + 7])
+    assert any(trimmed)
+
+
+def test_best_pieces_that_units_do_not_give(monkeypatch):
+    """Where the library encodes a unit in another way than in its text, the text is encoded whole."""
+    model = pieces.Model(vocabulary(PIECE_BPE), best=True)
+    whole, calls = model.encoded, []
+
+    def encoded(some):
+        calls.append(some)
+        return [i[:-1] if len(calls) == 1 and t == "dog" else i for t, i in zip(some, whole(some))]
+
+    monkeypatch.setattr(model, "encoded", encoded)
+    some = ["the cat", "", "the dog", "dog"]
+    assert [x.tolist() for x in pieces._run(some, [1, 2, 3, 4], 2, model).best()] == whole(some)
+    assert calls[1:] == [["the dog"], ["dog"]]
+
+
 def test_pieces_of_documents(spark, docs, texts, tmp_path):
     path = vocabulary(PIECE_BPE)
     model = pieces.Model(path)
