@@ -37,7 +37,7 @@ _MARK = MARK.encode()
 #: Texts are worked on in runs of about so many bytes.
 _RUN = 1 << 18
 #: Lattices are kept until they have so many edges (of 24 bytes), and are looked up in a table of 2 to the power of so many slots.
-_KEPT, _SLOTS = 5_000_000, 21
+_KEPT, _SLOTS = 7_000_000, 21
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of a number between 0 and 1 by which an edge is drawn; the node's number stands above them.
 _FINE = 40
@@ -114,7 +114,7 @@ class Model:
         hashes = _spans(np.frombuffer(b"".join(known), np.uint8))(ends - [len(p) for p in known], ends)
         values = np.array([*known.values()], np.int32)
         # Two tables: what finds its slot taken in the first goes to the second, which is sorted.
-        self.bits = 20
+        self.bits = 18
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.keys[slot] = hashes
@@ -333,10 +333,8 @@ class Lattices:
         for source, before, to, piece in found:
             edge = bounds[source] + before
             target[edge], ident[edge] = to, piece
-        own = np.repeat(np.arange(len(at)), many)
         logit = model.logit[ident]
-        some = np.flatnonzero(ident < 0)
-        logit[some] = width[own[some]] * model.byte_logit
+        logit[ends[spelt] - 1] = width[spelt] * model.byte_logit
         # Mass of all ways to the end, from the last characters backwards: nodes in order of the characters that are left.
         order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         edges, mass = _ranges(bounds[order], many[order]), np.zeros(len(at) + 1)  # the last entry stands for the end
@@ -348,9 +346,9 @@ class Lattices:
             first = bounds_[a:b] - x
             top = np.maximum.reduceat(v, first)
             mass[order[a:b]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many[order[a:b]])), first))
-        logp = logit + mass[target] - mass[own]
+        logp = logit + mass[target] - np.repeat(mass[:-1], many)
         total = np.cumsum(np.exp(logp))
-        share = np.minimum(total - np.append(0.0, total)[bounds][own], 1.0)
+        share = np.minimum(total - np.repeat(np.append(0.0, total)[bounds], many), 1.0)
         share[ends - 1] = 1.0
         base = self.at.used
         self.first.add(base + np.cumsum(per_unit))
@@ -360,7 +358,7 @@ class Lattices:
         self.target.add(np.where(target >= 0, target + base, -1))
         self.ident.add(ident)
         self.logp.add(logp)
-        self.cdf.add(((own + base) << _FINE) + np.rint(share * (1 << _FINE)).astype(np.int64))
+        self.cdf.add(np.repeat(base + np.arange(len(at)) << _FINE, many) + np.rint(share * (1 << _FINE)).astype(np.int64))
         self.data_bounds.add(self.data.used + end)
         self.data.add(data)
         if self.with_best:
@@ -377,21 +375,27 @@ class Lattices:
             self.best_bounds.add(self.best.used + np.cumsum(sizes))
             self.best.add(flat)
 
-    def walk(self, unit: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def walk(self, unit: np.ndarray, by_unit: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every occurrence of a unit, one path: log-probability, where its edges begin (and the last one's end), all edges.
 
-        ``draw(occurrences, step)`` gives the noise.
+        ``by_unit`` has the occurrences in order of their units, ``draw(occurrences, step)`` gives the noise.
         """
         bounds, target, each, cdf = self.bounds.all, self.target.all, self.logp.all, self.cdf.room
         logp, steps = np.zeros(len(unit)), np.zeros(len(unit), np.int64)
-        who, step = np.argsort(unit, kind="stable"), 0  # by unit, so that what lies close together is read together
+        who, step = by_unit, 0  # so that what lies close together is read together
         at = self.first.all[unit[who]]
         found = []
         while len(who):
             point = (at << _FINE) + (draw(who, step) >> np.uint64(64 - _FINE)).view(np.int64)
             # The first edge above the point, by halves; those of later nodes are above it too.
             edge = bounds[at]
-            half = 1 << int((bounds[at + 1] - edge).max()).bit_length() - 1
+            many = bounds[at + 1] - edge
+            half = 1 << int(many.max()).bit_length() - 1
+            while half > 2:
+                some = np.flatnonzero(many >= half)
+                first = edge[some]
+                edge[some] = first + half * (cdf[first + (half - 1)] <= point[some])
+                half >>= 1
             while half:
                 edge += half * (cdf[edge + (half - 1)] <= point)
                 half >>= 1
@@ -468,12 +472,13 @@ class _Run:
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         self.unit = self.lattices.numbers(data, begin, np.append(begin[1:], len(data)))
         self.place = ((begin - starts[self.owner]) << 20).astype(np.uint64)  # places of a unit's steps lie close together
+        self.by_unit = np.argsort(self.unit, kind="stable")
         self.drawn = [self._drawn(s) for s in range(k)]
 
     def _drawn(self, sample: int):
         """Of all units, a path each: log-probability, where its edges begin, the edges, the log of the mass beside it, -log of the noise for that."""
         stem = _stem(self.keys, sample)[self.owner] + self.place * _C2
-        logp, begins, edges = self.lattices.walk(self.unit, lambda who, step: _noise(stem[who], np.array([step], np.uint64)))
+        logp, begins, edges = self.lattices.walk(self.unit, self.by_unit, lambda who, step: _noise(stem[who], np.array([step], np.uint64)))
         beside = _noise(_stem(self.keys, sample, 1)[self.owner], self.place + np.uint64(1))
         return logp, begins, edges, _rest(logp), -np.log(_unit_interval(beside))
 
