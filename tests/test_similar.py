@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import normal_form, similarity, token_sorted
-from recordloom.operators import dedup, groups, similar
+from recordloom.operators import cells, dedup, groups, similar
 from recordloom.operators.groups import greedy_groups
 from recordloom.operators.similar import SYMBOLS, similar_pairs
 from recordloom.sinks.snapshots import cut
@@ -329,3 +330,57 @@ def test_find_duplicates_makes_its_rows_once(spark):
     got = dedup.find_duplicates(rows, exact_fields=["parcel_id"])
     assert got.columns == [*rows.columns, "duplicate_group", "duplicate_kind"] and got.filter("duplicate_kind = 'exact'").count() == 40
     assert made.value == 60
+
+
+def _cell(texts, parts, threshold, pair):
+    """The texts as a cell of two parts, with their place as what pairs are given."""
+    at = [i for i, p in enumerate(parts) if p in pair]
+    rows = {"kind": "name", "threshold": threshold, "_lo_part": min(pair), "_hi_part": max(pair)}
+    columns = {c: [v] * len(at) for c, v in rows.items()} | {"text": [texts[i] for i in at], "uses": at, "asks": [i % 3 > 0 for i in at]}
+    return pa.table(columns | {"n": [len(texts[i]) for i in at], "_part": [parts[i] for i in at]}).to_batches()
+
+
+@pytest.mark.parametrize("threshold, alphabet", [(80, "abcdeimnorst 0123456789"), (90, "ab"), (90, "".join(map(chr, range(0x4E00, 0x4E00 + 700))))])
+def test_cells_give_matches_only(threshold, alphabet):
+    """Bands of one number and of several, few and many symbols, lengths on both sides of a byte: all matches leave the cells, each once,
+    with their scores and without their texts, and nothing else does."""
+    rng = random.Random(threshold + len(alphabet))
+    bases = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (1, 9, 30, 62, 70, 100, 128, 190, 260, 330, 700)]
+    texts = _mutations(rng, bases, 250, alphabet)
+    parts = [rng.randrange(2) for _ in texts]
+    found = []
+    for pair in ((0, 0), (0, 1), (1, 1)):
+        batches = cells.matches_of_cell(0, False)(iter(_cell(texts, parts, threshold, pair)))
+        found += [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+    def common(x, y):
+        at, row = {}, (1 << len(x)) - 1
+        for i, ch in enumerate(x):
+            at[ch] = at.get(ch, 0) | 1 << i
+        full = row
+        for ch in y:
+            hit = row & at.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        return len(x) - row.bit_count()
+
+    want = []
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts[i + 1 :], i + 1):
+            if i % 3 or j % 3:
+                s = round(100 * ((2 * common(x, y)) / (len(x) + len(y))))
+                want += [("name", i, j, s)] if s >= threshold else []
+    assert len(want) > 300 and sorted(found) == want
+
+
+def test_names_without_address_take_their_vertices_along(spark):
+    """Names of which each is one vertex meet no vertices afterwards: pairs hold neither texts nor a join."""
+    base = "smith jones family trust of north carolina revocable living holdings properties"
+    names = _mutations(random.Random(4), [base], 40, "abcdeimnorst")
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "rec_idx int, owner_name string, property_address string")
+    pairs = dedup.fuzzy_pairs(df)
+    form = [" ".join(sorted(n.split())) for n in names]
+    first = {f: i for i, f in reversed(list(enumerate(form)))}
+    some = sorted(first.values())
+    want = [(i, j) for i in some for j in some if i < j and score(form[i], form[j]) >= 90]
+    assert len(want) > 100 and sorted(map(tuple, pairs.collect())) == want
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
