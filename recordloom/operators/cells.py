@@ -24,7 +24,7 @@ def matches_of_cell(above: int, with_texts: bool):
 
     ``above``: pairs that may differ by no more than that are left out.
     """
-    alone, turns, lanes, room = ALONE, 64, 16384, 1 << 23
+    alone, turns, widest, lanes, room = ALONE, 64, 1024, 16384, 1 << 23
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -41,22 +41,30 @@ def matches_of_cell(above: int, with_texts: bool):
         rank = np.empty(len(n), np.int64)
         rank[pc.sort_indices(text).to_numpy()] = np.arange(len(n))
 
-        # Symbols are numbered from 1; 0 stands behind the end of a text.
+        # Symbols are numbered from 1, those of all texts in one array; 0 stands behind the end of a text.
         flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         seen = np.zeros(int(flat.max()) + 1, np.int64)
         seen[flat] = 1
         symbols = int(seen.sum()) + 1
-        codes = np.zeros((len(n), int(n.max())), np.int64)
-        codes[np.arange(codes.shape[1]) < n[:, None]] = np.cumsum(seen)[flat]
-        often = np.argsort(-np.bincount(codes.ravel(), minlength=symbols)[1:], kind="stable") + 1
+        codes = np.cumsum(seen)[flat]
+        starts = np.cumsum(n) - n
+        often = np.argsort(-np.bincount(codes, minlength=symbols)[1:], kind="stable")
         place = np.zeros(symbols, np.int64)
-        place[often] = np.minimum(np.arange(symbols - 1), alone) + 1
-        kinds = min(symbols, alone + 2)
+        place[often + 1] = np.minimum(np.arange(symbols - 1), alone)
+        kinds = min(symbols - 1, alone + 1)
         small = np.uint8 if n.max() < 2**8 else np.uint16 if n.max() < 2**16 else np.uint32
-        counts = np.empty((kinds - 1, len(n)), small)
-        for at in range(0, len(n), 1024):
-            some = place[codes[at : at + 1024]] + kinds * np.arange(len(n[at : at + 1024]))[:, None]
-            counts[:, at : at + 1024] = np.bincount(some.ravel(), minlength=kinds * len(some)).reshape(-1, kinds)[:, 1:].T
+        counts, at = np.empty((kinds, len(n)), small), 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 20))))
+            some = place[codes[starts[at] : starts[to - 1] + n[to - 1]]] + kinds * np.repeat(np.arange(to - at), n[at:to])
+            counts[:, at:to] = np.bincount(some, minlength=kinds * (to - at)).reshape(-1, kinds).T
+            at = to
+
+        def all_of(which):
+            """(number of the text, place in it, symbol) for all symbols of some texts."""
+            number = np.repeat(np.arange(len(which)), n[which])
+            at = np.arange(len(number)) - np.repeat(np.cumsum(n[which]) - n[which], n[which])
+            return number, at, codes[starts[which][number] + at]
 
         # By the sum of two lengths: the most that they may differ by.
         c = (100.5 - threshold) / 100.0 + 1e-9
@@ -71,11 +79,33 @@ def matches_of_cell(above: int, with_texts: bool):
         bits = 8 if symbols <= 2**8 else 16 if symbols <= 2**16 else 32
         step = 64 // bits
         xs, ys = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        packed = np.zeros((len(ys), -(-codes.shape[1] // step) * step), f"<u{bits // 8}")
-        packed[:, : codes.shape[1]] = codes[ys]
-        packed = np.ascontiguousarray(packed.view("<i8").T)
-        words = -(-codes.shape[1] // 64)
-        block = 1 << max(8, min(1024, room // (symbols * (words + 4)))).bit_length() - 1
+        # Texts lie side by side, or, where they are too unlike in length, one after another with an empty number at the end.
+        numbers = -(-n[ys] // step) + 1
+        beside = int(numbers.max()) * len(ys) <= room
+        begins, apart = (np.arange(len(ys)), len(ys)) if beside else (np.cumsum(numbers) - numbers, 1)
+        packed = np.zeros((int(numbers.max()) * len(ys) if beside else int(numbers.sum()), step), f"<u{bits // 8}")
+        number, at, symbol = all_of(ys)
+        packed[begins[number] + at // step * apart, at % step] = symbol
+        packed = packed.view("<i8").ravel()
+
+        def ones_at(q, y):
+            if beside:
+                return packed[q * apart : (q + 1) * apart].take(y)
+            return packed.take(begins.take(y) + np.minimum(numbers.take(y) - 1, q))
+
+        def by_pair(x, y):
+            """What ``lengths`` gives, for a few long texts, as in ``lcs_length``."""
+            out = np.empty(len(x), np.int64)
+            for i, (one, other) in enumerate(zip(x, y)):
+                places = {}
+                for at, symbol in enumerate(texts[one]):
+                    places[symbol] = places.get(symbol, 0) | 1 << at
+                row = full = (1 << len(texts[one])) - 1
+                for symbol in texts[other]:
+                    hit = row & places.get(symbol, 0)
+                    row = (row + hit | row - hit) & full
+                out[i] = len(texts[one]) - row.bit_count()
+            return np.arange(len(x)), out
 
         def lengths(x, y, ny, lose_x, lose_y, a, b, table_at):
             """For pairs of a text ``x`` of the block and a ``y`` of length ``ny``, in order of that, that may lose some symbols
@@ -106,7 +136,7 @@ def matches_of_cell(above: int, with_texts: bool):
                             if not len(at):
                                 break
                 tables = table_at(t - b, width)
-                next_ones = packed[t // step][y]
+                next_ones = ones_at(t // step, y)
                 index, mask, added = np.empty_like(at), np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
                 for s in range(min(step, end - t)):
                     np.right_shift(next_ones, bits * s, out=index)
@@ -142,19 +172,25 @@ def matches_of_cell(above: int, with_texts: bool):
             made = {}
 
             def table_at(start, width):
-                """Where a symbol stands in each text of the block, from ``start`` on."""
-                if start not in made:
-                    word, bit = divmod(64 * front + start, 64)
-                    tables = [places[w] for w in range(word, word + width)]
-                    if bit:
-                        rest = [places[w + 1] << np.uint64(64 - bit) for w in range(word, word + width)]
-                        tables = [(table >> np.uint64(bit)) | more for table, more in zip(tables, rest)]
-                    made[start] = [table.ravel() for table in tables]
-                return made[start]
+                """Where a symbol stands in each text of the block, from ``start`` on; kept for the next lanes while there is room."""
+                if start in made:
+                    return made[start]
+                word, bit = divmod(64 * front + start, 64)
+                tables = [places[w] for w in range(word, word + width)]
+                if bit:
+                    rest = [places[w + 1] << np.uint64(64 - bit) for w in range(word, word + width)]
+                    tables = [(table >> np.uint64(bit)) | more for table, more in zip(tables, rest)]
+                tables = [table.ravel() for table in tables]
+                if (len(made) + 1) * width * tables[0].size <= room:
+                    made[start] = tables
+                return tables
 
             for at in range(0, len(order), lanes):
                 some = slice(at, at + lanes)
-                alive, common = lengths(x[some], y[some], ny[some], lose_x[some], lose_y[some], a, b, table_at)
+                if len(x[some]) < (a + b) // 4:
+                    alive, common = by_pair(xs[first + x[some]], ys[y[some]])
+                else:
+                    alive, common = lengths(x[some], y[some], ny[some], lose_x[some], lose_y[some], a, b, table_at)
                 i, j = xs.take(first + x[some].take(alive)), ys.take(y[some].take(alive))
                 score = np.rint(100.0 * ((2.0 * common) / (n[i] + n[j]))).astype(np.int32)
                 good = score >= threshold
@@ -169,14 +205,26 @@ def matches_of_cell(above: int, with_texts: bool):
                 yield pa.RecordBatch.from_arrays(out, names=["kind", *(["a", "b"] if with_texts else []), "uses_a", "uses_b", "score"])
 
         # A text of a block meets the others behind a margin, so that i + r is always there.
-        margin = block + turns
+        margin = widest + turns
         others = np.zeros((len(counts), len(ys) + 2 * margin), small)
         others[:, margin:-margin] = counts[:, ys]
         least_others = np.ones(others.shape[1], small)
         least_others[margin:-margin] = least[ys]
         ny, all_ask = n[ys], bool(asks.all())
-        for first in range(0, len(xs), block):
-            of = xs[first : first + block]
+        next_block = 0
+        while next_block < len(xs):
+            # A block is smaller where the places of its symbols would be too many numbers.
+            first, block = next_block, widest
+            while True:
+                of = xs[first : first + block]
+                reach = min(int(n[-1]), int(np.ceil(n[of[-1]] * (1 + c) / (1 - c))) + 1)
+                # Numbers that a band may take, and those of a text with a margin of a band on either side.
+                front = -(-(2 * int(most[min(int(n[of[-1]]) + reach, len(most) - 1)]) + 2 + step) // 64)
+                words = 2 * front + -(-reach // 64) + 2
+                if block == 8 or words * block * symbols <= room:
+                    break
+                block //= 2
+            next_block = first + block
             own = np.zeros((len(counts), block), small)
             own[:, : len(of)] = counts[:, of]
             least_own = np.ones(block, small)
@@ -187,7 +235,7 @@ def matches_of_cell(above: int, with_texts: bool):
             end = int(np.searchsorted(ny, np.ceil(n[of[-1]] * (1 + c) / (1 - c)) + 1, "right"))
             # Where x and y are one part, a pair is met by its shorter text.
             start = begin - len(of) + 1 if lo != hi else first + 1
-            places, front = None, 0
+            places = None
             held, many = [], 0
             for r in range(start, end, turns):
                 # The other of text i (of the block) at turn q has number r + q + i.
@@ -220,13 +268,10 @@ def matches_of_cell(above: int, with_texts: bool):
                 many += len(both)
                 if many and (many >= 4 * lanes or r + turns >= end):
                     if places is None:
-                        width = -(-(2 * int(most[-1]) + step) // 64)
-                        front = width
-                        places = np.zeros((front + words + width + 1, block, symbols), np.uint64)
-                        rows = np.arange(len(of))
-                        for i in range(codes.shape[1]):
-                            places[front + i // 64, rows, codes[of, i]] |= np.uint64(1 << (i % 64))
-                        places[:, :, 0] = 0
+                        places = np.zeros((words, block, symbols), np.uint64)
+                        number, at, symbol = all_of(of)
+                        where = ((front + at // 64) * block + number) * symbols + symbol
+                        np.add.at(places.reshape(-1), where, np.uint64(1) << (at % 64).astype(np.uint64))
                     yield from matches(*map(np.concatenate, zip(*held)), first, places, front)
                     held, many = [], 0
 

@@ -1,6 +1,7 @@
 """The similarity join and the grouping against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -384,3 +385,20 @@ def test_names_without_address_take_their_vertices_along(spark):
     want = [(i, j) for i in some for j in some if i < j and score(form[i], form[j]) >= 90]
     assert len(want) > 100 and sorted(map(tuple, pairs.collect())) == want
     assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_very_long_text_takes_no_room_for_the_others():
+    """Some texts of 20,000 symbols in a cell of short ones: memory goes by the symbols there are, not by the longest text."""
+    rng = random.Random(6)
+    alphabet = "abcdeimnorst 0123456789"
+    base = "".join(rng.choice(alphabet) for _ in range(20_000))
+    short = {"".join(rng.choice(alphabet) for _ in range(rng.randint(60, 120))) for _ in range(600)}
+    texts = [*sorted(short), base, base[:500] + base[600:], base + "zz" * 300, base[:15_000]]
+    tracemalloc.start()
+    batches = list(cells.matches_of_cell(0, False)(iter(_cell(texts, [0] * len(texts), 90, (0, 0)))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = {tuple(sorted((r["uses_a"], r["uses_b"]))): r["score"] for b in batches for r in b.to_pylist()}
+    n = len(short)
+    assert {(n, n + 1): 100, (n, n + 2): 99, (n + 1, n + 2): 98} == {k: v for k, v in found.items() if max(k) >= n}
+    assert peak < 300e6
